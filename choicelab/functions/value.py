@@ -53,6 +53,16 @@ def net_value(pain_value: Column, money: Column) -> Column:
     return pain_value - money
 
 
+def stored_value(k: Column, pain: Column, form: str) -> Column:
+    """Pain value as it is stored and compared with money: form ``none`` keeps the raw level."""
+    return pain.cast("double") if form == "none" else sv_pain(k, pain, form)
+
+
+def stored_value_by_name(k: Column, pain: Column, form: Column, forms: list[str]) -> Column:
+    scaled = sv_pain_by_name(k, pain, form, [f for f in forms if f != "none"])
+    return F.when(form == "none", pain.cast("double")).otherwise(scaled) if "none" in forms else scaled
+
+
 def accept_logit(beta: Column, net: Column) -> Column:
     return -(beta * (net * F.lit(NET_SCALE)))
 
