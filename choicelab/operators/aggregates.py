@@ -112,10 +112,11 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataF
 
 
 def _corr(x: Column, y: Column) -> Column:
-    x, y = x.cast("double"), y.cast("double")
+    """Correlation over complete pairs. ``F.corr`` itself fails without variance under ANSI."""
     both = x.isNotNull() & y.isNotNull()
-    spread = (F.stddev_pop(F.when(both, x)) > 0) & (F.stddev_pop(F.when(both, y)) > 0)
-    return F.when(spread, F.corr(x, y))
+    x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:

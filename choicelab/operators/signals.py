@@ -191,8 +191,11 @@ def massunivariate_ols(arrays: DataFrame, trials: DataFrame, regressors: list[st
     samples = joined.select(col(subject), col(channel), *[col(r).cast("double").alias(f"_r{i}")
                                                           for i, r in enumerate(regressors)],
                             F.posexplode("x").alias("t_idx", "_y"))
-    slopes = [F.when(F.var_pop(F.when(F.col("_y").isNotNull(), F.col(f"_r{i}"))) > 0,
-                     F.regr_slope(F.col("_y"), F.col(f"_r{i}"))).alias(f"_b{i}") for i in range(len(regressors))]
+    def slope(i: int) -> Column:
+        r = F.when(F.col("_y").isNotNull(), F.col(f"_r{i}"))
+        return F.when(F.var_pop(r) > 0, F.covar_pop(F.col("_y"), r) / F.var_pop(r))
+
+    slopes = [slope(i).alias(f"_b{i}") for i in range(len(regressors))]
     points = samples.groupBy(col(subject), col(channel), "t_idx").agg(
         F.count("_y").alias("_n"), F.avg("_y").alias("_mean"), F.var_pop("_y").alias("_var"), *slopes)
     # one subject and channel: as many rows as an epoch has samples

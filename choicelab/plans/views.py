@@ -5,7 +5,7 @@ Each view exists as a DataFrame and as the SQL text that the checks run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicelab.operators.ranking import row_index
@@ -66,13 +66,17 @@ MARKS = """marks AS (
   SELECT event_id, user_id AS recording, event_type AS label, epoch_us(ts) AS sample, value FROM events)"""
 
 
-def epoch_arrays(spark: SparkSession, sf: str) -> DataFrame:
+def _channels() -> Column:
     """64 numbers per vector = 4 channels of 16 samples."""
+    parts = [F.struct(F.lit(c).alias("channel"),
+                      F.slice("embedding", c * SAMPLES + 1, SAMPLES).cast("array<double>").alias("x"))
+             for c in range(CHANNELS)]
+    return F.inline(F.array(*parts))
+
+
+def epoch_arrays(spark: SparkSession, sf: str) -> DataFrame:
     emb = table(spark, sf, "embeddings")
-    parts = F.array(*[F.struct(F.lit(c).alias("channel"),
-                               F.slice("embedding", c * SAMPLES + 1, SAMPLES).cast("array<double>").alias("x"))
-                      for c in range(CHANNELS)])
-    return emb.select(F.col("label").alias("participant"), F.col("vec_id").alias("epoch"), F.inline(parts))
+    return emb.select(F.col("label").alias("participant"), F.col("vec_id").alias("epoch"), _channels())
 
 
 def epochs(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,11 +111,10 @@ EPOCH_TRIALS = """epoch_trials AS (
 
 def signal(spark: SparkSession, sf: str) -> DataFrame:
     """Continuous recording: a participant's epochs laid end to end."""
-    emb = table(spark, sf, "embeddings").select(F.col("label").alias("recording"), "vec_id")
-    placed = row_index(emb, ["recording"], ["vec_id"], "_n").select("vec_id", "_n")
-    long = epochs(spark, sf).join(placed, F.col("epoch") == F.col("vec_id"))
-    return long.select(F.col("participant").alias("recording"), "channel",
-                       ((F.col("_n") - 1) * SAMPLES + F.col("t_idx")).alias("t"), "value")
+    emb = table(spark, sf, "embeddings").select(F.col("label").alias("recording"), "vec_id", "embedding")
+    placed = row_index(emb, ["recording"], ["vec_id"], "_n").select("recording", "_n", _channels())
+    long = placed.select("recording", "channel", "_n", F.posexplode("x").alias("_pos", "value"))
+    return long.select("recording", "channel", ((F.col("_n") - 1) * SAMPLES + F.col("_pos")).alias("t"), "value")
 
 
 SIGNAL = EPOCHS + """,
