@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from choicelab.functions import diffusion, value
 from choicelab.functions.design import Term, design_columns
@@ -123,7 +124,7 @@ def ez_diffusion(trials: DataFrame, by: list[str], response: str = "accepted", r
     return cells.withColumns(fitted)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
     """Least squares from sums of products; null where the design is rank deficient."""
     out = []

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from choicelab.operators.joins import attach
 from choicelab.operators.ranking import col, exact_quantiles, row_index, running_total
@@ -134,7 +135,7 @@ def autocovariance(draws: DataFrame, param: list[str], max_lag: int, value: str
     keys = [*param, "chain"]
     segment = max(segment, max_lag)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def lag_products(values: pd.Series, own: pd.Series) -> pd.Series:
         out = []
         for x, n in zip(values, own):

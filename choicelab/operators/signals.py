@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from choicelab.operators.aggregates import grand_average
 from choicelab.operators.joins import lookup, significance_mask
@@ -139,7 +140,7 @@ def power_spectrum(long: DataFrame, keys: list[str], segment: int, sfreq: float,
               .agg(F.array_sort(F.collect_list(F.struct(col(time), col(value).cast("double")))).alias("_s"))
               .filter(F.size("_s") == segment))
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def periodogram(x: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=object)

@@ -20,8 +20,8 @@ def _headers(spark: SparkSession, pattern: str) -> DataFrame:
     """Distinct first lines with the files that start with them."""
     lines = spark.read.text(pattern).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"))
-    first = lines.filter(F.col("_at") == 0).groupBy("file").agg(
-        F.min_by("value", F.monotonically_increasing_id()).alias("header"))
+    numbered = lines.filter(F.col("_at") == 0).withColumn("_line", F.monotonically_increasing_id())
+    first = numbered.groupBy("file").agg(F.min_by("value", "_line").alias("header"))
     return first.groupBy("header").agg(F.collect_list("file").alias("files"))
 
 
@@ -84,9 +84,8 @@ def scan_kv_text(spark: SparkSession, pattern: str, key: str, model_in_path: str
         F.regexp_extract(F.col("_metadata.file_path"), model_in_path, 1).alias("model"), F.trim("value").alias("line"),
         F.col("_metadata.file_block_start").alias("_block"))
     stem = f"{key}: "
-    wanted = lines.filter(F.col("line").startswith(stem))
-    first = wanted.groupBy("model").agg(
-        F.min_by("line", F.struct("_block", F.monotonically_increasing_id())).alias("line"))
+    wanted = lines.filter(F.col("line").startswith(stem)).withColumn("_line", F.monotonically_increasing_id())
+    first = wanted.groupBy("model").agg(F.min_by("line", F.struct("_block", "_line")).alias("line"))
     return first.select("model", F.substring("line", len(stem) + 1, 2**31 - 1).try_cast("double").alias("value"))
 
 

@@ -1,4 +1,9 @@
-"""Sinks. All write in parallel, one file per task and partition value."""
+"""Sinks. All write in parallel.
+
+Output that is split by a column is rebalanced on it first: small groups share
+tasks and get one file, a group far above the advisory partition size is split
+over several tasks and files.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,8 @@ from choicelab.operators.ranking import col
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ",",
                 partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
     """Parquet or delimited text with a header, optionally split by column values."""
+    if partition_by:
+        df = df.hint("rebalance", *map(col, partition_by))
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -29,4 +36,4 @@ def write_kv_text(df: DataFrame, path: str, key: str, value: str, partition_by:
 
 def write_stat_maps(df: DataFrame, path: str, regressor: str = "regressor") -> None:
     """Betas, t and p of all regressors as one table, one directory per regressor."""
-    df.repartition(col(regressor), F.pmod(F.xxhash64(*df.columns), F.lit(16))).write.partitionBy(regressor).parquet(path)
+    write_table(df, path, partition_by=[regressor])
