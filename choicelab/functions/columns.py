@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A trimmed decimal number. A plain cast would also take Java suffixes such as "3d".
-NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"
-
-
 def to_number(c: Column) -> Column:
-    """Text to double; anything that is not a number, and NaN, becomes null."""
-    text = c.cast("string")
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    """Text to double; anything that is not a number, and NaN, becomes null.
+
+    The cast reads Java notation as well ("3d", "1f", "0x1p3"), which is text here.
+    """
+    text = F.rtrim(c.cast("string"))
+    suffixed = F.right(text, F.lit(1)).isin("d", "D", "f", "F") & ~F.endswith(F.lower(text), F.lit("inf"))
+    number = text.try_cast("double")
+    return F.when(~suffixed & ~F.contains(F.lower(text), F.lit("x")) & ~F.isnan(number), number)
 
 
 def to_int(c: Column) -> Column:

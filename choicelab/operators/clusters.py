@@ -49,9 +49,10 @@ def threshold_runs(points: DataFrame, channel: str, time: str) -> DataFrame:
 def join_runs(points: DataFrame, edges: DataFrame, channel: str, time: str) -> DataFrame:
     """Cluster label of every run as (perm, sign, channel, run, cluster).
 
-    Smallest-label spreading over adjacent runs, with a jump to the label of the
-    label in every round, until nothing changes. Labels only ever decrease, so
-    the rounds end; each round is staged, which keeps the lineage short.
+    Smallest-label spreading over adjacent runs: in every round a run takes the
+    least of its own label, its neighbours' labels and the label of its label,
+    until nothing changes. Labels only ever decrease, so the rounds end; each
+    round is staged, which keeps the lineage short.
     """
     key = ["perm", "sign"]
     neighbours = edges.select(F.col("channel_a").alias(channel), F.col("channel_b").alias("_other"))
@@ -65,14 +66,11 @@ def join_runs(points: DataFrame, edges: DataFrame, channel: str, time: str) -> D
     links = stage(links, "links")
     labels = stage(here.select(*key, node.alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     while True:
-        lent = links.join(labels.withColumnRenamed("node", "near"), [*key, "near"]).groupBy(*key, "node").agg(
-            F.min("label").alias("_near"))
-        spread = labels.join(lent, [*key, "node"], "left").select(
-            *key, "node", "label", F.least("label", "_near").alias("_new"))
-        spread = stage(spread, "spread")
-        jump = spread.select(*key, F.col("node").alias("_new"), F.col("_new").alias("_far"))
-        moved = spread.join(jump, [*key, "_new"], "left").select(
-            *key, "node", F.col("label").alias("_old"), F.least("_new", "_far").alias("label"))
+        held = labels.select(*key, F.col("node").alias("near"), F.col("label").alias("_offer"))
+        lent = links.join(held, [*key, "near"]).groupBy(*key, "node").agg(F.min("_offer").alias("_near"))
+        jump = labels.select(*key, F.col("node").alias("label"), F.col("label").alias("_far"))
+        moved = (labels.join(lent, [*key, "node"], "left").join(jump, [*key, "label"], "left")
+                 .select(*key, "node", F.col("label").alias("_old"), F.least("label", "_near", "_far").alias("label")))
         moved = stage(moved, "labels")
         labels = moved.drop("_old")
         if moved.filter(F.col("_old") != F.col("label")).isEmpty():

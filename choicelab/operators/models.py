@@ -19,6 +19,7 @@ from choicelab.functions import diffusion, value
 from choicelab.functions.design import Term, design_columns
 from choicelab.operators.joins import attach
 from choicelab.operators.ranking import col
+from choicelab.staging import spread, widen
 
 
 def _numbers(values) -> Column:
@@ -51,13 +52,13 @@ def fit_value_model(trials: DataFrame, forms: list[str], k_grid, beta_grid, subj
     priors are fixed, without a group level, so values differ from a hierarchical
     sampler by design. Returns (subject, form, k, beta, loglik, weight).
     """
-    cells = choice_cells(trials.filter(col(accepted).isNotNull()), subject, money, pain, accepted)
+    cells = spread(choice_cells(trials.filter(col(accepted).isNotNull()), subject, money, pain, accepted), subject)
     points = _on_grid(cells, forms, k_grid, beta_grid, money, pain, accepted)
     grid = points.groupBy(col(subject), "form", "k", "beta").agg(
         F.sum(F.col("loglik") * F.col("count")).alias("loglik"))
-    spread = 2 * prior_scale * prior_scale
+    width = 2 * prior_scale * prior_scale
     free_k = F.when(F.col("form") == "none", F.lit(0.0)).otherwise(F.col("k"))
-    log_post = F.col("loglik") - free_k * free_k / spread - F.col("beta") * F.col("beta") / spread
+    log_post = F.col("loglik") - free_k * free_k / width - F.col("beta") * F.col("beta") / width
     # a window of one subject and form holds grid points only
     one = Window.partitionBy(col(subject), "form")
     shifted = grid.withColumn("_lp", log_post).withColumn("_e", F.exp(F.col("_lp") - F.max("_lp").over(one)))
@@ -83,7 +84,7 @@ def value_pointwise(trials: DataFrame, posterior: DataFrame, forms: list[str], s
     """
     cells = choice_cells(trials.filter(col(accepted).isNotNull()), subject, money, pain, accepted)
     points = posterior.filter(F.col("weight") > 0).select(col(subject), "form", "k", "beta", "weight")
-    joined = cells.join(points, subject)
+    joined = spread(cells, subject).join(points, subject)
     net = value.stored_value_by_name(F.col("k"), col(pain), F.col("form"), forms) - col(money)
     loglik = value.bernoulli_loglik(col(accepted), value.accept_logit(F.col("beta"), net))
     return joined.select(F.col("form").alias("model"), *map(col, (subject, money, pain, accepted)),
@@ -187,6 +188,7 @@ def wiener_grid(trials: DataFrame, by: list[str], v_grid, a_grid, t_grid, z_grid
     weight under a flat prior on the grid."""
     rows = trials.filter(col(response).isNotNull() & col(rt).isNotNull())
     rows = rows.select(*map(col, by), col(response).alias("_response"), col(rt).cast("double").alias("_rt"))
+    rows = widen(rows)
     for name, values in (("v", v_grid), ("a", a_grid), ("t", t_grid), ("z", z_grid)):
         rows = rows.withColumn(name, F.explode(_numbers(values)))
     loglik = diffusion.wiener_loglik(F.col("_rt"), F.col("_response"), F.col("v"), F.col("a"), F.col("t"), F.col("z"), terms)
@@ -210,6 +212,6 @@ def loglik_at(trials: DataFrame, params: DataFrame, by: list[str], response: str
     """Summed diffusion log-likelihood at one parameter set per group."""
     rows = trials.filter(col(response).isNotNull() & col(rt).isNotNull())
     rows = rows.select(*map(col, by), col(response).alias("_response"), col(rt).cast("double").alias("_rt"))
-    joined = attach(rows, params.select(*map(col, by), "v", "a", "t", "z"), by, "inner")
+    joined = attach(widen(rows), params.select(*map(col, by), "v", "a", "t", "z"), by, "inner")
     loglik = diffusion.wiener_loglik(F.col("_rt"), F.col("_response"), F.col("v"), F.col("a"), F.col("t"), F.col("z"), terms)
     return joined.groupBy(*map(col, by)).agg(F.sum(loglik).alias("loglik"))

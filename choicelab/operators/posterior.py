@@ -214,6 +214,8 @@ def posterior_density(draws: DataFrame, param: list[str], grid: int = 100, cut:
 
 # --- model comparison -------------------------------------------------------
 
+_BAND = 64.0
+
 def _weight(pointwise: DataFrame) -> Column:
     return F.col("weight") if "weight" in pointwise.columns else F.lit(1.0)
 
@@ -237,26 +239,34 @@ def pointwise_elpd(pointwise: DataFrame, model: list[str], obs: list[str], kind:
 
     ``waic``: log mean likelihood minus the variance of the log-likelihood.
     ``loo``: plain importance sampling, -ln mean exp(-loglik). Means over draws
-    use the draw weights. Exponentials are shifted by the observation's extreme,
-    which comes from a first aggregate.
+    use the draw weights.
+
+    Exponentials must be shifted to stay in range. Instead of a first pass for
+    the extremes, draws are summed per band of 64 log units around the band's
+    middle; the few bands of an observation are then put on a common shift.
     """
-    keys = [*model, *obs]
-    w = _weight(pointwise)
+    keys = [col(c) for c in (*model, *obs)]
+    w, band = _weight(pointwise), F.floor(F.col("loglik") / _BAND)
     count = F.first(F.col("count")) if "count" in pointwise.columns else F.lit(1)
-    edges = pointwise.groupBy(*map(col, keys)).agg(F.max("loglik").alias("_max"), F.min("loglik").alias("_min"))
-    rows = attach(pointwise, edges, keys, "inner")
-    ll = F.col("loglik")
-    sums = rows.groupBy(*map(col, keys)).agg(
-        F.sum(w).alias("_w"), F.first("_max").alias("_max"), F.first("_min").alias("_min"),
-        F.sum(w * F.exp(ll - F.col("_max"))).alias("_up"), F.sum(w * F.exp(F.col("_min") - ll)).alias("_down"),
-        F.sum(w * (ll - F.col("_max"))).alias("_s1"),
-        F.sum(w * (ll - F.col("_max")) * (ll - F.col("_max"))).alias("_s2"), count.alias("count"))
+    near = F.col("loglik") - F.col("_mid")
+    bands = pointwise.withColumn("_mid", band * _BAND + _BAND / 2).groupBy(*keys, "_mid").agg(
+        F.sum(w).alias("_w"), F.sum(w * F.exp(near)).alias("_up"), F.sum(w * F.exp(-near)).alias("_down"),
+        F.sum(w * near).alias("_s1"), F.sum(w * near * near).alias("_s2"), count.alias("count"))
+    whole = Window.partitionBy(*keys)               # one row per band
+    bands = bands.withColumns({"_max": F.max("_mid").over(whole), "_min": F.min("_mid").over(whole)})
+    rise, drop = F.col("_mid") - F.col("_max"), F.col("_min") - F.col("_mid")
+    sums = bands.groupBy(*keys).agg(
+        F.sum("_w").alias("_w"), F.first("_max").alias("_max"), F.first("_min").alias("_min"),
+        F.sum(F.col("_up") * F.exp(rise)).alias("_up"), F.sum(F.col("_down") * F.exp(drop)).alias("_down"),
+        F.sum(F.col("_s1") + F.col("_w") * rise).alias("_s1"),
+        F.sum(F.col("_s2") + 2 * rise * F.col("_s1") + F.col("_w") * rise * rise).alias("_s2"),
+        F.first("count").alias("count"))
     lppd = F.col("_max") + F.ln(F.col("_up") / F.col("_w"))
     mean = F.col("_s1") / F.col("_w")
     variance = F.greatest(F.col("_s2") / F.col("_w") - mean * mean, F.lit(0.0))
     loo = F.col("_min") - F.ln(F.col("_down") / F.col("_w"))
     elpd, p = (lppd - variance, variance) if kind == "waic" else (loo, lppd - loo)
-    return sums.select(*map(col, keys), elpd.alias("elpd"), p.alias("p"), "count")
+    return sums.select(*keys, elpd.alias("elpd"), p.alias("p"), "count")
 
 
 def _total_se(value: Column, count: Column) -> Column:

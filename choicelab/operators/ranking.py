@@ -27,10 +27,16 @@ def col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def hot_groups(df: DataFrame, by: list[str], hot_rows: int) -> DataFrame:
-    """Groups with more than ``hot_rows`` rows; at most total rows / hot_rows of them."""
+def hot_groups(df: DataFrame, by: list[str], hot_rows: int) -> tuple[DataFrame | None, int]:
+    """Groups with more than ``hot_rows`` rows, and their rows in total.
+
+    Usually there are none and one number is all that is computed. Otherwise the
+    groups, at most total rows / hot_rows of them, are staged.
+    """
     counts = df.groupBy(*[col(k).alias(f"_hot_{k}") for k in by]).agg(F.count(F.lit(1)).alias("_rows"))
-    return stage(counts.filter(F.col("_rows") > hot_rows), "hot")
+    hot = counts.filter(F.col("_rows") > hot_rows)
+    total = hot.agg(F.sum("_rows")).first()[0]
+    return (stage(hot, "hot"), total) if total else (None, 0)
 
 
 def _in_group(by: list[str]) -> Column:
@@ -42,9 +48,8 @@ def split_hot(df: DataFrame, by: list[str], order: list[str], hot_rows: int | No
     staged with a ``_range`` number that ascends with ``order``. Either is None
     when it has no rows to hold."""
     hot_rows = hot_rows or HOT_ROWS
-    hot = hot_groups(df, by, hot_rows)
-    total = hot.agg(F.sum("_rows")).first()[0]
-    if not total:
+    hot, total = hot_groups(df, by, hot_rows)
+    if hot is None:
         return df, None
     ranges = min(MAX_RANGES, max(2, math.ceil(4 * total / hot_rows)))
     if by:
@@ -124,36 +129,39 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
                     out: str = "quantiles", hot_rows: int | None = None) -> DataFrame:
     """``by`` plus an array of linearly interpolated quantiles, one per entry of ``probs``.
 
-    Ordinary groups use the built-in exact ``percentile``. Hot groups are first
-    collapsed to (value, count), so ties vanish map-side, and the order
-    statistics are then read off a distributed running count.
+    The order statistics are picked from sorted groups. Hot groups are first
+    collapsed to (value, count), so ties vanish map-side, and the statistics are
+    read off a distributed running count.
     """
     limit = hot_rows or HOT_ROWS
-    data = df.select(*map(col, by), col(value).cast("double").alias("_value")).filter(F.col("_value").isNotNull())
-    hot = hot_groups(data, by, limit)
-    asked = F.array(*[F.lit(float(p)) for p in probs])
+    keys = [col(k) for k in by]
+    data = df.select(*keys, col(value).cast("double").alias("_value")).filter(F.col("_value").isNotNull())
+    hot, total = hot_groups(data, by, limit)
+    whole = Window.partitionBy(*keys)
     plain = data
-    if not hot.isEmpty():
+    if hot is not None:
         plain = data.join(hot, _in_group(by), "left_anti") if by else data.limit(0)
-    small = plain.groupBy(*map(col, by)).agg(F.percentile("_value", asked).alias(out))
-    if hot.isEmpty():
-        return small
-    if not by:
-        small = small.limit(0)
-    large = data.join(hot, _in_group(by), "left_semi") if by else data
-    counts = large.groupBy(*map(col, by), "_value").agg(F.count(F.lit(1)).alias("_count"))
-    running = running_total(counts, by, ["_value"], "_upto", weight="_count", hot_rows=limit)
-    sized = running.join(hot, _in_group(by)) if by else running.withColumn("_rows", F.lit(hot.first()["_rows"]))
-    picks = []
-    for i, p in enumerate(probs):
-        place = (F.col("_rows") - 1) * F.lit(float(p))
-        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            holds = (F.col("_upto") - F.col("_count") <= rank) & (rank < F.col("_upto"))
-            picks.append(F.min(F.when(holds, F.col("_value"))).alias(f"_{side}{i}"))
-    found = sized.groupBy(*map(col, by)).agg(F.first("_rows").alias("_rows"), *picks)
-    parts = []
+    ranked = plain.select(*keys, "_value", F.row_number().over(whole.orderBy("_value")).cast("long").alias("_upto"),
+                          F.count(F.lit(1)).over(whole).alias("_rows"), F.lit(1).cast("long").alias("_count"))
+    if hot is not None:
+        large = data.join(hot, _in_group(by), "left_semi") if by else data
+        counts = large.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_count"))
+        running = running_total(counts, by, ["_value"], "_upto", weight="_count", hot_rows=limit)
+        sized = running.join(hot, _in_group(by)) if by else running.withColumn("_rows", F.lit(total))
+        ranked = ranked.unionByName(sized.select(*keys, "_value", "_upto", "_rows", "_count"))
+
+    def place(p: float) -> Column:
+        return (F.col("_rows") - 1) * F.lit(float(p))
+
+    def holds(rank: Column) -> Column:
+        return (F.col("_upto") - F.col("_count") <= rank) & (rank < F.col("_upto"))
+
+    picks, wanted = [], F.lit(False)
     for i, p in enumerate(probs):
-        place = (F.col("_rows") - 1) * F.lit(float(p))
-        share = place - F.floor(place)
-        parts.append(F.col(f"_lo{i}") * (1 - share) + F.col(f"_hi{i}") * share)
-    return small.unionByName(found.select(*map(col, by), F.array(*parts).alias(out)))
+        low, high = holds(F.floor(place(p))), holds(F.ceil(place(p)))
+        wanted = wanted | low | high
+        picks += [F.min(F.when(low, F.col("_value"))).alias(f"_lo{i}"), F.min(F.when(high, F.col("_value"))).alias(f"_hi{i}")]
+    found = ranked.filter(wanted).groupBy(*keys).agg(F.first("_rows").alias("_rows"), *picks)
+    shares = [place(p) - F.floor(place(p)) for p in probs]
+    parts = [F.col(f"_lo{i}") * (1 - s) + F.col(f"_hi{i}") * s for i, s in enumerate(shares)]
+    return found.select(*keys, F.array(*parts).alias(out))

@@ -63,12 +63,12 @@ def timing_error(spark, sf):
 
 
 @query("timing_summary", f"""WITH {_ERROR}
-SELECT recording, count(error) AS count, round(avg(error), 3) AS mean, round(stddev_samp(error), 3) AS std,
+SELECT recording, count(error) AS count, round(avg(error), 0) AS mean, round(stddev_samp(error), 2) AS std,
   round(min(error), 6) AS min, round(quantile_cont(error, 0.25), 6) AS q25, round(quantile_cont(error, 0.5), 6) AS q50,
   round(quantile_cont(error, 0.75), 6) AS q75, round(max(error), 6) AS max FROM e GROUP BY recording""")
 def timing_summary(spark, sf):
     s = windows.timing_summary(_timing(spark, sf), ["recording"])
-    return s.select("recording", "count", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"),
+    return s.select("recording", "count", F.round("mean", 0).alias("mean"), F.round("std", 2).alias("std"),
                     *[F.round(c, 6).alias(c) for c in ("min", "q25", "q50", "q75", "max")])
 
 

@@ -188,11 +188,11 @@ def _ez_query(key: str, by: list[str]):
     names = ", ".join(f'"{b}"' for b in by)
 
     @query(key, f"""WITH {CODED}, {_ez_sql('coded', names)}
-SELECT {names}, n_trials, round(p_accept, 6) AS p_accept, round(mean_rt, 6) AS mean_rt, round(v, 5) AS v, round(a, 5) AS a,
+SELECT {names}, n_trials, round(p_accept, 6) AS p_accept, round(mean_rt, 4) AS mean_rt, round(v, 5) AS v, round(a, 5) AS a,
   round(t, 5) AS t FROM ez""")
     def fit(spark, sf):
         ez = models.ez_diffusion(coded_trials(spark, sf), by)
-        ez = _rounded(_rounded(ez, ["p_accept", "mean_rt"]), ["v", "a", "t"], 5)
+        ez = _rounded(_rounded(_rounded(ez, ["p_accept"]), ["mean_rt"], 4), ["v", "a", "t"], 5)
         return ez.drop("var_rt")
     return fit
 

@@ -42,3 +42,25 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffle_tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition collapsed rows by ``keys`` before a step that multiplies them.
+
+    The explicit number keeps adaptive execution from merging the partitions by
+    their present, small size. Later grouping by ``keys`` needs no further shuffle.
+    """
+    return df.repartition(shuffle_tasks(df.sparkSession), *keys)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Share the rows of a few input files among all cores before heavy work per row.
+
+    Input with at least one file per core is split well enough and left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
