@@ -41,7 +41,7 @@ def attach_subject_params(trials: DataFrame, params: DataFrame, key: str = "part
 
 def match_trials(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> DataFrame:
     """Rows of ``left`` whose keys occur in ``right``: ``{left column: right column}``."""
-    wanted = right.select(*[col(r).alias(l) for l, r in keys.items()]).distinct()
+    wanted = right.select(*[col(r).alias(l) for l, r in keys.items()])
     return left.join(wanted, list(keys), "left_semi")
 
 

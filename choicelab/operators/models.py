@@ -157,8 +157,8 @@ def regression_by(df: DataFrame, by: list[str], y: str, terms: list[Term], inter
         F.count(F.lit(1)).alias("n"))
     solved = sums.select(*map(col, by), "n", _solve("_xx", "_xy").alias("_beta"))
     labels = F.array(*[F.lit(n) for n in names])
-    return (solved.filter(F.col("_beta").isNotNull())
-            .select(*map(col, by), "n", F.posexplode("_beta").alias("_i", "beta"))
+    # groups without a solution have no array and give no rows
+    return (solved.select(*map(col, by), "n", F.posexplode("_beta").alias("_i", "beta"))
             .select(*map(col, by), F.element_at(labels, F.col("_i") + 1).alias("term"), "beta", "n"))
 
 

@@ -36,29 +36,30 @@ def gelman_rubin(draws: DataFrame, param: list[str], chain: str = "chain", value
     return parts.select(*map(col, param), "n_chains", F.when(F.col("_w") > 0, F.sqrt(v / F.col("_w"))).alias("r_hat"))
 
 
-def positions(draws: DataFrame, param: list[str], chain: str = "chain", draw: str = "draw",
-              out: str = "position", hot_rows: int | None = None) -> DataFrame:
-    """Number the draws 0..n-1 over the chains laid end to end.
+def chain_starts(draws: DataFrame, param: list[str], chain: str = "chain", draw: str = "draw",
+                 hot_rows: int | None = None) -> DataFrame:
+    """Per chain its first position ``_start`` when the chains are laid end to end,
+    and the total length ``_total`` of the parameter's chains.
 
     Draws are already numbered inside a chain, so only chain lengths are ranked.
     """
-    lengths = draws.groupBy(*map(col, param), col(chain)).agg(
-        (F.max(col(draw)) + 1).cast("long").alias("_len"))
-    starts = running_total(lengths, param, [chain], "_end", weight="_len", hot_rows=hot_rows)
-    starts = starts.select(*map(col, param), col(chain), (F.col("_end") - F.col("_len")).alias("_start"))
-    joined = attach(draws, starts, [*param, chain])
-    return joined.withColumn(out, F.col("_start") + col(draw)).drop("_start")
+    keys = [col(k) for k in param]
+    lengths = stage(draws.groupBy(*keys, col(chain)).agg((F.max(col(draw)) + 1).cast("long").alias("_len")), "chains")
+    ends = running_total(lengths, param, [chain], "_end", weight="_len", hot_rows=hot_rows)
+    totals = lengths.groupBy(*keys).agg(F.sum("_len").alias("_total"))
+    return ends.join(totals, param).select(*keys, col(chain), (F.col("_end") - F.col("_len")).alias("_start"), "_total")
 
 
 def batch_error(draws: DataFrame, param: list[str], batches: int = 100, value: str = "value",
                 hot_rows: int | None = None) -> DataFrame:
-    """Monte Carlo error: std of batch means over sqrt(batches), batches consecutive."""
-    placed = positions(draws, param, hot_rows=hot_rows)
-    totals = draws.groupBy(*map(col, param)).agg(F.count(F.lit(1)).alias("_n"))
-    sized = attach(placed, totals, param)
-    per_batch = F.greatest(F.floor(F.col("_n") / batches), F.lit(1))
-    means = (sized.withColumn("_batch", F.floor(F.col("position") / per_batch))
-             .filter(F.col("_batch") < batches)
+    """Monte Carlo error: std of batch means over sqrt(batches), batches consecutive.
+
+    Chains are laid end to end; draws beyond the last full batch are left out.
+    """
+    placed = attach(draws, chain_starts(draws, param, hot_rows=hot_rows), [*param, "chain"])
+    per_batch = F.greatest(F.floor(F.col("_total") / batches), F.lit(1))
+    batch = F.floor((F.col("_start") + F.col("draw")) / per_batch)
+    means = (placed.withColumn("_batch", batch).filter(F.col("_batch") < batches)
              .groupBy(*map(col, param), "_batch").agg(F.avg(col(value)).alias("_mean")))
     return means.groupBy(*map(col, param)).agg(
         (F.stddev_pop("_mean") / F.sqrt(F.count("_mean"))).alias("mc_err"))

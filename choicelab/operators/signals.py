@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from choicelab.operators.aggregates import grand_average
-from choicelab.operators.joins import lookup, significance_mask
+from choicelab.operators.joins import attach, lookup, significance_mask
 from choicelab.operators.ranking import col
 from choicelab.operators.windows import quantile_bins, zscore
 
@@ -185,18 +185,19 @@ def massunivariate_ols(arrays: DataFrame, trials: DataFrame, regressors: list[st
     channel is pooled from the moments of its samples. Trials without a value of
     a regressor are left out of that regressor only.
     """
-    sizes = [F.stddev_pop(col(r)).alias(f"_sd{i}") for i, r in enumerate(regressors)]
-    spread = trials.groupBy(col(subject)).agg(*sizes)
-    wanted = trials.select(col(subject), col(epoch), *map(col, regressors))
+    count = range(len(regressors))
+    sizes = trials.groupBy(col(subject)).agg(*[F.stddev_pop(col(r)).alias(f"_sd{i}") for i, r in enumerate(regressors)])
+    wanted = attach(trials.select(col(subject), col(epoch), *map(col, regressors)), sizes, [subject])
     joined = arrays.select(col(subject), col(epoch), col(channel), "x").join(wanted, [subject, epoch])
-    samples = joined.select(col(subject), col(channel), *[col(r).cast("double").alias(f"_r{i}")
-                                                          for i, r in enumerate(regressors)],
+    samples = joined.select(col(subject), col(channel), *[f"_sd{i}" for i in count],
+                            *[col(r).cast("double").alias(f"_r{i}") for i, r in enumerate(regressors)],
                             F.posexplode("x").alias("t_idx", "_y"))
+
     def slope(i: int) -> Column:
         r = F.when(F.col("_y").isNotNull(), F.col(f"_r{i}"))
         return F.when(F.var_pop(r) > 0, F.covar_pop(F.col("_y"), r) / F.var_pop(r))
 
-    slopes = [slope(i).alias(f"_b{i}") for i in range(len(regressors))]
+    slopes = [c for i in count for c in (slope(i).alias(f"_b{i}"), F.max(f"_sd{i}").alias(f"_sd{i}"))]
     points = samples.groupBy(col(subject), col(channel), "t_idx").agg(
         F.count("_y").alias("_n"), F.avg("_y").alias("_mean"), F.var_pop("_y").alias("_var"), *slopes)
     # one subject and channel: as many rows as an epoch has samples
@@ -205,7 +206,7 @@ def massunivariate_ols(arrays: DataFrame, trials: DataFrame, regressors: list[st
     points = points.withColumn("_centre", centre)
     gap = F.col("_mean") - F.col("_centre")
     pooled = F.sqrt(F.sum(F.col("_n") * (F.col("_var") + gap * gap)).over(whole) / F.sum("_n").over(whole))
-    points = points.withColumn("_sd", pooled).join(spread, subject)
+    points = points.withColumn("_sd", pooled)
     betas = F.array(*[F.struct(F.lit(r).alias("regressor"),
                                F.when(F.col("_sd") > 0, F.col(f"_b{i}") * F.col(f"_sd{i}") / F.col("_sd")).alias("beta"))
                       for i, r in enumerate(regressors)])

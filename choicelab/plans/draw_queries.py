@@ -99,10 +99,32 @@ def autocovariance(spark, sf):
     return _rounded(post.autocovariance(views.draws(spark, sf), ["param"], 10), ["autocov"], 8)
 
 
-@query("interval_summary")
+@query("interval_summary", f"""WITH {DRAWS},
+c AS (SELECT param, chain, draw, value - avg(value) OVER w AS c, count(*) OVER w AS n FROM draws
+  WINDOW w AS (PARTITION BY param, chain)),
+l AS (SELECT unnest(generate_series(0, 20)) AS lag),
+pr AS (SELECT a.param, a.chain, lag, sum(a.c * b.c) / any_value(a.n) AS v FROM c a JOIN l ON true
+  JOIN c b ON a.param = b.param AND a.chain = b.chain AND b.draw = a.draw + lag GROUP BY ALL),
+ac AS (SELECT param, lag, avg(v) AS autocov FROM pr GROUP BY ALL),
+ch AS (SELECT param, chain, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM draws GROUP BY ALL),
+po AS (SELECT param, sum(n) AS total, avg(n) AS n, avg(v) AS w, var_samp(m) AS b FROM ch GROUP BY param),
+rho AS (SELECT param, lag // 2 AS pair, lag, total, CASE WHEN lag = 0 THEN 1 ELSE
+  1 - (w - autocov * n / (n - 1)) / ((n - 1) / n * w + b) END AS rho FROM ac JOIN po USING (param)),
+pa AS (SELECT param, pair, any_value(total) AS total, sum(rho) AS s FROM rho GROUP BY param, pair HAVING count(*) = 2),
+cm AS (SELECT param, total, min(s) OVER (PARTITION BY param ORDER BY pair) AS s FROM pa),
+es AS (SELECT param, any_value(total) / greatest(-1 + 2 * sum(s), 1 / log10(any_value(total))) AS ess FROM cm WHERE s > 0 GROUP BY param),
+r AS (SELECT param, value, row_number() OVER (PARTITION BY param ORDER BY value) AS k, count(*) OVER (PARTITION BY param) AS n
+  FROM draws),
+hd AS (SELECT a.param, a.value AS lo, b.value AS hi FROM r a JOIN r b
+  ON a.param = b.param AND b.k = a.k + CAST(floor(a.n * 0.94::DOUBLE) AS BIGINT)
+  QUALIFY row_number() OVER (PARTITION BY a.param ORDER BY b.value - a.value, a.value) = 1),
+mo AS (SELECT param, avg(value) AS mean, stddev_samp(value) AS sd FROM draws GROUP BY param)
+SELECT param, round(mean, 6) AS mean, round(sd, 6) AS sd, round(lo, 6) AS hdi_low, round(hi, 6) AS hdi_high,
+  round(sd / sqrt(ess), 6) AS mcse_mean, round(ess, 3) AS ess, round(sqrt(((n - 1) / n * w + b) / w), 6) AS r_hat
+FROM mo JOIN hd USING (param) JOIN es USING (param) JOIN po USING (param)""")
 def interval_summary(spark, sf):
     s = post.interval_summary(views.draws(spark, sf), ["param"], max_lag=20)
-    return _rounded(s, [c for c in s.columns if c != "param"])
+    return _rounded(_rounded(s, [c for c in s.columns if c not in ("param", "ess")]), ["ess"], 3)
 
 
 _GRID = 40

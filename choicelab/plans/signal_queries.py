@@ -109,10 +109,15 @@ def fir_short(spark, sf):
     return _rounded(out, ["value"], 8)
 
 
-@query("fir_band", None)
+_BAND = signals.fir_kernel(1024, low=20, high=200, taps=201)
+_BAND_ROWS = ", ".join(f"({i - 100}, {w!r}::DOUBLE)" for i, w in enumerate(_BAND))
+
+
+@query("fir_band", f"""WITH {SIGNAL}, k(o, w) AS (VALUES {_BAND_ROWS})
+SELECT a.recording, a.channel, a.t, round(sum(b.value * w), 8) AS value FROM signal a JOIN k ON true
+JOIN signal b ON a.recording = b.recording AND a.channel = b.channel AND b.t = a.t - o GROUP BY ALL""")
 def fir_band(spark, sf):
-    kernel = signals.fir_kernel(1024, low=20, high=200, taps=201)
-    out = signals.fir_filter(views.signal(spark, sf), kernel, ["recording", "channel"], "t")
+    out = signals.fir_filter(views.signal(spark, sf), _BAND, ["recording", "channel"], "t")
     return _rounded(out, ["value"], 8)
 
 
