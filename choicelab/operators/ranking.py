@@ -6,6 +6,9 @@ counts the groups (one column-pruned pass with map-side combine). Groups above
 ``hot_rows`` are range-partitioned on (group, order): each range is handled on
 its own and small per-range summaries carry totals from one range to the next.
 Groups at or below the limit use the plain window.
+
+The input is read once for the counts and again for the result, so an expensive
+input, such as the result of another ranking, should be staged first.
 """
 
 from __future__ import annotations
@@ -145,7 +148,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
                           F.count(F.lit(1)).over(whole).alias("_rows"), F.lit(1).cast("long").alias("_count"))
     if hot is not None:
         large = data.join(hot, _in_group(by), "left_semi") if by else data
-        counts = large.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_count"))
+        counts = stage(large.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_count")), "counts")
         running = running_total(counts, by, ["_value"], "_upto", weight="_count", hot_rows=limit)
         sized = running.join(hot, _in_group(by)) if by else running.withColumn("_rows", F.lit(total))
         ranked = ranked.unionByName(sized.select(*keys, "_value", "_upto", "_rows", "_count"))

@@ -12,6 +12,7 @@ from choicelab.operators import joins, shaping, windows
 from choicelab.plans import views
 from choicelab.plans.registry import query
 from choicelab.plans.views import LEVELS, NUMBERED, SUBJECTS, TRIALS
+from choicelab.staging import stage
 
 # Share of accepted offers above which a subject of the given tables is excluded.
 SHARE = 0.57
@@ -237,13 +238,16 @@ def describe_rt_overall(spark, sf):
     return out.select("count", *[F.round(c, DIGITS.get(c, 9)).alias(c) for c in out.columns[1:]])
 
 
+_KEY = ["participant", *views.TRIAL_ORDER]
+_KEY_SQL = ", ".join(_KEY)
+
+
 @query("block_trial_index", f"""WITH {NUMBERED}
-SELECT participant, trial_no, CAST((trial_no - 1) // 25 AS INT) AS blocks_idx, CAST((trial_no - 1) % 25 AS INT) AS trialblocks
+SELECT {_KEY_SQL}, CAST((trial_no - 1) // 25 AS INT) AS blocks_idx, CAST((trial_no - 1) % 25 AS INT) AS trialblocks
 FROM numbered""")
 def block_trial_index(spark, sf):
-    numbered = windows.trial_number(views.trials(spark, sf), ["participant"], views.TRIAL_ORDER, "trial_no")
-    return windows.block_trial_index(numbered, ["participant"], ["trial_no"], 25).select(
-        "participant", "trial_no", "blocks_idx", "trialblocks")
+    t = views.trials(spark, sf).select(_KEY)
+    return windows.block_trial_index(t, ["participant"], views.TRIAL_ORDER, 25)
 
 
 @query("zscore_rt", f"""WITH {TRIALS}
@@ -321,15 +325,14 @@ def zip_columns(spark, sf):
 @query("zip_columns_within", f"""WITH {NUMBERED}, late AS (
   SELECT participant, rt, row_number() OVER (PARTITION BY participant
     ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS r FROM trials WHERE painlevel >= 3)
-SELECT n.participant, n.trial_no, round(n.rt - l.rt, 9) AS gap FROM numbered n
+SELECT {', '.join(f'n.{c}' for c in _KEY)}, round(n.rt - l.rt, 9) AS gap FROM numbered n
 LEFT JOIN late l ON n.participant = l.participant AND n.trial_no = l.r""")
 def zip_columns_within(spark, sf):
     t = views.trials(spark, sf)
     order = views.TRIAL_ORDER
-    left = windows.trial_number(t, ["participant"], order, "trial_no").select("participant", "trial_no", "rt")
     right = t.filter(F.col("painlevel") >= 3).select("participant", "rt", *order)
-    both = joins.zip_columns(left, right, ["trial_no"], order, ["participant"])
-    return both.select("participant", "trial_no", F.round(F.col("rt") - F.col("rt_2"), 9).alias("gap"))
+    both = joins.zip_columns(t.select(*_KEY, "rt"), right, order, order, ["participant"])
+    return both.select(*_KEY, F.round(F.col("rt") - F.col("rt_2"), 9).alias("gap"))
 
 
 _MATCH = NUMBERED + """, behaviour AS (
@@ -342,11 +345,11 @@ SELECT participant, count(*) AS n, CAST(sum(trial_no) AS BIGINT) AS trials FROM
   SELECT 1 FROM behaviour x WHERE x.participant = numbered.participant AND x.b = (numbered.trial_no - 1) // 25
   AND x.i = (numbered.trial_no - 1) % 25) GROUP BY participant""")
 def match_trials(spark, sf):
-    t = views.numbered_trials(spark, sf)
-    epochs = windows.block_trial_index(t.select("participant", "trial_no"), ["participant"], ["trial_no"])
-    behaviour = windows.block_trial_index(t, ["participant"], ["trial_no"]).filter("accepted = 1")
+    t = views.trials(spark, sf).select(*_KEY, "accepted")
+    placed = stage(windows.block_trial_index(t, ["participant"], views.TRIAL_ORDER, 25), "placed")
     keys = ["participant", "blocks_idx", "trialblocks"]
-    kept = joins.match_trials(epochs, behaviour, {k: k for k in keys})
+    epochs = placed.select(*keys, (F.col("blocks_idx") * 25 + F.col("trialblocks") + 1).alias("trial_no"))
+    kept = joins.match_trials(epochs, placed.filter("accepted = 1"), {k: k for k in keys})
     return kept.groupBy("participant").agg(F.count(F.lit(1)).alias("n"), F.sum("trial_no").alias("trials"))
 
 
@@ -354,9 +357,8 @@ def match_trials(spark, sf):
 SELECT participant, count(*) AS n FROM numbered WHERE (participant, trial_no) IN (
   SELECT participant, trial_no FROM behaviour) GROUP BY participant""")
 def match_by_trial_number(spark, sf):
-    t = views.numbered_trials(spark, sf)
-    kept = joins.match_trials(t.select("participant", "trial_no"), t.filter("accepted = 1"),
-                              {"participant": "participant", "trial_no": "trial_no"})
+    t = stage(views.numbered_trials(spark, sf).select("participant", "trial_no", "accepted"), "numbered")
+    kept = joins.match_trials(t, t.filter("accepted = 1"), {"participant": "participant", "trial_no": "trial_no"})
     return ag.value_counts(kept, ["participant"])
 
 
@@ -398,14 +400,15 @@ def head_tail(spark, sf):
     return shaping.union_rows(shaping.head(t, 5, order), shaping.tail(t, 5, order))
 
 
-@query("cooldown_gap", f"""WITH {NUMBERED},
-g AS (SELECT participant, trial_no, rt - coalesce(lag(l_extendedprice / 1000) OVER w, 0) AS cooldown FROM numbered
-  WINDOW w AS (PARTITION BY participant ORDER BY trial_no)
-  UNION ALL SELECT participant, NULL, 0 - max_by(l_extendedprice / 1000, trial_no) FROM numbered GROUP BY participant)
-SELECT participant, trial_no, round(cooldown, 9) AS cooldown FROM g""")
+@query("cooldown_gap", f"""WITH {TRIALS},
+g AS (SELECT {_KEY_SQL}, rt - coalesce(lag(l_extendedprice / 1000) OVER w, 0) AS cooldown FROM trials
+  WINDOW w AS (PARTITION BY participant ORDER BY {', '.join(views.TRIAL_ORDER)})
+  UNION ALL SELECT participant, NULL, NULL, NULL, NULL,
+    0 - max_by(l_extendedprice / 1000, [l_orderkey, l_linenumber, l_partkey, l_extendedprice]) FROM trials GROUP BY participant)
+SELECT {_KEY_SQL}, round(cooldown, 9) AS cooldown FROM g""")
 def cooldown_gap(spark, sf):
-    t = views.numbered_trials(spark, sf).withColumn("coold", F.col("l_extendedprice") / 1000)
-    gaps = windows.cooldown_gap(t, ["participant"], ["trial_no"], "rt", "coold")
+    t = views.trials(spark, sf).withColumn("coold", F.col("l_extendedprice") / 1000)
+    gaps = windows.cooldown_gap(t, ["participant"], views.TRIAL_ORDER, "rt", "coold")
     return gaps.withColumn("cooldown", F.round("cooldown", 9))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicelab.operators.ranking import col
+from choicelab.staging import stage
 
 
 def read_delimited(spark: SparkSession, path, schema: str | None = None, sep: str = ",") -> DataFrame:
@@ -17,12 +18,11 @@ def read_delimited(spark: SparkSession, path, schema: str | None = None, sep: st
 
 
 def _headers(spark: SparkSession, pattern: str) -> DataFrame:
-    """Distinct first lines with the files that start with them."""
+    """First line of every file as (file, header)."""
     lines = spark.read.text(pattern).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"))
     numbered = lines.filter(F.col("_at") == 0).withColumn("_line", F.monotonically_increasing_id())
-    first = numbered.groupBy("file").agg(F.min_by("value", "_line").alias("header"))
-    return first.groupBy("header").agg(F.collect_list("file").alias("files"))
+    return numbered.groupBy("file").agg(F.min_by("value", "_line").alias("header"))
 
 
 def read_subject_tables(spark: SparkSession, pattern: str, cols: list[str], sep: str = "\t",
@@ -30,25 +30,27 @@ def read_subject_tables(spark: SparkSession, pattern: str, cols: list[str], sep:
                         expected: list[str] | None = None, missing: str = "skip") -> DataFrame:
     """Union of per-subject files, projected by column name.
 
-    Files whose headers differ are read apart, because one scan over many files
-    matches columns by position. A wanted column that a file lacks becomes null.
-    ``subject_in_path`` is a pattern whose first group is the subject id; with
-    ``missing="stop"`` an ``expected`` subject without a file is an error.
+    One scan over many files matches columns by position, so files are read
+    apart per distinct header; with a single header they are read by the pattern
+    and no file name reaches the driver. A wanted column that a file lacks
+    becomes null. ``subject_in_path`` is a pattern whose first group is the
+    subject id; with ``missing="stop"`` an ``expected`` subject without a file is
+    an error.
     """
-    groups = _headers(spark, pattern).collect()        # one row per distinct header
+    heads = stage(_headers(spark, pattern), "headers")
     if subject_in_path and expected and missing == "stop":
-        ids = spark.createDataFrame([(f,) for g in groups for f in g["files"]], "file string").select(
-            F.regexp_extract("file", subject_in_path, 1).alias("id")).distinct()
+        ids = heads.select(F.regexp_extract("file", subject_in_path, 1).alias("id")).distinct()
         found = {r["id"] for r in ids.filter(F.col("id").isin(list(expected))).collect()}
         absent = sorted(set(expected) - found)
         if absent:
             raise FileNotFoundError(f"no table for {absent}")
+    distinct = [r["header"] for r in heads.select("header").distinct().collect()]
     reader = spark.read.option("header", True).option("sep", sep).option("ignoreMissingFiles", True)
     tables = []
-    for group in groups:
-        names = [n.strip('"') for n in group["header"].split(sep)]
-        schema = ", ".join(f"`{n}` string" for n in names)
-        table = reader.schema(schema).csv(group["files"])
+    for header in distinct:
+        names = [n.strip('"') for n in header.split(sep)]
+        files = pattern if len(distinct) == 1 else [r["file"] for r in heads.filter(F.col("header") == header).collect()]
+        table = reader.schema(", ".join(f"`{n}` string" for n in names)).csv(files)
         wanted = [col(c) if c in names else F.lit(None).cast("string").alias(c) for c in cols]
         if subject_in_path:
             wanted.append(subject_from_path(subject_in_path).alias(subject))

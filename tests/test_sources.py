@@ -70,3 +70,27 @@ def test_stage_keeps_rows_and_schema(spark):
     assert kept.schema.simpleString() == df.schema.simpleString() and sorted(kept.collect()) == sorted(df.collect())
     assert stage(df.limit(0)).count() == 0
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_one_header_is_read_by_pattern(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"s{i}").mkdir()
+        (tmp_path / f"s{i}" / "t.csv").write_text(f"a;b\n{i};x\n")
+    df = readers.read_subject_tables(spark, f"{tmp_path}/s*/t.csv", ["b", "a", "c"], ";", r"/s(\d)/")
+    assert sorted(map(tuple, df.collect())) == [("x", str(i), None, str(i)) for i in range(3)]
+
+
+def test_row_operators_on_a_stream(spark, tmp_path):
+    """Condition codes and parsing need no state, so they run on a stream unchanged."""
+    from choicelab.functions.columns import to_number
+    from choicelab.operators import shaping
+
+    spark.createDataFrame([("3", 2), ("x", 1)], "moneylevel string, painlevel int").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("moneylevel string, painlevel int").parquet(f"{tmp_path}/in")
+    coded = shaping.add_conditions(stream.withColumn("moneylevel", to_number(F.col("moneylevel"))))
+    run = coded.writeStream.format("memory").queryName("coded_trials").option("checkpointLocation", f"{tmp_path}/c").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    assert sorted((r["painlevel"], r["acceptance_pair"]) for r in spark.table("coded_trials").collect()) == [(1, None), (2, "M")]
