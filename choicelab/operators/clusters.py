@@ -1,7 +1,7 @@
 """Cluster-based permutation test over channel x time maps.
 
 Signs of the subjects are a hash of (seed, permutation, subject), so every
-executor derives the same permutation. Points above the threshold are first
+executor, and any other engine, derives the same permutation. Points above the threshold are first
 merged to runs of consecutive samples of a channel; runs that overlap in time on
 adjacent channels are then joined to clusters by spreading the smallest label.
 """
@@ -17,18 +17,25 @@ from choicelab.staging import stage
 
 
 def sign_of(seed: int, perm: Column, subject: Column) -> Column:
-    """+1 or -1; permutation 0 is the observed data."""
-    coin = F.pmod(F.xxhash64(F.lit(seed), perm, subject.cast("string")), F.lit(2))
-    return F.when(perm == 0, 1.0).otherwise(coin * 2.0 - 1.0)
+    """+1 or -1 by the first digit of an MD5; permutation 0 is the observed data."""
+    digit = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), perm.cast("string"), subject.cast("string"))), 1, 1)
+    return F.when(perm == 0, 1.0).when(digit < "8", 1.0).otherwise(-1.0)
 
 
 def permuted_t(betas: DataFrame, n_perm: int, seed: int, subject: str = "participant", channel: str = "channel",
                time: str = "t_idx", value: str = "beta") -> DataFrame:
-    """t-map of every sign-flip permutation as (perm, channel, time, t)."""
-    flipped = betas.filter(col(value).isNotNull()).select(
-        col(subject), col(channel), col(time), col(value).cast("double").alias("_b"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    signed = flipped.withColumn("_s", sign_of(seed, F.col("perm"), col(subject)) * F.col("_b"))
+    """t-map of every sign-flip permutation as (perm, channel, time, t).
+
+    The signs of a subject are drawn once, as an array over permutations, and
+    joined to the subject's points.
+    """
+    rows = betas.filter(col(value).isNotNull()).select(col(subject), col(channel), col(time),
+                                                       col(value).cast("double").alias("_b"))
+    flips = F.transform(F.sequence(F.lit(0), F.lit(n_perm - 1)), lambda perm: sign_of(seed, perm, col(subject)))
+    signs = rows.select(col(subject)).distinct().select(col(subject), flips.alias("_signs"))
+    signed = attach(rows, signs, [subject], "inner").select(
+        col(channel), col(time), "_b", F.posexplode("_signs").alias("perm", "_sign"))
+    signed = signed.withColumn("_s", F.col("_sign") * F.col("_b"))
     maps = signed.groupBy("perm", col(channel), col(time)).agg(
         F.avg("_s").alias("_mean"), F.stddev_samp("_s").alias("_sd"), F.count(F.lit(1)).alias("_n"))
     t = F.when(F.col("_sd") > 0, F.col("_mean") / (F.col("_sd") / F.sqrt("_n")))
@@ -94,7 +101,8 @@ def cluster_permutation(betas: DataFrame, edges: DataFrame, n_perm: int, seed: i
     points = stage(threshold_runs(strong, channel, time), "points")
     labels = join_runs(points, edges, channel, time)
     member = points.join(labels, ["perm", "sign", channel, "run"])
-    masses = stage(member.groupBy("perm", "sign", "cluster").agg(F.sum("t").alias("mass")), "masses")
+    # rounded, so that equal permutations compare as equal whatever the order of summation
+    masses = stage(member.groupBy("perm", "sign", "cluster").agg(F.round(F.sum("t"), 9).alias("mass")), "masses")
     largest = masses.groupBy("perm").agg(F.max(F.abs("mass")).alias("_largest"))
     observed = masses.filter(F.col("perm") == 0)
     # one number per permutation against the observed clusters, by sorted position

@@ -82,7 +82,10 @@ def _bin_of(value: Column, edges: list[Column]) -> Column:
 
 def quantile_bins(df: DataFrame, value: str, n: int, by: list[str] | None = None, out: str = "bin",
                   hot_rows: int | None = None) -> DataFrame:
-    """Bins between interpolated quantiles; edges are right-closed, the lowest is included."""
+    """Bins between interpolated quantiles; edges are right-closed, the lowest is included.
+
+    Where ties make neighbouring edges equal, the bins between them stay empty.
+    """
     by = by or []
     inner = [i / n for i in range(1, n)]
     edges = exact_quantiles(df, by, value, inner, "_edges", hot_rows)
