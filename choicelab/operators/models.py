@@ -127,11 +127,13 @@ def ez_diffusion(trials: DataFrame, by: list[str], response: str = "accepted", r
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
-    """Least squares from sums of products; null where the design is rank deficient."""
+    """Least squares from sums of products (upper triangle); null where the design is rank deficient."""
     out = []
-    for a, b in zip(xx, xy):
+    for upper, b in zip(xx, xy):
         b = np.asarray(b, dtype=float)
-        a = np.asarray(a, dtype=float).reshape(len(b), len(b))
+        a = np.zeros((len(b), len(b)))
+        a[np.triu_indices(len(b))] = upper
+        a += np.triu(a, 1).T
         size = np.sqrt(np.maximum(np.diag(a), 1e-300))
         scaled = a / np.outer(size, size)
         full = np.isfinite(scaled).all() and np.linalg.matrix_rank(scaled, tol=1e-10) == len(b)
@@ -153,7 +155,7 @@ def regression_by(df: DataFrame, by: list[str], y: str, terms: list[Term], inter
     rows = rows.dropna()
     x = [F.col(f"_x{i}") for i in range(len(names))]
     sums = rows.groupBy(*map(col, by)).agg(
-        F.array(*[F.sum(a * b) for a in x for b in x]).alias("_xx"), F.array(*[F.sum(a * F.col("_y")) for a in x]).alias("_xy"),
+        F.array(*[F.sum(a * b) for i, a in enumerate(x) for b in x[i:]]).alias("_xx"), F.array(*[F.sum(a * F.col("_y")) for a in x]).alias("_xy"),
         F.count(F.lit(1)).alias("n"))
     solved = sums.select(*map(col, by), "n", _solve("_xx", "_xy").alias("_beta"))
     labels = F.array(*[F.lit(n) for n in names])
