@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from choicelab.llm import exact_dedup
+from choicelab.llm import exact_dedup, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,9 @@ _LOWERED = f"translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy that stays."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+
+
+@_query("op5_setsketch_near_dedup")
+def op5_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate component: three-word shingles, similarity 0.85."""
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), width=3, percent=85)

@@ -133,7 +133,7 @@ def shingles(part: Slice, width: int) -> Iterator[np.ndarray]:
             own = np.sort(joined[a:b - width + 1])
             yield own[np.concatenate(([True], own[1:] != own[:-1]))]
         elif b > a:
-            few = np.uint64(b - a) * np.uint64(0xA24BAED4963EE407) + np.sum(hashed[a:b] * salts[:b - a], dtype=np.uint64)
-            yield mix(np.array([few], np.uint64))
+            few = np.cumsum(hashed[a:b] * salts[:b - a])[-1:]
+            yield mix(few + np.full(1, (b - a) * 0x24BAED4963EE407, np.uint64))
         else:
             yield np.zeros(0, np.uint64)
