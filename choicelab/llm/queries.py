@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from choicelab.llm import exact_dedup, near_dedup
+from choicelab.llm import exact_dedup, mixing, near_dedup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,15 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate component: three-word shingles, similarity 0.85."""
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@_query("op6_source_mixing", mixing.SQL)
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+@_query("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 2048 ids."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
