@@ -34,7 +34,8 @@ def _split(rows: DataFrame, by: list[str], width: int) -> tuple[DataFrame, DataF
     # the join, whose hot partitions adaptive execution can split.
     groups = stage(rows.groupBy(*by, "_strip").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
                    .select(*by, "_strip", F.monotonically_increasing_id().alias("_next")), "radix-groups")
-    joined = rows.join(groups, [*by, "_strip"], "left")
+    # One plan at every size: texts are shuffled whether or not the groups would fit a broadcast.
+    joined = rows.join(groups.hint("merge"), [*by, "_strip"], "left")
     return joined.withColumn("_group", F.col("_next")).withColumn(
         "_rest", F.when(F.col("_next").isNotNull(), F.expr(f"substring(_rest, {width + 1})"))).drop("_next", "_strip"), groups
 
