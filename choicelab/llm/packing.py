@@ -11,6 +11,7 @@ pieces find their place by their rank among the pieces of their length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import deque
@@ -23,11 +24,17 @@ from pyspark.sql import functions as F
 
 from choicelab.llm.batches import bound_batches
 from choicelab.llm.prefix import random_key, running_sums
+from choicelab.llm.text import slices
 from choicelab.staging import stage
 
 CAPACITY = 2048
 END = 0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+LINE_WORDS = 200
+WORDS_BYTES = 1 << 20
+#: Before a full stop or comma that ends a word, anything but white space, ASCII letters and digits, and the bytes of
+#: Latin letters beyond ASCII. The two marks may then be one run, and the word is left whole.
+MARKS_TOGETHER = re.compile(rb"(?:[!-/:-@\[-`{-\x7f]|[^\x00-\x7f\xc3][\x80-\xbf]|\xc3[\x97\xb7])[.,] ")
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -40,27 +47,66 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids of whole texts for a tokenizer whose tokens never span white space.
 
-    Distinct words are encoded once and kept while they fit, which changes nothing but the time.
+    It lower-cases, and a run of letters or of marks is tokenised by itself. So distinct
+    runs of letters are encoded once, many at a time, and kept while they fit; any other
+    word goes to the tokenizer as it is. This changes nothing but the time.
     """
 
+    MARKS = ".,;:!?#$%&*|"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._ids: dict[str, bytes] = {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self._ids]
-        if new:
-            if len(self._ids) + len(new) > CACHED_WORDS:
+        [self._stop] = self._tokenizer.encode(".", add_special_tokens=False).ids
+
+    def _whole(self, words: list[str]) -> None:
+        found = self._tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        self._ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found))
+
+    def _letters(self, words: list[str]) -> None:
+        """Words of letters only, as texts of a few words with a full stop after each."""
+        lines = [" . ".join(words[k:k + LINE_WORDS]) + " ." for k in range(0, len(words), LINE_WORDS)]
+        found = self._tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+        stops = 4 * np.flatnonzero(ids == self._stop)
+        starts = np.concatenate(([0], stops[:-1] + 4))
+        raw = ids.tobytes()
+        self._ids.update((w, raw[a:b]) for w, a, b in zip(words, starts.tolist(), stops.tolist()))
+
+    def _learn(self, new: list[str]) -> None:
+        split = [(w, base, w[len(base):]) for w in new for base in [w.rstrip(self.MARKS)]]
+        letters = {base for _, base, _ in split if base.isalpha()}
+        tails = {tail for _, base, tail in split if tail and (not base or base.isalpha())}
+        odd = [w for w, base, _ in split if base and not base.isalpha()]
+        if missing := list(letters.difference(self._ids)):
+            self._letters(missing)
+        if missing := [*odd, *tails.difference(self._ids)]:
+            self._whole(missing)
+        self._ids.update((w, self._ids[base] + self._ids[tail]) for w, base, tail in split if tail and base.isalpha())
+
+    def _words(self, text: bytes) -> list[str]:
+        text = text.lower().replace(b"\n", b" ")
+        if not MARKS_TOGETHER.search(text):  # a last mark is then a run by itself
+            text = text.replace(b". ", b" . ").replace(b", ", b" , ")
+        return text.decode().split(" ")
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of UTF-8 texts."""
+        special = {k for k, text in enumerate(texts) if b"<|" in text}  # spelled in lower case only, so not cut into words
+        split = [[] if k in special else self._words(text) for k, text in enumerate(texts)]
+        distinct = set().union(*split)
+        if new := distinct.difference(self._ids):
+            if len(self._ids) + 2 * len(new) > CACHED_WORDS:
                 self._ids = {"": b""}
-                new = list(set(words) - {""})
-            found = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self._ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-        return b"".join(map(self._ids.__getitem__, words))
+                new = distinct - {""}
+            self._learn(list(new))
+        joined = [b"".join(map(self._ids.__getitem__, words)) for words in split]
+        for k in special:
+            joined[k] = np.array(self._tokenizer.encode(texts[k].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return joined
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,14 +120,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
         encoder = _encoders[tokenizer]
         for batch in batches:
             of, nth, sizes, sums = [], [], [], []
-            for k, text in enumerate(batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
-                for at in range(0, len(ids), step):
-                    part = ids[at:at + step]
-                    of.append(k)
-                    nth.append(at // step)
-                    sizes.append(len(part) // 4)
-                    sums.append(zlib.crc32(part))
+            for part in slices(batch.column(1), WORDS_BYTES):
+                for k, ids in enumerate(encoder.encode(part.texts()), part.first):
+                    ids += end
+                    for at in range(0, len(ids), step):
+                        of.append(k)
+                        nth.append(at // step)
+                        sizes.append(min(step, len(ids) - at) // 4)
+                        sums.append(zlib.crc32(ids[at:at + step]))
             nth = np.array(nth, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(of, pa.int64())), pa.array(nth), pa.array(nth.astype(np.int64) * capacity),

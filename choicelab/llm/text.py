@@ -52,6 +52,10 @@ class Slice:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def texts(self) -> list[bytes]:
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist())]
+
     def lowered(self) -> Slice:
         """With A-Z in lower case and nothing else changed."""
         return Slice(self.first, self.offsets, _LOWER[self.data])
