@@ -16,6 +16,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -97,11 +98,11 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of UTF-8 texts."""
         special = {k for k, text in enumerate(texts) if b"<|" in text}  # spelled in lower case only, so not cut into words
         split = [[] if k in special else self._words(text) for k, text in enumerate(texts)]
-        distinct = set().union(*split)
-        if new := distinct.difference(self._ids):
-            if len(self._ids) + 2 * len(new) > CACHED_WORDS:
-                self._ids = {"": b""}
-                new = distinct - {""}
+        new = set(filterfalse(self._ids.__contains__, chain.from_iterable(split)))
+        if len(self._ids) + 2 * len(new) > CACHED_WORDS:
+            self._ids = {"": b""}
+            new = set().union(*split) - {""}
+        if new:
             self._learn(list(new))
         joined = [b"".join(map(self._ids.__getitem__, words)) for words in split]
         for k in special:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from choicelab.llm import exact_dedup, mixing, near_dedup, packing
+from choicelab.llm import exact_dedup, mixing, near_dedup, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,17 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 2048 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@_query("op1_pu_quality")
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+@_query("op3_noisy_or_toxicity")
+def op3_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity and its offending sentences."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
