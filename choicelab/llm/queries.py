@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from choicelab.llm import exact_dedup, mixing, near_dedup, packing, quality, toxicity
+from choicelab.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,9 @@ def op3_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its toxicity and its offending sentences."""
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+@_query("op2_contextual_pii")
+def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data."""
+    return pii.report(_table(spark, sf_dir, "documents"))
