@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from choicelab.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, toxicity
+from choicelab.llm import exact_dedup, html_extract, mixing, near_dedup, packing, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,9 @@ def op3_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data."""
     return pii.report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_ratio_html_extract")
+def op10_ratio_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its main text."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
