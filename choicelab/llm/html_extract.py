@@ -23,7 +23,7 @@ from choicelab.llm.batches import bound_batches
 
 SIGMA = 1.0
 #: Share of the ratios' spread that a smoothed ratio must reach.
-LEVEL = 0.5
+LEVEL = 1.0
 
 # Element names of HTML and words of class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from choicelab.llm import exact_dedup, html_extract, mixing, near_dedup, packing, pii, quality, toxicity
+from choicelab.llm import embedding_dedup, exact_dedup, html_extract, mixing, near_dedup, packing, pii, quality, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,24 @@ def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ratio_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with its main text."""
     return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+@_query("op7_pigeonhole_vectors", """
+    WITH RECURSIVE good AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(embedding) > 0
+                              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+    unit AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM good),
+    links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) >= 0.9),
+    reach AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT links.v, reach.root FROM reach JOIN links ON links.u = reach.node),
+    least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+    counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings JOIN least ON node = vec_id LEFT JOIN counts ON u = vec_id""")
+def op7_pigeonhole_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links at cosine 0.9 and its component."""
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op9_chunked_passages")
+def op9_chunked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of more than 50 words that documents share."""
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
