@@ -1,7 +1,8 @@
 """Repeated passages by content-defined chunks.
 
 A gear hash rolls over the bytes, and a chunk ends where the hash is smallest
-among REACH bytes on either side. Ends depend on the bytes around them only, so
+among REACH bytes on either side; in text that repeats itself, once in a period
+at most. Ends depend on the bytes around them only, so
 inserted text moves no other end and a passage is cut alike wherever it stands.
 Chunks are compared by digest. Runs of chunks that occur in other documents are
 then grown byte by byte against another document with the same chunk, and
@@ -26,6 +27,7 @@ from choicelab.staging import stage
 WINDOW = 16
 REACH = 24
 PAD = 32
+SPACING = 16
 #: Bytes around a run that are compared with another occurrence.
 CONTEXT = 512
 #: Words that a run of whole chunks must have to be grown; far fewer than any reported passage holds.
@@ -48,6 +50,17 @@ def _least(values: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _spaced(ends: np.ndarray) -> np.ndarray:
+    """Without ends closer than SPACING to the one kept before; only text that repeats itself has such."""
+    if not len(ends) or np.diff(ends).min(initial=SPACING) >= SPACING:
+        return ends
+    kept = [ends[0]]
+    for end in ends.tolist():
+        if end - kept[-1] >= SPACING:
+            kept.append(end)
+    return np.array(kept)
+
+
 def chunks(part: Slice) -> tuple[np.ndarray, ...]:
     """text, number, start, end (bytes), words that begin inside, digest of each chunk of a slice."""
     texts = part.texts()
@@ -63,8 +76,9 @@ def chunks(part: Slice) -> tuple[np.ndarray, ...]:
     rolled[(outside[:, None] + np.arange(PAD)).ravel()] = np.iinfo(np.uint16).max
     ahead = _least(rolled, REACH)
     low = np.zeros(len(raw), bool)
-    low[REACH:-1] = (rolled[REACH:-1] < ahead[:-REACH - 1]) & (rolled[REACH:-1] <= ahead[REACH + 1:])
-    ends = np.flatnonzero(low) + 1
+    low[REACH:-1] = (rolled[REACH:-1] <= ahead[:-REACH - 1]) & (rolled[REACH:-1] <= ahead[REACH + 1:])
+    low[(outside[:, None] + np.arange(PAD)).ravel()] = False
+    ends = _spaced(np.flatnonzero(low) + 1)
     text = np.searchsorted(begin, ends, "right") - 1
     inner = ends < (begin + sizes)[text]
     filled = np.flatnonzero(sizes)
@@ -120,37 +134,39 @@ def _runs(marked: DataFrame) -> DataFrame:
             .mapInArrow(run, "doc_id long, text_key long, start int, end int, words int, head long, tail long"))
 
 
-def _with_context(runs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Runs with the bytes around them and the code points before and inside them."""
+def _contexts(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, place, left, right, points: the bytes around places of texts and the code points before; staged."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            starts, ends = batch.column("start").to_pylist(), batch.column("end").to_pylist()
-            around = [(t[max(0, s - CONTEXT):s], t[e:e + CONTEXT], len(t[:s].decode(errors="ignore")), len(t[s:e].decode(errors="ignore")), e == len(t))
-                      for t, s, e in zip(texts, starts, ends)]
-            left, right, before, inside, last = zip(*around) if around else ((),) * 5
-            keep = [batch.column(k) for k in ("doc_id", "start", "words", "head", "tail")]
+            texts, places_ = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("place").to_pylist()
+            around = [(t[max(0, p - CONTEXT):p], t[max(0, p - 1):p + CONTEXT], len(t[:p].decode(errors="ignore"))) for t, p in zip(texts, places_)]
+            left, right, points = zip(*around) if around else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(before, pa.int64()), pa.array(inside, pa.int64())],
-                names=["doc_id", "start", "words", "head", "tail", "left", "right", "before", "inside"])
+                [*(batch.column(k) for k in ("doc_id", "text_key", "place")), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(points, pa.int64())],
+                names=["doc_id", "text_key", "place", "left", "right", "points"])
 
-    joined = runs.join(docs, ["doc_id", "text_key"])
-    return stage(joined.mapInArrow(run, "doc_id long, start int, words int, head long, tail long, left binary, right binary, before long, inside long"), "runs")
+    schema = "doc_id long, text_key long, place int, left binary, right binary, points long"
+    return stage(places.join(docs, ["doc_id", "text_key"]).mapInArrow(run, schema), "contexts")
 
 
 def _shared(own: bytes, other: bytes | None) -> bytes:
     return own[:len(commonprefix([own, other]))] if other is not None else b""
 
 
-def grow(words: int, left: bytes, right: bytes, left_other: bytes | None, right_other: bytes | None) -> tuple[bytes, bytes, int]:
-    """The bytes by which a run grows to the left and right, without parts of words, and its words then."""
-    gain = _shared(left[::-1], left_other[::-1] if left_other is not None else None)[::-1]
+def grow(words: int, left: bytes, right: bytes, others: list[tuple[bytes | None, bytes | None]]) -> tuple[bytes, bytes, int]:
+    """The bytes by which a run grows to the left and right, without parts of words, and its words then.
+
+    ``others`` has what is left and right of other occurrences of the run's ends; what is
+    right begins with the last byte of the run.
+    """
+    gain = max((_shared(left[::-1], x[::-1] if x is not None else None)[::-1] for x, _ in others), key=len, default=b"")
     if gain and len(gain) < len(left) and not _BLANK[gain[0]] and not _BLANK[left[-len(gain) - 1]]:
         gain = gain[next((k for k, b in enumerate(gain) if _BLANK[b]), len(gain)):]
-    more = _shared(right, right_other)
+    more = max((_shared(right, x) for _, x in others), key=len, default=b"")
     if more and len(more) < len(right) and not _BLANK[more[-1]] and not _BLANK[right[len(more)]]:
-        more = more[:max((k + 1 for k, b in enumerate(more) if _BLANK[b]), default=0)]
-    return gain, more, words + _openings(left[:len(left) - len(gain)][-1:], gain) + _openings(gain[-1:] or left[-1:] or b"x", more)
+        more = more[:max((k + 1 for k, b in enumerate(more) if _BLANK[b]), default=1)]
+    before = left[:len(left) - len(gain)][-1:]
+    return gain, more[1:], words + _openings(before, gain) + _openings(more[:1], more[1:])
 
 
 def _openings(before: bytes, part: bytes) -> int:
@@ -170,33 +186,35 @@ def repeated_passages(docs: DataFrame, most_words: int = 50) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").filter("doc_id is not null and text is not null")
     table = chunk_table(texts)
-    repeated = stage(table.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-                     .filter("first_doc < last_doc").select("digest"), "repeated")
-    runs = stage(_runs(table.join(repeated, "digest")), "plain-runs")
-    around = _with_context(runs, texts)
-
-    def ends(key: str, side: str) -> DataFrame:
-        """The first and last run with a digest at that end; every run is compared with one that is not itself."""
-        what = F.struct("doc_id", "start", F.col(side).alias("bytes"))
-        return stage(around.groupBy(key).agg(F.min(what).alias(f"{side}_a"), F.max(what).alias(f"{side}_b")), f"{side}-ends")
-
-    both = around.join(ends("head", "left"), "head").join(ends("tail", "right"), "tail")
-
-    def other(side: str):
-        own = (F.col(f"{side}_a.doc_id") == F.col("doc_id")) & (F.col(f"{side}_a.start") == F.col("start"))
-        alone = (F.col(f"{side}_b.doc_id") == F.col("doc_id")) & (F.col(f"{side}_b.start") == F.col("start"))
-        return F.when(~own, F.col(f"{side}_a.bytes")).when(~alone, F.col(f"{side}_b.bytes")).alias(f"{side}_other")
+    place = F.struct("doc_id", "text_key", "start", "end")
+    repeated = stage(table.groupBy("digest").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a.doc_id < b.doc_id"), "repeated")
+    runs = stage(_runs(table.join(repeated.select("digest"), "digest")), "plain-runs")
+    ends = stage(runs.join(repeated.select(F.col("digest").alias("head"), F.col("a").alias("head_a"), F.col("b").alias("head_b")), "head")
+                 .join(repeated.select(F.col("digest").alias("tail"), F.col("a").alias("tail_a"), F.col("b").alias("tail_b")), "tail"), "run-ends")
+    around = {  # per run: itself, and the first and last occurrence of its first and last chunk
+        "own_left": ("doc_id", "text_key", "start"), "own_right": ("doc_id", "text_key", "end"),
+        **{f"{o}_left": (f"head_{o}.doc_id", f"head_{o}.text_key", f"head_{o}.start") for o in "ab"},
+        **{f"{o}_right": (f"tail_{o}.doc_id", f"tail_{o}.text_key", f"tail_{o}.end") for o in "ab"}}
+    places = ends.select(F.explode(F.array(*(F.struct(*(F.col(c).alias(n) for c, n in zip(where, ("doc_id", "text_key", "place")))) for where in around.values()))).alias("p"))
+    contexts = _contexts(places.select("p.*").distinct(), texts)
+    both = ends.select("words", F.col("head_a.doc_id").alias("first_doc_id"), *(F.struct(*where).alias(f"at_{name}") for name, where in around.items()))
+    for name in around:
+        side = name.split("_")[1]
+        own = [F.col("points").alias(f"points_{side}")] if name.startswith("own") else []
+        found = contexts.select(F.struct("doc_id", "text_key", "place").alias("at"), F.col(side).alias(name), *own)
+        both = both.join(found, both[f"at_{name}"] == found["at"]).drop("at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                gain, more, n = grow(r["words"], r["left"], r["right"], r["left_other"], r["right_other"])
+                others = [(r[f"{o}_left"] if r[f"{o}_left_other"] else None, r[f"{o}_right"] if r[f"{o}_right_other"] else None) for o in "ab"]
+                gain, more, n = grow(r["words"], r["own_left"], r["own_right"], others)
                 if n > most_words:
-                    start = r["before"] - len(gain.decode(errors="ignore"))
-                    out.append((r["doc_id"], start, r["before"] + r["inside"] + len(more.decode(errors="ignore")), n, r["first_doc_id"]))
+                    out.append((r["doc_id"], r["points_left"] - len(gain.decode(errors="ignore")), r["points_right"] + len(more.decode(errors="ignore")), n, r["first_doc_id"]))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [()] * 5)], names=["doc_id", "start", "end", "n_words", "first_doc_id"])
 
-    compared = both.select("doc_id", "words", "left", "right", "before", "inside", other("left"), other("right"), F.col("left_a.doc_id").alias("first_doc_id"))
+    other = [(F.col(f"at_{o}_{side}.doc_id") != F.col("at_own_left.doc_id")).alias(f"{o}_{side}_other") for o in "ab" for side in ("left", "right")]
+    compared = both.select(F.col("at_own_left.doc_id").alias("doc_id"), "words", "first_doc_id", "points_left", "points_right", *around, *other)
     found = compared.mapInArrow(run, "doc_id long, start long, end long, n_words long, first_doc_id long")
     return found.withColumn("kept", F.col("doc_id") == F.col("first_doc_id"))
