@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from choicelab.llm.batches import bound_batches
 from choicelab.llm.labelled import bounded_sample, held_out, with_labels
 from choicelab.llm.text import RangeHasher, Slice, slices
+from choicelab.staging import stage
 
 FOLDS, FOLD = 5, 0
 THRESHOLD = 0.5
@@ -87,18 +88,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class Model:
     """Weights of hashed features, and the level of a sentence without any."""
 
-    def __init__(self, docs: list[tuple[int, np.ndarray, np.ndarray, int]]):
-        """``docs``: label, codes, sentence of each code, number of sentences."""
+    def __init__(self, codes: np.ndarray, docs: list[tuple[int, np.ndarray, np.ndarray, int]]):
+        """``codes``: sorted features; ``docs``: label, place of each feature in ``codes``, its sentence, number of sentences."""
+        self.codes = codes
         label = np.array([d[0] for d in docs], float)
-        sizes = [len(d[1]) for d in docs]
-        doc = np.repeat(np.arange(len(docs)), sizes)
-        codes = np.concatenate([d[1] for d in docs])
+        doc = np.repeat(np.arange(len(docs)), [len(d[1]) for d in docs])
+        place = np.concatenate([d[1] for d in docs]).astype(np.int64)
         base = np.concatenate([[0], np.cumsum([d[3] for d in docs])])
         sentence = np.concatenate([d[2] for d in docs]) + base[doc]
-        self.codes = self._select(codes, doc, label)
-        place = np.searchsorted(self.codes, codes)
-        hit = self.codes[np.minimum(place, len(self.codes) - 1)] == codes if len(self.codes) else np.zeros(len(codes), bool)
-        place, sentence = place[hit], sentence[hit]
         marked, row = np.unique(sentence, return_inverse=True)
         of = np.searchsorted(base, marked, "right") - 1
         plain = np.diff(base) - np.bincount(of, minlength=len(docs))
@@ -109,19 +106,6 @@ class Model:
         self.seen = np.zeros(1 << 16, bool)
         self.seen[self.codes & np.uint32(0xFFFF)] = True
 
-    @staticmethod
-    def _select(codes: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """The codes whose documents differ most from chance in their labels."""
-        pairs = np.unique((codes.astype(np.uint64) << np.uint64(32)) | doc.astype(np.uint64))
-        found, of = np.unique(pairs >> np.uint64(32), return_inverse=True)
-        toxic = np.bincount(of, weights=label[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)], minlength=len(found))
-        total = np.bincount(of, minlength=len(found))
-        share = label.mean()
-        apart = (toxic - total * share) / np.sqrt(total * share * (1 - share) + 1e-9)
-        apart[(toxic < SUPPORT) | (apart < APART)] = 0
-        best = np.argsort(-apart, kind="stable")[:WEIGHTS]
-        return np.sort(found[best[apart[best] > 0]].astype(np.uint32))
-
     def _fit(self, place, row, of, plain, label) -> tuple[np.ndarray, float]:
         n = len(self.codes)
         w = np.zeros(n + 1)
@@ -143,7 +127,7 @@ class Model:
         """Log odds of each sentence."""
         z = np.full(len(found.text), self.level)
         near = np.flatnonzero(self.seen[found.codes & np.uint32(0xFFFF)])
-        if len(near):
+        if len(near) and len(self.codes):
             place = np.minimum(np.searchsorted(self.codes, found.codes[near]), len(self.codes) - 1)
             hit = self.codes[place] == found.codes[near]
             z += np.bincount(found.sentence[near[hit]], weights=self.weights[place[hit]], minlength=len(z))
@@ -174,11 +158,41 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(codes, pa.binary()), pa.array(where, pa.binary()), pa.array(counts, pa.int64())],
                                              names=["doc_id", "part", "codes", "sentences", "n"])
 
-    got = texts.select("doc_id", "part", "text").mapInArrow(run, "doc_id long, part string, codes binary, sentences binary, n long").collect()
-    got = sorted((r["doc_id"], r["part"], bytes(r["codes"]), bytes(r["sentences"]), r["n"]) for r in got)
-    if len({part for _, part, *_ in got}) < 2:
+    bagged = stage(texts.select("doc_id", "part", "text").mapInArrow(run, "doc_id long, part string, codes binary, sentences binary, n long"), "bags")
+    sizes = {r["part"]: r["count"] for r in bagged.groupBy("part").count().collect()}
+    if len(sizes) < 2:
         return None
-    return Model([(int(p), np.frombuffer(c, np.uint32), np.frombuffer(s, np.int32), n) for _, p, c, s, n in got])
+    codes = _select(bagged, sizes["1"], sizes["0"])
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, where = [], []
+            for own, sentences in zip(batch.column("codes").to_pylist(), batch.column("sentences").to_pylist()):
+                own = np.frombuffer(own, np.uint32)
+                place = np.searchsorted(codes, own)
+                hit = codes[np.minimum(place, len(codes) - 1)] == own if len(codes) else np.zeros(len(own), bool)
+                places.append(place[hit].astype(np.int32).tobytes())
+                where.append(np.frombuffer(sentences, np.int32)[hit].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(places, pa.binary()), pa.array(where, pa.binary()), batch.column("n")],
+                                             names=["doc_id", "part", "places", "sentences", "n"])
+
+    got = sorted(tuple(r) for r in bagged.mapInArrow(known, "doc_id long, part string, places binary, sentences binary, n long").collect())
+    return Model(codes, [(int(p), np.frombuffer(c, np.int32), np.frombuffer(s, np.int32), n) for _, p, c, s, n in got])
+
+
+def _select(bagged: DataFrame, toxic: int, clean: int) -> np.ndarray:
+    """The at most WEIGHTS features whose toxic documents most exceed chance, by code."""
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, own in zip(batch.column("part").to_pylist(), batch.column("codes").to_pylist()):
+                own = np.unique(np.frombuffer(own, np.uint32)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), int(part), np.int32))], names=["code", "toxic"])
+
+    share = toxic / (toxic + clean)
+    counts = bagged.mapInArrow(distinct, "code long, toxic int").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    apart = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
+    best = counts.filter(F.col("toxic") >= SUPPORT).withColumn("apart", apart).filter(F.col("apart") >= APART).orderBy(F.desc("apart"), "code").limit(WEIGHTS)
+    return np.sort(np.array([r["code"] for r in best.select("code").collect()], np.uint32))
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
