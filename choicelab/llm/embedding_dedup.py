@@ -25,7 +25,8 @@ from choicelab.llm.near_dedup import forest
 from choicelab.staging import stage
 
 BLOCKS = 4
-CHUNK = 2048
+CHUNK = 8192
+STRIP = 256
 SEED = 20_240_607
 #: Room for single-precision distances in the candidate search; the verification is exact.
 SLACK = 1e-3
@@ -43,7 +44,7 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     norm = F.aggregate(values, F.lit(0.0), lambda s, x: s + x * x)
     good = F.coalesce((F.size("embedding") > 0) & finite & (norm > 0), F.lit(False))
-    rows = stage(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, F.col("embedding")).alias("embedding")), "vectors")
+    rows = stage(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, F.col("embedding").cast("array<float>")).alias("embedding")), "vectors")
     classes = stage(rows.filter("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "vector-classes")
     return rows, classes
 
@@ -56,7 +57,7 @@ def _cells(classes: DataFrame, radius: float) -> DataFrame:
             for dims in np.unique(sizes):
                 at = np.flatnonzero(sizes == dims)
                 part = batch.take(pa.array(at))
-                units = _units(part.column("embedding"), int(dims)) @ rotation(int(dims))
+                units = _units(part.column("embedding").flatten().to_numpy(zero_copy_only=False), int(dims)) @ rotation(int(dims))
                 firsts = _splits(int(dims))[:-1]
                 for block, first in enumerate(firsts):
                     cell = np.floor(units[:, first] / radius).astype(np.int32)
@@ -71,25 +72,34 @@ def _splits(dims: int) -> np.ndarray:
     return np.linspace(0, dims, min(BLOCKS, dims) + 1).astype(int)
 
 
-def _units(column: pa.Array, dims: int) -> np.ndarray:
-    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+def _units(values: np.ndarray, dims: int) -> np.ndarray:
+    rows = values.astype(np.float64).reshape(-1, dims)
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _found(x: np.ndarray, y: np.ndarray, block: int, splits: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows within the block's budget and in no earlier block's."""
-    a, b = splits[block], splits[block + 1]
-    share = budget * (b - a) / splits[-1]
-    u, v = x[:, a:b].astype(np.float32), y[:, a:b].astype(np.float32)
-    near = (u * u).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * (u @ v.T)
-    i, j = np.nonzero(near <= share + SLACK)
-    for k in range(block):
-        a, b = splits[k], splits[k + 1]
-        d = ((x[i, a:b] - y[j, a:b]) ** 2).sum(axis=1)
-        later = d > budget * (b - a) / splits[-1]
-        i, j = i[later], j[later]
-    return i, j
+def _found(x: np.ndarray, y: np.ndarray, block: int, splits: np.ndarray, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the block's budget and in no earlier block's, in bounded portions."""
+    def share(k: int) -> float:
+        return budget * (splits[k + 1] - splits[k]) / splits[-1]
+
+    def side(rows: np.ndarray, factor: float, last: bool) -> np.ndarray:
+        own = rows[:, splits[block]:splits[block + 1]]
+        square, one = (own * own).sum(axis=1, keepdims=True), np.ones((len(own), 1))
+        return np.hstack([factor * own, *((one, square) if last else (square, one))]).astype(np.float32)
+
+    right = side(y, -2.0, True).T.copy()
+    left = side(x, 1.0, False)
+    for at in range(0, len(x), STRIP):
+        near = np.flatnonzero(left[at:at + STRIP] @ right <= np.float32(share(block) + SLACK))
+        for k in range(0, len(near), 20_000):
+            i, j = np.divmod(near[k:k + 20_000], len(y))
+            i = i + at
+            for earlier in range(block):
+                a, b = splits[earlier], splits[earlier + 1]
+                later = ((x[i, a:b] - y[j, a:b]) ** 2).sum(axis=1) > share(earlier)
+                i, j = i[later], j[later]
+            yield i, j
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
@@ -122,24 +132,24 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
                     yield out
 
     def _block(table, dims, block, a, b, own, visits, ids, copies):
-        units = _units(table["embedding"].combine_chunks(), dims)
+        units = _units(np.frombuffer(b"".join(table["vector"].to_pylist()), np.float32), dims)
         turned = units @ rotation(dims)
         splits = _splits(dims)
-        left = np.flatnonzero(own == a)
-        right = left if a == b else np.flatnonzero(own == b)
         links_i, links_j = [], []
-        for at in range(0, len(left), 1024):
-            i, j = _found(turned[left[at:at + 1024]], turned[right], block, splits, budget)
-            i, j = left[at + i], right[j]
-            good = ~(visits[i] & visits[j])  # two visitors meet in their own cell
-            if a == b:
-                good &= i < j
-            i, j = i[good], j[good]
-            for k in range(0, len(i), 100_000):
-                x, y = i[k:k + 100_000], j[k:k + 100_000]
-                close = (units[x] * units[y]).sum(axis=1) >= cosine
-                links_i.append(x[close])
-                links_j.append(y[close])
+        for one, two in ((a, b),) if a == b else ((a, b), (b, a)):
+            left, right = np.flatnonzero((own == one) & ~visits), np.flatnonzero(own == two)
+            if one != two:  # own rows of both chunks meet once; visitors meet in their own cell
+                right = right[visits[right] | (one < two)]
+            if not len(left) or not len(right):
+                continue
+            for i, j in _found(turned[left], turned[right], block, splits, budget):
+                i, j = left[i], right[j]
+                if one == two:
+                    once = visits[j] | (i < j)
+                    i, j = i[once], j[once]
+                close = (units[i] * units[j]).sum(axis=1) >= cosine
+                links_i.append(i[close])
+                links_j.append(j[close])
         i, j = np.concatenate([*links_i, np.zeros(0, np.int64)]), np.concatenate([*links_j, np.zeros(0, np.int64)])
         if not len(i):
             return None
@@ -149,7 +159,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(ids[forest(n, i, j)[hit]]), pa.array(count[hit].astype(np.int64))], names=["u", "v", "links"])
 
     dealt = [*keys, "a", "b"]
-    found = stage(paired.join(classes, "id").select(*dealt, "visits", "id", "_own", "copies", "embedding").repartition(*dealt)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors_ = [np.array(v, np.float32).tobytes() for v in batch.column("embedding").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), pa.array(vectors_, pa.binary())], names=["id", "copies", "vector"])
+
+    packed = stage(classes.mapInArrow(pack, "id long, copies long, vector binary"), "packed-vectors")
+    found = stage(paired.join(packed, "id").select(*dealt, "visits", "id", "_own", "copies", "vector").repartition(*dealt)
                   .sortWithinPartitions(*dealt).mapInArrow(link, "u long, v long, links long"), "vector-links")
     comps = components(found)
     counts = stage(found.groupBy("u").agg(F.sum("links").alias("links")), "link-counts")
