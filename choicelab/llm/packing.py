@@ -11,12 +11,10 @@ pieces find their place by their rank among the pieces of their length.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +23,17 @@ from pyspark.sql import functions as F
 
 from choicelab.llm.batches import bound_batches
 from choicelab.llm.prefix import random_key, running_sums
-from choicelab.llm.text import slices
+from choicelab.llm.text import RangeHasher, Slice, slices
 from choicelab.staging import stage
 
 CAPACITY = 2048
 END = 0
-CACHED_WORDS = 600_000
-LINE_WORDS = 200
-WORDS_BYTES = 1 << 20
-#: Before a full stop or comma that ends a word, anything but white space, ASCII letters and digits, and the bytes of
-#: Latin letters beyond ASCII. The two marks may then be one run, and the word is left whole.
-MARKS_TOGETHER = re.compile(rb"(?:[!-/:-@\[-`{-\x7f]|[^\x00-\x7f\xc3][\x80-\xbf]|\xc3[\x97\xb7])[.,] ")
+#: Slots for kept words; half of them are filled at most.
+SLOTS = 1 << 21
+LINE_WORDS = 50
+CHECK_BASE = 0xC2B2AE3D27D4EB4F
+_BLANK, _MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[[10, 32]] = _MARK[[44, 46]] = _PLAIN[48:58] = _PLAIN[97:123] = True
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -49,71 +47,114 @@ class WordEncoder:
     """Ids of whole texts for a tokenizer whose tokens never span white space.
 
     It lower-cases, and a run of letters or of marks is tokenised by itself. So distinct
-    runs of letters are encoded once, many at a time, and kept while they fit; any other
-    word goes to the tokenizer as it is. This changes nothing but the time.
+    words, without a last full stop or comma, are encoded once and kept while they fit. Words
+    are told apart by two 64-bit hashes. This changes nothing but the time.
     """
 
-    MARKS = ".,;:!?#$%&*|"
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._ids: dict[str, bytes] = {"": b""}
         [self._stop] = self._tokenizer.encode(".", add_special_tokens=False).ids
-
-    def _whole(self, words: list[str]) -> None:
-        found = self._tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        self._ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found))
-
-    def _letters(self, words: list[str]) -> None:
-        """Words of letters only, as texts of a few words with a full stop after each."""
-        lines = [" . ".join(words[k:k + LINE_WORDS]) + " ." for k in range(0, len(words), LINE_WORDS)]
-        found = self._tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
-        stops = 4 * np.flatnonzero(ids == self._stop)
-        starts = np.concatenate(([0], stops[:-1] + 4))
-        raw = ids.tobytes()
-        self._ids.update((w, raw[a:b]) for w, a, b in zip(words, starts.tolist(), stops.tolist()))
-
-    def _learn(self, new: list[str]) -> None:
-        split = [(w, base, w[len(base):]) for w in new for base in [w.rstrip(self.MARKS)]]
-        letters = {base for _, base, _ in split if base.isalpha()}
-        tails = {tail for _, base, tail in split if tail and (not base or base.isalpha())}
-        odd = [w for w, base, _ in split if base and not base.isalpha()]
-        if missing := list(letters.difference(self._ids)):
-            self._letters(missing)
-        if missing := [*odd, *tails.difference(self._ids)]:
-            self._whole(missing)
-        self._ids.update((w, self._ids[base] + self._ids[tail]) for w, base, tail in split if tail and base.isalpha())
-
-    def _words(self, text: bytes) -> list[str]:
-        text = text.lower().replace(b"\n", b" ")
-        if not MARKS_TOGETHER.search(text):  # a last mark is then a run by itself
-            text = text.replace(b". ", b" . ").replace(b", ", b" , ")
-        return text.decode().split(" ")
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of UTF-8 texts."""
-        special = {k for k, text in enumerate(texts) if b"<|" in text}  # spelled in lower case only, so not cut into words
-        split = [[] if k in special else self._words(text) for k, text in enumerate(texts)]
-        new = set(filterfalse(self._ids.__contains__, chain.from_iterable(split)))
-        if len(self._ids) + 2 * len(new) > CACHED_WORDS:
-            self._ids = {"": b""}
-            new = set().union(*split) - {""}
-        if new:
-            self._learn(list(new))
-        joined = [b"".join(map(self._ids.__getitem__, words)) for words in split]
-        for k in special:
-            joined[k] = np.array(self._tokenizer.encode(texts[k].decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return joined
+        self._forget()
+
+    def _forget(self) -> None:
+        self._keys, self._checks = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self._word = np.zeros(SLOTS, np.int32)
+        self._first, self._size, self._pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word; those of letters only go as lines with a full stop after each word."""
+        plain = [k for k, w in enumerate(words) if w.isalpha()]
+        lines = [" . ".join(words[k] for k in plain[at:at + LINE_WORDS]) + " ." for at in range(0, len(plain), LINE_WORDS)]
+        out: list[np.ndarray] = [None] * len(words)
+        if lines:
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            for k, part in zip(plain, np.split(ids, np.flatnonzero(ids == self._stop) + 1)):
+                out[k] = part[:-1]
+        odd = [k for k, ids in enumerate(out) if ids is None]
+        for k, e in zip(odd, self._tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False)):
+            out[k] = np.array(e.ids, np.uint32)
+        return out
+
+    def _find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Numbers of known words, -1 for others: open addressing, all words at a time."""
+        found = np.full(len(keys), -1, np.int64)
+        open_, slot = np.arange(len(keys)), (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(open_):
+            held = self._keys[slot]
+            hit = (held == keys[open_]) & (self._checks[slot] == checks[open_])
+            found[open_[hit]] = self._word[slot[hit]]
+            on = ~hit & (held != 0)
+            open_, slot = open_[on], (slot[on] + 1) & (SLOTS - 1)
+        return found
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[str]) -> None:
+        ids = self._encode_words(words)
+        sizes = np.array([len(x) for x in ids], np.int64)
+        number = len(self._first) + np.arange(len(words))
+        self._first = np.concatenate([self._first, len(self._pool) + np.cumsum(sizes) - sizes])
+        self._size = np.concatenate([self._size, sizes])
+        self._pool = np.concatenate([self._pool, *ids])
+        open_, slot = np.arange(len(keys)), (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(open_):
+            free = self._keys[slot] == 0
+            self._word[slot[free]] = -1 - number[open_[free]]  # of those that want one slot the last stays
+            mine = free & (self._word[slot] == -1 - number[open_])
+            at, own = slot[mine], open_[mine]
+            self._keys[at], self._checks[at], self._word[at] = keys[own], checks[own], number[own]
+            open_, slot = open_[~mine], (slot[~mine] + 1) & (SLOTS - 1)
+
+    def encode(self, part: Slice) -> list[np.ndarray]:
+        """Ids of each text of a slice."""
+        data = part.lowered().data
+        starts, ends, text = self._words(data, part.offsets)
+        keys = RangeHasher(data)(starts, ends) | np.uint64(1 << 63)  # no key is 0
+        checks = RangeHasher(data, CHECK_BASE)(starts, ends)
+        found = self._find(keys, checks)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            if 2 * (len(self._first) + len(new)) > SLOTS:
+                self._forget()
+                new = np.arange(len(keys))
+            _, one = np.unique(keys[new] + checks[new] * np.uint64(CHECK_BASE), return_index=True)
+            one = new[one]
+            raw = data.tobytes()
+            self._learn(keys[one], checks[one], [raw[a:b].decode() for a, b in zip(starts[one].tolist(), ends[one].tolist())])
+            found[new] = self._find(keys[new], checks[new])
+        sizes = self._size[found]
+        upto = np.cumsum(sizes)
+        ids = self._pool[np.repeat(self._first[found] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
+        cuts = np.concatenate([[0], upto])[np.searchsorted(text, np.arange(len(part) + 1))]
+        out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        for k, raw in enumerate(part.texts()):
+            if b"<|" in raw:  # special tokens are spelled in lower case only, so the text is encoded as it is
+                out[k] = np.array(self._tokenizer.encode(raw.decode(), add_special_tokens=False).ids, np.uint32)
+        return out
+
+    @staticmethod
+    def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and texts of runs between blanks and line ends.
+
+        A full stop or comma that ends a run after an ASCII letter or digit is a word by itself.
+        """
+        solid = ~_BLANK[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        starts = np.flatnonzero(solid & (edge[:-1] | ~np.concatenate([[False], solid[:-1]])))
+        ends = np.flatnonzero(solid & (edge[1:] | ~np.concatenate([solid[1:], [False]]))) + 1
+        cut = _MARK[data[ends - 1]] & (ends - starts > 1) & _PLAIN[data[np.maximum(ends - 2, 0)]]
+        marks = ends[cut] - 1
+        ends = ends - cut
+        order = np.argsort(np.concatenate([starts, marks]), kind="stable")
+        starts, ends = np.concatenate([starts, marks])[order], np.concatenate([ends, marks + 1])[order]
+        return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids with the end id."""
-    end = np.array([END], "<u4").tobytes()
-    step = 4 * capacity
+    end = np.array([END], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
@@ -121,14 +162,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
         encoder = _encoders[tokenizer]
         for batch in batches:
             of, nth, sizes, sums = [], [], [], []
-            for part in slices(batch.column(1), WORDS_BYTES):
-                for k, ids in enumerate(encoder.encode(part.texts()), part.first):
-                    ids += end
-                    for at in range(0, len(ids), step):
+            for part in slices(batch.column(1)):
+                for k, ids in enumerate(encoder.encode(part), part.first):
+                    ids = np.concatenate([ids, end]).astype("<u4", copy=False)
+                    for at in range(0, len(ids), capacity):
+                        piece = ids[at:at + capacity]
                         of.append(k)
-                        nth.append(at // step)
-                        sizes.append(min(step, len(ids) - at) // 4)
-                        sums.append(zlib.crc32(ids[at:at + step]))
+                        nth.append(at // capacity)
+                        sizes.append(len(piece))
+                        sums.append(zlib.crc32(piece.tobytes()))
             nth = np.array(nth, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(of, pa.int64())), pa.array(nth), pa.array(nth.astype(np.int64) * capacity),

@@ -13,15 +13,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,12 +32,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        factor = np.full(n, _BASE if kind == "up" else _BASE_INVERSE, np.uint64)
+def _power(base: int, n: int) -> np.ndarray:
+    if base not in _powers or len(_powers[base]) < n:
+        factor = np.full(n, base, np.uint64)
         factor[0] = 1
-        _powers[kind] = np.cumprod(factor, dtype=np.uint64)
-    return _powers[kind]
+        _powers[base] = np.cumprod(factor, dtype=np.uint64)
+    return _powers[base]
 
 
 @dataclass
@@ -75,12 +74,14 @@ class Words:
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
     """The texts of a column (null: empty), whole, in slices of about ``most`` bytes."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
     if not n:
         return
+    if column.null_count:
+        column = pc.fill_null(column, "")
     _, where, values = column.buffers()
-    offsets = np.frombuffer(where, np.int64)[column.offset:column.offset + n + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(where, width)[column.offset:column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:
@@ -106,13 +107,13 @@ def words(part: Slice) -> Words:
 
 
 class RangeHasher:
-    """64-bit hashes of byte ranges from one prefix sum over the slice."""
+    """64-bit hashes of byte ranges from one prefix sum over the slice; other odd bases give independent ones."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: int = _BASE):
         n = len(data)
-        self._down = _power("down", n + 1)
+        self._down = _power(pow(base, -1, 1 << 64), n + 1)
         self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", n + 1)[:n], out=self._sums[1:])
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(base, n + 1)[:n], out=self._sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         inside = (self._sums[ends] - self._sums[starts]) * self._down[starts]
