@@ -138,15 +138,24 @@ def _contexts(places: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, text_key, place, left, right, points: the bytes around places of texts and the code points before; staged."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, places_ = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("place").to_pylist()
-            around = [(t[max(0, p - CONTEXT):p], t[max(0, p - 1):p + CONTEXT], len(t[:p].decode(errors="ignore"))) for t, p in zip(texts, places_)]
-            left, right, points = zip(*around) if around else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in ("doc_id", "text_key", "place")), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(points, pa.int64())],
-                names=["doc_id", "text_key", "place", "left", "right", "points"])
+            for part in slices(batch.column("text")):
+                of, place, left, right, points = [], [], [], [], []
+                for k, (text, wanted) in enumerate(zip(part.texts(), batch.column("places").slice(part.first, len(part)).to_pylist()), part.first):
+                    before = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+                    for p in wanted:
+                        of.append(k)
+                        place.append(p)
+                        left.append(text[max(0, p - CONTEXT):p])
+                        right.append(text[max(0, p - 1):p + CONTEXT])
+                        points.append(int(before[p]))
+                at = pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(place, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(points, pa.int64())],
+                    names=["doc_id", "text_key", "place", "left", "right", "points"])
 
+    wanted = stage(places.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places")), "places")  # bounded by the text's length
     schema = "doc_id long, text_key long, place int, left binary, right binary, points long"
-    return stage(places.join(docs, ["doc_id", "text_key"]).mapInArrow(run, schema), "contexts")
+    return stage(wanted.join(docs, ["doc_id", "text_key"]).mapInArrow(run, schema), "contexts")
 
 
 def _shared(own: bytes, other: bytes | None) -> bytes:
@@ -187,8 +196,11 @@ def repeated_passages(docs: DataFrame, most_words: int = 50) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").filter("doc_id is not null and text is not null")
     table = chunk_table(texts)
     place = F.struct("doc_id", "text_key", "start", "end")
-    repeated = stage(table.groupBy("digest").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a.doc_id < b.doc_id"), "repeated")
-    runs = stage(_runs(table.join(repeated.select("digest"), "digest")), "plain-runs")
+    repeated = stage(table.groupBy("digest").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).filter("_low < _high").select("digest"), "repeated")
+    marked = stage(table.join(repeated.hint("merge"), "digest"), "marked")
+    runs = stage(_runs(marked), "plain-runs")
+    needed = stage(runs.select(F.explode(F.array("head", "tail")).alias("digest")).distinct(), "run-digests")
+    repeated = stage(marked.join(needed, "digest").groupBy("digest").agg(F.min(place).alias("a"), F.max(place).alias("b")), "occurrences")
     ends = stage(runs.join(repeated.select(F.col("digest").alias("head"), F.col("a").alias("head_a"), F.col("b").alias("head_b")), "head")
                  .join(repeated.select(F.col("digest").alias("tail"), F.col("a").alias("tail_a"), F.col("b").alias("tail_b")), "tail"), "run-ends")
     around = {  # per run: itself, and the first and last occurrence of its first and last chunk
@@ -196,7 +208,7 @@ def repeated_passages(docs: DataFrame, most_words: int = 50) -> DataFrame:
         **{f"{o}_left": (f"head_{o}.doc_id", f"head_{o}.text_key", f"head_{o}.start") for o in "ab"},
         **{f"{o}_right": (f"tail_{o}.doc_id", f"tail_{o}.text_key", f"tail_{o}.end") for o in "ab"}}
     places = ends.select(F.explode(F.array(*(F.struct(*(F.col(c).alias(n) for c, n in zip(where, ("doc_id", "text_key", "place")))) for where in around.values()))).alias("p"))
-    contexts = _contexts(places.select("p.*").distinct(), texts)
+    contexts = _contexts(places.select("p.*"), texts)
     both = ends.select("words", F.col("head_a.doc_id").alias("first_doc_id"), *(F.struct(*where).alias(f"at_{name}") for name, where in around.items()))
     for name in around:
         side = name.split("_")[1]
