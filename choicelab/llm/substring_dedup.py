@@ -135,26 +135,29 @@ def _runs(marked: DataFrame) -> DataFrame:
 
 
 def _contexts(places: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, place, left, right, points: the bytes around places of texts and the code points before; staged."""
+    """doc_id, text_key, place, side, bytes, points: the bytes before (L) or around (R) places of texts, and the code points before; staged.
+
+    What is around a place begins with the byte before it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text")):
-                of, place, left, right, points = [], [], [], [], []
+                of, place, sides, around, points = [], [], [], [], []
                 for k, (text, wanted) in enumerate(zip(part.texts(), batch.column("places").slice(part.first, len(part)).to_pylist()), part.first):
                     before = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-                    for p in wanted:
+                    for p, side in ((w["place"], w["side"]) for w in wanted):
                         of.append(k)
                         place.append(p)
-                        left.append(text[max(0, p - CONTEXT):p])
-                        right.append(text[max(0, p - 1):p + CONTEXT])
+                        sides.append(side)
+                        around.append(text[max(0, p - CONTEXT):p] if side == "L" else text[max(0, p - 1):p + CONTEXT])
                         points.append(int(before[p]))
                 at = pa.array(of, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(place, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(points, pa.int64())],
-                    names=["doc_id", "text_key", "place", "left", "right", "points"])
+                    [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(place, pa.int32()), pa.array(sides, pa.string()), pa.array(around, pa.binary()), pa.array(points, pa.int64())],
+                    names=["doc_id", "text_key", "place", "side", "bytes", "points"])
 
-    wanted = stage(places.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places")), "places")  # bounded by the text's length
-    schema = "doc_id long, text_key long, place int, left binary, right binary, points long"
+    wanted = stage(places.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("place", "side")).alias("places")), "places")  # bounded by the text's length
+    schema = "doc_id long, text_key long, place int, side string, bytes binary, points long"
     return stage(wanted.join(docs, ["doc_id", "text_key"]).mapInArrow(run, schema), "contexts")
 
 
@@ -202,31 +205,31 @@ def repeated_passages(docs: DataFrame, most_words: int = 50) -> DataFrame:
     needed = stage(runs.select(F.explode(F.array("head", "tail")).alias("digest")).distinct(), "run-digests")
     repeated = stage(marked.join(needed, "digest").groupBy("digest").agg(F.min(place).alias("a"), F.max(place).alias("b")), "occurrences")
     ends = stage(runs.join(repeated.select(F.col("digest").alias("head"), F.col("a").alias("head_a"), F.col("b").alias("head_b")), "head")
-                 .join(repeated.select(F.col("digest").alias("tail"), F.col("a").alias("tail_a"), F.col("b").alias("tail_b")), "tail"), "run-ends")
+                 .join(repeated.select(F.col("digest").alias("tail"), F.col("a").alias("tail_a"), F.col("b").alias("tail_b")), "tail")
+                 .withColumn("_run", F.monotonically_increasing_id()), "run-ends")
     around = {  # per run: itself, and the first and last occurrence of its first and last chunk
-        "own_left": ("doc_id", "text_key", "start"), "own_right": ("doc_id", "text_key", "end"),
-        **{f"{o}_left": (f"head_{o}.doc_id", f"head_{o}.text_key", f"head_{o}.start") for o in "ab"},
-        **{f"{o}_right": (f"tail_{o}.doc_id", f"tail_{o}.text_key", f"tail_{o}.end") for o in "ab"}}
-    places = ends.select(F.explode(F.array(*(F.struct(*(F.col(c).alias(n) for c, n in zip(where, ("doc_id", "text_key", "place")))) for where in around.values()))).alias("p"))
-    contexts = _contexts(places.select("p.*"), texts)
-    both = ends.select("words", F.col("head_a.doc_id").alias("first_doc_id"), *(F.struct(*where).alias(f"at_{name}") for name, where in around.items()))
-    for name in around:
-        side = name.split("_")[1]
-        own = [F.col("points").alias(f"points_{side}")] if name.startswith("own") else []
-        found = contexts.select(F.struct("doc_id", "text_key", "place").alias("at"), F.col(side).alias(name), *own)
-        both = both.join(found, both[f"at_{name}"] == found["at"]).drop("at")
+        "own_L": ("doc_id", "text_key", "start"), "own_R": ("doc_id", "text_key", "end"),
+        **{f"{o}_L": (f"head_{o}.doc_id", f"head_{o}.text_key", f"head_{o}.start") for o in "ab"},
+        **{f"{o}_R": (f"tail_{o}.doc_id", f"tail_{o}.text_key", f"tail_{o}.end") for o in "ab"}}
+    asked = ends.select("_run", F.col("doc_id").alias("own_doc"), "words", F.col("head_a.doc_id").alias("first_doc_id"), F.explode(F.array(*(
+        F.struct(F.lit(name).alias("name"), F.lit(name[-1]).alias("side"), *(F.col(c).alias(n) for c, n in zip(where, ("doc_id", "text_key", "place"))))
+        for name, where in around.items()))).alias("p")).select("_run", "own_doc", "words", "first_doc_id", "p.*")
+    keys = ["doc_id", "text_key", "place", "side"]
+    contexts = _contexts(asked.select(*keys), texts)
+    own = ["_run", "own_doc", "words", "first_doc_id"]
+    compared = asked.join(contexts, keys).groupBy(*own).agg(F.collect_list(F.struct("name", "doc_id", "bytes", "points")).alias("seen"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                others = [(r[f"{o}_left"] if r[f"{o}_left_other"] else None, r[f"{o}_right"] if r[f"{o}_right_other"] else None) for o in "ab"]
-                gain, more, n = grow(r["words"], r["own_left"], r["own_right"], others)
+                seen = {s["name"]: s for s in r["seen"]}
+                other = {name: s["bytes"] if s["doc_id"] != r["own_doc"] else None for name, s in seen.items()}
+                left, right = seen["own_L"], seen["own_R"]
+                gain, more, n = grow(r["words"], left["bytes"], right["bytes"], [(other["a_L"], other["a_R"]), (other["b_L"], other["b_R"])])
                 if n > most_words:
-                    out.append((r["doc_id"], r["points_left"] - len(gain.decode(errors="ignore")), r["points_right"] + len(more.decode(errors="ignore")), n, r["first_doc_id"]))
+                    out.append((r["own_doc"], left["points"] - len(gain.decode(errors="ignore")), right["points"] + len(more.decode(errors="ignore")), n, r["first_doc_id"]))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [()] * 5)], names=["doc_id", "start", "end", "n_words", "first_doc_id"])
 
-    other = [(F.col(f"at_{o}_{side}.doc_id") != F.col("at_own_left.doc_id")).alias(f"{o}_{side}_other") for o in "ab" for side in ("left", "right")]
-    compared = both.select(F.col("at_own_left.doc_id").alias("doc_id"), "words", "first_doc_id", "points_left", "points_right", *around, *other)
     found = compared.mapInArrow(run, "doc_id long, start long, end long, n_words long, first_doc_id long")
     return found.withColumn("kept", F.col("doc_id") == F.col("first_doc_id"))
