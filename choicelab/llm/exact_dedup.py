@@ -86,5 +86,5 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     kept = stage(exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "radix-stay")
     marked = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    joined = marked.join(kept, (marked["doc_id"].eqNullSafe(kept["_id"])) & (marked["_sha"] == kept["_sha"]), "left_semi")
+    joined = marked.join(kept.hint("merge"), (marked["doc_id"].eqNullSafe(kept["_id"])) & (marked["_sha"] == kept["_sha"]), "left_semi")
     return joined.dropDuplicates(["doc_id", "_sha"]).drop("_sha")

@@ -246,7 +246,7 @@ def link_forest(members: DataFrame, docs: DataFrame, width: int, percent: int, i
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keys = ["component", "a", "b"]
-    wanted = texts.join(stage(members, "members"), "id")
+    wanted = texts.join(stage(members, "members").hint("merge"), "id")
     with_sets = _chunk_sets(wanted, sets)
     return with_sets.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(link, "u long, v long")
 
@@ -287,4 +287,4 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document stands for its group, with all their columns."""
     kept = stage(near_groups(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct(), "near-stay")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
