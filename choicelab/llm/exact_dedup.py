@@ -85,6 +85,6 @@ def _copies(rows: DataFrame, k: int) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     kept = stage(exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "radix-stay")
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    joined = marked.join(kept.hint("merge"), (marked["doc_id"].eqNullSafe(kept["_id"])) & (marked["_sha"] == kept["_sha"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    marked = docs.select(F.struct("*").alias("_whole"), F.col("doc_id").alias("_doc"), F.sha2(normalised(F.col("text")), 256).alias("_norm"))
+    joined = marked.join(kept.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_norm") == F.col("_sha")), "left_semi")
+    return joined.dropDuplicates(["_doc", "_norm"]).select("_whole.*")

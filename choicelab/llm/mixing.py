@@ -64,9 +64,9 @@ def repeat_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """
     taken = mix(docs, seed).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
     per_id = stage(taken.groupBy("_id").agg(F.max("_times").alias("_times")), "mix-times")
-    worded = docs.filter(F.col("text").rlike(WORD))
-    joined = worded.join(per_id.hint("merge"), worded["doc_id"].eqNullSafe(per_id["_id"]))
-    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    worded = docs.filter(F.col("text").rlike(WORD)).select(F.struct("*").alias("_whole"), F.col("doc_id").alias("_doc"))
+    joined = worded.join(per_id.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")))
+    return joined.select("_whole", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_whole.*")
 
 
 SQL = f"""

@@ -287,4 +287,5 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document stands for its group, with all their columns."""
     kept = stage(near_groups(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct(), "near-stay")
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    whole = docs.select(F.struct("*").alias("_whole"), F.col("doc_id").alias("_doc"))
+    return whole.join(kept.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("_whole.*")
