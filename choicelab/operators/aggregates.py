@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicelab.operators.joins import attach
-from choicelab.operators.ranking import col, exact_quantiles, row_index
+from choicelab.operators.ranking import col, exact_quantiles, present, row_index
 
 
 def mean_by(df: DataFrame, keys: list[str], value: str, out: str | None = None) -> DataFrame:
@@ -64,14 +64,15 @@ def count_distinct(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None, hot_rows: int | None = None) -> DataFrame:
-    """count, mean, std (ddof 1), min, exact quartiles, max of ``value`` per group."""
+    """count, mean, std (ddof 1), min, exact quartiles, max of ``value`` per group; NaN is missing, a null group a group."""
     by = by or []
+    df = df.select(*map(col, by), present(col(value)).alias(value))
     moments = df.groupBy(*map(col, by)).agg(
         F.count(col(value)).alias("count"), F.avg(col(value)).alias("mean"), F.stddev_samp(col(value)).alias("std"),
         F.min(col(value)).alias("min"), F.max(col(value)).alias("max"))
     quart = exact_quantiles(df, by, value, [0.25, 0.5, 0.75], "_q", hot_rows)
     if by:
-        joined = moments.join(quart, by, "left")
+        joined = attach(moments, quart, by)
     else:
         row = quart.first()
         literal = F.array(*[F.lit(q) for q in row["_q"]]) if row and row["_q"] else F.lit(None).cast("array<double>")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from choicelab.operators.ranking import col, row_index
-from choicelab.staging import stage
 
 LOOKUP_ROWS = 100_000
 
@@ -21,12 +22,17 @@ def lookup(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
 
 
 def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join an aggregate back to the rows it describes.
+    """Join an aggregate back to the rows it describes, a null key being a key like any other.
 
-    The aggregate is staged first, so its size on disk is known before the join
-    is planned: below the broadcast threshold the large side is not shuffled.
+    Nothing runs here: adaptive execution knows the aggregate's size by the time it
+    joins, and then broadcasts it below the threshold or splits skewed partitions.
+    A semi or anti join keeps the usual meaning of null: no match.
     """
-    return df.join(stage(table, "lookup"), on, how)
+    if how in ("left_semi", "left_anti"):
+        return df.join(table, on, how)
+    renamed = table.withColumnsRenamed({k: f"_on_{k}" for k in on})
+    same = [col(k).eqNullSafe(col(f"_on_{k}")) for k in on]
+    return df.join(renamed, reduce(Column.__and__, same), how).drop(*[f"_on_{k}" for k in on])
 
 
 def left_join(df: DataFrame, scores: DataFrame, on: list[str]) -> DataFrame:

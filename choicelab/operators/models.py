@@ -50,7 +50,8 @@ def fit_value_model(trials: DataFrame, forms: list[str], k_grid, beta_grid, subj
 
     Bernoulli likelihood, HalfNormal(``prior_scale``) priors on k and beta. The
     priors are fixed, without a group level, so values differ from a hierarchical
-    sampler by design. Returns (subject, form, k, beta, loglik, weight).
+    sampler by design. Returns (subject, form, k, beta, loglik, weight). Where no grid
+    point is possible all weights are 0.
     """
     cells = spread(choice_cells(trials.filter(col(accepted).isNotNull()), subject, money, pain, accepted), subject)
     points = _on_grid(cells, forms, k_grid, beta_grid, money, pain, accepted)
@@ -61,8 +62,10 @@ def fit_value_model(trials: DataFrame, forms: list[str], k_grid, beta_grid, subj
     log_post = F.col("loglik") - free_k * free_k / width - F.col("beta") * F.col("beta") / width
     # a window of one subject and form holds grid points only
     one = Window.partitionBy(col(subject), "form")
-    shifted = grid.withColumn("_lp", log_post).withColumn("_e", F.exp(F.col("_lp") - F.max("_lp").over(one)))
-    return shifted.withColumn("weight", F.col("_e") / F.sum("_e").over(one)).drop("_lp", "_e")
+    possible = F.col("_lp") > float("-inf")
+    shifted = grid.withColumn("_lp", log_post).withColumn("_e", F.when(possible, F.exp(F.col("_lp") - F.max("_lp").over(one))).otherwise(0.0))
+    whole = F.sum("_e").over(one)
+    return shifted.withColumn("weight", F.when(whole > 0, F.col("_e") / whole).otherwise(0.0)).drop("_lp", "_e")
 
 
 def value_params(posterior: DataFrame, subject: str = "participant") -> DataFrame:
@@ -152,7 +155,7 @@ def regression_by(df: DataFrame, by: list[str], y: str, terms: list[Term], inter
     names = list(design)
     target = (link(col(y)) if link else col(y)).cast("double")
     rows = df.select(*map(col, by), target.alias("_y"), *[e.alias(f"_x{i}") for i, e in enumerate(design.values())])
-    rows = rows.dropna()
+    rows = rows.dropna(subset=["_y", *[f"_x{i}" for i in range(len(names))]])
     x = [F.col(f"_x{i}") for i in range(len(names))]
     sums = rows.groupBy(*map(col, by)).agg(
         F.array(*[F.sum(a * b) for i, a in enumerate(x) for b in x[i:]]).alias("_xx"), F.array(*[F.sum(a * F.col("_y")) for a in x]).alias("_xy"),

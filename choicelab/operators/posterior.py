@@ -36,31 +36,32 @@ def gelman_rubin(draws: DataFrame, param: list[str], chain: str = "chain", value
     return parts.select(*map(col, param), "n_chains", F.when(F.col("_w") > 0, F.sqrt(v / F.col("_w"))).alias("r_hat"))
 
 
-def chain_starts(draws: DataFrame, param: list[str], chain: str = "chain", draw: str = "draw",
-                 hot_rows: int | None = None) -> DataFrame:
-    """Per chain its first position ``_start`` when the chains are laid end to end,
-    and the total length ``_total`` of the parameter's chains.
+def laid_end_to_end(draws: DataFrame, param: list[str], chain: str = "chain", draw: str = "draw",
+                    hot_rows: int | None = None) -> DataFrame:
+    """Draws with their position from 0 when a parameter's chains follow each other, and the ``_total`` of its draws.
 
-    Draws are already numbered inside a chain, so only chain lengths are ranked.
+    Positions come from the rank of a draw in its chain, so draw numbers may start
+    anywhere and have gaps.
     """
-    keys = [col(k) for k in param]
-    lengths = stage(draws.groupBy(*keys, col(chain)).agg((F.max(col(draw)) + 1).cast("long").alias("_len")), "chains")
-    ends = running_total(lengths, param, [chain], "_end", weight="_len", hot_rows=hot_rows)
-    totals = lengths.groupBy(*keys).agg(F.sum("_len").alias("_total"))
-    return ends.join(totals, param).select(*keys, col(chain), (F.col("_end") - F.col("_len")).alias("_start"), "_total")
+    ranked = row_index(draws, [*param, chain], [draw], "_rank", hot_rows)
+    lengths = draws.groupBy(*map(col, (*param, chain))).agg(F.count(F.lit(1)).alias("_len"))
+    whole = Window.partitionBy(*map(col, param))  # one row per chain
+    starts = lengths.select(*map(col, (*param, chain)), F.sum("_len").over(whole).alias("_total"),
+                            (F.sum("_len").over(whole.orderBy(col(chain)).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_len")).alias("_start"))
+    placed = attach(ranked, starts, [*param, chain])
+    return placed.withColumn("_position", F.col("_start") + F.col("_rank") - 1).drop("_rank", "_start")
 
 
 def batch_error(draws: DataFrame, param: list[str], batches: int = 100, value: str = "value",
                 hot_rows: int | None = None) -> DataFrame:
-    """Monte Carlo error: std of batch means over sqrt(batches), batches consecutive.
+    """Monte Carlo error: std of batch means over the root of their number, batches consecutive.
 
-    Chains are laid end to end; draws beyond the last full batch are left out.
+    Chains are laid end to end, and every draw is in one of the batches, whose sizes
+    differ by one draw at most.
     """
-    placed = attach(draws, chain_starts(draws, param, hot_rows=hot_rows), [*param, "chain"])
-    per_batch = F.greatest(F.floor(F.col("_total") / batches), F.lit(1))
-    batch = F.floor((F.col("_start") + F.col("draw")) / per_batch)
-    means = (placed.withColumn("_batch", batch).filter(F.col("_batch") < batches)
-             .groupBy(*map(col, param), "_batch").agg(F.avg(col(value)).alias("_mean")))
+    placed = laid_end_to_end(draws, param, hot_rows=hot_rows)
+    batch = F.floor(F.col("_position") * batches / F.col("_total"))
+    means = placed.withColumn("_batch", batch).groupBy(*map(col, param), "_batch").agg(F.avg(col(value)).alias("_mean"))
     return means.groupBy(*map(col, param)).agg(
         (F.stddev_pop("_mean") / F.sqrt(F.count("_mean"))).alias("mc_err"))
 
@@ -74,7 +75,7 @@ def posterior_summary(draws: DataFrame, param: list[str], batches: int = 100, va
     names = ["2.5q", "25q", "50q", "75q", "97.5q"]
     quant = exact_quantiles(draws, param, value, probs, "_q", hot_rows)
     errors = batch_error(draws, param, batches, value, hot_rows)
-    joined = moments.join(quant, param).join(errors, param)
+    joined = attach(attach(moments, quant, param), errors, param)
     return joined.select(*map(col, param), "mean", "std",
                          *[F.try_element_at("_q", F.lit(i + 1)).alias(n) for i, n in enumerate(names)], "mc_err")
 
@@ -119,7 +120,7 @@ def hdi(draws: DataFrame, param: list[str], mass: float = 0.94, value: str = "va
     lows = attach(ranked, totals, param).filter(F.col("_rank") + span <= F.col("_n"))
     lows = lows.select(*map(col, param), F.col("_x").alias("_lo"), (F.col("_rank") + span).alias("_rank"))
     highs = ranked.select(*map(col, param), "_rank", F.col("_x").alias("_hi"))
-    pairs = lows.join(highs, [*param, "_rank"])
+    pairs = attach(lows, highs, [*param, "_rank"], "inner")
     best = F.min_by(F.struct("_lo", "_hi"), F.struct(F.col("_hi") - F.col("_lo"), F.col("_lo")))
     return pairs.groupBy(*map(col, param)).agg(best.alias("_b")).select(
         *map(col, param), F.col("_b._lo").alias("hdi_low"), F.col("_b._hi").alias("hdi_high"))
@@ -159,25 +160,34 @@ def autocovariance(draws: DataFrame, param: list[str], max_lag: int, value: str
     return per_chain.groupBy(*map(col, param), "lag").agg(F.avg("_cov").alias("autocov"))
 
 
-def effective_size(draws: DataFrame, param: list[str], max_lag: int = 50, value: str = "value") -> DataFrame:
-    """Effective sample size by Geyer's initial positive sequence, cut at ``max_lag``.
+def effective_size(draws: DataFrame, param: list[str], first_lags: int = 64, value: str = "value") -> DataFrame:
+    """Effective sample size by Geyer's initial positive sequence.
 
-    Pairs of neighbouring autocorrelations are added until the first negative pair.
+    Pairs of neighbouring autocorrelations are added until the first pair that is not
+    positive. The number of lags doubles until every parameter has reached that pair
+    or run out of draws.
     """
+    draws = stage(laid_out(draws, param), "ranked-draws")
     chains = draws.groupBy(*map(col, param), "chain").agg(
         F.count(F.lit(1)).alias("_n"), F.avg(col(value)).alias("_mean"), F.var_samp(col(value)).alias("_var"))
     pooled = chains.groupBy(*map(col, param)).agg(
-        F.sum("_n").alias("_total"), F.avg("_n").alias("_n"), F.avg("_var").alias("_w"),
+        F.sum("_n").alias("_total"), F.avg("_n").alias("_n"), F.max("_n").alias("_longest"), F.avg("_var").alias("_w"),
         F.coalesce(F.var_samp("_mean"), F.lit(0.0)).alias("_b"))
-    pooled = pooled.withColumn("_v", (F.col("_n") - 1) / F.col("_n") * F.col("_w") + F.col("_b"))
-    lags = autocovariance(draws, param, max_lag, value).join(pooled, param)
+    pooled = stage(pooled.withColumn("_v", (F.col("_n") - 1) / F.col("_n") * F.col("_w") + F.col("_b")), "pooled")
     rho = F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(
         1 - (F.col("_w") - F.col("autocov") * F.col("_n") / (F.col("_n") - 1)) / F.col("_v"))
-    # at most max_lag rows per parameter from here on
-    pairs = (lags.filter(F.col("_v") > 0).withColumn("_rho", rho)
-             .groupBy(*map(col, param), F.floor(F.col("lag") / 2).alias("_pair"))
-             .agg(F.sum("_rho").alias("_sum"), F.count(F.lit(1)).alias("_k"), F.first("_total").alias("_total"))
-             .filter(F.col("_k") == 2))
+    lags = first_lags
+    while True:
+        covariances = attach(autocovariance(draws, param, lags, value), pooled, param, "inner")
+        # one row per lag and parameter from here on
+        pairs = stage(covariances.filter((F.col("_v") > 0) & (F.col("lag") < F.col("_longest"))).withColumn("_rho", rho)
+                      .groupBy(*map(col, param), F.floor(F.col("lag") / 2).alias("_pair"))
+                      .agg(F.sum("_rho").alias("_sum"), F.count(F.lit(1)).alias("_k"), F.first("_total").alias("_total"), F.first("_longest").alias("_longest"))
+                      .filter(F.col("_k") == 2), "lag-pairs")
+        open_ = pairs.groupBy(*map(col, param)).agg(F.min("_sum").alias("_least"), F.first("_longest").alias("_longest"))
+        if open_.filter((F.col("_least") > 0) & (F.col("_longest") > lags)).isEmpty():
+            break
+        lags *= 2
     upto = Window.partitionBy(*map(col, param)).orderBy("_pair").rowsBetween(Window.unboundedPreceding, 0)
     kept = pairs.withColumn("_least", F.min("_sum").over(upto)).filter(F.col("_least") > 0)
     tau = -1 + 2 * F.sum(F.col("_least"))
@@ -185,14 +195,20 @@ def effective_size(draws: DataFrame, param: list[str], max_lag: int = 50, value:
         (F.first("_total") / F.greatest(tau, 1 / F.log10(F.first("_total")))).alias("ess"))
 
 
-def interval_summary(draws: DataFrame, param: list[str], mass: float = 0.94, max_lag: int = 50,
+def laid_out(draws: DataFrame, param: list[str]) -> DataFrame:
+    """Draws numbered from 0 within their chain without gaps."""
+    ranked = row_index(draws, [*param, "chain"], ["draw"], "_rank")
+    return ranked.withColumn("draw", F.col("_rank") - 1).drop("_rank")
+
+
+def interval_summary(draws: DataFrame, param: list[str], mass: float = 0.94,
                      value: str = "value", hot_rows: int | None = None) -> DataFrame:
     """mean, sd, HDI bounds, mcse, ess and r_hat per parameter."""
     moments = draws.groupBy(*map(col, param)).agg(F.avg(col(value)).alias("mean"), F.stddev_samp(col(value)).alias("sd"))
     bounds = hdi(draws, param, mass, value, hot_rows)
-    size = effective_size(draws, param, max_lag, value)
+    size = effective_size(draws, param, value=value)
     rhat = gelman_rubin(draws, param, value=value).select(*map(col, param), "r_hat")
-    joined = moments.join(bounds, param, "left").join(size, param, "left").join(rhat, param, "left")
+    joined = attach(attach(attach(moments, bounds, param), size, param), rhat, param)
     return joined.select(*map(col, param), "mean", "sd", "hdi_low", "hdi_high",
                          (F.col("sd") / F.sqrt("ess")).alias("mcse_mean"), "ess", "r_hat")
 
@@ -247,7 +263,8 @@ def pointwise_elpd(pointwise: DataFrame, model: list[str], obs: list[str], kind:
     middle; the few bands of an observation are then put on a common shift.
     """
     keys = [col(c) for c in (*model, *obs)]
-    w, band = _weight(pointwise), F.floor(F.col("loglik") / _BAND)
+    w = _weight(pointwise)
+    band = F.when(F.col("loglik") > float("-inf"), F.floor(F.col("loglik") / _BAND))  # null: an impossible observation
     count = F.first(F.col("count")) if "count" in pointwise.columns else F.lit(1)
     near = F.col("loglik") - F.col("_mid")
     bands = pointwise.withColumn("_mid", band * _BAND + _BAND / 2).groupBy(*keys, "_mid").agg(
@@ -261,13 +278,14 @@ def pointwise_elpd(pointwise: DataFrame, model: list[str], obs: list[str], kind:
         F.sum(F.col("_up") * F.exp(rise)).alias("_up"), F.sum(F.col("_down") * F.exp(drop)).alias("_down"),
         F.sum(F.col("_s1") + F.col("_w") * rise).alias("_s1"),
         F.sum(F.col("_s2") + 2 * rise * F.col("_s1") + F.col("_w") * rise * rise).alias("_s2"),
-        F.first("count").alias("count"))
+        F.first("count").alias("count"), F.max(F.col("_mid").isNull()).alias("_impossible"))
     lppd = F.col("_max") + F.ln(F.col("_up") / F.col("_w"))
     mean = F.col("_s1") / F.col("_w")
     variance = F.greatest(F.col("_s2") / F.col("_w") - mean * mean, F.lit(0.0))
     loo = F.col("_min") - F.ln(F.col("_down") / F.col("_w"))
     elpd, p = (lppd - variance, variance) if kind == "waic" else (loo, lppd - loo)
-    return sums.select(*keys, elpd.alias("elpd"), p.alias("p"), "count")
+    never = F.col("_impossible")
+    return sums.select(*keys, F.when(never, float("-inf")).otherwise(elpd).alias("elpd"), F.when(never, float("inf")).otherwise(p).alias("p"), "count")
 
 
 def _total_se(value: Column, count: Column) -> Column:

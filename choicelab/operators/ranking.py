@@ -30,6 +30,12 @@ def col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def present(value: Column) -> Column:
+    """The value as a number, NaN being null."""
+    number = value.cast("double")
+    return F.when(~F.isnan(number), number)
+
+
 def hot_groups(df: DataFrame, by: list[str], hot_rows: int) -> tuple[DataFrame | None, int]:
     """Groups with more than ``hot_rows`` rows, and their rows in total.
 
@@ -138,7 +144,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     """
     limit = hot_rows or HOT_ROWS
     keys = [col(k) for k in by]
-    data = df.select(*keys, col(value).cast("double").alias("_value")).filter(F.col("_value").isNotNull())
+    data = df.select(*keys, present(col(value)).alias("_value")).filter(F.col("_value").isNotNull())
     hot, total = hot_groups(data, by, limit)
     whole = Window.partitionBy(*keys)
     plain = data

@@ -27,8 +27,7 @@ def gelman_rubin(spark, sf):
 @query("posterior_summary", f"""WITH {DRAWS},
 s AS (SELECT param, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std,
   quantile_cont(value, [0.025, 0.25, 0.5, 0.75, 0.975]) AS q FROM draws GROUP BY param),
-b AS (SELECT param, (chain * 64 + draw) // greatest(n // 100, 1) AS batch, avg(value) AS m FROM draws JOIN s USING (param)
-  WHERE (chain * 64 + draw) // greatest(n // 100, 1) < 100 GROUP BY ALL),
+b AS (SELECT param, (chain * 64 + draw) * 100 // n AS batch, avg(value) AS m FROM draws JOIN s USING (param) GROUP BY ALL),
 e AS (SELECT param, stddev_pop(m) / sqrt(count(m)) AS mc_err FROM b GROUP BY param)
 SELECT param, round(mean, 6) AS mean, round(std, 6) AS std, round(q[1], 6) AS "2.5q", round(q[2], 6) AS "25q",
   round(q[3], 6) AS "50q", round(q[4], 6) AS "75q", round(q[5], 6) AS "97.5q", round(mc_err, 6) AS mc_err
@@ -102,7 +101,7 @@ def autocovariance(spark, sf):
 @query("interval_summary", f"""WITH {DRAWS},
 c AS (SELECT param, chain, draw, value - avg(value) OVER w AS c, count(*) OVER w AS n FROM draws
   WINDOW w AS (PARTITION BY param, chain)),
-l AS (SELECT unnest(generate_series(0, 20)) AS lag),
+l AS (SELECT unnest(generate_series(0, (SELECT max(draw) + 1 FROM draws))) AS lag),
 pr AS (SELECT a.param, a.chain, lag, sum(a.c * b.c) / any_value(a.n) AS v FROM c a JOIN l ON true
   JOIN c b ON a.param = b.param AND a.chain = b.chain AND b.draw = a.draw + lag GROUP BY ALL),
 ac AS (SELECT param, lag, avg(v) AS autocov FROM pr GROUP BY ALL),
@@ -123,7 +122,7 @@ SELECT param, round(mean, 6) AS mean, round(sd, 6) AS sd, round(lo, 6) AS hdi_lo
   round(sd / sqrt(ess), 6) AS mcse_mean, round(ess, 3) AS ess, round(sqrt(((n - 1) / n * w + b) / w), 6) AS r_hat
 FROM mo JOIN hd USING (param) JOIN es USING (param) JOIN po USING (param)""")
 def interval_summary(spark, sf):
-    s = post.interval_summary(views.draws(spark, sf), ["param"], max_lag=20)
+    s = post.interval_summary(views.draws(spark, sf), ["param"])
     return _rounded(_rounded(s, [c for c in s.columns if c not in ("param", "ess")]), ["ess"], 3)
 
 

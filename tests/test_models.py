@@ -197,3 +197,16 @@ def test_link(spark):
     df = spark.createDataFrame([(1, float(x), float(np.exp(1 + 2 * x))) for x in range(4)], "s int, x double, y double")
     got = {r["term"]: r["beta"] for r in models.regression_by(df, ["s"], "y", [("x",)], link=F.ln).collect()}
     assert got["x"] == pytest.approx(2) and got["Intercept"] == pytest.approx(1)
+
+
+def test_regression_of_a_null_group(spark):
+    rows = [(g, float(x), 2.0 * x + 1 + x % 2) for g in ("a", None) for x in range(8)]
+    got = {(r.g, r.term): r.beta for r in models.regression_by(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "y", ["x"]).collect()}
+    assert len(got) == 4 and all(got[None, t] == pytest.approx(b) for (g, t), b in got.items() if g == "a")
+
+
+def test_no_possible_grid_point(spark):
+    trials = spark.createDataFrame([("s", 1.0, 2.0, 1)] * 4, "participant string, moneylevel double, painlevel double, accepted int")
+    fit = models.fit_value_model(trials, ["hyper"], [0.5], [1.0])
+    assert {r.weight for r in fit.collect()} == {0.0}
+    assert models.value_pointwise(trials, fit, ["hyper"]).count() == 0

@@ -84,7 +84,7 @@ def test_effective_size(draws):
 
 
 def test_interval_summary(draws):
-    got = by_param(post.interval_summary(draws, ["param"], max_lag=40))
+    got = by_param(post.interval_summary(draws, ["param"]))
     for r in got.values():
         assert r["hdi_low"] < r["mean"] < r["hdi_high"]
         assert r["mcse_mean"] == pytest.approx(r["sd"] / np.sqrt(r["ess"]))
@@ -197,3 +197,41 @@ def test_dic(spark, pointwise, loglik):
     mean = (-2 * loglik["good"].sum(axis=0)).mean()
     assert row["mean_deviance"] == pytest.approx(mean)
     assert row["dic"] == pytest.approx(2 * mean - 60)
+
+
+def test_batch_error_uses_every_draw(spark):
+    rows = [("a", 0, k, 100.0 if k >= 100 else 0.0) for k in range(199)]
+    moved = [("b", 0, 250 + 3 * k, v) for _, _, k, v in rows]
+    table = spark.createDataFrame(rows + moved + [(None, *r[1:]) for r in rows], "param string, chain int, draw int, value double")
+    got = {r.param: r.mc_err for r in post.batch_error(table, ["param"]).collect()}
+    batch = np.floor(np.arange(199) * 100 / 199)
+    means = np.array([np.mean([r[3] for r, b in zip(rows, batch) if b == k]) for k in range(100)])
+    assert got == {k: pytest.approx(means.std() / 10) for k in ("a", "b", None)}
+
+
+def test_effective_size_does_not_depend_on_first_lags(spark):
+    rng = np.random.default_rng(3)
+    x = np.zeros((2, 3000))
+    for k in range(1, 3000):
+        x[:, k] = 0.99 * x[:, k - 1] + rng.normal(size=2)
+    rows = [("p", c, k, float(x[c, k])) for c in range(2) for k in range(3000)]
+    table = spark.createDataFrame(rows, "param string, chain int, draw int, value double")
+    one, two = (post.effective_size(table, ["param"], n).first()["ess"] for n in (8, 512))
+    assert one == pytest.approx(two) and one < 120
+
+
+def test_null_parameter_is_a_parameter(spark):
+    rows = [(p, c, k, float(k * c + k % 7)) for p in ("a", None) for c in (0, 1) for k in range(50)]
+    table = spark.createDataFrame(rows, "param string, chain int, draw int, value double")
+    for summary in (post.posterior_summary, post.hdi, post.interval_summary):
+        one, two = sorted(summary(table, ["param"]).collect(), key=lambda r: r.param is None)
+        assert two.param is None and tuple(two)[1:] == pytest.approx(tuple(one)[1:])
+
+
+def test_impossible_observation(spark):
+    rows = [("m", o, d, -1.0 - d if (o, d) != (1, 2) else float("-inf")) for o in range(2) for d in range(4)]
+    table = spark.createDataFrame(rows, "model string, obs int, draw int, loglik double")
+    for kind in ("waic", "loo"):
+        got = {r.obs: r.elpd for r in post.pointwise_elpd(table, ["model"], ["obs"], kind).collect()}
+        assert got[1] == float("-inf") and np.isfinite(got[0])
+    assert post.waic(table, ["model"], ["obs"]).first()["warning"]

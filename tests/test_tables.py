@@ -180,3 +180,14 @@ def test_block_trial_index(df, frame, hot):
     got = windows.block_trial_index(df, ["participant"], ["k"], 25, hot).toPandas().set_index("k").sort_index()
     place = frame.sort_values("k").groupby("participant").cumcount().to_numpy()
     assert (got["blocks_idx"].to_numpy() == place // 25).all() and (got["trialblocks"].to_numpy() == place % 25).all()
+
+
+def test_null_groups_and_missing_numbers(spark):
+    rows = [(g, float(x)) for g in ("a", None) for x in (1, 2, 3, 4, 5, 5)] + [("n", x) for x in (1.0, 2.0, 3.0, float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: tuple(r)[1:] for r in ag.describe(df, "x", ["g"]).collect()}
+    assert got[None] == got["a"] and got["n"] == (3, 2.0, 1.0, 1.0, 1.5, 2.0, 2.5, 3.0)
+    bins = {g: sorted((r.bin, r.n) for r in ag.histogram_by(df.filter("x = x"), "g", "x", 4).collect() if r.g == g) for g in ("a", None)}
+    assert bins[None] == bins["a"] and len(bins["a"]) == 4
+    z = windows.zscore(df.filter("g is null or g = 'a'"), ["x"], ["g"]).collect()
+    assert sorted(r.x_z for r in z if r.g is None) == pytest.approx(sorted(r.x_z for r in z if r.g == "a"))
