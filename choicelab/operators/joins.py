@@ -9,18 +9,6 @@ from pyspark.sql import functions as F
 
 from choicelab.operators.ranking import col, row_index
 
-LOOKUP_ROWS = 100_000
-
-
-def lookup(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """Mark a parameter table for broadcast when it has at most ``max_rows`` rows.
-
-    Beyond that the table is returned as it is and the join is left to Catalyst
-    and adaptive execution (shuffle join, skewed partitions split).
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join an aggregate back to the rows it describes, a null key being a key like any other.
 
@@ -36,8 +24,8 @@ def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") ->
 
 
 def left_join(df: DataFrame, scores: DataFrame, on: list[str]) -> DataFrame:
-    """Many-to-one join of a subject table."""
-    return df.join(lookup(scores), on, "left")
+    """Many-to-one join of a subject table, broadcast only where Spark finds it below its threshold."""
+    return df.join(scores, on, "left")
 
 
 def attach_subject_params(trials: DataFrame, params: DataFrame, key: str = "participant") -> DataFrame:

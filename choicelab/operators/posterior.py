@@ -330,26 +330,75 @@ def compare_models(elpd: DataFrame, model: str, obs: list[str], p_limit: float =
         (F.lit(best["elpd"]) - F.col("elpd")).alias("elpd_diff"), "se", "dse", "warning", F.lit("log").alias("scale"))
 
 
-def stacking_weights(elpd: DataFrame, model: str, models: list[str], obs: list[str], iterations: int = 200,
+def stacking_weights(elpd: DataFrame, model: str, models: list[str], obs: list[str], rounds: int = 200,
                      tolerance: float = 1e-9) -> DataFrame:
-    """Weights that maximise the summed log of the mixed predictive density (EM).
+    """Weights that maximise the summed log of the mixed predictive density.
 
-    Densities are laid out once as one column per model. Each round is a single
-    aggregate over them; only the weights, one number per model, visit the driver.
+    Densities are laid out once as one column per model. A round is one aggregate over
+    them, gradient and curvature at the present weights, and a Newton step on the weights
+    that are free to move; only these numbers, none per observation, visit the driver.
+    At the optimum no model's gradient exceeds 1, and its excess bounds what the mean log
+    density can still gain: above ``tolerance`` after all rounds it is an error.
     """
+    size = range(len(models))
     cells = [F.max(F.when(col(model) == m, F.col("elpd"))).alias(f"_e{i}") for i, m in enumerate(models)]
     wide = elpd.groupBy(*map(col, obs)).agg(*cells, F.first("count").alias("_n"))
-    top = F.greatest(*[F.col(f"_e{i}") for i in range(len(models))])
-    wide = stage(wide.select("_n", *[F.coalesce(F.exp(F.col(f"_e{i}") - top), F.lit(0.0)).alias(f"_p{i}")
-                                     for i in range(len(models))]), "densities")
-    weights = [1 / len(models)] * len(models)
-    for _ in range(iterations):
-        mix = reduce(Column.__add__, [F.lit(w) * F.col(f"_p{i}") for i, w in enumerate(weights)])
-        shares = [(F.sum(F.lit(w) * F.col(f"_p{i}") / mix * F.col("_n")) / F.sum("_n")) for i, w in enumerate(weights)]
-        new = [float(x) for x in wide.agg(*shares).first()]
-        moved = max(abs(a - b) for a, b in zip(new, weights))
-        weights = new
-        if moved < tolerance:
+    top = F.greatest(*[F.col(f"_e{i}") for i in size])
+    wide = stage(wide.select("_n", *[F.coalesce(F.exp(F.col(f"_e{i}") - top), F.lit(0.0)).alias(f"_p{i}") for i in size]), "densities")
+
+    def at(weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Mean log density, its gradient and the negative of its second derivatives."""
+        mix = reduce(Column.__add__, [F.lit(float(w)) * F.col(f"_p{i}") for i, w in enumerate(weights)])
+        share = [F.col(f"_p{i}") / F.col("_mix") for i in size]
+        n = F.col("_n")
+        row = wide.withColumn("_mix", mix).agg(
+            F.sum("_n"), F.sum(n * F.ln("_mix")), *[F.sum(n * x) for x in share],
+            *[F.sum(n * share[i] * share[j]) for i in size for j in size if i <= j]).first()
+        total, level, first, second = row[0], row[1], np.array(row[2:2 + len(models)], float), iter(row[2 + len(models):])
+        curve = np.zeros((len(models), len(models)))
+        for i in size:
+            for j in size:
+                if i <= j:
+                    curve[i, j] = curve[j, i] = next(second)
+        return level / total, first / total, curve / total
+
+    weights = np.full(len(models), 1 / len(models))
+    level, gradient, curve = at(weights)
+    for _ in range(rounds):
+        if gradient.max() - 1 <= tolerance:
             break
-    pairs = F.array(*[F.struct(F.lit(m).alias(model), F.lit(w).alias("weight")) for m, w in zip(models, weights)])
+        step = _simplex_step(weights, gradient, curve)
+        share = 1.0
+        while True:
+            tried = np.maximum(weights + share * step, 0)
+            tried /= tried.sum()
+            found = at(tried)
+            if found[0] >= level or share < 1e-6:
+                break
+            share /= 2
+        if found[0] < level:  # the multiplicative step never goes down
+            tried = weights * gradient
+            found = at(tried)
+        weights, (level, gradient, curve) = tried, found
+    else:
+        raise RuntimeError(f"weights not optimal within {rounds} rounds: {gradient.max() - 1:.2g} above the bound")
+    pairs = F.array(*[F.struct(F.lit(m).alias(model), F.lit(float(w)).alias("weight")) for m, w in zip(models, weights)])
     return wide.select(pairs.alias("_w")).limit(1).select(F.inline("_w"))
+
+
+def _simplex_step(weights: np.ndarray, gradient: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    """Newton step that keeps the sum; weights at zero move only if their gradient pulls them up, and none goes below."""
+    free = (weights > 1e-12) | (gradient > 1)
+    while True:
+        k = np.flatnonzero(free)
+        ridge = curve[np.ix_(k, k)] + 1e-10 * np.eye(len(k))
+        system = np.block([[ridge, np.ones((len(k), 1))], [np.ones((1, len(k))), np.zeros((1, 1))]])
+        step = np.zeros(len(weights))
+        step[k] = np.linalg.solve(system, np.append(gradient[k], 0.0))[:-1]
+        stuck = free & (weights <= 1e-12) & (step < 0)
+        if not stuck.any():
+            break
+        free &= ~stuck
+    below = step < 0
+    reach = np.min(weights[below] / -step[below], initial=1.0)
+    return step * min(1.0, reach)

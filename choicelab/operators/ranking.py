@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from choicelab.staging import stage
 
 HOT_ROWS = 4_000_000
-MAX_RANGES = 20_000
 
 
 def col(name: str) -> Column:
@@ -60,7 +59,7 @@ def split_hot(df: DataFrame, by: list[str], order: list[str], hot_rows: int | No
     hot, total = hot_groups(df, by, hot_rows)
     if hot is None:
         return df, None
-    ranges = min(MAX_RANGES, max(2, math.ceil(4 * total / hot_rows)))
+    ranges = max(2, math.ceil(4 * total / hot_rows))
     if by:
         cold = df.join(hot, _in_group(by), "left_anti")
         chosen = df.join(hot, _in_group(by), "left_semi")
@@ -95,12 +94,12 @@ def running_total(df: DataFrame, by: list[str], order: list[str], out: str,
     sums = ranged.groupBy(*[col(k) for k in by], "_range").agg(F.sum(step).alias("_sum"))
     earlier = (Window.partitionBy(*[col(k) for k in by]).orderBy("_range")
                .rowsBetween(Window.unboundedPreceding, -1))
-    # at most one row per range plus one per hot group: bounded by 2 * MAX_RANGES
+    # one row per range and group in it
     starts = sums.select(*[col(k).alias(f"_hot_{k}") for k in by], F.col("_range").alias("_at"),
                          F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     same = F.col("_range") == F.col("_at")
     joined = (ranged.withColumn(out, total_within(["_range", *by]))
-              .join(F.broadcast(starts), same & _in_group(by) if by else same))
+              .join(starts, same & _in_group(by) if by else same))
     hot = joined.withColumn(out, col(out) + F.col("_start")).select(*[col(c) for c in (*df.columns, out)])
     return _together(cold, hot)
 
@@ -128,7 +127,7 @@ def previous_value(df: DataFrame, by: list[str], order: list[str], value: str, o
     same = F.col("_range") == F.col("_at")
     joined = (ranged.withColumn("_lag", F.lag(col(value)).over(inside))
               .withColumn("_place", F.row_number().over(inside))
-              .join(F.broadcast(carried), same & _in_group(by) if by else same))
+              .join(carried, same & _in_group(by) if by else same))
     hot = (joined.withColumn(out, F.when(F.col("_place") == 1, F.col("_carried")).otherwise(F.col("_lag")))
            .select(*[col(c) for c in (*df.columns, out)]))
     return _together(cold, hot)

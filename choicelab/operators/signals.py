@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from choicelab.operators.aggregates import grand_average
-from choicelab.operators.joins import attach, lookup, significance_mask
+from choicelab.operators.joins import attach, significance_mask
 from choicelab.operators.ranking import col
 from choicelab.operators.windows import quantile_bins, zscore
 
@@ -56,7 +56,7 @@ def average_reference(long: DataFrame, at: list[str], value: str = "value") -> D
 def apply_channel_matrix(long: DataFrame, matrix: DataFrame, at: list[str], channel: str = "channel",
                          value: str = "value") -> DataFrame:
     """Linear map of channels: ``matrix`` is (in_ch, out_ch, w)."""
-    weights = lookup(matrix).withColumnRenamed("in_ch", channel)
+    weights = matrix.withColumnRenamed("in_ch", channel)
     return long.join(weights, channel).groupBy(*map(col, at), F.col("out_ch").alias(channel)).agg(
         F.sum(col(value) * F.col("w")).alias(value))
 

@@ -164,28 +164,28 @@ def compare_models(spark, sf):
     return _rounded(post.compare_models(elpd, "model", _OBS), ["elpd", "p", "elpd_diff", "se", "dse"], 4)
 
 
-_EM_ROUNDS = 12
+_EM_ROUNDS = 30_000
 
 
 def _em_sql() -> str:
-    """The rounds of the weight update written out one after the other."""
+    """The optimum by the multiplicative update, repeated until it stands still at the digits compared."""
+    each = range(len(FORMS))
     wide = ", ".join(f"max(CASE WHEN model = '{f}' THEN loo END) AS e{i}" for i, f in enumerate(FORMS))
-    top = f"greatest({', '.join(f'e{i}' for i in range(len(FORMS)))})"
-    steps = [f"wide AS (SELECT participant, moneylevel, painlevel, accepted, any_value(n) AS n, {wide} FROM el2 GROUP BY ALL)",
-             f"dens AS (SELECT n, {', '.join(f'exp(e{i} - {top}) AS p{i}' for i in range(len(FORMS)))} FROM wide)",
-             f"w0 AS (SELECT {', '.join(f'{1 / len(FORMS)}::DOUBLE AS a{i}' for i in range(len(FORMS)))})"]
-    mix = " + ".join(f"a{i} * p{i}" for i in range(len(FORMS)))
-    for r in range(_EM_ROUNDS):
-        shares = ", ".join(f"sum(a{i} * p{i} / mix * n) / sum(n) AS a{i}" for i in range(len(FORMS)))
-        steps.append(f"w{r + 1} AS (SELECT {shares} FROM (SELECT *, {mix} AS mix FROM dens, w{r}))")
-    rows = " UNION ALL ".join(f"SELECT '{f}' AS model, round(a{i}, 4) AS weight FROM w{_EM_ROUNDS}" for i, f in enumerate(FORMS))
-    return ", ".join(steps) + " " + rows
-
-
-@query("stacking_weights", f"WITH {_POINT}, {_em_sql()}")
+    top = f"greatest({', '.join(f'e{i}' for i in each)})"
+    mix = " + ".join(f"a{i} * p{i}" for i in each)
+    shares = ", ".join(f"sum(a{i} * p{i} / ({mix}) * n) / sum(n)" for i in each)
+    rows = " UNION ALL ".join(f"SELECT '{f}' AS model, round(a{i}, 3) AS weight FROM w WHERE r = {_EM_ROUNDS}" for i, f in enumerate(FORMS))
+    return f"""wide AS (SELECT participant, moneylevel, painlevel, accepted, any_value(n) AS n, {wide} FROM el2 GROUP BY ALL),
+dens AS MATERIALIZED (SELECT n::DOUBLE AS n, {', '.join(f'exp(e{i} - {top}) AS p{i}' for i in each)} FROM wide),
+w(r, {', '.join(f'a{i}' for i in each)}) AS (SELECT 0, {', '.join(f'{1 / len(FORMS)}::DOUBLE' for _ in each)}
+  UNION ALL SELECT any_value(r) + 1, {shares} FROM w, dens WHERE r < {_EM_ROUNDS} HAVING any_value(r) IS NOT NULL)
+{rows}"""
+
+
+@query("stacking_weights", f"WITH RECURSIVE {_POINT}, {_em_sql()}")
 def stacking_weights(spark, sf):
     elpd = post.pointwise_elpd(pointwise(spark, sf), ["model"], _OBS, "loo")
-    return _rounded(post.stacking_weights(elpd, "model", FORMS, _OBS, iterations=_EM_ROUNDS, tolerance=0.0), ["weight"], 4)
+    return _rounded(post.stacking_weights(elpd, "model", FORMS, _OBS), ["weight"], 3)
 
 
 # --- diffusion models -------------------------------------------------------

@@ -195,8 +195,35 @@ SELECT participant, CAST(sum(accepted) AS BIGINT) AS accept_sum, round(avg(accep
 FROM trials GROUP BY participant""")
 def accept_rates(spark, sf):
     t = views.trials(spark, sf)
-    return t.groupBy("participant").agg(F.sum("accepted").alias("accept_sum"),
-                                        F.round(F.avg("accepted"), 6).alias("perc_accept"))
+    rates = ag.accept_rate(t, "participant").withColumn("perc_accept", F.round("perc_accept", 6))
+    return ag.accept_sum(t, "participant").join(rates, "participant")
+
+
+@query("filter_notnull", f"""WITH {TRIALS}
+SELECT participant, painlevel, count(*) AS n FROM (SELECT *, CASE WHEN accepted = 1 THEN rt END AS accept_rt FROM trials)
+WHERE accept_rt IS NOT NULL GROUP BY ALL""")
+def filter_notnull(spark, sf):
+    t = views.trials(spark, sf).withColumn("accept_rt", F.when(F.col("accepted") == 1, F.col("rt")))
+    return ag.value_counts(shaping.filter_notnull(t, "accept_rt"), ["participant", "painlevel"])
+
+
+@query("order_by_index", f"""WITH {TRIALS}
+SELECT participant, l_orderkey, l_linenumber, rt FROM trials ORDER BY participant, l_orderkey, l_linenumber""")
+def order_by_index(spark, sf):
+    t = views.trials(spark, sf).select("participant", "l_orderkey", "l_linenumber", "rt")
+    return shaping.order_by_index(t, ["participant", "l_orderkey", "l_linenumber"])
+
+
+@query("attach_subject_params", f"""WITH {TRIALS},
+params AS (SELECT participant, avg(painlevel) AS mean_pain, max(moneylevel) AS top_money FROM trials WHERE accepted = 1 GROUP BY participant)
+SELECT participant, painlevel, count(*) AS n, round(any_value(mean_pain), 6) AS mean_pain, any_value(top_money) AS top_money
+FROM trials LEFT JOIN params USING (participant) GROUP BY participant, painlevel""")
+def attach_subject_params(spark, sf):
+    t = views.trials(spark, sf)
+    params = t.filter("accepted = 1").groupBy("participant").agg(F.avg("painlevel").alias("mean_pain"), F.max("moneylevel").alias("top_money"))
+    joined = joins.attach_subject_params(t, params, "participant")
+    return joined.groupBy("participant", "painlevel").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.first("mean_pain"), 6).alias("mean_pain"), F.first("top_money").alias("top_money"))
 
 
 @query("flip_rt", f"""WITH {TRIALS}

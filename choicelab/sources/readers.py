@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +34,7 @@ def read_subject_tables(spark: SparkSession, pattern: str, cols: list[str], sep:
     One scan over many files matches columns by position, so files are read
     apart per distinct header; with a single header they are read by the pattern
     and no file name reaches the driver. A wanted column that a file lacks
-    becomes null. ``subject_in_path`` is a pattern whose first group is the
+    becomes null; a file that goes away before it is read is an error. ``subject_in_path`` is a pattern whose first group is the
     subject id; with ``missing="stop"`` an ``expected`` subject without a file is
     an error.
     """
@@ -45,10 +46,10 @@ def read_subject_tables(spark: SparkSession, pattern: str, cols: list[str], sep:
         if absent:
             raise FileNotFoundError(f"no table for {absent}")
     distinct = [r["header"] for r in heads.select("header").distinct().collect()]
-    reader = spark.read.option("header", True).option("sep", sep).option("ignoreMissingFiles", True)
+    reader = spark.read.option("header", True).option("sep", sep)
     tables = []
     for header in distinct:
-        names = [n.strip('"') for n in header.split(sep)]
+        names = next(csv.reader([header], delimiter=sep))
         files = pattern if len(distinct) == 1 else [r["file"] for r in heads.filter(F.col("header") == header).collect()]
         table = reader.schema(", ".join(f"`{n}` string" for n in names)).csv(files)
         wanted = [col(c) if c in names else F.lit(None).cast("string").alias(c) for c in cols]

@@ -53,9 +53,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def widen(df: DataFrame) -> DataFrame:
-    """Share the rows of a few input files among all cores before heavy work per row.
+    """Deal rows evenly to the session's shuffle partitions before heavy work per row.
 
-    Input with at least one file per core is split well enough and left alone.
+    How the input is cut into files then does not matter.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(shuffle_tasks(df.sparkSession))

@@ -94,3 +94,10 @@ def test_row_operators_on_a_stream(spark, tmp_path):
     finally:
         run.stop()
     assert sorted((r["painlevel"], r["acceptance_pair"]) for r in spark.table("coded_trials").collect()) == [(1, None), (2, "M")]
+
+
+def test_quoted_header_and_several_headers(spark, tmp_path):
+    for name, text in (("1", 'a,"b,x",c\n1,2,3\n'), ("2", "c,a\n6,4\n"), ("3", 'a,"b,x",c\n7,8,9\n')):
+        (tmp_path / f"sub-{name}.csv").write_text(text)
+    got = readers.read_subject_tables(spark, str(tmp_path / "sub-*.csv"), ["a", "b,x", "c"], sep=",")
+    assert sorted(map(tuple, got.collect())) == [("1", "2", "3"), ("4", None, "6"), ("7", "8", "9")]
