@@ -12,7 +12,7 @@ FF = Factor("f", ("a", "b", "c"))
 G = Factor("g", ("x", "y"))
 
 
-def test_design_names():
+def test_design_names(spark):
     assert list(design_columns([("n",), ("n", FF)])) == ["Intercept", "n", "n:C(f)[T.b]", "n:C(f)[T.c]"]
     assert list(design_columns([("n", FF)])) == ["Intercept", "n:C(f)[a]", "n:C(f)[b]", "n:C(f)[c]"]
     assert list(design_columns([(FF,)], intercept=False)) == ["C(f)[a]", "C(f)[b]", "C(f)[c]"]
