@@ -13,9 +13,12 @@ def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") ->
     """Join an aggregate back to the rows it describes, a null key being a key like any other.
 
     Nothing runs here: adaptive execution knows the aggregate's size by the time it
-    joins, and then broadcasts it below the threshold or splits skewed partitions.
+    joins, and then broadcasts it below the threshold or splits skewed partitions. For
+    the latter the aggregate is dealt out anew, else the rows would have to follow its
+    partitions.
     A semi or anti join keeps the usual meaning of null: no match.
     """
+    table = table.hint("rebalance")
     if how in ("left_semi", "left_anti"):
         return df.join(table, on, how)
     renamed = table.withColumnsRenamed({k: f"_on_{k}" for k in on})
