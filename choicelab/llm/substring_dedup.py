@@ -5,18 +5,19 @@ among REACH bytes on either side; in text that repeats itself, once in a period
 at most. Ends depend on the bytes around them only, so
 inserted text moves no other end and a passage is cut alike wherever it stands.
 Chunks are compared by digest. Runs of chunks that occur in other documents are
-then grown byte by byte against another document with the same chunk, and
-passages with more than ``most_words`` words are reported.
+then grown word by word as far as any other document with the same chunk agrees, and
+passages with more than ``most_words`` words are reported, in parts by the document
+that has them first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from os.path import commonprefix
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from choicelab.llm.batches import bound_batches, starts_of, whole_groups
@@ -28,10 +29,13 @@ WINDOW = 16
 REACH = 24
 PAD = 32
 SPACING = 16
-#: Bytes around a run that are compared with another occurrence.
+#: Bytes around a run that are compared with other occurrences, and words after which fewer of them go on.
 CONTEXT = 512
+WORD_STEPS = (0, 1, 4, 16)
 #: Words that a run of whole chunks must have to be grown; far fewer than any reported passage holds.
 FEW_WORDS = 10
+#: Whole chunks with this share of ``most_words`` tell a part's source: a passage cuts some of its words off at its ends.
+WINDOW_SHARE = 0.6
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -62,7 +66,7 @@ def _spaced(ends: np.ndarray) -> np.ndarray:
 
 
 def chunks(part: Slice) -> tuple[np.ndarray, ...]:
-    """text, number, start, end (bytes), words that begin inside, digest of each chunk of a slice."""
+    """text, number, start, end (bytes), words that begin inside, digest, continuation bytes before start and end, bytes of the chunks before and after, of each chunk of a slice."""
     texts = part.texts()
     raw = np.frombuffer(b" " * PAD + (b" " * PAD).join(texts) + b" " * PAD, np.uint8)
     sizes = np.diff(part.offsets)
@@ -91,145 +95,251 @@ def chunks(part: Slice) -> tuple[np.ndarray, ...]:
     opening = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
     words = np.searchsorted(opening, cut) - np.searchsorted(opening, start)
     number = np.arange(len(cut)) - np.repeat(first, np.diff(np.append(first, len(cut))))
-    return text, number, start - begin[text], cut - begin[text], words, RangeHasher(raw)(start, cut)
+    after = np.concatenate([[0], np.cumsum((raw & 0xC0) == 0x80)])
+    wide, wide_end = after[start] - after[begin[text]], after[cut] - after[begin[text]]
+    sizes_, inside = cut - start, number > 0
+    earlier = np.where(inside, np.concatenate([[0], sizes_[:-1]])[:len(cut)], 0)
+    later = np.where(np.append(inside[1:], False)[:len(cut)], np.append(sizes_[1:], 0)[:len(cut)], 0)
+    return text, number, start - begin[text], cut - begin[text], words, RangeHasher(raw)(start, cut), wide, wide_end, earlier, later
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, number, start, end, words, digest of every chunk; staged."""
+    """doc_id, text_key, number, start, end, words, wide, wide_end, before, after, digest of every chunk, see ``chunks``; staged."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(2)):
-                text, number, start, end, words, digest = chunks(part)
+                text, number, start, end, words, digest, *more = chunks(part)
                 at = pa.array(text + part.first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in (number, start, end, words)), pa.array(digest.view(np.int64))],
-                    names=["doc_id", "text_key", "number", "start", "end", "words", "digest"])
+                    [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in (number, start, end, words, *more)), pa.array(digest.view(np.int64))],
+                    names=["doc_id", "text_key", "number", "start", "end", "words", "wide", "wide_end", "before", "after", "digest"])
 
-    return stage(docs.mapInArrow(run, "doc_id long, text_key long, number int, start int, end int, words int, digest long"), "chunks")
+    return stage(docs.mapInArrow(run, "doc_id long, text_key long, number int, start int, end int, words int, wide int, wide_end int, before int, after int, digest long"), "chunks")
 
 
-def _runs(marked: DataFrame) -> DataFrame:
-    """Runs of consecutive repeated chunks of a text, with their first and last digest."""
+def _runs(marked: DataFrame, window: int) -> DataFrame:
+    """Repeated chunks of every text with their run, and the windows of chunks that begin and end at each.
+
+    Consecutive repeated chunks are a run, named by its first chunk's number; runs below FEW_WORDS
+    words have none. A window is the shortest row of a run's chunks from its begin, or to its end, with
+    ``window`` words, or the whole run if it has fewer: digest and number of chunks, null where there is none.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["doc_id", "text_key"]):
             doc, key, number = (table[k].to_numpy() for k in ("doc_id", "text_key", "number"))
             again = np.zeros(len(doc), bool)  # rows of ``docs`` that repeat id and text
             again[1:] = (doc[1:] == doc[:-1]) & (key[1:] == key[:-1]) & (number[1:] == number[:-1])
-            table = table.filter(pa.array(~again))
+            table = table.filter(pa.array(~again)).combine_chunks()
             doc, key, number = (table[k].to_numpy() for k in ("doc_id", "text_key", "number"))
-            first = starts_of(doc, key, number - np.arange(len(number)))
+            at = np.arange(len(doc))
+            first = starts_of(doc, key, number - at)
+            stop = np.append(first[1:], len(doc))
+            sums = np.concatenate([[0], np.cumsum(table["words"].to_numpy(), dtype=np.int64)])
+            words = sums[stop] - sums[first]
+            of = np.repeat(np.arange(len(first)), stop - first)
+            end = np.searchsorted(sums, sums[at] + window)  # first end with enough words
+            whole = (at == first[of]) & (words[of] < window)
+            end = np.where(whole, stop[of], end)
+            long_ = words[of] >= FEW_WORDS
+            begun = (end <= stop[of]) & long_
+            begin = np.searchsorted(sums, sums[1:] - window, "right") - 1  # last begin with enough words
+            ended = (begin >= first[of]) & long_
+            ended[ended] = end[begin[ended]] != at[ended] + 1  # others are listed at their begin
+            hasher = RangeHasher(table["digest"].to_numpy().view(np.uint64))
+            ahead = hasher(at, np.where(begun, end, at)).view(np.int64)
+            behind = hasher(np.where(ended, begin, at), at + 1).view(np.int64)
+            columns = {"run": pa.array(number[first][of].astype(np.int32), mask=~long_), "head": pa.array(long_ & (at == first[of])), "tail": pa.array(long_ & (at == stop[of] - 1)),
+                       "ahead": pa.array(ahead, mask=~begun), "n_ahead": pa.array((end - at).astype(np.int32), mask=~begun),
+                       "behind": pa.array(behind, mask=~ended), "n_behind": pa.array((at + 1 - begin).astype(np.int32), mask=~ended)}
+            for name, column in columns.items():
+                table = table.append_column(name, column)
+            yield from table.combine_chunks().to_batches()
+
+    keys = ["doc_id", "text_key", "number"]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema), "run int, head boolean, tail boolean, ahead long, n_ahead int, behind long, n_behind int"])
+    return stage(marked.repartition("doc_id", "text_key").sortWithinPartitions(*keys).mapInArrow(run, schema), "runs")
+
+
+def _sourced(chunks_: DataFrame) -> DataFrame:
+    """Runs with their parts: the sources and the code points where they begin; staged.
+
+    A chunk's source is the smallest id with a window that covers it, consecutive chunks of one source are a part.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["doc_id", "text_key", "run"]):
+            behind, span, low = (table[k].to_numpy() for k in ("behind", "span", "low"))
+            left = np.cumsum(~behind) - 1
+            left = np.where(behind, left - span + 1, left)
+            table = table.filter(pa.array(~behind))
+            doc, key, name, start, end, wide, wide_end, words = (table[k].to_numpy() for k in ("doc_id", "text_key", "run", "start", "end", "wide", "wide_end", "words"))
+            source = doc.copy()
+            for k in range(int(span.max(initial=0))):
+                more = span > k
+                left, span, low = left[more], span[more], low[more]
+                np.minimum.at(source, left + k, low)
+            first = starts_of(doc, key, name)
             last = np.append(first[1:], len(doc)) - 1
-            words = np.add.reduceat(table["words"].to_numpy(), first)
-            long_ = words >= FEW_WORDS
-            first, last, words = first[long_], last[long_], words[long_]
-            at = {k: table[k].to_numpy() for k in ("start", "end", "digest")}
+            part = starts_of(doc, key, name, source)
+            cuts = np.searchsorted(part, np.append(first, len(doc))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (doc[first], key[first], at["start"][first], at["end"][last], words.astype(np.int32), at["digest"][first], at["digest"][last])],
-                names=["doc_id", "text_key", "start", "end", "words", "head", "tail"])
+                [pa.array(x) for x in (doc[first], key[first], name[first], start[first], end[last], np.add.reduceat(words, first).astype(np.int64), (end - wide_end)[last].astype(np.int64))]
+                + [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[part].astype(np.int64))) for x in (source, start - wide)],
+                names=["doc_id", "text_key", "run", "start", "end", "words", "stop", "sources", "points"])
 
-    keys = ["doc_id", "text_key", "number"]
-    return (marked.repartition("doc_id", "text_key").sortWithinPartitions(*keys)
-            .mapInArrow(run, "doc_id long, text_key long, start int, end int, words int, head long, tail long"))
+    keys = ["doc_id", "text_key", "run"]
+    def windows(behind: bool, digest: str, span: str) -> Column:
+        return F.struct(F.lit(behind).alias("behind"), F.col(digest).alias("window"), F.coalesce(span, F.lit(0)).alias("span"))
+
+    either = F.filter(F.array(windows(False, "ahead", "n_ahead"), windows(True, "behind", "n_behind")), lambda w: ~w["behind"] | w["window"].isNotNull())
+    listed = chunks_.filter("run is not null").select(*keys, "number", "start", "end", "wide", "wide_end", "words", F.explode(either).alias("w")).select("*", "w.*").drop("w")
+    lows = stage(listed.filter("window is not null").groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("_high")).filter("low < _high").drop("_high"), "windows")
+    rows = listed.join(lows.hint("merge"), "window", "left").drop("window").withColumn("low", F.coalesce("low", "doc_id"))
+    schema = "doc_id long, text_key long, run int, start int, end int, words long, stop long, sources array<long>, points array<long>"
+    return stage(rows.repartition("doc_id", "text_key").sortWithinPartitions(*keys, "number", "behind").mapInArrow(run, schema), "parts")
 
 
 def _contexts(places: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, place, side, bytes, points: the bytes before (L) or around (R) places of texts, and the code points before; staged.
+    """doc_id, text_key, place, side, digest, asks, bytes: the ``reach`` bytes before (L) or after (R) places of texts; staged.
 
-    What is around a place begins with the byte before it.
+    A text has a blank before and after it. What is after a place begins with the byte before it.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text")):
-                of, place, sides, around, points = [], [], [], [], []
+                rows = []
                 for k, (text, wanted) in enumerate(zip(part.texts(), batch.column("places").slice(part.first, len(part)).to_pylist()), part.first):
-                    before = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-                    for p, side in ((w["place"], w["side"]) for w in wanted):
-                        of.append(k)
-                        place.append(p)
-                        sides.append(side)
-                        around.append(text[max(0, p - CONTEXT):p] if side == "L" else text[max(0, p - 1):p + CONTEXT])
-                        points.append(int(before[p]))
+                    text = b" " + text + b" "
+                    for w in wanted:
+                        p = w["place"] + 1
+                        around = text[max(0, p - w["reach"]):p] if w["side"] == "L" else text[p - 1:p + w["reach"]]
+                        rows.append((k, w["place"], w["side"], w["digest"], w["asks"], around))
+                of, place, side, digest, asks, around = zip(*rows) if rows else [()] * 6
                 at = pa.array(of, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(place, pa.int32()), pa.array(sides, pa.string()), pa.array(around, pa.binary()), pa.array(points, pa.int64())],
-                    names=["doc_id", "text_key", "place", "side", "bytes", "points"])
+                    [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(place, pa.int32()), pa.array(side, pa.string()), pa.array(digest, pa.int64()), pa.array(asks, pa.bool_()), pa.array(around, pa.binary())],
+                    names=["doc_id", "text_key", "place", "side", "digest", "asks", "bytes"])
 
-    wanted = stage(places.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("place", "side")).alias("places")), "places")  # bounded by the text's length
-    schema = "doc_id long, text_key long, place int, side string, bytes binary, points long"
+    asked = F.collect_list(F.struct("place", "side", "digest", "asks", "reach"))
+    wanted = stage(places.groupBy("doc_id", "text_key").agg(asked.alias("places")), "places")  # bounded by the text's length
+    schema = "doc_id long, text_key long, place int, side string, digest long, asks boolean, bytes binary"
     return stage(wanted.join(docs, ["doc_id", "text_key"]).mapInArrow(run, schema), "contexts")
 
 
-def _shared(own: bytes, other: bytes | None) -> bytes:
-    return own[:len(commonprefix([own, other]))] if other is not None else b""
+def word_steps(side: str, around: bytes) -> list[int]:
+    """Bytes up to the first, second, ... begin of a word to the left or end of a word to the right."""
+    solid = ~_BLANK[np.frombuffer(around, np.uint8)]
+    if side == "L":
+        return (len(around) - 1 - np.flatnonzero(solid[1:] & ~solid[:-1]))[::-1].tolist()
+    return (np.flatnonzero(solid[1:-1] & ~solid[2:]) + 1).tolist()
 
 
-def grow(words: int, left: bytes, right: bytes, others: list[tuple[bytes | None, bytes | None]]) -> tuple[bytes, bytes, int]:
-    """The bytes by which a run grows to the left and right, without parts of words, and its words then.
+def _shared_steps(contexts: DataFrame) -> DataFrame:
+    """side, digest, bytes, steps: per context of a run's end and number of words, the smallest id that shares them.
 
-    ``others`` has what is left and right of other occurrences of the run's ends; what is
-    right begins with the last byte of the run.
+    Only words that documents of two ids share are listed. All occurrences of the chunk take part: they are grouped by
+    the next word, those that share it with a run of another document by the next ones, and so on.
+    """
+    fringes = stage(contexts.groupBy("side", "digest", "bytes").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("asks").alias("asks"))
+                    .withColumn("fringe", F.monotonically_increasing_id()), "fringes")
+
+    def cut(begin: int, end: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                of, number, keys = [], [], []
+                for k, (side, around) in enumerate(zip(batch.column("side").to_pylist(), batch.column("bytes").to_pylist())):
+                    for n, length in enumerate(word_steps(side, around)[begin:end], begin + 1):
+                        part = around[len(around) - length:] if side == "L" else around[1:length + 1]
+                        of.append(k)
+                        number.append(n)
+                        keys.append(int.from_bytes(blake2b(part, digest_size=8).digest(), "little", signed=True))
+                at = pa.array(of, pa.int64())
+                names = ["fringe", "side", "digest", "lo", "hi", "asks"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array(number, pa.int32()), pa.array(keys, pa.int64())], names=[*names, "n", "key"])
+        return run
+
+    live, steps, keys = fringes, None, ["side", "digest", "key"]
+    for begin, end in zip(WORD_STEPS, [*WORD_STEPS[1:], CONTEXT]):
+        rows = stage(live.mapInArrow(cut(begin, end), "fringe long, side string, digest long, lo long, hi long, asks boolean, n int, key long"), "prefixes")
+        both = rows.groupBy(*keys).agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.max("asks").alias("wanted")).filter("wanted and least < most")
+        found = stage(rows.join(stage(both.select(*keys, "least"), "shared-prefixes").hint("merge"), keys).select("fringe", "n", "least", "asks"), "found-prefixes")
+        own = found.filter("asks").select("fringe", "n", "least")
+        steps = own if steps is None else steps.unionByName(own)
+        live = stage(live.join(found.filter(F.col("n") == end).select("fringe"), "fringe"), "live-fringes")
+    listed = steps.groupBy("fringe").agg(F.collect_list(F.struct("n", "least")).alias("steps"))  # bounded by CONTEXT
+    return stage(fringes.filter("asks").join(listed, "fringe").select("side", "digest", "bytes", "steps"), "steps")
+
+
+def _grown(own: int, source: int, side: str, around: bytes, steps: list[dict]) -> tuple[int, int, int]:
+    """Words that a run gains, code points, and those of them that stay with the run's part.
+
+    What the part's document keeps is its own; of a part that goes, words stay that no document before it has.
     """
-    gain = max((_shared(left[::-1], x[::-1] if x is not None else None)[::-1] for x, _ in others), key=len, default=b"")
-    if gain and len(gain) < len(left) and not _BLANK[gain[0]] and not _BLANK[left[-len(gain) - 1]]:
-        gain = gain[next((k for k, b in enumerate(gain) if _BLANK[b]), len(gain)):]
-    more = max((_shared(right, x) for _, x in others), key=len, default=b"")
-    if more and len(more) < len(right) and not _BLANK[more[-1]] and not _BLANK[right[len(more)]]:
-        more = more[:max((k + 1 for k, b in enumerate(more) if _BLANK[b]), default=1)]
-    before = left[:len(left) - len(gain)][-1:]
-    return gain, more[1:], words + _openings(before, gain) + _openings(more[:1], more[1:])
+    lengths = word_steps(side, around)
+    shared = {s["n"]: s["least"] for s in steps}
+    most = max(shared, default=0)
+    along = most if source == own else max((n for n, least in shared.items() if least != own), default=0)
 
+    def points(n: int) -> int:
+        part = around[len(around) - lengths[n - 1]:] if side == "L" else around[1:lengths[n - 1] + 1]
+        return sum(b & 0xC0 != 0x80 for b in part)
 
-def _openings(before: bytes, part: bytes) -> int:
-    """Words that begin in ``part``."""
-    solid = [not _BLANK[b] for b in part]
-    return sum(s and not p for s, p in zip(solid, [bool(before) and not _BLANK[before[0]], *solid]))
+    inside = side == "R" and len(around) > 1 and not _BLANK[around[0]] and not _BLANK[around[1]]  # its last word is counted
+    return max(0, most - inside), points(most) if most else 0, points(along) if along else 0
 
 
 def repeated_passages(docs: DataFrame, most_words: int = 50) -> DataFrame:
-    """doc_id, start, end (code points), n_words, first_doc_id, kept: passages that other documents share.
-
-    One row per passage of more than ``most_words`` words whose chunks all occur in a
-    document of another id; ``first_doc_id`` is the smallest id with the passage's first
-    chunk, and a passage stays where it is the document's own. White space takes no part
-    in counting. Null and empty texts have no passages; rows that repeat id and text count
-    once; an empty table gives an empty result. Other columns are ignored.
+    """doc_id, start, end (code points), n_words, first_doc_id, kept, passage_start, passage_end: passages that other documents share.
+
+    A passage has more than ``most_words`` words, and its chunks all occur in a document of
+    another id. It has one row per part from one source, with the words and place of the
+    whole passage: ``first_doc_id`` is the smallest id that shares about WINDOW_SHARE of
+    ``most_words`` words there, and a part stays where it is the document's own. So is
+    what no single document shares. Parts may meet inside a word. White space takes no part
+    in counting. Null and empty texts and rows with a null id have no passages; rows that
+    repeat id and text count once; an empty table gives an empty result. Other columns are
+    ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").filter("doc_id is not null and text is not null")
     table = chunk_table(texts)
-    place = F.struct("doc_id", "text_key", "start", "end")
     repeated = stage(table.groupBy("digest").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).filter("_low < _high").select("digest"), "repeated")
-    marked = stage(table.join(repeated.hint("merge"), "digest"), "marked")
-    runs = stage(_runs(marked), "plain-runs")
-    needed = stage(runs.select(F.explode(F.array("head", "tail")).alias("digest")).distinct(), "run-digests")
-    repeated = stage(marked.join(needed, "digest").groupBy("digest").agg(F.min(place).alias("a"), F.max(place).alias("b")), "occurrences")
-    ends = stage(runs.join(repeated.select(F.col("digest").alias("head"), F.col("a").alias("head_a"), F.col("b").alias("head_b")), "head")
-                 .join(repeated.select(F.col("digest").alias("tail"), F.col("a").alias("tail_a"), F.col("b").alias("tail_b")), "tail")
-                 .withColumn("_run", F.monotonically_increasing_id()), "run-ends")
-    around = {  # per run: itself, and the first and last occurrence of its first and last chunk
-        "own_L": ("doc_id", "text_key", "start"), "own_R": ("doc_id", "text_key", "end"),
-        **{f"{o}_L": (f"head_{o}.doc_id", f"head_{o}.text_key", f"head_{o}.start") for o in "ab"},
-        **{f"{o}_R": (f"tail_{o}.doc_id", f"tail_{o}.text_key", f"tail_{o}.end") for o in "ab"}}
-    asked = ends.select("_run", F.col("doc_id").alias("own_doc"), "words", F.col("head_a.doc_id").alias("first_doc_id"), F.explode(F.array(*(
-        F.struct(F.lit(name).alias("name"), F.lit(name[-1]).alias("side"), *(F.col(c).alias(n) for c, n in zip(where, ("doc_id", "text_key", "place"))))
-        for name, where in around.items()))).alias("p")).select("_run", "own_doc", "words", "first_doc_id", "p.*")
+    chunks_ = _runs(table.join(repeated.hint("merge"), "digest"), max(FEW_WORDS, int(most_words * WINDOW_SHARE)))
+    runs = _sourced(chunks_)
+
+    def reach(neighbour: str) -> Column:
+        """A longer gain would hold the neighbouring chunk; in text that repeats itself ends are less certain."""
+        return F.when(F.col(neighbour) < 2 * SPACING, CONTEXT).otherwise(F.least(F.col(neighbour) + 2 * PAD, F.lit(CONTEXT))).cast("int")
+
+    def places(flag: str, side: str, place: str, neighbour: str) -> DataFrame:
+        wanted = stage(chunks_.filter(flag).select("digest").distinct(), "end-digests")
+        return chunks_.join(wanted.hint("merge"), "digest").select(
+            "doc_id", "text_key", F.col(place).alias("place"), F.lit(side).alias("side"), "digest", F.col(flag).alias("asks"), reach(neighbour).alias("reach"))
+
+    contexts = _contexts(places("head", "L", "start", "before").unionByName(places("tail", "R", "end", "after")), texts)
     keys = ["doc_id", "text_key", "place", "side"]
-    contexts = _contexts(asked.select(*keys), texts)
-    own = ["_run", "own_doc", "words", "first_doc_id"]
-    compared = asked.join(contexts, keys).groupBy(*own).agg(F.collect_list(F.struct("name", "doc_id", "bytes", "points")).alias("seen"))
+    gains = contexts.filter("asks").join(_shared_steps(contexts).hint("merge"), ["side", "digest", "bytes"]).select(*keys, "bytes", "steps").dropDuplicates(keys)
+    ends = runs.select("doc_id", "text_key", "run", F.explode(F.array(*(F.struct(F.col(c).alias("place"), F.lit(s).alias("side")) for c, s in (("start", "L"), ("end", "R"))))).alias("p"))
+    gained = (ends.select("doc_id", "text_key", "run", "p.*").join(gains, keys).groupBy("doc_id", "text_key", "run")
+              .agg(F.collect_list(F.struct("side", "bytes", "steps")).alias("gains")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                seen = {s["name"]: s for s in r["seen"]}
-                other = {name: s["bytes"] if s["doc_id"] != r["own_doc"] else None for name, s in seen.items()}
-                left, right = seen["own_L"], seen["own_R"]
-                gain, more, n = grow(r["words"], left["bytes"], right["bytes"], [(other["a_L"], other["a_R"]), (other["b_L"], other["b_R"])])
-                if n > most_words:
-                    out.append((r["own_doc"], left["points"] - len(gain.decode(errors="ignore")), right["points"] + len(more.decode(errors="ignore")), n, r["first_doc_id"]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [()] * 5)], names=["doc_id", "start", "end", "n_words", "first_doc_id"])
-
-    found = compared.mapInArrow(run, "doc_id long, start long, end long, n_words long, first_doc_id long")
-    return found.withColumn("kept", F.col("doc_id") == F.col("first_doc_id"))
+                doc, sources, points = r["doc_id"], r["sources"], [*r["points"], r["stop"]]
+                gain = {g["side"]: g for g in r["gains"] or []}
+                (more_l, left, along_l), (more_r, right, along_r) = (
+                    _grown(doc, source, side, gain[side]["bytes"], gain[side]["steps"]) if side in gain else (0, 0, 0) for side, source in (("L", sources[0]), ("R", sources[-1])))
+                n, begin, end = r["words"] + more_l + more_r, points[0] - left, points[-1] + right
+                if n <= most_words:
+                    continue
+                points[0] -= along_l
+                points[-1] += along_r
+                parts = [(begin, points[0], doc)] * (begin < points[0]) + list(zip(points, points[1:], sources)) + [(points[-1], end, doc)] * (points[-1] < end)
+                out += [(doc, a, b, n, source, begin, end) for a, b, source in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [()] * 7)], names=names)
+
+    names = ["doc_id", "start", "end", "n_words", "first_doc_id", "passage_start", "passage_end"]
+    found = runs.drop("start", "end").join(gained, ["doc_id", "text_key", "run"], "left").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return found.select(*names[:5], (F.col("doc_id") == F.col("first_doc_id")).alias("kept"), *names[5:])

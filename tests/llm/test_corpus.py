@@ -341,6 +341,24 @@ def test_passages(spark, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_of_several_sources(spark):
+    b, c = long_text(120, 31, 10**6), long_text(120, 32, 10**6)
+    alone = [long_text(80, 33 + k, 10**6) for k in range(4)]
+    opening = long_text(90, 39, 10**6)
+    rows = [(3, f"{alone[0]} {b} {alone[1]}"), (10, f"{opening} {b} {c}"), (20, f"{opening} {b} {c}"), (30, f"{alone[2]} {b} {c}"), (40, f"{alone[3]} {c}")]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = dict(rows)
+    words = {r.doc_id: (r.n_words, whole[r.doc_id][r.passage_start:r.passage_end].strip()) for r in found}
+    assert words == {3: (120, b), 10: (330, whole[10]), 20: (330, whole[20]), 30: (240, f"{b} {c}"), 40: (120, c)}
+    left = {}
+    for doc, text in rows:  # without the parts that go
+        gone = sorted((r.start, r.end) for r in found if r.doc_id == doc and not r.kept)
+        left[doc] = "".join(text[a:z] for a, z in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(text)]))
+    assert left[3] == whole[3] and left[20].strip() == "" and left[30].strip() == alone[2] and left[40].strip() == alone[3]
+    inner = set(b.split()[15:-15])
+    assert not inner & set(left[10].split()) and opening in left[10] and c in left[10]
+
+
 def test_chunks_resist_insertions():
     import pyarrow as pa
 
