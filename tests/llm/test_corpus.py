@@ -359,6 +359,30 @@ def test_passages_of_several_sources(spark):
     assert not inner & set(left[10].split()) and opening in left[10] and c in left[10]
 
 
+def test_passages_beside_a_stock_phrase(spark):
+    import pyarrow as pa
+
+    from choicelab.llm.text import slices
+
+    def cut(text):
+        _, _, start, end, _, digest, *_ = substring_dedup.chunks(next(slices(pa.array([text]))))
+        return list(zip(start.tolist(), end.tolist(), digest.tolist()))
+
+    alone = [long_text(80, 50 + k, 10**6) for k in range(6)]
+    for seed in itertools.count(60):  # a passage whose first whole chunk begins late, and other texts with this chunk
+        passage = long_text(55, seed, 10**6)
+        five, seven = f"{alone[0]} {passage} {alone[1]}", f"{alone[2]} {passage} {alone[3]}"
+        same = {d for *_, d in cut(seven)}
+        start, end, digest = next(x for x in cut(five) if x[2] in same)
+        phrase = five[start - 16:end + 40]
+        others = [f"{t}{phrase} {t}" for t in alone[4:]]
+        if start - five.index(passage) > 50 and all(digest in {d for *_, d in cut(t)} for t in others):
+            break
+    rows = [(1, others[0]), (5, five), (7, seven), (99, others[1])]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, dict(rows)[r.doc_id][r.passage_start:r.passage_end]) for r in found} == {5: (55, passage), 7: (55, passage)}
+
+
 def test_chunks_resist_insertions():
     import pyarrow as pa
 
