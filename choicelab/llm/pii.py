@@ -4,8 +4,9 @@ Base entities (mail addresses, IP addresses, card and phone numbers) are found b
 regular expressions. They are the seeds: the word before one and the shape of the
 entity make a lexical pattern, and patterns and instances form a graph. In rounds a
 pattern is scored by the share of its instances that are trusted, and an instance
-by the patterns that extract it. Confident patterns then mark identifiers of the
-same shape that the base patterns do not accept.
+by the patterns that extract it and whose kind it takes, so that instances found
+in one round make patterns of their own in the next. Confident patterns then mark
+identifiers of the same shape that the base patterns do not accept.
 """
 
 from __future__ import annotations
@@ -108,8 +109,8 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _shape(value: Column) -> Column:
-    """The value with its letters as a, digits as 9."""
-    return F.regexp_replace(F.regexp_replace(value, "[A-Za-z]", "a"), "[0-9]", "9")
+    """The value with its runs of letters as a, runs of digits as 9."""
+    return F.regexp_replace(F.regexp_replace(value, "[A-Za-z]+", "a"), "[0-9]+", "9")
 
 
 def _candidates(text: Column, spans: Column) -> Column:
@@ -139,22 +140,25 @@ def confident_patterns(words: DataFrame) -> DataFrame:
     """context, shape, kind, confidence of the patterns to use; staged.
 
     ``words`` has one row per candidate. Edges of the graph are the distinct (pattern, value);
-    a value is trusted fully as a seed, else by the noisy-or of its patterns' confidence, and a
-    pattern's confidence is the mean trust of its values.
+    a value is trusted fully as a seed, else by the noisy-or of its patterns' confidence, with the kind
+    of the most confident one. A pattern's confidence is the mean trust of its values, its kind the most trusted one.
     """
     edges = stage(words.groupBy("context", "shape", "value").agg(F.max("kind").alias("kind")), "pii-edges")
     of_pattern = ["context", "shape"]
 
     def scored(rows: DataFrame) -> DataFrame:
-        return stage(rows.groupBy(*of_pattern).agg(F.avg("trust").alias("confidence"), F.count(F.lit(1)).alias("support"), F.max("kind").alias("kind"))
-                     .filter("kind is not null and confidence > 0"), "pii-patterns")
+        trusted = F.array_max(F.array(*(F.struct(F.sum(F.when(F.col("kind") == k, F.col("trust")).otherwise(0.0)).alias("trust"), F.lit(-k).alias("minus")) for k in range(len(NAMES)))))
+        return stage(rows.groupBy(*of_pattern).agg(F.avg("trust").alias("confidence"), F.count(F.lit(1)).alias("support"), (-trusted["minus"]).alias("kind"))
+                     .filter("confidence > 0"), "pii-patterns")
 
-    seeds = edges.withColumn("trust", F.col("kind").isNotNull().cast("double"))
-    patterns = scored(seeds)
+    patterns = scored(edges.withColumn("trust", F.col("kind").isNotNull().cast("double")))
     for _ in range(ROUNDS - 1):
         doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999))))
-        values = stage(edges.filter("kind is null").join(patterns.drop("kind"), of_pattern).groupBy("value").agg((1 - F.exp(doubt)).alias("by_pattern")), "pii-values")
-        patterns = scored(seeds.join(values, "value", "left").withColumn("trust", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("by_pattern", F.lit(0.0)))))
+        likely = F.max(F.struct(F.col("confidence"), (-F.col("kind")).alias("minus")))
+        values = stage(edges.filter("kind is null").drop("kind").join(patterns, of_pattern).groupBy("value")
+                       .agg((1 - F.exp(doubt)).alias("by_pattern"), (-likely["minus"]).alias("by_kind")), "pii-values")
+        trust = F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("by_pattern", F.lit(0.0)))
+        patterns = scored(edges.join(values, "value", "left").select(*of_pattern, "value", trust.alias("trust"), F.coalesce("kind", "by_kind").alias("kind")))
     return patterns.filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select(*of_pattern, "kind", "confidence")
 
 

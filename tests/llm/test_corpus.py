@@ -257,6 +257,14 @@ def test_pii_finds_new_identifiers(spark):
     assert "phone" in got[900] and got[901] == ""
 
 
+def test_pii_in_later_rounds(spark):
+    odd = [f"{300 + k}.1.2.{k}" for k in range(20)]  # no addresses, but found beside seeds
+    lines = [f"source {k % 200 + 1}.{k % 7}.9.{k % 250}" for k in range(400)] + [f"source {v}" for v in odd]
+    rows = list(enumerate([*lines, *(f"host {v}" for v in odd)])) + [(900, "host 999.88.7.6"), (901, "port 999.88.7.7")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[400] == f"ip:7:{7 + len(odd[0])}" and got[900] == "ip:5:15" and got[901] == ""
+
+
 def accuracy(spark, query, label, folds, fold):
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{oracle.ROOT}/sf0.01/labels.parquet").collect()}
     rows = queries.QUERIES[query](spark, f"{oracle.ROOT}/sf0.01").collect()
