@@ -4,7 +4,7 @@ Unit vectors are rotated and split into BLOCKS blocks. Two vectors at squared
 distance t or less are within t / BLOCKS in one block at least, so each block is
 joined by that range and the union of the candidates is verified with all
 components; a pair counts in the first block that finds it. Within a block rows
-are cut into cells as wide as the range along its first coordinate: partners are
+are cut into cells as wide as the block's range along its first coordinate: partners are
 in the same or the next cell. A cell is cut into chunks, and two chunks meet in
 one task as matrices, so no pair becomes a row: per row its number of partners
 and a spanning forest of the links go out.
@@ -49,7 +49,7 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, classes
 
 
-def _cells(classes: DataFrame, radius: float) -> DataFrame:
+def _cells(classes: DataFrame, budget: float) -> DataFrame:
     """block, cell, id, copies, embedding: every row in its cell of each block, and as a visitor in the cell below."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,9 +58,9 @@ def _cells(classes: DataFrame, radius: float) -> DataFrame:
                 at = np.flatnonzero(sizes == dims)
                 part = batch.take(pa.array(at))
                 units = _units(part.column("embedding").flatten().to_numpy(zero_copy_only=False), int(dims)) @ rotation(int(dims))
-                firsts = _splits(int(dims))[:-1]
-                for block, first in enumerate(firsts):
-                    cell = np.floor(units[:, first] / radius).astype(np.int32)
+                splits = _splits(int(dims))
+                for block, first in enumerate(splits[:-1]):
+                    cell = np.floor(units[:, first] / np.sqrt(_share(budget, splits, block) + SLACK)).astype(np.int32)
                     for back in (0, 1):
                         rows = [pa.array(np.full(len(at), dims, np.int32)), pa.array(np.full(len(at), block, np.int32)), pa.array(cell - back), pa.array(np.full(len(at), back == 1))]
                         yield pa.RecordBatch.from_arrays([*rows, part.column("id")], names=["dims", "block", "cell", "visits", "id"])
@@ -72,6 +72,11 @@ def _splits(dims: int) -> np.ndarray:
     return np.linspace(0, dims, min(BLOCKS, dims) + 1).astype(int)
 
 
+def _share(budget: float, splits: np.ndarray, block: int) -> float:
+    """The part of the budget that a block's dimensions have."""
+    return budget * (splits[block + 1] - splits[block]) / splits[-1]
+
+
 def _units(values: np.ndarray, dims: int) -> np.ndarray:
     rows = values.astype(np.float64).reshape(-1, dims)
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
@@ -80,9 +85,6 @@ def _units(values: np.ndarray, dims: int) -> np.ndarray:
 
 def _found(x: np.ndarray, y: np.ndarray, block: int, splits: np.ndarray, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows within the block's budget and in no earlier block's, in bounded portions."""
-    def share(k: int) -> float:
-        return budget * (splits[k + 1] - splits[k]) / splits[-1]
-
     def side(rows: np.ndarray, factor: float, last: bool) -> np.ndarray:
         own = rows[:, splits[block]:splits[block + 1]]
         square, one = (own * own).sum(axis=1, keepdims=True), np.ones((len(own), 1))
@@ -91,14 +93,15 @@ def _found(x: np.ndarray, y: np.ndarray, block: int, splits: np.ndarray, budget:
     right = side(y, -2.0, True).T.copy()
     left = side(x, 1.0, False)
     for at in range(0, len(x), STRIP):
-        near = np.flatnonzero(left[at:at + STRIP] @ right <= np.float32(share(block) + SLACK))
+        near = np.flatnonzero(left[at:at + STRIP] @ right <= np.float32(_share(budget, splits, block) + SLACK))
         for k in range(0, len(near), 20_000):
             i, j = np.divmod(near[k:k + 20_000], len(y))
             i = i + at
-            for earlier in range(block):
-                a, b = splits[earlier], splits[earlier + 1]
-                later = ((x[i, a:b] - y[j, a:b]) ** 2).sum(axis=1) > share(earlier)
-                i, j = i[later], j[later]
+            for of in range(block + 1):  # without the search's slack, so that no pair counts in two blocks
+                a, b = splits[of], splits[of + 1]
+                within = ((x[i, a:b] - y[j, a:b]) ** 2).sum(axis=1) <= _share(budget, splits, of)
+                good = within if of == block else ~within
+                i, j = i[good], j[good]
             yield i, j
 
 
@@ -114,7 +117,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     bound_batches(vectors.sparkSession)
     budget = 2 - 2 * cosine
     rows, classes = _classes(vectors)
-    placed = stage(_cells(classes, float(np.sqrt(budget / BLOCKS)) + SLACK), "cells")
+    placed = stage(_cells(classes, budget), "cells")
     keys = ["dims", "block", "cell"]
     sizes = stage(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.sum((~F.col("visits")).cast("int")).alias("own")).filter("own > 0 and size > 1"), "cell-sizes")
     chunked = placed.join(sizes, keys).withColumn("_n", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))

@@ -330,6 +330,22 @@ def test_vectors(spark):
     assert got == {k: (sum(k in p for p in linked), least[k], least[k] == k) for k in range(len(values))}
 
 
+def test_vectors_of_uneven_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows, expected = [], {}
+    for dims, n in ((2, 300), (3, 500), (6, 600), (10, 600)):
+        v = rng.standard_normal((n, dims))
+        v[n // 2:] = v[:n - n // 2] + 0.42 * np.linalg.norm(v[:n - n // 2], axis=1, keepdims=True) * rng.standard_normal((n - n // 2, dims)) / np.sqrt(dims)
+        v = v.astype(np.float32)
+        units = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+        links = (units @ units.T >= 0.9).sum(axis=1) - 1
+        expected |= {1000 * dims + k: int(x) for k, x in enumerate(links)}
+        rows += [(1000 * dims + k, x.tolist()) for k, x in enumerate(v)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(table).collect()}
+    assert got == expected, [(k, got[k], expected[k]) for k in expected if got[k] != expected[k]][:20]
+
+
 def test_vectors_in_chunks(spark, monkeypatch):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     plain = sorted(map(tuple, embedding_dedup.near_vectors(table).collect()))
