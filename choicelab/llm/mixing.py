@@ -22,6 +22,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     Sources by code point, null last, weigh 1, 2, 3, repeating. No target is above
     MOST_EPOCHS times its source; what is above goes to the others by weight. Filling
     starts with the source that reaches its limit first, so one pass finds the level.
+    One task sorts the sums, a row per source: meant for sources that fit one task, not for URLs as sources.
     """
     sums = sizes.groupBy("source_key", "_named", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
