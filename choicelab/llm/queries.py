@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from choicelab.llm import embedding_dedup, exact_dedup, html_extract, mixing, near_dedup, packing, pii, quality, substring_dedup, toxicity
+from choicelab.llm import (
+    embedding_dedup,
+    exact_dedup,
+    filter_audit,
+    html_extract,
+    mixing,
+    near_dedup,
+    packing,
+    pii,
+    prefix_trie,
+    quality,
+    sharding,
+    substring_dedup,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +114,21 @@ def op7_pigeonhole_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chunked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of more than 50 words that documents share."""
     return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_prefix_trie", prefix_trie.SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+@_query("op12_filter_audit", filter_audit.SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source, order of the five filters and step with what the step removes."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op13_jump_shards", sharding.sql())
+def op13_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard and its place there."""
+    return sharding.assign(_table(spark, sf_dir, "documents"))
