@@ -76,9 +76,9 @@ def _codings(factors: tuple, spanned: set[frozenset]) -> list[dict[Factor, bool]
     return pieces
 
 
-def design_columns(terms: list[Term], intercept: bool = True) -> dict[str, Column]:
-    """Name -> column expression of the design matrix, in term order."""
-    out: dict[str, Column] = {"Intercept": F.lit(1.0)} if intercept else {}
+def design_cells(terms: list[Term], intercept: bool = True) -> dict[str, tuple[tuple[str, ...], tuple[tuple[str, str], ...]]]:
+    """Name -> (numeric columns, (factor column, level) pairs) whose product is a column of the design, in term order."""
+    out: dict[str, tuple] = {"Intercept": ((), ())} if intercept else {}
     spanned: dict[frozenset, set[frozenset]] = {frozenset(): {frozenset()} if intercept else set()}
     for term in dict.fromkeys(terms):
         numbers = tuple(r for r in term if not isinstance(r, Factor))
@@ -91,12 +91,19 @@ def design_columns(terms: list[Term], intercept: bool = True) -> dict[str, Colum
                 labels = {f: f"{f.label}[{level}]" if full else f"{f.label}[T.{level}]" for f, level, full in pick}
                 shown = [r if not isinstance(r, Factor) else labels[r] for r in term
                          if not isinstance(r, Factor) or r in labels]
-                value = F.lit(1.0)
-                for n in numbers:
-                    value = value * F.col(f"`{n}`").cast("double")
-                for f, level, _ in pick:
-                    value = value * F.when(F.col(f"`{f.name}`") == level, 1.0).when(
-                        F.col(f"`{f.name}`").isNotNull(), 0.0)
-                out[":".join(shown) or "Intercept"] = value
+                out[":".join(shown) or "Intercept"] = (numbers, tuple((f.name, level) for f, level, _ in pick))
         done.update(_subsets(factors))
     return out
+
+
+def design_columns(terms: list[Term], intercept: bool = True) -> dict[str, Column]:
+    """Name -> column expression of the design matrix, in term order."""
+    out = {}
+    for name, (numbers, levels) in design_cells(terms, intercept).items():
+        value = F.lit(1.0)
+        for n in numbers:
+            value = value * F.col(f"`{n}`").cast("double")
+        for f, level in levels:
+            value = value * F.when(F.col(f"`{f}`") == level, 1.0).when(F.col(f"`{f}`").isNotNull(), 0.0)
+        out[name] = value
+    return out

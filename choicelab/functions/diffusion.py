@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,3 +68,51 @@ def wiener_loglik(rt: Column, response: Column, v: Column, a: Column, t: Column,
     """Log-likelihood of one trial under the contaminated model."""
     density = wiener_density(rt, response, v, a, t, z, terms)
     return F.ln((1 - P_OUTLIER) * density + P_OUTLIER * OUTLIER_DENSITY)
+
+
+CHUNK_POINTS = 1 << 16  # stays in a core's cache
+
+
+def _series(u: np.ndarray, start: np.ndarray, terms: int) -> np.ndarray:
+    """The density's shape at scaled times ``u`` for every start: (len(u), len(start)), 0 where u is not positive."""
+    out = np.zeros((len(u), len(start)))
+    small, large = (u > 0) & (u < 0.25), u >= 0.25
+    near = u[small][:, None]
+    total = np.zeros((near.shape[0], len(start)))
+    for k in range(-(terms // 2), terms // 2 + 1):
+        place = start + 2.0 * k
+        total += place * np.exp(-(place * place) / (2 * near))
+    out[small] = total / np.sqrt(2 * math.pi * near ** 3)
+    far = u[large][:, None]
+    total = np.zeros((far.shape[0], len(start)))
+    for k in range(1, terms + 1):
+        total += k * np.exp(-(k * k * math.pi * math.pi / 2) * far) * np.sin(k * math.pi * start)
+    out[large] = math.pi * total
+    return np.maximum(out, 0.0)
+
+
+def grid_loglik(rt: np.ndarray, upper: np.ndarray, count: np.ndarray, v: np.ndarray, a: np.ndarray, t: np.ndarray,
+                z: np.ndarray, terms: int = 7) -> np.ndarray:
+    """Summed contaminated log-likelihood of counted trials at every point of v x a x t x z.
+
+    The series depend on a, t and z only and are shared by all drifts. Trials are
+    taken in chunks, so memory depends on the grid and not on their number.
+    """
+    total = np.zeros((len(v), len(a), len(t), len(z)))
+    chunk = max(1, CHUNK_POINTS // total.size)
+    for side in (True, False):
+        own = np.flatnonzero(upper == side)
+        start, drift = (1 - z, -v) if side else (z, v)
+        lift = drift[:, None, None] * a[None, :, None] * start[None, None, :]  # v, a, z
+        for at in range(0, len(own), chunk):
+            some = own[at:at + chunk]
+            time = rt[some][:, None] - t[None, :]
+            u = time[:, None, :] / (a * a)[None, :, None]
+            shape = _series(u.ravel(), start, terms).reshape(*u.shape, len(z)) / (a * a)[None, :, None, None]
+            spent = (drift * drift)[None, :, None] * np.maximum(time, 0.0)[:, None, :] / 2  # trial, v, t
+            density = np.exp(-lift[None, :, :, None, :] - spent[:, :, None, :, None])
+            density *= shape[:, None]
+            density *= 1 - P_OUTLIER
+            density += P_OUTLIER * OUTLIER_DENSITY
+            total += np.tensordot(count[some], np.log(density, out=density), axes=(0, 0))
+    return total

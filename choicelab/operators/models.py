@@ -9,17 +9,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from choicelab.functions import diffusion, value
-from choicelab.functions.design import Term, design_columns
+from choicelab.functions.design import Term
 from choicelab.operators.joins import attach
 from choicelab.operators.ranking import col
-from choicelab.staging import spread, widen
+from choicelab.operators.regression import Model, cell_regressions, pooled_regressions
+from choicelab.operators.surface import collapse_trials, loglik_points, surface, with_weights
+from choicelab.staging import spread
 
 
 def _numbers(values) -> Column:
@@ -128,43 +127,18 @@ def ez_diffusion(trials: DataFrame, by: list[str], response: str = "accepted", r
     return cells.withColumns(fitted)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
-    """Least squares from sums of products (upper triangle); null where the design is rank deficient."""
-    out = []
-    for upper, b in zip(xx, xy):
-        b = np.asarray(b, dtype=float)
-        a = np.zeros((len(b), len(b)))
-        a[np.triu_indices(len(b))] = upper
-        a += np.triu(a, 1).T
-        size = np.sqrt(np.maximum(np.diag(a), 1e-300))
-        scaled = a / np.outer(size, size)
-        full = np.isfinite(scaled).all() and np.linalg.matrix_rank(scaled, tol=1e-10) == len(b)
-        out.append(list(np.linalg.solve(scaled, b / size) / size) if full else None)
-    return pd.Series(out)
-
-
 def regression_by(df: DataFrame, by: list[str], y: str, terms: list[Term], intercept: bool = True,
                   link=None) -> DataFrame:
-    """Ordinary least squares per group as (by, term, beta).
+    """Ordinary least squares per group as (by, term, beta, n).
 
-    ``link`` transforms the response, identity by default. Only sums of products
-    are aggregated, so a group of any size costs one buffer per partial.
+    ``link`` transforms the response, identity by default. A task sends one triangular
+    factor per group, so a group of any size costs a few kilobytes per task. Groups
+    whose design is rank deficient give no rows.
     """
-    design = design_columns(terms, intercept)
-    names = list(design)
-    target = (link(col(y)) if link else col(y)).cast("double")
-    rows = df.select(*map(col, by), target.alias("_y"), *[e.alias(f"_x{i}") for i, e in enumerate(design.values())])
-    rows = rows.dropna(subset=["_y", *[f"_x{i}" for i in range(len(names))]])
-    x = [F.col(f"_x{i}") for i in range(len(names))]
-    sums = rows.groupBy(*map(col, by)).agg(
-        F.array(*[F.sum(a * b) for i, a in enumerate(x) for b in x[i:]]).alias("_xx"), F.array(*[F.sum(a * F.col("_y")) for a in x]).alias("_xy"),
-        F.count(F.lit(1)).alias("n"))
-    solved = sums.select(*map(col, by), "n", _solve("_xx", "_xy").alias("_beta"))
-    labels = F.array(*[F.lit(n) for n in names])
-    # groups without a solution have no array and give no rows
-    return (solved.select(*map(col, by), "n", F.posexplode("_beta").alias("_i", "beta"))
-            .select(*map(col, by), F.element_at(labels, F.col("_i") + 1).alias("term"), "beta", "n"))
+    target = link(col(y)) if link else col(y)
+    model = Model((), "_response", tuple(terms), intercept)
+    fitted = pooled_regressions(df.withColumn("_response", target), by, [model], aliased=False)
+    return fitted.select(*map(col, by), "term", "beta", "n")
 
 
 def subject_regression(cells: DataFrame, params: dict[str, tuple[bool, list[Term]]], subject: str = "participant",
@@ -179,6 +153,41 @@ def subject_regression(cells: DataFrame, params: dict[str, tuple[bool, list[Term
     return reduce(DataFrame.unionByName, fits)
 
 
+def catalog_models(catalog: dict[int, dict], constants: tuple[str, ...]) -> tuple[list[Model], list[Model]]:
+    """Models named (version, param) that are fitted per subject, and those that need all subjects.
+
+    A regressor in ``constants`` has one value per subject, so its effect can only be
+    seen between subjects.
+    """
+    within, pooled = [], []
+    for version, params in catalog.items():
+        for param, (intercept, terms) in params.items():
+            between = any(r in constants for term in terms for r in term)
+            (pooled if between else within).append(Model((version, param), param, tuple(terms), intercept))
+    return within, pooled
+
+
+def catalog_effects(cells: DataFrame, catalog: dict[int, dict], constants: tuple[str, ...] = (), subject: str = "participant") -> DataFrame:
+    """Every model of a catalog: version, param, fit, term, mean, se, t, n.
+
+    Models without between-subject regressors are fitted per subject, and mean, se and t
+    are over the ``n`` subjects whose coefficient is known. The others are fitted once to
+    the ``n`` cells of all subjects. All models of a kind share one pass over ``cells``.
+    """
+    within, pooled = catalog_models(catalog, constants)
+    t = F.when(F.col("se") > 0, F.col("mean") / F.col("se")).alias("t")
+    names = "version int, param string"
+    parts = []
+    if within:
+        betas = cell_regressions(cells, subject, within, names)
+        effects = group_effects(betas, ["version", "param", "term"])
+        parts.append(effects.select("version", "param", F.lit("subject").alias("fit"), "term", "mean", "se", t, F.col("n_subjects").alias("n")))
+    if pooled:
+        fitted = pooled_regressions(cells, [], pooled, names).withColumnRenamed("beta", "mean")
+        parts.append(fitted.select("version", "param", F.lit("pooled").alias("fit"), "term", "mean", "se", t, "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def group_effects(betas: DataFrame, keys: list[str], value_col: str = "beta") -> DataFrame:
     """Mean, standard error, t and number of subjects per coefficient."""
     stats = betas.groupBy(*map(col, keys)).agg(
@@ -191,16 +200,8 @@ def wiener_grid(trials: DataFrame, by: list[str], v_grid, a_grid, t_grid, z_grid
                 rt: str = "rt", terms: int = 7) -> DataFrame:
     """Summed diffusion log-likelihood per group and grid point, with its posterior
     weight under a flat prior on the grid."""
-    rows = trials.filter(col(response).isNotNull() & col(rt).isNotNull())
-    rows = rows.select(*map(col, by), col(response).alias("_response"), col(rt).cast("double").alias("_rt"))
-    rows = widen(rows)
-    for name, values in (("v", v_grid), ("a", a_grid), ("t", t_grid), ("z", z_grid)):
-        rows = rows.withColumn(name, F.explode(_numbers(values)))
-    loglik = diffusion.wiener_loglik(F.col("_rt"), F.col("_response"), F.col("v"), F.col("a"), F.col("t"), F.col("z"), terms)
-    grid = rows.groupBy(*map(col, by), "v", "a", "t", "z").agg(F.sum(loglik).alias("loglik"))
-    one = Window.partitionBy(*map(col, by))
-    shifted = grid.withColumn("_e", F.exp(F.col("loglik") - F.max("loglik").over(one)))
-    return shifted.withColumn("weight", F.col("_e") / F.sum("_e").over(one)).drop("_e")
+    axes = {"v": v_grid, "a": a_grid, "t": t_grid, "z": z_grid}
+    return with_weights(surface(collapse_trials(trials, by, response, rt), by, axes, terms), by)
 
 
 def wiener_params(grid: DataFrame, by: list[str]) -> DataFrame:
@@ -215,8 +216,4 @@ def wiener_params(grid: DataFrame, by: list[str]) -> DataFrame:
 def loglik_at(trials: DataFrame, params: DataFrame, by: list[str], response: str = "accepted", rt: str = "rt",
               terms: int = 7) -> DataFrame:
     """Summed diffusion log-likelihood at one parameter set per group."""
-    rows = trials.filter(col(response).isNotNull() & col(rt).isNotNull())
-    rows = rows.select(*map(col, by), col(response).alias("_response"), col(rt).cast("double").alias("_rt"))
-    joined = attach(widen(rows), params.select(*map(col, by), "v", "a", "t", "z"), by, "inner")
-    loglik = diffusion.wiener_loglik(F.col("_rt"), F.col("_response"), F.col("v"), F.col("a"), F.col("t"), F.col("z"), terms)
-    return joined.groupBy(*map(col, by)).agg(F.sum(loglik).alias("loglik"))
+    return loglik_points(collapse_trials(trials, by, response, rt), params, by, terms)

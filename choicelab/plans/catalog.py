@@ -1,7 +1,7 @@
 """The regression models of the diffusion parameters, as data.
 
 Each version names the parameters that vary (drift v, boundary a, non-decision
-time t, starting point z) and the terms they vary with, in expanded form.
+time t, starting point z) and the formula they vary by.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from choicelab.functions.design import Factor
+from choicelab.functions.formula import parse_formula
 
 # Condition levels and regressor names of the trial table.
 ABS = Factor("Abs_value", ("high_abs", "low_abs", "mid_abs"))
@@ -38,27 +39,22 @@ ROWS = (
     (6, "a", "a ~ 1 + sv_pain_para"),
     (7, "t", "t ~ 1 + sv_money"),
     (8, "a", "a ~ 1 + sv_money"),
-    (9, "v", "v ~ 1 + sv_pain_para + sv_money + sv_pain_para:sv_money"),
-    (10, "v", "v ~ 1 + sv_pain_para + sv_money + sv_pain_para:sv_money"),
-    (10, "t", "t ~ 1 + sv_pain_para + sv_money + sv_pain_para:sv_money"),
-    (10, "a", "a ~ 1 + sv_pain_para + sv_money + sv_pain_para:sv_money"),
-    (10, "z", "z ~ 1 + sv_pain_para + sv_money + sv_pain_para:sv_money"),
+    (9, "v", "v ~ 1 + sv_pain_para + sv_money + sv_pain_para * sv_money"),
+    (10, "v", "v ~ 1 + sv_pain_para + sv_money + sv_pain_para * sv_money"),
+    (10, "t", "t ~ 1 + sv_pain_para + sv_money + sv_pain_para * sv_money"),
+    (10, "a", "a ~ 1 + sv_pain_para + sv_money + sv_pain_para * sv_money"),
+    (10, "z", "z ~ 1 + sv_pain_para + sv_money + sv_pain_para * sv_money"),
     (11, "v", "v ~ 1 + sv_pain_para + sv_money"),
     (12, "v", "v ~ 1 + sv_pain_para + sv_money"),
     (12, "t", "t ~ 1 + sv_pain_para + sv_money"),
     (12, "a", "a ~ 1 + sv_pain_para + sv_money"),
     (12, "z", "z ~ 1 + sv_pain_para + sv_money"),
     (13, "v", "v ~ 1 + sv_both"),
-    (14, "v", "v ~ 1 + sv_both + sv_pain_para + sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money"),
-    (15, "v", "v ~ 1 + sv_both + sv_pain_para + sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money"),
-    (15, "t", "t ~ 1 + sv_both + sv_pain_para + sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money"),
-    (15, "a", "a ~ 1 + sv_both + sv_pain_para + sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money"),
-    (15, "z", "z ~ 1 + sv_both + sv_pain_para + sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money"),
+    (14, "v", "v ~ 1 + sv_both * sv_pain_para * sv_money"),
+    (15, "v", "v ~ 1 + sv_both * sv_pain_para * sv_money"),
+    (15, "t", "t ~ 1 + sv_both * sv_pain_para * sv_money"),
+    (15, "a", "a ~ 1 + sv_both * sv_pain_para * sv_money"),
+    (15, "z", "z ~ 1 + sv_both * sv_pain_para * sv_money"),
     (16, "v", "v ~ 1 + sv_pain_para:C(Abs_value)"),
     (17, "v", "v ~ 1 + sv_pain_para:C(OV_value)"),
     (18, "v", "v ~ 1 + sv_pain_para:C(Abs_Money_Pain)"),
@@ -145,82 +141,32 @@ ROWS = (
     (51, "t", "t ~ 0 + PCS_Score:sv_pain_para:C(acceptance_pair)"),
     (51, "a", "a ~ 0 + PCS_Score:sv_pain_para:C(acceptance_pair)"),
     (51, "z", "z ~ 0 + PCS_Score:sv_pain_para:C(acceptance_pair)"),
-    (52, "v", "v ~ 1 + sv_pain_para + STA_SAI_Score + sv_pain_para:STA_SAI_Score + STA_TAI_Score + sv_pain_para:STA_TAI_Score"
-            " + PCS_Score + sv_pain_para:PCS_Score + STA_SAI_Score:STA_TAI_Score + STA_SAI_Score:PCS_Score"
-            " + STA_TAI_Score:PCS_Score + sv_pain_para:STA_SAI_Score:STA_TAI_Score + sv_pain_para:STA_SAI_Score:PCS_Score"
-            " + sv_pain_para:STA_TAI_Score:PCS_Score + STA_SAI_Score:STA_TAI_Score:PCS_Score"
-            " + sv_pain_para:STA_SAI_Score:STA_TAI_Score:PCS_Score"),
-    (53, "v", "v ~ 1 + sv_pain_para + STA_SAI_Score + sv_pain_para:STA_SAI_Score + STA_TAI_Score + sv_pain_para:STA_TAI_Score"
-            " + PCS_Score + sv_pain_para:PCS_Score + STA_SAI_Score:STA_TAI_Score + STA_SAI_Score:PCS_Score"
-            " + STA_TAI_Score:PCS_Score + sv_pain_para:STA_SAI_Score:STA_TAI_Score + sv_pain_para:STA_SAI_Score:PCS_Score"
-            " + sv_pain_para:STA_TAI_Score:PCS_Score + STA_SAI_Score:STA_TAI_Score:PCS_Score"
-            " + sv_pain_para:STA_SAI_Score:STA_TAI_Score:PCS_Score"),
-    (53, "t", "t ~ 1 + sv_pain_para + STA_SAI_Score + sv_pain_para:STA_SAI_Score + STA_TAI_Score + sv_pain_para:STA_TAI_Score"
-            " + PCS_Score + sv_pain_para:PCS_Score + STA_SAI_Score:STA_TAI_Score + STA_SAI_Score:PCS_Score"
-            " + STA_TAI_Score:PCS_Score + sv_pain_para:STA_SAI_Score:STA_TAI_Score + sv_pain_para:STA_SAI_Score:PCS_Score"
-            " + sv_pain_para:STA_TAI_Score:PCS_Score + STA_SAI_Score:STA_TAI_Score:PCS_Score"
-            " + sv_pain_para:STA_SAI_Score:STA_TAI_Score:PCS_Score"),
-    (53, "a", "a ~ 1 + sv_pain_para + STA_SAI_Score + sv_pain_para:STA_SAI_Score + STA_TAI_Score + sv_pain_para:STA_TAI_Score"
-            " + PCS_Score + sv_pain_para:PCS_Score + STA_SAI_Score:STA_TAI_Score + STA_SAI_Score:PCS_Score"
-            " + STA_TAI_Score:PCS_Score + sv_pain_para:STA_SAI_Score:STA_TAI_Score + sv_pain_para:STA_SAI_Score:PCS_Score"
-            " + sv_pain_para:STA_TAI_Score:PCS_Score + STA_SAI_Score:STA_TAI_Score:PCS_Score"
-            " + sv_pain_para:STA_SAI_Score:STA_TAI_Score:PCS_Score"),
-    (53, "z", "z ~ 1 + sv_pain_para + STA_SAI_Score + sv_pain_para:STA_SAI_Score + STA_TAI_Score + sv_pain_para:STA_TAI_Score"
-            " + PCS_Score + sv_pain_para:PCS_Score + STA_SAI_Score:STA_TAI_Score + STA_SAI_Score:PCS_Score"
-            " + STA_TAI_Score:PCS_Score + sv_pain_para:STA_SAI_Score:STA_TAI_Score + sv_pain_para:STA_SAI_Score:PCS_Score"
-            " + sv_pain_para:STA_TAI_Score:PCS_Score + STA_SAI_Score:STA_TAI_Score:PCS_Score"
-            " + sv_pain_para:STA_SAI_Score:STA_TAI_Score:PCS_Score"),
-    (54, "v", "v ~ 1 + STA_SAI_Score + sv_both + sv_pain_para + sv_money + STA_SAI_Score:sv_both + STA_SAI_Score:sv_pain_para"
-            " + STA_SAI_Score:sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + STA_SAI_Score:sv_both:sv_pain_para + STA_SAI_Score:sv_both:sv_money + STA_SAI_Score:sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money + STA_SAI_Score:sv_both:sv_pain_para:sv_money"),
-    (54, "t", "t ~ 1 + STA_SAI_Score + sv_both + sv_pain_para + sv_money + STA_SAI_Score:sv_both + STA_SAI_Score:sv_pain_para"
-            " + STA_SAI_Score:sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + STA_SAI_Score:sv_both:sv_pain_para + STA_SAI_Score:sv_both:sv_money + STA_SAI_Score:sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money + STA_SAI_Score:sv_both:sv_pain_para:sv_money"),
-    (54, "a", "a ~ 1 + STA_SAI_Score + sv_both + sv_pain_para + sv_money + STA_SAI_Score:sv_both + STA_SAI_Score:sv_pain_para"
-            " + STA_SAI_Score:sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + STA_SAI_Score:sv_both:sv_pain_para + STA_SAI_Score:sv_both:sv_money + STA_SAI_Score:sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money + STA_SAI_Score:sv_both:sv_pain_para:sv_money"),
-    (54, "z", "z ~ 1 + STA_SAI_Score + sv_both + sv_pain_para + sv_money + STA_SAI_Score:sv_both + STA_SAI_Score:sv_pain_para"
-            " + STA_SAI_Score:sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + STA_SAI_Score:sv_both:sv_pain_para + STA_SAI_Score:sv_both:sv_money + STA_SAI_Score:sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money + STA_SAI_Score:sv_both:sv_pain_para:sv_money"),
-    (55, "v", "v ~ 1 + STA_TAI_Score + sv_both + sv_pain_para + sv_money + STA_TAI_Score:sv_both + STA_TAI_Score:sv_pain_para"
-            " + STA_TAI_Score:sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + STA_TAI_Score:sv_both:sv_pain_para + STA_TAI_Score:sv_both:sv_money + STA_TAI_Score:sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money + STA_TAI_Score:sv_both:sv_pain_para:sv_money"),
-    (55, "t", "t ~ 1 + STA_TAI_Score + sv_both + sv_pain_para + sv_money + STA_TAI_Score:sv_both + STA_TAI_Score:sv_pain_para"
-            " + STA_TAI_Score:sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + STA_TAI_Score:sv_both:sv_pain_para + STA_TAI_Score:sv_both:sv_money + STA_TAI_Score:sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money + STA_TAI_Score:sv_both:sv_pain_para:sv_money"),
-    (55, "a", "a ~ 1 + STA_TAI_Score + sv_both + sv_pain_para + sv_money + STA_TAI_Score:sv_both + STA_TAI_Score:sv_pain_para"
-            " + STA_TAI_Score:sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + STA_TAI_Score:sv_both:sv_pain_para + STA_TAI_Score:sv_both:sv_money + STA_TAI_Score:sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money + STA_TAI_Score:sv_both:sv_pain_para:sv_money"),
-    (55, "z", "z ~ 1 + STA_TAI_Score + sv_both + sv_pain_para + sv_money + STA_TAI_Score:sv_both + STA_TAI_Score:sv_pain_para"
-            " + STA_TAI_Score:sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + STA_TAI_Score:sv_both:sv_pain_para + STA_TAI_Score:sv_both:sv_money + STA_TAI_Score:sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money + STA_TAI_Score:sv_both:sv_pain_para:sv_money"),
-    (56, "v", "v ~ 1 + PCS_Score + sv_both + sv_pain_para + sv_money + PCS_Score:sv_both + PCS_Score:sv_pain_para"
-            " + PCS_Score:sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + PCS_Score:sv_both:sv_pain_para + PCS_Score:sv_both:sv_money + PCS_Score:sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money + PCS_Score:sv_both:sv_pain_para:sv_money"),
-    (56, "t", "t ~ 1 + PCS_Score + sv_both + sv_pain_para + sv_money + PCS_Score:sv_both + PCS_Score:sv_pain_para"
-            " + PCS_Score:sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + PCS_Score:sv_both:sv_pain_para + PCS_Score:sv_both:sv_money + PCS_Score:sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money + PCS_Score:sv_both:sv_pain_para:sv_money"),
-    (56, "a", "a ~ 1 + PCS_Score + sv_both + sv_pain_para + sv_money + PCS_Score:sv_both + PCS_Score:sv_pain_para"
-            " + PCS_Score:sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + PCS_Score:sv_both:sv_pain_para + PCS_Score:sv_both:sv_money + PCS_Score:sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money + PCS_Score:sv_both:sv_pain_para:sv_money"),
-    (56, "z", "z ~ 1 + PCS_Score + sv_both + sv_pain_para + sv_money + PCS_Score:sv_both + PCS_Score:sv_pain_para"
-            " + PCS_Score:sv_money + sv_both:sv_pain_para + sv_both:sv_money + sv_pain_para:sv_money"
-            " + PCS_Score:sv_both:sv_pain_para + PCS_Score:sv_both:sv_money + PCS_Score:sv_pain_para:sv_money"
-            " + sv_both:sv_pain_para:sv_money + PCS_Score:sv_both:sv_pain_para:sv_money"),
+    (52, "v", "v ~ 1 + sv_pain_para * STA_SAI_Score + sv_pain_para * STA_TAI_Score + sv_pain_para * PCS_Score"
+            " + sv_pain_para * STA_SAI_Score * STA_TAI_Score * PCS_Score"),
+    (53, "v", "v ~ 1 + sv_pain_para * STA_SAI_Score + sv_pain_para * STA_TAI_Score + sv_pain_para * PCS_Score"
+            " + sv_pain_para * STA_SAI_Score * STA_TAI_Score * PCS_Score"),
+    (53, "t", "t ~ 1 + sv_pain_para * STA_SAI_Score + sv_pain_para * STA_TAI_Score + sv_pain_para * PCS_Score"
+            " + sv_pain_para * STA_SAI_Score * STA_TAI_Score * PCS_Score"),
+    (53, "a", "a ~ 1 + sv_pain_para * STA_SAI_Score + sv_pain_para * STA_TAI_Score + sv_pain_para * PCS_Score"
+            " + sv_pain_para * STA_SAI_Score * STA_TAI_Score * PCS_Score"),
+    (53, "z", "z ~ 1 + sv_pain_para * STA_SAI_Score + sv_pain_para * STA_TAI_Score + sv_pain_para * PCS_Score"
+            " + sv_pain_para * STA_SAI_Score * STA_TAI_Score * PCS_Score"),
+    (54, "v", "v ~ 1 + STA_SAI_Score * (sv_both * sv_pain_para * sv_money)"),
+    (54, "t", "t ~ 1 + STA_SAI_Score * (sv_both * sv_pain_para * sv_money)"),
+    (54, "a", "a ~ 1 + STA_SAI_Score * (sv_both * sv_pain_para * sv_money)"),
+    (54, "z", "z ~ 1 + STA_SAI_Score * (sv_both * sv_pain_para * sv_money)"),
+    (55, "v", "v ~ 1 + STA_TAI_Score * sv_both * sv_pain_para * sv_money"),
+    (55, "t", "t ~ 1 + STA_TAI_Score * sv_both * sv_pain_para * sv_money"),
+    (55, "a", "a ~ 1 + STA_TAI_Score * sv_both * sv_pain_para * sv_money"),
+    (55, "z", "z ~ 1 + STA_TAI_Score * sv_both * sv_pain_para * sv_money"),
+    (56, "v", "v ~ 1 + PCS_Score * sv_both * sv_pain_para * sv_money"),
+    (56, "t", "t ~ 1 + PCS_Score * sv_both * sv_pain_para * sv_money"),
+    (56, "a", "a ~ 1 + PCS_Score * sv_both * sv_pain_para * sv_money"),
+    (56, "z", "z ~ 1 + PCS_Score * sv_both * sv_pain_para * sv_money"),
 )
 
-_FACTORS = {f"C({f.name})": f for f in (ABS, OV, PAIR, ABS_SIDE, OV_SIDE)}
+
+LEVELS = {f.name: f.levels for f in (ABS, OV, PAIR, ABS_SIDE, OV_SIDE)}
 
 
 def _models() -> dict[int, dict]:
@@ -229,8 +175,7 @@ def _models() -> dict[int, dict]:
     for version, param, text in ROWS:
         of_version = models.setdefault(version, {})
         if param:
-            first, *terms = text.split(" ~ ")[1].split(" + ")
-            of_version[param] = (first == "1", [tuple(_FACTORS.get(x, x) for x in term.split(":")) for term in terms])
+            _, *of_version[param] = parse_formula(text, LEVELS)
     return models
 
 

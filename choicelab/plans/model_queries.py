@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choicelab.functions import diffusion, value
-from choicelab.functions.design import design_columns
-from choicelab.operators import joins, models, shaping
+from choicelab.functions.design import design_cells, design_columns
+from choicelab.functions.formula import parse_formula
+from choicelab.operators import joins, models, regression
 from choicelab.operators import posterior as post
-from choicelab.plans import views
-from choicelab.plans.catalog import MODELS, OV, PAIN, PAIR
+from choicelab.operators import surface as surfaces
+from choicelab.plans import catalog, views
+from choicelab.plans.catalog import LEVELS, MODELS, PAIN, ROWS, SCORES
 from choicelab.plans.registry import query
 from choicelab.plans.trial_queries import CODED, coded_trials
+from choicelab.plans.views import SCORES as VIEW_SCORES
 from choicelab.plans.views import SUBJECTS, TRIALS
 from choicelab.staging import stage
 
@@ -93,7 +95,7 @@ def value_params(spark, sf):
     return _rounded(models.value_params(value_posterior(spark, sf)), ["k", "beta"])
 
 
-_SCORED = ["none", "para", "root"]
+_SCORED = FORMS
 
 
 @query("score_value_model", f"""WITH {_PARAMS},
@@ -223,11 +225,13 @@ _ez_query("ez_diffusion_by_abs_side", ["participant", "Abs_Money_Pain"])
 _ez_query("ez_diffusion_by_cell", ["participant", "moneylevel", "painlevel"])
 
 
+Z_GRID = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+_CONDITIONS = ["OV_value", "Abs_value", "acceptance_pair", "OV_Money_Pain", "Abs_Money_Pain"]
+
+
 def level_cells(spark, sf) -> DataFrame:
     """Diffusion parameters per subject and offer with the regressors of the model list."""
-    coded = coded_trials(spark, sf)
-    by = ["participant", "moneylevel", "painlevel", "OV_value", "Abs_value", "acceptance_pair", "OV_Money_Pain", "Abs_Money_Pain"]
-    cells = models.ez_diffusion(coded, by)
+    cells = models.ez_diffusion(coded_trials(spark, sf), ["participant", "moneylevel", "painlevel", *_CONDITIONS])
     return cells.withColumns({"sv_pain_para": value.sv_pain(F.lit(1.0), F.col("painlevel"), "para"),
                               "sv_money": F.col("moneylevel").cast("double"),
                               "sv_both": value.sv_pain(F.lit(1.0), F.col("painlevel"), "para") - F.col("moneylevel")})
@@ -247,11 +251,12 @@ def subject_regression(spark, sf):
 
 
 @query("group_effects", f"""WITH {_CELLS},
-b AS (SELECT participant, regr_slope(v, x) AS beta FROM lc WHERE v IS NOT NULL GROUP BY participant)
-SELECT 'sv_pain_para' AS term, round(avg(beta), 5) AS mean, round(stddev_samp(beta) / sqrt(count(beta)), 5) AS se,
-  round(avg(beta) / (stddev_samp(beta) / sqrt(count(beta))), 4) AS t, count(beta) AS n_subjects FROM b""")
+s AS (SELECT participant, regr_slope(v, x) AS slope, regr_intercept(v, x) AS icept FROM lc WHERE v IS NOT NULL GROUP BY participant),
+b AS (SELECT 'sv_pain_para' AS term, slope AS beta FROM s UNION ALL SELECT 'Intercept', icept FROM s)
+SELECT term, round(avg(beta), 5) AS mean, round(stddev_samp(beta) / sqrt(count(beta)), 5) AS se,
+  round(avg(beta) / (stddev_samp(beta) / sqrt(count(beta))), 4) AS t, count(beta) AS n_subjects FROM b GROUP BY term""")
 def group_effects(spark, sf):
-    betas = models.subject_regression(level_cells(spark, sf), MODELS[1]).filter("term = 'sv_pain_para'")
+    betas = models.subject_regression(level_cells(spark, sf), MODELS[1])
     return _rounded(_rounded(models.group_effects(betas, ["term"]), ["mean", "se"], 5), ["t"], 4)
 
 
@@ -266,17 +271,6 @@ def score_regression(spark, sf):
     return _rounded(models.regression_by(joined, [], "v", [("score",)]), ["beta"])
 
 
-@query("catalog_regressions")
-def catalog_regressions(spark, sf):
-    """Group effects of a set of catalog models, all from one table of cells."""
-    cells = stage(level_cells(spark, sf), "cells")
-    fits = []
-    for version in (1, 2, 3, 9, 12, 16, 17, 25):
-        betas = models.subject_regression(cells, {p: s for p, s in MODELS[version].items() if p != "z"})
-        fits.append(models.group_effects(betas, ["param", "term"]).withColumn("version", F.lit(version)))
-    return _rounded(reduce(DataFrame.unionByName, fits), ["mean", "se", "t"], 4)
-
-
 _DESIGN = {
     "C(OV_value)[high_OV]": "ov = 'high_OV'", "C(OV_value)[low_OV]": "ov = 'low_OV'",
     "C(acceptance_pair)[T.M]": "pair = 'M'", "C(acceptance_pair)[T.P]": "pair = 'P'",
@@ -304,19 +298,24 @@ def design_matrix(spark, sf):
     return t.groupBy("participant").agg(*[F.round(F.sum(F.col(f"`{n}`")), 4).alias(n) for n in design])
 
 
-V_GRID, A_GRID, T_GRID, Z_GRID = [0.5, 1.5, 3.0], [1.0, 2.0], [0.1, 0.3], [0.4, 0.6]
+COARSE = {"v": [-4.0, -2.0, 0.0, 2.0, 4.0], "a": [0.6, 1.0, 1.6, 2.4], "t": [0.05, 0.2, 0.35], "z": [0.25, 0.5, 0.75]}
+FINE = {"v": 5, "a": 4, "t": 4, "z": 4}
+ROUNDS = 4
 TERMS = 7
 
 
-def _density_sql(rt: str, response: str, v: str, a: str, t: str, z: str) -> str:
-    drift = f"(CASE WHEN {response} = 1 THEN -{v} ELSE {v} END)"
-    start = f"(CASE WHEN {response} = 1 THEN 1 - {z} ELSE {z} END)"
-    u = f"(({rt} - {t}) / ({a} * {a}))"
+def _shape_sql(u: str, start: str) -> str:
     small = " + ".join(f"({start} + {2 * k}) * exp(-({start} + {2 * k}) * ({start} + {2 * k}) / (2 * {u}))"
                        for k in range(-(TERMS // 2), TERMS // 2 + 1))
     large = " + ".join(f"{k} * exp(-{k * k * math.pi * math.pi / 2!r}::DOUBLE * {u}) * sin({k * math.pi!r}::DOUBLE * {start})"
                        for k in range(1, TERMS + 1))
-    shape = f"(CASE WHEN {u} < 0.25 THEN ({small}) / sqrt(2 * pi() * {u} * {u} * {u}) ELSE pi() * ({large}) END)"
+    return f"(CASE WHEN {u} <= 0 THEN 0 WHEN {u} < 0.25 THEN ({small}) / sqrt(2 * pi() * {u} * {u} * {u}) ELSE pi() * ({large}) END)"
+
+
+def _density_sql(rt: str, response: str, v: str, a: str, t: str, z: str) -> str:
+    drift = f"(CASE WHEN {response} = 1 THEN -{v} ELSE {v} END)"
+    start = f"(CASE WHEN {response} = 1 THEN 1 - {z} ELSE {z} END)"
+    shape = _shape_sql(f"(({rt} - {t}) / ({a} * {a}))", start)
     return (f"(CASE WHEN {rt} > {t} THEN greatest({shape}, 0) * exp(-{drift} * {a} * {start} - {drift} * {drift} * "
             f"({rt} - {t}) / 2) / ({a} * {a}) ELSE 0 END)")
 
@@ -325,31 +324,71 @@ def _loglik_sql(*args: str) -> str:
     return f"ln({1 - diffusion.P_OUTLIER}::DOUBLE * {_density_sql(*args)} + {diffusion.P_OUTLIER * diffusion.OUTLIER_DENSITY}::DOUBLE)"
 
 
-_WIENER = TRIALS + f""",
-g AS (SELECT v, a, t, unnest({Z_GRID}::DOUBLE[]) AS z FROM (SELECT v, a, unnest({T_GRID}::DOUBLE[]) AS t FROM (
-  SELECT v, unnest({A_GRID}::DOUBLE[]) AS a FROM (SELECT unnest({V_GRID}::DOUBLE[]) AS v)))),
-wl AS (SELECT participant, v, a, t, z, sum({_loglik_sql('rt', 'accepted', 'v', 'a', 't', 'z')}) AS loglik
-  FROM trials, g GROUP BY ALL),
-we AS (SELECT *, exp(loglik - max(loglik) OVER (PARTITION BY participant)) AS e FROM wl),
-w AS (SELECT participant, v, a, t, z, loglik, e / sum(e) OVER (PARTITION BY participant) AS weight FROM we)"""
+_AXES = surfaces.AXES
+
+
+def _weights_sql(name: str, axes: str) -> str:
+    """CTEs: log-likelihood and weight of every participant at every point of its grid. ``axes`` has one list per axis.
+
+    The series does not depend on the drift, so drifts are unnested last.
+    """
+    density = f"greatest(shape, 0) * exp(-drift * a * start_ - drift * drift * spent / 2) / (a * a)"
+    return f"""{name}_l AS (SELECT participant, v, a, t, z, sum(ln({1 - diffusion.P_OUTLIER}::DOUBLE * {density} + {diffusion.P_OUTLIER * diffusion.OUTLIER_DENSITY}::DOUBLE)) AS loglik
+  FROM (SELECT *, CASE WHEN accepted = 1 THEN -v ELSE v END AS drift FROM (SELECT participant, accepted, unnest(vs) AS v, a, t, z, start_, spent, shape
+    FROM (SELECT *, {_shape_sql('u', 'start_')} AS shape FROM (SELECT participant, accepted, vs, a, t, z, greatest(rt - t, 0) AS spent, (rt - t) / (a * a) AS u,
+      CASE WHEN accepted = 1 THEN 1 - z ELSE z END AS start_ FROM trials JOIN (
+        SELECT * REPLACE (unnest(z) AS z) FROM (SELECT * REPLACE (unnest(t) AS t) FROM (SELECT participant, v AS vs, unnest(a) AS a, t, z FROM {axes}))) USING (participant)))))
+  GROUP BY ALL),
+{name}_e AS (SELECT *, exp(loglik - max(loglik) OVER (PARTITION BY participant)) AS e FROM {name}_l),
+{name} AS MATERIALIZED (SELECT participant, v, a, t, z, loglik, e / sum(e) OVER (PARTITION BY participant) AS weight FROM {name}_e)"""
+
+
+def _finer_sql(name: str, before: str) -> str:
+    """CTEs: axes around the mass of the grid before."""
+    def axis(x: str) -> str:
+        low, high = surfaces.LIMITS[x]
+        steps = FINE[x] - 1
+        return (f"list_transform(range({FINE[x]}), lambda i: greatest(m_{x} - r_{x}, {low}::DOUBLE) + "
+                f"(least(m_{x} + r_{x}, {high}::DOUBLE) - greatest(m_{x} - r_{x}, {low}::DOUBLE)) * (i / {steps}::DOUBLE)) AS {x}")
+
+    mass = ", ".join(f"sum(weight * {x}) AS m_{x}, greatest(sum(weight * {x} * {x}) - sum(weight * {x}) * sum(weight * {x}), 0) AS s_{x}, "
+                     f"(max({x}) - min({x})) / greatest(count(DISTINCT {x}) - 1, 1) AS d_{x}" for x in _AXES)
+    reach = ", ".join(f"{surfaces.SPREAD}::DOUBLE * sqrt(s_{x} + d_{x} * d_{x} / 12) AS r_{x}" for x in _AXES)
+    return f"""{name}_m AS (SELECT participant, {mass} FROM {before} GROUP BY participant),
+{name}_r AS (SELECT *, {reach} FROM {name}_m),
+{name} AS (SELECT participant, {', '.join(map(axis, _AXES))} FROM {name}_r)"""
+
+
+def _surface_sql() -> str:
+    lists = ", ".join(f"{COARSE[x]}::DOUBLE[] AS {x}" for x in _AXES)
+    sql = f"{TRIALS}, axes_0 AS (SELECT participant, {lists} FROM (SELECT DISTINCT participant FROM trials)), {_weights_sql('w_0', 'axes_0')}"
+    for i in range(1, ROUNDS + 1):
+        sql += f", {_finer_sql(f'axes_{i}', f'w_{i - 1}')}, {_weights_sql(f'w_{i}', f'axes_{i}')}"
+    return sql + f", w AS (SELECT * FROM w_{ROUNDS})"
+
+
+_WIENER = _surface_sql()
 
 
-def wiener_posterior(spark, sf) -> DataFrame:
-    return models.wiener_grid(views.trials(spark, sf), ["participant"], V_GRID, A_GRID, T_GRID, Z_GRID, terms=TERMS)
+def wiener_posterior(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Collapsed trials and the refined grid of every participant."""
+    collapsed = surfaces.collapse_trials(views.trials(spark, sf), ["participant"])
+    return collapsed, surfaces.refined_surface(collapsed, ["participant"], COARSE, FINE, ROUNDS, TERMS)
 
 
 @query("wiener_grid", f"""WITH {_WIENER}
-SELECT participant, v, a, t, z, round(loglik, 4) AS loglik, round(weight, 6) AS weight FROM w""")
+SELECT participant, round(v, 4) AS v, round(a, 4) AS a, round(t, 4) AS t, round(z, 4) AS z, round(loglik, 3) AS loglik, round(weight, 5) AS weight FROM w""")
 def wiener_grid(spark, sf):
-    return _rounded(_rounded(wiener_posterior(spark, sf), ["loglik"], 4), ["weight"])
+    _, grid = wiener_posterior(spark, sf)
+    return _rounded(_rounded(_rounded(grid, list(_AXES), 4), ["loglik"], 3), ["weight"], 5)
 
 
 @query("wiener_params", f"""WITH {_WIENER}
-SELECT participant, round(sum(weight * v), 6) AS v, round(sum(weight * a), 6) AS a, round(sum(weight * t), 6) AS t,
-  round(sum(weight * z), 6) AS z, max_by(v, [loglik, v, a, t, z]) AS v_map, max_by(a, [loglik, v, a, t, z]) AS a_map,
-  max_by(t, [loglik, v, a, t, z]) AS t_map, max_by(z, [loglik, v, a, t, z]) AS z_map FROM w GROUP BY participant""")
+SELECT participant, round(sum(weight * v), 5) AS v, round(sum(weight * a), 5) AS a, round(sum(weight * t), 5) AS t,
+  round(sum(weight * z), 5) AS z, {', '.join(f"round(max_by({x}, [loglik, v, a, t, z]), 5) AS {x}_map" for x in _AXES)} FROM w GROUP BY participant""")
 def wiener_params(spark, sf):
-    return _rounded(models.wiener_params(wiener_posterior(spark, sf), ["participant"]), ["v", "a", "t", "z"])
+    _, grid = wiener_posterior(spark, sf)
+    return _rounded(models.wiener_params(grid, ["participant"]), [*_AXES, *[f"{x}_map" for x in _AXES]], 5)
 
 
 @query("dic", f"""WITH {_WIENER},
@@ -357,12 +396,137 @@ m AS (SELECT participant, sum(weight * -2 * loglik) AS dbar, sum(weight * v) AS
   sum(weight * z) AS z FROM w GROUP BY participant),
 h AS (SELECT participant, -2 * sum({_loglik_sql('rt', 'accepted', 'v', 'a', 't', 'z')}) AS dhat
   FROM trials JOIN m USING (participant) GROUP BY participant)
-SELECT participant, round(dbar, 4) AS mean_deviance, round(dbar - dhat, 4) AS p_d, round(2 * dbar - dhat, 4) AS dic
+SELECT participant, round(dbar, 3) AS mean_deviance, round(dbar - dhat, 3) AS p_d, round(2 * dbar - dhat, 3) AS dic
 FROM m JOIN h USING (participant)""")
 def dic(spark, sf):
-    t = views.trials(spark, sf)
-    grid = stage(wiener_posterior(spark, sf), "wiener")
-    params = models.wiener_params(grid, ["participant"])
-    plug_in = models.loglik_at(t, params, ["participant"], terms=TERMS)
+    collapsed, grid = wiener_posterior(spark, sf)
+    plug_in = surfaces.loglik_points(collapsed, models.wiener_params(grid, ["participant"]), ["participant"], TERMS)
     draws = grid.select("participant", F.struct("v", "a", "t", "z").alias("draw"), "loglik", "weight")
-    return _rounded(post.dic(draws, plug_in, ["participant"]), ["mean_deviance", "p_d", "dic"], 4)
+    return _rounded(post.dic(draws, plug_in, ["participant"]), ["mean_deviance", "p_d", "dic"], 3)
+
+
+# --- the model list ---------------------------------------------------------
+
+def _text(s: str | None) -> str:
+    return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+
+
+@query("model_catalog", f"SELECT * FROM (VALUES {', '.join(f'({v}::INT, {_text(p)}, {_text(f)})' for v, p, f in ROWS)}) t(version, parameter, formula)")
+def model_catalog(spark, sf):
+    return catalog.model_catalog(spark)
+
+
+def scored_cells(spark, sf) -> DataFrame:
+    """``level_cells`` with the starting point of every cell and the subject's questionnaire scores."""
+    cells = stage(level_cells(spark, sf), "cells")
+    offer = ["participant", "moneylevel", "painlevel"]
+    placed = surfaces.starting_points(views.trials(spark, sf), cells, offer, Z_GRID, terms=TERMS)
+    return joins.left_join(placed, views.scores(spark, sf), ["participant"])
+
+
+def _cell_sql(numbers: tuple, levels: tuple) -> str:
+    parts = [f'"{n}"' for n in numbers] + [f"""(CASE WHEN "{f}" = '{level}' THEN 1 ELSE 0 END)""" for f, level in levels]
+    return "(" + " * ".join(["1::DOUBLE", *parts]) + ")"
+
+
+def _catalog_sql() -> str:
+    """All models by orthogonalising the columns of each design one after the other."""
+    responses = ["v", "a", "t", "z"]
+    many = len(responses)
+    designs: dict[tuple, int] = {}
+    wanted, built, named = [], [], []
+    for pooled, fitted in enumerate(models.catalog_models(MODELS, SCORES)):
+        for m in fitted:
+            cells = design_cells(list(m.terms), m.intercept)
+            key = (pooled, tuple(cells))
+            if key not in designs:
+                designs[key] = len(designs)
+                lists = ", ".join(f"list({e} ORDER BY participant, moneylevel, painlevel)" for e in [*(_cell_sql(*c) for c in cells.values()), *responses])
+                group = "-1::BIGINT" if pooled else "participant"
+                built.append(f"SELECT {designs[key]} AS design, {group} AS g, {len(cells)} AS p, [{lists}] AS cols FROM lc WHERE v IS NOT NULL GROUP BY ALL")
+                named.append(f"({designs[key]}, [{', '.join(map(_text, cells))}])")
+            wanted.append(f"({m.name[0]}, '{m.name[1]}', {designs[key]}, {responses.index(m.response) + 1})")
+    codes = ", ".join(f'any_value("{c}") AS "{c}"' for c in _CONDITIONS)
+    return f"""WITH RECURSIVE {CODED}, {VIEW_SCORES}, {_ez_sql('trials', 'participant, moneylevel, painlevel')},
+kinds AS (SELECT participant, moneylevel, painlevel, {codes} FROM coded GROUP BY ALL),
+zl AS (SELECT participant, moneylevel, painlevel, z, sum({_loglik_sql('trials.rt', 'accepted', 'v', 'a', 't', 'z')}) AS loglik
+  FROM trials JOIN ez USING (participant, moneylevel, painlevel), (SELECT unnest({Z_GRID}::DOUBLE[]) AS z) WHERE v IS NOT NULL GROUP BY ALL),
+ze AS (SELECT *, exp(loglik - max(loglik) OVER (PARTITION BY participant, moneylevel, painlevel)) AS e FROM zl),
+zs AS (SELECT participant, moneylevel, painlevel, sum(e * z) / sum(e) AS z FROM ze GROUP BY ALL),
+lc AS MATERIALIZED (SELECT *, painlevel * painlevel * 0.1::DOUBLE AS sv_pain_para, moneylevel::DOUBLE AS sv_money, painlevel * painlevel * 0.1::DOUBLE - moneylevel AS sv_both
+  FROM ez JOIN kinds USING (participant, moneylevel, painlevel) LEFT JOIN zs USING (participant, moneylevel, painlevel) JOIN scores USING (participant)),
+wanted(version, param, design, place) AS (VALUES {', '.join(wanted)}),
+named(design, names) AS (VALUES {', '.join(named)}),
+matrices AS MATERIALIZED (SELECT *, list_transform(cols, lambda c: list_dot_product(c, c)) AS norms, len(cols[1]) AS n FROM ({' UNION ALL '.join(built)})),
+mgs(design, g, p, n, norms, k, cols, d, coef, alias) AS (
+  SELECT design, g, p, n, norms, 0, cols, 0::DOUBLE, []::DOUBLE[], false FROM matrices
+  UNION ALL
+  SELECT design, g, p, n, norms, k, list_transform(cols, lambda c, j: CASE WHEN coef[j] = 0 THEN c ELSE list_transform(c, lambda x, i: x - coef[j] * q[i]) END), d, coef, alias
+  FROM (SELECT *, list_transform(cols, lambda c, j: CASE WHEN j <= k OR alias THEN 0::DOUBLE ELSE list_dot_product(c, q) / d END) AS coef
+    FROM (SELECT design, g, p, n, norms, k + 1 AS k, cols, cols[k + 1] AS q, list_dot_product(cols[k + 1], cols[k + 1]) AS d,
+                 sqrt(list_dot_product(cols[k + 1], cols[k + 1])) <= {regression.ALIASED!r}::DOUBLE * sqrt(norms[k + 1]) AS alias FROM mgs WHERE k < p))),
+steps AS MATERIALIZED (SELECT design, g, k, d, coef, alias FROM mgs WHERE k > 0),
+back(design, g, p, k, b) AS (
+  SELECT design, g, p, p + 1, list_transform(range(p), lambda i: list_transform(range({many} + p), lambda r: 0::DOUBLE)) FROM matrices
+  UNION ALL
+  SELECT design, g, p, k, list_transform(b, lambda row_, j: CASE WHEN j <> k OR alias THEN row_ ELSE list_transform(row_, lambda x, r:
+      (CASE WHEN r <= {many} THEN coef[p + r] WHEN r - {many} = k THEN 1 ELSE 0 END) - list_sum(list_transform(b, lambda other, i: coef[i] * other[r]))) END)
+  FROM (SELECT back.design, back.g, p, steps.k, b, coef, alias FROM back JOIN steps ON steps.design = back.design AND steps.g = back.g AND steps.k = back.k - 1)),
+fits AS (SELECT e.design, e.g, e.n, e.p, b.b, s.aliased, s.ds, list_transform(list_slice(e.cols, e.p + 1, e.p + {many}), lambda c: list_dot_product(c, c)) AS rss
+  FROM mgs e JOIN back b ON b.design = e.design AND b.g = e.g AND b.k = 1
+  JOIN (SELECT design, g, list(alias ORDER BY k) AS aliased, list(d ORDER BY k) AS ds FROM steps GROUP BY design, g) s ON s.design = e.design AND s.g = e.g WHERE e.k = e.p),
+terms AS (SELECT version, param, names[j] AS term, g, n, j, b, aliased, ds, rss[place] AS rest, place, n - len(list_filter(aliased, lambda x: NOT x)) AS free
+  FROM (SELECT *, unnest(range(1, p + 1)) AS j FROM fits JOIN wanted USING (design) JOIN named USING (design))),
+betas AS (SELECT version, param, term, g, n, CASE WHEN NOT aliased[j] THEN b[j][place] END AS beta,
+    CASE WHEN NOT aliased[j] AND free > 0 THEN
+      sqrt(rest / free * list_sum(list_transform(ds, lambda d, k: CASE WHEN aliased[k] THEN 0 ELSE pow(b[j][{many} + k], 2) / d END))) END AS error FROM terms),
+effects AS (SELECT version, param, 'subject' AS fit, term, avg(beta) AS mean, stddev_samp(beta) / sqrt(count(beta)) AS se, count(beta) AS n FROM betas WHERE g >= 0 GROUP BY version, param, term
+  UNION ALL SELECT version, param, 'pooled', term, beta, error, n FROM betas WHERE g < 0)
+SELECT version::INT AS version, param, fit, term, round(mean, 4) AS mean, round(se, 4) AS se, round(CASE WHEN se > 0 THEN mean / se END, 3) AS t, n FROM effects"""
+
+
+@query("catalog_regressions", _catalog_sql())
+def catalog_regressions(spark, sf):
+    """Every version and parameter of the model list, from one table of cells."""
+    cells = stage(scored_cells(spark, sf), "scored-cells")
+    return _rounded(_rounded(models.catalog_effects(cells, MODELS, SCORES), ["mean", "se"], 4), ["t"], 3)
+
+
+_REFERENCE = "C(acceptance_pair, Treatment('P'))"
+_COUNTS = ", ".join(f"""count(*) FILTER (pair = '{p}')::DOUBLE AS "{_REFERENCE}[T.{p}]\"""" for p in "IM")
+_SUMS = ", ".join(f"""round(coalesce(sum(x) FILTER (pair = '{p}'), 0), 4) AS "{_REFERENCE}[T.{p}]:sv_pain_para\"""" for p in "IM")
+
+
+@query("reference_level", f"""WITH {CODED}, d AS (SELECT participant, acceptance_pair AS pair, painlevel * painlevel * 0.1::DOUBLE AS x FROM coded)
+SELECT participant, count(*)::DOUBLE AS "Intercept", {_COUNTS}, round(sum(x), 4) AS sv_pain_para, {_SUMS} FROM d GROUP BY participant""")
+def reference_level(spark, sf):
+    """Column sums of a design whose formula names its reference level."""
+    _, intercept, terms = parse_formula(f"v ~ {_REFERENCE} * sv_pain_para", LEVELS)
+    t = coded_trials(spark, sf).withColumn(PAIN, value.sv_pain(F.lit(1.0), F.col("painlevel"), "para"))
+    design = design_columns(terms, intercept)
+    t = t.select("participant", *[e.alias(n) for n, e in design.items()])
+    return t.groupBy("participant").agg(*[F.round(F.sum(F.col(f"`{n}`")), 4).alias(n) for n in design])
+
+
+_SATURATING = f"({_GIVEN_K} * painlevel / (1 + painlevel))"
+
+
+@query("custom_value_form", f"""WITH {TRIALS}
+SELECT participant, moneylevel, painlevel, count(*) AS n, round(avg({_SATURATING}), 6) AS sv,
+  round(avg(1 / (1 + exp({_GIVEN_BETA} * (({_SATURATING} - moneylevel) * 0.01::DOUBLE)))), 6) AS p FROM trials GROUP BY ALL""")
+def custom_value_form(spark, sf):
+    """A user's own value function, registered by name."""
+    value.register_form("saturating", lambda k, pain: k * pain / (1 + pain))
+    t = views.trials(spark, sf).withColumns({"k": 0.2 + F.col("participant") % 7 * 0.1, "beta": 10.0 + F.col("participant") % 5})
+    t = t.withColumn("sv", value.sv_pain(F.col("k"), F.col("painlevel"), "saturating"))
+    t = t.withColumn("p", value.accept_probability(F.col("beta"), value.net_value(F.col("sv"), F.col("moneylevel"))))
+    return _rounded(t.groupBy("participant", "moneylevel", "painlevel").agg(F.count(F.lit(1)).alias("n"), F.avg("sv").alias("sv"), F.avg("p").alias("p")), ["sv", "p"])
+
+
+@query("linked_regression", f"""WITH {_CELLS.replace("v, a, t FROM ez", "a FROM ez")},
+b AS (SELECT participant, count(*) AS n, regr_slope(ln(a), x) AS slope, regr_intercept(ln(a), x) AS icept FROM lc WHERE a IS NOT NULL GROUP BY participant)
+SELECT participant, 'a' AS param, 'sv_pain_para' AS term, round(slope, 5) AS beta, n FROM b
+UNION ALL SELECT participant, 'a', 'Intercept', round(icept, 5), n FROM b""")
+def linked_regression(spark, sf):
+    """The boundary's logarithm on the pain value."""
+    return _rounded(models.subject_regression(level_cells(spark, sf), MODELS[6], link=F.ln), ["beta"], 5)

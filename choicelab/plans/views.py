@@ -172,4 +172,14 @@ def subjects(spark: SparkSession, sf: str) -> DataFrame:
         F.col("s_suppkey").alias("participant"), F.col("s_acctbal").alias("score"), F.col("s_nationkey").alias("nation"))
 
 
+# Questionnaire scores of a subject, whatever their unit.
+_SCORES = {"STA_SAI_Score": "score / 1000", "STA_TAI_Score": "nation / 10", "PCS_Score": "participant * 7 % 53 / 10"}
+
+
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects(spark, sf).select("participant", *[F.expr(sql).cast("double").alias(name) for name, sql in _SCORES.items()])
+
+
 SUBJECTS = "subjects AS (SELECT s_suppkey AS participant, s_acctbal AS score, s_nationkey AS nation FROM supplier)"
+SCORES = SUBJECTS + f""",
+scores AS (SELECT participant, {', '.join(f'({sql})::DOUBLE AS "{name}"' for name, sql in _SCORES.items())} FROM subjects)"""
