@@ -233,48 +233,52 @@ def epoch_regular(spark, sf):
     return out.select("recording", "channel", "cue", "t_idx", F.round("value", 8).alias("value"))
 
 
-_P, _N_PERM, _SEED = 0.2, 200, 23
+_P, _N_PERM, _SEED = 0.2, 5000, 23
 # The given vectors carry ten labels, that is ten participants.
 _THRESHOLD = signals.t_critical(_P, 9)
 
 _CLUSTER = _BETAS.replace("cells AS", "RECURSIVE cells AS", 1) + f""",
-pb AS (SELECT participant, channel, t_idx, beta FROM betas WHERE regressor = 'price'),
 pm AS (SELECT unnest(generate_series(0, {_N_PERM - 1})) AS perm),
 sg AS (SELECT perm, participant, CASE WHEN perm = 0 OR substring(md5('{_SEED}:' || perm || ':' || participant), 1, 1) < '8'
-  THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM pm, (SELECT DISTINCT participant FROM pb)),
-tm AS MATERIALIZED (SELECT perm, channel, t_idx, avg(s * beta) / (stddev_samp(s * beta) / sqrt(count(*))) AS t
-  FROM pb JOIN sg USING (participant) GROUP BY ALL),
-pt AS MATERIALIZED (SELECT perm, channel, t_idx, t, sign(t) AS sgn, channel * 100 + t_idx AS id FROM tm
+  THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM pm, (SELECT DISTINCT participant FROM betas)),
+tm AS MATERIALIZED (SELECT regressor, perm, channel, t_idx, avg(s * beta) / (stddev_samp(s * beta) / sqrt(count(*))) AS t
+  FROM betas JOIN sg USING (participant) GROUP BY ALL),
+pt AS MATERIALIZED (SELECT regressor, perm, channel, t_idx, t, sign(t) AS sgn, channel * 100 + t_idx AS id FROM tm
   WHERE abs(t) > {_THRESHOLD!r}::DOUBLE),
-lk AS MATERIALIZED (SELECT a.perm, a.id AS a, b.id AS b FROM pt a JOIN pt b ON a.perm = b.perm AND a.sgn = b.sgn
+lk AS MATERIALIZED (SELECT a.regressor, a.perm, a.id AS a, b.id AS b FROM pt a JOIN pt b ON a.regressor = b.regressor AND a.perm = b.perm AND a.sgn = b.sgn
   AND abs(a.channel - b.channel) + abs(a.t_idx - b.t_idx) = 1),
-rc AS (SELECT perm, id, id AS root FROM pt UNION SELECT rc.perm, lk.b, rc.root FROM rc JOIN lk ON rc.perm = lk.perm AND rc.id = lk.a),
-cl AS (SELECT perm, id, min(root) AS cluster FROM rc GROUP BY perm, id),
-ma AS MATERIALIZED (SELECT perm, cluster, round(sum(t), 9) AS mass FROM pt JOIN cl USING (perm, id) GROUP BY perm, cluster),
-mx AS (SELECT perm, max(abs(mass)) AS top FROM ma GROUP BY perm),
-pv AS (SELECT cluster, (SELECT count(*) FROM mx WHERE top >= abs(mass)) / {_N_PERM} AS p FROM ma WHERE perm = 0),
-pp AS (SELECT tm.channel, tm.t_idx, tm.t, coalesce(pv.p, 1.0::DOUBLE) AS p FROM tm
-  LEFT JOIN pt ON pt.perm = 0 AND pt.channel = tm.channel AND pt.t_idx = tm.t_idx
-  LEFT JOIN cl ON cl.perm = 0 AND cl.id = pt.id LEFT JOIN pv ON pv.cluster = cl.cluster WHERE tm.perm = 0)"""
+rc AS (SELECT regressor, perm, id, id AS root FROM pt UNION SELECT rc.regressor, rc.perm, lk.b, rc.root
+  FROM rc JOIN lk ON rc.regressor = lk.regressor AND rc.perm = lk.perm AND rc.id = lk.a),
+cl AS (SELECT regressor, perm, id, min(root) AS cluster FROM rc GROUP BY regressor, perm, id),
+ma AS MATERIALIZED (SELECT regressor, perm, cluster, round(sum(t), 9) AS mass FROM pt JOIN cl USING (regressor, perm, id) GROUP BY regressor, perm, cluster),
+mx AS (SELECT regressor, perm, max(abs(mass)) AS top FROM ma GROUP BY regressor, perm),
+pv AS (SELECT m.regressor, m.cluster, count(*) FILTER (top >= abs(mass)) / {_N_PERM} AS p FROM ma m JOIN mx USING (regressor) WHERE m.perm = 0 GROUP BY ALL),
+pp AS (SELECT tm.regressor, tm.channel, tm.t_idx, tm.t, coalesce(pv.p, 1.0::DOUBLE) AS p FROM tm
+  LEFT JOIN pt ON pt.regressor = tm.regressor AND pt.perm = 0 AND pt.channel = tm.channel AND pt.t_idx = tm.t_idx
+  LEFT JOIN cl ON cl.regressor = tm.regressor AND cl.perm = 0 AND cl.id = pt.id
+  LEFT JOIN pv ON pv.regressor = tm.regressor AND pv.cluster = cl.cluster WHERE tm.perm = 0)"""
+
+
+def _tested(slopes):
+    """Cluster test of all regressors; channels form a chain of neighbours."""
+    n = slopes.select("participant").distinct().count()
+    pairs = slopes.select(F.col("channel").alias("channel_a")).distinct().withColumn("channel_b", F.col("channel_a") + 1)
+    edges = pairs.filter(F.col("channel_b") < views.CHANNELS)
+    return clusters.cluster_permutation(slopes, edges, _N_PERM, _SEED, signals.t_critical(_P, n - 1), by=("regressor",))
 
 
-@query("cluster_permutation", f"WITH {_CLUSTER} SELECT channel, t_idx, round(t, 6) AS t, round(p, 6) AS p FROM pp")
+@query("cluster_permutation", f"WITH {_CLUSTER} SELECT regressor, channel, t_idx, round(t, 6) AS t, round(p, 6) AS p FROM pp")
 def cluster_permutation(spark, sf):
-    """Cluster test of the price slopes; channels form a chain of neighbours."""
-    price = stage(betas(spark, sf).filter("regressor = 'price'"), "betas")
-    n = price.select("participant").distinct().count()
-    pairs = price.select(F.col("channel").alias("channel_a")).distinct().withColumn("channel_b", F.col("channel_a") + 1)
-    edges = pairs.filter(F.col("channel_b") < views.CHANNELS)
-    out = clusters.cluster_permutation(price, edges, _N_PERM, _SEED, signals.t_critical(_P, n - 1))
-    return _rounded(out.select("channel", "t_idx", "t", "p"), ["t", "p"], 6)
+    out = _tested(stage(betas(spark, sf), "betas"))
+    return _rounded(out.select("regressor", "channel", "t_idx", "t", "p"), ["t", "p"], 6)
 
 
 @query("significant_timecourse", f"""WITH {_CLUSTER},
-co AS (SELECT channel, t_idx, avg(beta) AS mean, stddev_samp(beta) / sqrt(count(beta)) AS sem FROM pb GROUP BY ALL)
-SELECT channel, t_idx, round(mean, 6) AS mean, round(sem, 6) AS sem, p < 0.5 AS significant FROM co JOIN pp USING (channel, t_idx)""")
+co AS (SELECT regressor, channel, t_idx, avg(beta) AS mean, stddev_samp(beta) / sqrt(count(beta)) AS sem FROM betas GROUP BY ALL)
+SELECT regressor, channel, t_idx, round(mean, 6) AS mean, round(sem, 6) AS sem, p < 0.5 AS significant FROM co JOIN pp USING (regressor, channel, t_idx)""")
 def significant_timecourse(spark, sf):
     """Mean slope with its error and the points inside clusters below an alpha of one half."""
-    pvals = stage(cluster_permutation(spark, sf).select("channel", "t_idx", "p"), "pvals")
-    price = betas(spark, sf).filter("regressor = 'price'")
-    course = signals.beta_timecourse(price, ["channel", "t_idx"], pvals, 0.5)
+    slopes = stage(betas(spark, sf), "betas")
+    point = ["regressor", "channel", "t_idx"]
+    course = signals.beta_timecourse(slopes, point, _tested(slopes).select(*point, "p"), 0.5)
     return _rounded(course, ["mean", "sem"])

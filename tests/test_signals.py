@@ -229,12 +229,36 @@ def test_cluster_permutation_matches_brute_force(spark):
     assert grid.min() <= 2 / n_perm                        # the planted effect is found
 
 
-def test_long_snake_is_one_cluster(spark):
-    """A cluster whose runs hang together only through many hops."""
+def test_long_snake_is_one_cluster():
+    """A cluster whose runs hang together only through many hops; a point of the other sign stays apart."""
     n = 24
-    points = [(c, t) for c in range(n) for t in ([2 * c, 2 * c + 1, 2 * c + 2])]
-    df = spark.createDataFrame([(0, 1, c, t) for c, t in points], "perm int, sign int, channel int, t_idx int")
-    edges = spark.createDataFrame([(c, c + 1) for c in range(n - 1)], "channel_a int, channel_b int")
-    runs = clusters.threshold_runs(df, "channel", "t_idx")
-    labels = clusters.join_runs(runs, edges, "channel", "t_idx")
-    assert labels.count() == n and labels.select("cluster").distinct().count() == 1
+    points = [(c, t, 2.0) for c in range(n) for t in ([2 * c, 2 * c + 1, 2 * c + 2])] + [(0, 3, -2.0), (n + 1, 0, 2.0)]
+    near = {c: [c - 1, c + 1] for c in range(n)}
+    labels = clusters.lattice_clusters(points, near)
+    assert len(set(labels[:3 * n])) == 1 and len(set(labels)) == 3
+
+
+def test_cluster_test_of_groups_and_gaps(spark):
+    """Groups are tested apart; blocks of permutations, missing points and points without variance change nothing else."""
+    rng = np.random.default_rng(2)
+    n_sub, n_ch, n_t, n_perm = 9, 3, 10, 40
+    x = rng.normal(size=(2, n_sub, n_ch, n_t)) + 0.5
+    x[1, :, 2, 4] = 0.25                      # no variance
+    rows = [(g, f"s{s}", f"c{c}", k, float(x[i, s, c, k])) for i, g in enumerate("ab") for s in range(n_sub) for c in range(n_ch) for k in range(n_t)
+            if (g, s, c, k) != ("a", 0, 1, 3)]  # a missing point
+    betas = spark.createDataFrame(rows, "g string, participant string, channel string, t_idx int, beta double").repartition(6)
+    edges = spark.createDataFrame([("c0", "c1"), ("c1", "c2")], "channel_a string, channel_b string")
+    whole = clusters.cluster_permutation(betas, edges, n_perm, 5, 1.1, by=("g",), block=7).toPandas()
+    assert len(whole) == 2 * n_ch * n_t - 1
+    assert not ((whole.g == "b") & (whole.channel == "c2") & (whole.t_idx == 4)).any()
+    for g in "ab":
+        alone = clusters.cluster_permutation(betas.filter(F.col("g") == g).drop("g"), edges, n_perm, 5, 1.1).toPandas()
+        one = whole[whole.g == g].set_index(["channel", "t_idx"]).sort_index()
+        two = alone.set_index(["channel", "t_idx"]).sort_index()
+        np.testing.assert_allclose(one.t, two.t)
+        np.testing.assert_allclose(one.p, two.p)
+    t = whole[(whole.g == "a") & (whole.channel == "c1") & (whole.t_idx == 3)].t.item()
+    y = x[0, 1:, 1, 3]
+    assert t == pytest.approx(y.mean() / (y.std(ddof=1) / np.sqrt(8)))
+    assert clusters.cluster_permutation(betas.limit(0), edges, n_perm, 5, 1.1, by=("g",)).count() == 0
+
