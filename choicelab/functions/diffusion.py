@@ -70,7 +70,9 @@ def wiener_loglik(rt: Column, response: Column, v: Column, a: Column, t: Column,
     return F.ln((1 - P_OUTLIER) * density + P_OUTLIER * OUTLIER_DENSITY)
 
 
-CHUNK_POINTS = 1 << 16  # stays in a core's cache
+CHUNK_POINTS = 1 << 17  # stays in a core's cache
+FACTORS = 16  # densities multiplied before one logarithm: each is at least that of an outlier, so nothing underflows
+LARGEST = 1e15
 
 
 def _series(u: np.ndarray, start: np.ndarray, terms: int) -> np.ndarray:
@@ -81,7 +83,8 @@ def _series(u: np.ndarray, start: np.ndarray, terms: int) -> np.ndarray:
     total = np.zeros((near.shape[0], len(start)))
     for k in range(-(terms // 2), terms // 2 + 1):
         place = start + 2.0 * k
-        total += place * np.exp(-(place * place) / (2 * near))
+        if np.min(place * place) < 25:  # beyond it the term is below 1e-20 at every time of this branch
+            total += place * np.exp(-(place * place) / (2 * near))
     out[small] = total / np.sqrt(2 * math.pi * near ** 3)
     far = u[large][:, None]
     total = np.zeros((far.shape[0], len(start)))
@@ -91,6 +94,24 @@ def _series(u: np.ndarray, start: np.ndarray, terms: int) -> np.ndarray:
     return np.maximum(out, 0.0)
 
 
+def _log_sum(density: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Counted sum of logarithms over the first axis; single trials are multiplied first."""
+    single = count == 1
+    total = 0.0
+    if not single.all():
+        total = np.tensordot(count[~single], np.log(density[~single]), axes=(0, 0))
+        density = density[single]
+    np.minimum(density, LARGEST, out=density)
+    while len(density) > FACTORS:  # halves are multiplied, four times at most
+        half = len(density) // 2
+        density[:half] *= density[half:2 * half]
+        rest = density[2 * half:]
+        density = np.concatenate([density[:half], rest]) if len(rest) else density[:half]
+        if len(density) * FACTORS <= len(count):
+            break
+    return total + np.log(density).sum(axis=0)
+
+
 def grid_loglik(rt: np.ndarray, upper: np.ndarray, count: np.ndarray, v: np.ndarray, a: np.ndarray, t: np.ndarray,
                 z: np.ndarray, terms: int = 7) -> np.ndarray:
     """Summed contaminated log-likelihood of counted trials at every point of v x a x t x z.
@@ -99,20 +120,24 @@ def grid_loglik(rt: np.ndarray, upper: np.ndarray, count: np.ndarray, v: np.ndar
     taken in chunks, so memory depends on the grid and not on their number.
     """
     total = np.zeros((len(v), len(a), len(t), len(z)))
-    chunk = max(1, CHUNK_POINTS // total.size)
+    chunk = max(FACTORS, CHUNK_POINTS // total.size)
     for side in (True, False):
         own = np.flatnonzero(upper == side)
         start, drift = (1 - z, -v) if side else (z, v)
         lift = drift[:, None, None] * a[None, :, None] * start[None, None, :]  # v, a, z
+        apart = np.abs(lift).max(initial=0.0) < 300  # else one factor alone could overflow
         for at in range(0, len(own), chunk):
             some = own[at:at + chunk]
             time = rt[some][:, None] - t[None, :]
             u = time[:, None, :] / (a * a)[None, :, None]
             shape = _series(u.ravel(), start, terms).reshape(*u.shape, len(z)) / (a * a)[None, :, None, None]
             spent = (drift * drift)[None, :, None] * np.maximum(time, 0.0)[:, None, :] / 2  # trial, v, t
-            density = np.exp(-lift[None, :, :, None, :] - spent[:, :, None, :, None])
-            density *= shape[:, None]
+            if apart:
+                density = shape[:, None] * np.exp(-spent)[:, :, None, :, None]
+                density *= np.exp(-lift)[None, :, :, None, :]
+            else:
+                density = shape[:, None] * np.exp(-lift[None, :, :, None, :] - spent[:, :, None, :, None])
             density *= 1 - P_OUTLIER
             density += P_OUTLIER * OUTLIER_DENSITY
-            total += np.tensordot(count[some], np.log(density, out=density), axes=(0, 0))
+            total += _log_sum(density, count[some])
     return total

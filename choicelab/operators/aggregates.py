@@ -63,14 +63,14 @@ def count_distinct(df: DataFrame, names: list[str]) -> DataFrame:
     return df.agg(F.array(*entries).alias("_e")).select(F.inline("_e"))
 
 
-def describe(df: DataFrame, value: str, by: list[str] | None = None, hot_rows: int | None = None) -> DataFrame:
+def describe(df: DataFrame, value: str, by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """count, mean, std (ddof 1), min, exact quartiles, max of ``value`` per group; NaN is missing, a null group a group."""
     by = by or []
     df = df.select(*map(col, by), present(col(value)).alias(value))
     moments = df.groupBy(*map(col, by)).agg(
         F.count(col(value)).alias("count"), F.avg(col(value)).alias("mean"), F.stddev_samp(col(value)).alias("std"),
         F.min(col(value)).alias("min"), F.max(col(value)).alias("max"))
-    quart = exact_quantiles(df, by, value, [0.25, 0.5, 0.75], "_q", hot_rows)
+    quart = exact_quantiles(df, by, value, [0.25, 0.5, 0.75], "_q", ranges)
     if by:
         joined = attach(moments, quart, by)
     else:
@@ -155,12 +155,12 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
                         F.when(varies, cov / F.sqrt(vx * vy)).alias("r"))
 
 
-def label_encode(df: DataFrame, names: list[str], hot_rows: int | None = None) -> DataFrame:
+def label_encode(df: DataFrame, names: list[str], ranges: int | None = None) -> DataFrame:
     """Replace each column's values by 0..n-1 in sorted order; null stays null."""
     out = df
     for name in names:
         values = df.select(col(name)).filter(col(name).isNotNull()).distinct()
-        codes = row_index(values, [], [name], "_code", hot_rows)
+        codes = row_index(values, [], [name], "_code", ranges)
         codes = codes.withColumn("_code", (F.col("_code") - 1).cast("int"))
         out = attach(out, codes, [name]).drop(name).withColumnRenamed("_code", name)
     return out.select(*map(col, df.columns))

@@ -43,15 +43,15 @@ def match_trials(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Dat
 
 
 def zip_columns(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str],
-                by: list[str] | None = None, suffix: str = "_2", hot_rows: int | None = None) -> DataFrame:
+                by: list[str] | None = None, suffix: str = "_2", ranges: int | None = None) -> DataFrame:
     """Put two tables side by side by rank in an explicit order.
 
     Shorter sides are padded with nulls. Columns of ``b`` whose name also occurs
     in ``a`` get ``suffix``. ``by`` restarts the ranks in every group.
     """
     by = by or []
-    left = row_index(a, by, order_a, "_row", hot_rows)
-    right = row_index(b, by, order_b, "_row", hot_rows)
+    left = row_index(a, by, order_a, "_row", ranges)
+    right = row_index(b, by, order_b, "_row", ranges)
     taken = set(a.columns) - set(by)
     right = right.withColumnsRenamed({c: c + suffix for c in b.columns if c in taken})
     return left.join(right, [*by, "_row"], "full_outer").drop("_row")

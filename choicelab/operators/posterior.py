@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from choicelab.operators.joins import attach
-from choicelab.operators.ranking import col, exact_quantiles, row_index, running_total
+from choicelab.operators.ranking import col, exact_quantiles, row_index
 from choicelab.staging import stage
 
 
@@ -37,13 +37,13 @@ def gelman_rubin(draws: DataFrame, param: list[str], chain: str = "chain", value
 
 
 def laid_end_to_end(draws: DataFrame, param: list[str], chain: str = "chain", draw: str = "draw",
-                    hot_rows: int | None = None) -> DataFrame:
+                    ranges: int | None = None) -> DataFrame:
     """Draws with their position from 0 when a parameter's chains follow each other, and the ``_total`` of its draws.
 
     Positions come from the rank of a draw in its chain, so draw numbers may start
     anywhere and have gaps.
     """
-    ranked = row_index(draws, [*param, chain], [draw], "_rank", hot_rows)
+    ranked = row_index(draws, [*param, chain], [draw], "_rank", ranges)
     lengths = draws.groupBy(*map(col, (*param, chain))).agg(F.count(F.lit(1)).alias("_len"))
     whole = Window.partitionBy(*map(col, param))  # one row per chain
     starts = lengths.select(*map(col, (*param, chain)), F.sum("_len").over(whole).alias("_total"),
@@ -53,13 +53,13 @@ def laid_end_to_end(draws: DataFrame, param: list[str], chain: str = "chain", dr
 
 
 def batch_error(draws: DataFrame, param: list[str], batches: int = 100, value: str = "value",
-                hot_rows: int | None = None) -> DataFrame:
+                ranges: int | None = None) -> DataFrame:
     """Monte Carlo error: std of batch means over the root of their number, batches consecutive.
 
     Chains are laid end to end, and every draw is in one of the batches, whose sizes
     differ by one draw at most.
     """
-    placed = laid_end_to_end(draws, param, hot_rows=hot_rows)
+    placed = laid_end_to_end(draws, param, ranges=ranges)
     batch = F.floor(F.col("_position") * batches / F.col("_total"))
     means = placed.withColumn("_batch", batch).groupBy(*map(col, param), "_batch").agg(F.avg(col(value)).alias("_mean"))
     return means.groupBy(*map(col, param)).agg(
@@ -67,14 +67,15 @@ def batch_error(draws: DataFrame, param: list[str], batches: int = 100, value: s
 
 
 def posterior_summary(draws: DataFrame, param: list[str], batches: int = 100, value: str = "value",
-                      hot_rows: int | None = None) -> DataFrame:
+                      ranges: int | None = None) -> DataFrame:
     """mean, std, 2.5/25/50/75/97.5 % quantiles and Monte Carlo error per parameter."""
+    draws = stage(draws, "draws")  # read by each of the three parts
     moments = draws.groupBy(*map(col, param)).agg(
         F.avg(col(value)).alias("mean"), F.stddev_pop(col(value)).alias("std"))
     probs = [0.025, 0.25, 0.5, 0.75, 0.975]
     names = ["2.5q", "25q", "50q", "75q", "97.5q"]
-    quant = exact_quantiles(draws, param, value, probs, "_q", hot_rows)
-    errors = batch_error(draws, param, batches, value, hot_rows)
+    quant = exact_quantiles(draws, param, value, probs, "_q", ranges)
+    errors = batch_error(draws, param, batches, value, ranges)
     joined = attach(attach(moments, quant, param), errors, param)
     return joined.select(*map(col, param), "mean", "std",
                          *[F.try_element_at("_q", F.lit(i + 1)).alias(n) for i, n in enumerate(names)], "mc_err")
@@ -107,14 +108,14 @@ def subject_param_matrix(draws: DataFrame, params: list, subject: str = "subject
 
 
 def hdi(draws: DataFrame, param: list[str], mass: float = 0.94, value: str = "value",
-        hot_rows: int | None = None) -> DataFrame:
+        ranges: int | None = None) -> DataFrame:
     """Narrowest interval over the sorted draws that spans floor(mass * n) steps.
 
     The draw that closes an interval is met by its rank, so the sort and the
     join are spread over ranks also when one parameter holds most draws.
     """
     rows = draws.select(*map(col, param), col(value).alias("_x")).filter(F.col("_x").isNotNull())
-    ranked = stage(row_index(rows, param, ["_x"], "_rank", hot_rows), "ranked")
+    ranked = stage(row_index(rows, param, ["_x"], "_rank", ranges), "ranked")
     totals = ranked.groupBy(*map(col, param)).agg(F.count(F.lit(1)).alias("_n"))
     span = F.floor(F.col("_n") * mass).cast("long")
     lows = attach(ranked, totals, param).filter(F.col("_rank") + span <= F.col("_n"))
@@ -130,12 +131,14 @@ def autocovariance(draws: DataFrame, param: list[str], max_lag: int, value: str
                    segment: int = 4096) -> DataFrame:
     """Mean over chains of the lag covariances (divisor n) up to ``max_lag``.
 
+    Lags count draws, whatever their numbers: these may start anywhere and have gaps.
     A chain is cut into segments of consecutive draws that also hold the first
     ``max_lag`` draws of the next one, so a group never exceeds segment + max_lag
     draws and every draw is shuffled about once.
     """
     keys = [*param, "chain"]
     segment = max(segment, max_lag)
+    draws = laid_out(draws, param)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def lag_products(values: pd.Series, own: pd.Series) -> pd.Series:
@@ -167,7 +170,7 @@ def effective_size(draws: DataFrame, param: list[str], first_lags: int = 64, val
     positive. The number of lags doubles until every parameter has reached that pair
     or run out of draws.
     """
-    draws = stage(laid_out(draws, param), "ranked-draws")
+    draws = stage(draws, "draws")
     chains = draws.groupBy(*map(col, param), "chain").agg(
         F.count(F.lit(1)).alias("_n"), F.avg(col(value)).alias("_mean"), F.var_samp(col(value)).alias("_var"))
     pooled = chains.groupBy(*map(col, param)).agg(
@@ -202,10 +205,11 @@ def laid_out(draws: DataFrame, param: list[str]) -> DataFrame:
 
 
 def interval_summary(draws: DataFrame, param: list[str], mass: float = 0.94,
-                     value: str = "value", hot_rows: int | None = None) -> DataFrame:
+                     value: str = "value", ranges: int | None = None) -> DataFrame:
     """mean, sd, HDI bounds, mcse, ess and r_hat per parameter."""
+    draws = stage(draws, "draws")  # read by each of the parts
     moments = draws.groupBy(*map(col, param)).agg(F.avg(col(value)).alias("mean"), F.stddev_samp(col(value)).alias("sd"))
-    bounds = hdi(draws, param, mass, value, hot_rows)
+    bounds = hdi(draws, param, mass, value, ranges)
     size = effective_size(draws, param, value=value)
     rhat = gelman_rubin(draws, param, value=value).select(*map(col, param), "r_hat")
     joined = attach(attach(attach(moments, bounds, param), size, param), rhat, param)

@@ -1,27 +1,30 @@
-"""Positions, running totals, previous values and exact quantiles within groups.
+"""Positions, previous values and exact quantiles within groups of any size.
 
-A plain window sorts each group in one task. That is fine for ordinary groups
-and fatal for a group with a third of all rows, so every function here first
-counts the groups (one column-pruned pass with map-side combine). Groups above
-``hot_rows`` are range-partitioned on (group, order): each range is handled on
-its own and small per-range summaries carry totals from one range to the next.
-Groups at or below the limit use the plain window.
+One way for all groups: rows are sorted in ranges of (group, order), each range replays
+its own part of every group, and what a group brings along from earlier ranges is
+added from a summary of two rows per range. A group with a third of all rows is simply
+spread over a third of the ranges. Equal rows are split as well, by their place in the input.
 
-The input is read once for the counts and again for the result, so an expensive
-input, such as the result of another ranking, should be staged first.
+The input is read once for the bounds of the ranges and once for the result, which is
+staged, so an expensive input should be staged first.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from choicelab.staging import stage
+from choicelab.staging import shuffle_tasks, stage
 
-HOT_ROWS = 4_000_000
+_HEAD, _TAIL = 1, 2
+_ROW_BITS = 33  # of a monotonically increasing id: the place in its partition
 
 
 def col(name: str) -> Column:
@@ -35,141 +38,127 @@ def present(value: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
-def hot_groups(df: DataFrame, by: list[str], hot_rows: int) -> tuple[DataFrame | None, int]:
-    """Groups with more than ``hot_rows`` rows, and their rows in total.
-
-    Usually there are none and one number is all that is computed. Otherwise the
-    groups, at most total rows / hot_rows of them, are staged.
-    """
-    counts = df.groupBy(*[col(k).alias(f"_hot_{k}") for k in by]).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.filter(F.col("_rows") > hot_rows)
-    total = hot.agg(F.sum("_rows")).first()[0]
-    return (stage(hot, "hot"), total) if total else (None, 0)
-
-
-def _in_group(by: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [col(k).eqNullSafe(col(f"_hot_{k}")) for k in by])
-
-
-def split_hot(df: DataFrame, by: list[str], order: list[str], hot_rows: int | None):
-    """``(cold, ranged)``: rows of ordinary groups, and the rows of hot groups
-    staged with a ``_range`` number that ascends with ``order``. Either is None
-    when it has no rows to hold."""
-    hot_rows = hot_rows or HOT_ROWS
-    hot, total = hot_groups(df, by, hot_rows)
-    if hot is None:
-        return df, None
-    ranges = max(2, math.ceil(4 * total / hot_rows))
-    if by:
-        cold = df.join(hot, _in_group(by), "left_anti")
-        chosen = df.join(hot, _in_group(by), "left_semi")
-    else:
-        cold, chosen = None, df
-    keys = [col(c) for c in (*by, *order)]
-    ranged = chosen.repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id())
-    return cold, stage(ranged, "ranges")
-
-
-def _together(cold: DataFrame | None, hot: DataFrame) -> DataFrame:
-    return hot if cold is None else cold.unionByName(hot)
-
-
-def running_total(df: DataFrame, by: list[str], order: list[str], out: str,
-                  weight: str | None = None, hot_rows: int | None = None) -> DataFrame:
-    """Add the running sum of ``weight`` (row number when None) in ascending ``order``."""
-    step = F.lit(1).cast("long") if weight is None else col(weight)
-    order_cols = [col(c) for c in order]
-
-    def total_within(keys: list[str]) -> Column:
-        window = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order_cols)
-        if weight is None:
-            return F.row_number().over(window).cast("long")
-        return F.sum(step).over(window.rowsBetween(Window.unboundedPreceding, 0))
-
-    cold, ranged = split_hot(df, by, order, hot_rows)
-    if cold is not None:
-        cold = cold.withColumn(out, total_within(by))
-    if ranged is None:
-        return cold
-    sums = ranged.groupBy(*[col(k) for k in by], "_range").agg(F.sum(step).alias("_sum"))
-    earlier = (Window.partitionBy(*[col(k) for k in by]).orderBy("_range")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    # one row per range and group in it
-    starts = sums.select(*[col(k).alias(f"_hot_{k}") for k in by], F.col("_range").alias("_at"),
-                         F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
-    same = F.col("_range") == F.col("_at")
-    joined = (ranged.withColumn(out, total_within(["_range", *by]))
-              .join(starts, same & _in_group(by) if by else same))
-    hot = joined.withColumn(out, col(out) + F.col("_start")).select(*[col(c) for c in (*df.columns, out)])
-    return _together(cold, hot)
-
-
-def row_index(df: DataFrame, by: list[str], order: list[str], out: str = "position",
-              hot_rows: int | None = None) -> DataFrame:
-    """Add 1..n within each group."""
-    return running_total(df, by, order, out, hot_rows=hot_rows)
-
-
-def previous_value(df: DataFrame, by: list[str], order: list[str], value: str, out: str,
-                   hot_rows: int | None = None) -> DataFrame:
+def sorted_ranges(df: DataFrame, by: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
+    """``df`` in ranges that ascend with ``by`` and ``order``, each of them sorted."""
+    keys = [*[col(c) for c in (*by, *order)], F.col("_tie")]
+    ranges = ranges or shuffle_tasks(df.sparkSession)
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    return tied.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).drop("_tie")
+
+
+def _same(a: tuple, b: tuple | None) -> bool:
+    return b is not None and all(x == y or (x != x and y != y) for x, y in zip(a, b))
+
+
+def _replay(keys: list[int], value: int | None) -> Callable:
+    """Task: number of every row in this range's part of its group, the value before, and where the range's first group and ends are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        key, count, before, opening = None, 0, None, True
+        held: tuple | None = None
+
+        def close(columns: list, edge: np.ndarray, names: list[str], tail: bool) -> pa.RecordBatch:
+            if tail:
+                edge[-1] |= _TAIL
+            return pa.RecordBatch.from_arrays([*columns, pa.array(edge, pa.int32())], names)
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            if held:
+                yield close(*held, False)
+            new = np.zeros(n, bool)
+            for k in keys:
+                codes = pc.dictionary_encode(batch.column(k), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            new[0] = not _same(tuple(batch.column(k)[0].as_py() for k in keys), key)
+            starts = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            local = np.where(starts >= 0, np.arange(n) - starts, np.arange(n) + count) + 1
+            changes = np.cumsum(new) - (1 if key is None else 0)
+            inside = (changes == 0) & opening
+            edge = np.zeros(n, np.int32)
+            edge[0] = _HEAD if key is None else 0
+            columns = [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(local), pa.array(inside)]
+            names = [*batch.schema.names, "_part", "_local", "_opening"]
+            if value is not None:
+                values = batch.column(value)
+                last = before if before is not None else pa.nulls(1, values.type)
+                columns.append(pa.concat_arrays([last, values]).take(pa.array(np.arange(n), mask=new)))
+                names.append("_before")
+                before = values.slice(n - 1, 1)
+            held = columns, edge, [*names, "_edge"]
+            key, count, opening = tuple(batch.column(k)[n - 1].as_py() for k in keys), int(local[-1]), bool(inside[-1])
+        if held:
+            yield close(*held, True)
+    return run
+
+
+def _replayed(df: DataFrame, by: list[str], order: list[str], value: str | None, ranges: int | None) -> tuple[DataFrame, DataFrame]:
+    """Staged rows with the replay's columns, and what each range's first group brings along: ``_at``, ``_sum``, ``_last``."""
+    kind = [T.StructField("_before", df.schema[value].dataType)] if value else []
+    extra = [T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType()), T.StructField("_opening", T.BooleanType()), *kind,
+             T.StructField("_edge", T.IntegerType())]
+    task = _replay([df.columns.index(k) for k in by], df.columns.index(value) if value else None)
+    rows = stage(sorted_ranges(df, by, order, ranges).mapInArrow(task, T.StructType([*df.schema, *extra])), "replayed")
+    keys = [col(k).alias(f"_k{i}") for i, k in enumerate(by)]
+    last = T.StructType([T.StructField("value", df.schema[value].dataType if value else T.IntegerType())])
+    end = F.struct(col(value).alias("value")) if value else F.lit(None).cast(last)
+    ends = rows.filter("_edge > 0").withColumns({"_head": F.col("_edge").bitwiseAND(_HEAD) > 0, "_tail": F.col("_edge").bitwiseAND(_TAIL) > 0})
+    # two rows per range
+    heads = ends.filter("_head").select(*keys, F.col("_part").alias("_at"), F.lit(True).alias("_opens"), F.lit(None).cast("long").alias("_sum"), F.lit(None).cast(last).alias("_last"))
+    tails = ends.filter("_tail").select(*keys, F.col("_part").alias("_at"), F.lit(False).alias("_opens"), F.col("_local").alias("_sum"), end.alias("_last"))
+    earlier = Window.partitionBy(*[F.col(f"_k{i}") for i in range(len(by))]).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    carried = heads.unionByName(tails).select("_opens", "_at", F.sum("_sum").over(earlier).alias("_sum"), F.last("_last", ignorenulls=True).over(earlier).alias("_last"))
+    return rows, carried.filter(F.col("_opens") & F.col("_sum").isNotNull()).drop("_opens")
+
+
+def row_index(df: DataFrame, by: list[str], order: list[str], out: str = "position", ranges: int | None = None) -> DataFrame:
+    """Add 1..n within each group in ascending ``order``."""
+    rows, carried = _replayed(df, by, order, None, ranges)
+    # a row per range at most
+    joined = rows.join(F.broadcast(carried), F.col("_opening") & (F.col("_part") == F.col("_at")), "left")
+    kept = [col(c) for c in df.columns if c != out]
+    return joined.select(*kept, (F.col("_local") + F.coalesce("_sum", F.lit(0))).alias(out))
+
+
+def previous_value(df: DataFrame, by: list[str], order: list[str], value: str, out: str, ranges: int | None = None) -> DataFrame:
     """Add ``value`` of the row before in ascending ``order``; null on the first row."""
-    order_cols = [col(c) for c in order]
-    cold, ranged = split_hot(df, by, order, hot_rows)
-    if cold is not None:
-        cold = cold.withColumn(out, F.lag(col(value)).over(Window.partitionBy(*map(col, by)).orderBy(*order_cols)))
-    if ranged is None:
-        return cold
-    ends = ranged.groupBy(*map(col, by), "_range").agg(
-        F.max_by(col(value), F.struct(*order_cols)).alias("_end"))
-    carried = ends.select(*[col(k).alias(f"_hot_{k}") for k in by], F.col("_range").alias("_at"),
-                          F.lag("_end").over(Window.partitionBy(*map(col, by)).orderBy("_range")).alias("_carried"))
-    inside = Window.partitionBy("_range", *map(col, by)).orderBy(*order_cols)
-    same = F.col("_range") == F.col("_at")
-    joined = (ranged.withColumn("_lag", F.lag(col(value)).over(inside))
-              .withColumn("_place", F.row_number().over(inside))
-              .join(carried, same & _in_group(by) if by else same))
-    hot = (joined.withColumn(out, F.when(F.col("_place") == 1, F.col("_carried")).otherwise(F.col("_lag")))
-           .select(*[col(c) for c in (*df.columns, out)]))
-    return _together(cold, hot)
+    rows, carried = _replayed(df, by, order, value, ranges)
+    head = F.col("_edge").bitwiseAND(_HEAD) > 0
+    joined = rows.join(F.broadcast(carried), head & (F.col("_part") == F.col("_at")), "left")
+    return joined.select(*map(col, df.columns), F.when(head, F.col("_last.value")).otherwise(F.col("_before")).alias(out))
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float],
-                    out: str = "quantiles", hot_rows: int | None = None) -> DataFrame:
+                    out: str = "quantiles", ranges: int | None = None) -> DataFrame:
     """``by`` plus an array of linearly interpolated quantiles, one per entry of ``probs``.
 
-    The order statistics are picked from sorted groups. Hot groups are first
-    collapsed to (value, count), so ties vanish map-side, and the statistics are
-    read off a distributed running count.
+    Values are sorted in ranges and have a position in the whole table. A group is
+    then its first position and its size, and the order statistics are met by their
+    position, which is unique, so no group gathers anywhere.
     """
-    limit = hot_rows or HOT_ROWS
     keys = [col(k) for k in by]
     data = df.select(*keys, present(col(value)).alias("_value")).filter(F.col("_value").isNotNull())
-    hot, total = hot_groups(data, by, limit)
-    whole = Window.partitionBy(*keys)
-    plain = data
-    if hot is not None:
-        plain = data.join(hot, _in_group(by), "left_anti") if by else data.limit(0)
-    ranked = plain.select(*keys, "_value", F.row_number().over(whole.orderBy("_value")).cast("long").alias("_upto"),
-                          F.count(F.lit(1)).over(whole).alias("_rows"), F.lit(1).cast("long").alias("_count"))
-    if hot is not None:
-        large = data.join(hot, _in_group(by), "left_semi") if by else data
-        counts = stage(large.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_count")), "counts")
-        running = running_total(counts, by, ["_value"], "_upto", weight="_count", hot_rows=limit)
-        sized = running.join(hot, _in_group(by)) if by else running.withColumn("_rows", F.lit(total))
-        ranked = ranked.unionByName(sized.select(*keys, "_value", "_upto", "_rows", "_count"))
-
-    def place(p: float) -> Column:
-        return (F.col("_rows") - 1) * F.lit(float(p))
-
-    def holds(rank: Column) -> Column:
-        return (F.col("_upto") - F.col("_count") <= rank) & (rank < F.col("_upto"))
-
-    picks, wanted = [], F.lit(False)
+    ids = stage(sorted_ranges(data, by, ["_value"], ranges).withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    part, place = F.shiftright("_id", _ROW_BITS), F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1)
+    # the groups of a range with their first place and size; all but a range's first and last lie in it alone
+    stretches = ids.groupBy(*keys, part.alias("_part")).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    stretches = stage(stretches, "stretches")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sizes = stretches.groupBy("_part").agg(F.sum("_n").alias("_held"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_offset"))
+    groups = stretches.join(F.broadcast(offsets), "_part").groupBy(*keys).agg(F.min(F.col("_offset") + F.col("_first")).alias("_start"), F.sum("_n").alias("_rows"))
+    rank = lambda p: (F.col("_rows") - 1) * F.lit(float(p))
+    ends = [f(rank(p)).cast("long") for p in probs for f in (F.floor, F.ceil)]
+    wanted = groups.select(*keys, "_start", "_rows", F.explode(F.transform(F.array_distinct(F.array(*ends)), lambda r: r + F.col("_start"))).alias("_at"))
+    placed = ids.join(F.broadcast(offsets), part == F.col("_part")).select("_value", (F.col("_offset") + place).alias("_at"))
+    found = wanted.join(placed, "_at")
+    here = F.col("_at") - F.col("_start")
+    picks = [F.min(F.when(here == e, F.col("_value"))).alias(f"_e{i}") for i, e in enumerate(ends)]
+    picked = found.groupBy(*keys).agg(F.first("_rows").alias("_rows"), *picks)
+    parts = []
     for i, p in enumerate(probs):
-        low, high = holds(F.floor(place(p))), holds(F.ceil(place(p)))
-        wanted = wanted | low | high
-        picks += [F.min(F.when(low, F.col("_value"))).alias(f"_lo{i}"), F.min(F.when(high, F.col("_value"))).alias(f"_hi{i}")]
-    found = ranked.filter(wanted).groupBy(*keys).agg(F.first("_rows").alias("_rows"), *picks)
-    shares = [place(p) - F.floor(place(p)) for p in probs]
-    parts = [F.col(f"_lo{i}") * (1 - s) + F.col(f"_hi{i}") * s for i, s in enumerate(shares)]
-    return found.select(*keys, F.array(*parts).alias(out))
+        share = rank(p) - F.floor(rank(p))
+        parts.append(F.col(f"_e{2 * i}") * (1 - share) + F.col(f"_e{2 * i + 1}") * share)
+    return picked.select(*keys, F.array(*parts).alias(out))

@@ -64,12 +64,8 @@ def _tensors(n_keys: int, schema: pa.Schema, terms: int) -> Callable:
     return run
 
 
-def surface(collapsed: DataFrame, by: list[str], axes: DataFrame | dict[str, list[float]], terms: int = 7) -> DataFrame:
-    """by, v, a, t, z, loglik: summed log-likelihood of every group at every point of its grid.
-
-    ``axes`` are four lists for all groups, or a table with a row per group and the
-    four lists as arrays.
-    """
+def _tensor_rows(collapsed: DataFrame, by: list[str], axes: DataFrame | dict[str, list[float]], terms: int) -> DataFrame:
+    """by, ``_v``, ``_a``, ``_t``, ``_z``, ``_sums``: a tensor per group and task that holds trials of it."""
     if isinstance(axes, dict):
         lists = {name: F.array(*[F.lit(float(x)) for x in axes[name]]) for name in AXES}
         rows = collapsed.select(*map(col, by), "_upper", "_rt", "_count", *[lists[name].alias(f"_{name}") for name in AXES])
@@ -80,7 +76,16 @@ def surface(collapsed: DataFrame, by: list[str], axes: DataFrame | dict[str, lis
     kinds = T.StructType([collapsed.schema[k] for k in by])
     numbers = T.ArrayType(T.DoubleType())
     out = T.StructType([*kinds, *[T.StructField(f"_{name}", numbers) for name in AXES], T.StructField("_sums", numbers)])
-    tensors = rows.mapInArrow(_tensors(len(by), to_arrow_schema(out), terms), out)
+    return rows.mapInArrow(_tensors(len(by), to_arrow_schema(out), terms), out)
+
+
+def surface(collapsed: DataFrame, by: list[str], axes: DataFrame | dict[str, list[float]], terms: int = 7) -> DataFrame:
+    """by, v, a, t, z, loglik: summed log-likelihood of every group at every point of its grid.
+
+    ``axes`` are four lists for all groups, or a table with a row per group and the
+    four lists as arrays.
+    """
+    tensors = _tensor_rows(collapsed, by, axes, terms)
     points = tensors.select(*map(col, by), *[f"_{name}" for name in AXES], F.posexplode("_sums").alias("_at", "loglik"))
     place, at = {}, F.col("_at")
     for name in reversed(AXES):
@@ -97,41 +102,49 @@ def with_weights(grid: DataFrame, by: list[str]) -> DataFrame:
     return shifted.withColumn("weight", F.col("_e") / F.sum("_e").over(one)).drop("_e")
 
 
-def finer_axes(weighted: DataFrame, by: list[str], sizes: dict[str, int]) -> DataFrame:
-    """A row per group: axes around its posterior mean.
+def finer_axis(points: np.ndarray, weight: np.ndarray, size: int, limits: tuple[float, float]) -> np.ndarray:
+    """An axis around the mass on ``points``.
 
-    An axis reaches SPREAD standard deviations to either side, each point of the grid
-    before standing for a cell of one step, and stays within LIMITS.
+    It reaches SPREAD standard deviations to either side, each point standing for a cell
+    of one step, and stays within ``limits``.
     """
-    w = F.col("weight")
-    aggs = []
-    for name in AXES:
-        aggs += [F.sum(w * col(name)).alias(f"_m_{name}"), F.sum(w * col(name) * col(name)).alias(f"_s_{name}"),
-                 F.min(name).alias(f"_lo_{name}"), F.max(name).alias(f"_hi_{name}"), F.count_distinct(name).alias(f"_n_{name}")]
-    moments = weighted.groupBy(*map(col, by)).agg(*aggs)
+    mean = float(weight @ points)
+    variance = max(float(weight @ (points * points)) - mean * mean, 0.0)
+    step = (points.max() - points.min()) / max(len(points) - 1, 1)
+    reach = SPREAD * np.sqrt(variance + step * step / 12)
+    low, high = max(mean - reach, limits[0]), min(mean + reach, limits[1])
+    return low + (high - low) * (np.arange(size) / (size - 1))
 
-    def axis(name: str) -> Column:
-        mean = F.col(f"_m_{name}")
-        variance = F.greatest(F.col(f"_s_{name}") - mean * mean, F.lit(0.0))
-        step = (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) / F.greatest(F.col(f"_n_{name}") - 1, F.lit(1))
-        reach = F.lit(SPREAD) * F.sqrt(variance + step * step / 12)
-        low, high = F.greatest(mean - reach, F.lit(LIMITS[name][0])), F.least(mean + reach, F.lit(LIMITS[name][1]))
-        return F.array(*[low + (high - low) * (i / (sizes[name] - 1)) for i in range(sizes[name])]).alias(name)
 
-    return moments.select(*map(col, by), *[axis(name) for name in AXES])
+def _refined(n_keys: int, schema: pa.Schema, sizes: dict[str, int]) -> Callable:
+    """Task: the tensors of a group, one per task that held trials of it, to its next axes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for *lists, sums in zip(*(batch.column(n_keys + j).to_pylist() for j in range(5))):
+                axes = [np.array(x, dtype=float) for x in lists]
+                total = np.sum(np.array(sums, dtype=float), axis=0).reshape([len(x) for x in axes])
+                weight = np.exp(total - total.max())
+                weight /= weight.sum()
+                rows.append([finer_axis(x, weight.sum(axis=tuple(k for k in range(4) if k != j)), sizes[name], LIMITS[name])
+                             for j, (name, x) in enumerate(zip(AXES, axes))])
+            finer = [pa.array(c, pa.list_(pa.float64())) for c in zip(*rows)] if rows else [pa.array([], pa.list_(pa.float64()))] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keys], *finer], schema=schema)
+    return run
 
 
 def refined_surface(collapsed: DataFrame, by: list[str], coarse: dict[str, list[float]], sizes: dict[str, int], rounds: int,
                     terms: int = 7) -> DataFrame:
     """Grid of the last of ``rounds`` refinements: by, v, a, t, z, loglik, weight; staged.
 
-    Between rounds only a row of axes per group is kept.
+    A round shuffles one tensor per group and task and keeps a row of axes per group.
     """
-    grid = with_weights(surface(collapsed, by, coarse, terms), by)
+    axes: DataFrame | dict[str, list[float]] = coarse
+    out = T.StructType([*[collapsed.schema[k] for k in by], *[T.StructField(name, T.ArrayType(T.DoubleType())) for name in AXES]])
     for _ in range(rounds):
-        axes = stage(finer_axes(grid, by, sizes), "axes")
-        grid = with_weights(surface(collapsed, by, axes, terms), by)
-    return stage(grid, "surface")
+        tensors = _tensor_rows(collapsed, by, axes, terms).groupBy(*map(col, by)).agg(*[F.first(f"_{name}").alias(f"_{name}") for name in AXES], F.collect_list("_sums").alias("_sums"))
+        axes = stage(tensors.filter(F.size("_sums") > 0).mapInArrow(_refined(len(by), to_arrow_schema(out), sizes), out), "axes")
+    return stage(with_weights(surface(collapsed, by, axes, terms), by), "surface")
 
 
 def starting_points(trials: DataFrame, cells: DataFrame, by: list[str], z_grid: list[float], response: str = "accepted",

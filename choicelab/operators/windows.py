@@ -36,20 +36,20 @@ def standardize_within(df: DataFrame, cols: list[str], subject: str) -> DataFram
 
 
 def event_gaps(df: DataFrame, recording: list[str], time: str, order: list[str] | None = None,
-               out: str = "diff", hot_rows: int | None = None) -> DataFrame:
+               out: str = "diff", ranges: int | None = None) -> DataFrame:
     """Time since the previous event of the recording; 0 for the first."""
-    earlier = previous_value(df, recording, order or [time], time, "_before", hot_rows)
+    earlier = previous_value(df, recording, order or [time], time, "_before", ranges)
     return earlier.withColumn(out, F.coalesce(col(time) - F.col("_before"), F.lit(0))).drop("_before")
 
 
 def cooldown_gap(df: DataFrame, by: list[str], order: list[str], onset: str, before: str,
-                 out: str = "cooldown", hot_rows: int | None = None) -> DataFrame:
+                 out: str = "cooldown", ranges: int | None = None) -> DataFrame:
     """Onset minus the previous row's ``before``; the first row subtracts 0.
 
     One closing row per group holds 0 minus the group's last ``before``.
     """
     packed = df.withColumn("_packed", F.struct(col(before).alias("before")))
-    opened = previous_value(packed, by, order, "_packed", "_prior", hot_rows)
+    opened = previous_value(packed, by, order, "_packed", "_prior", ranges)
     earlier = F.when(F.col("_prior").isNull(), F.lit(0.0)).otherwise(F.col("_prior.before"))
     opened = opened.select(*map(col, by), *map(col, order), (col(onset) - earlier).alias(out))
     last = df.groupBy(*map(col, by)).agg(F.max_by(col(before), F.struct(*map(col, order))).alias("_last"))
@@ -60,15 +60,15 @@ def cooldown_gap(df: DataFrame, by: list[str], order: list[str], onset: str, bef
 
 
 def trial_number(df: DataFrame, by: list[str], order: list[str], out: str = "trialsnum",
-                 hot_rows: int | None = None) -> DataFrame:
+                 ranges: int | None = None) -> DataFrame:
     """1..n per subject in an explicit order."""
-    return row_index(df, by, order, out, hot_rows)
+    return row_index(df, by, order, out, ranges)
 
 
 def block_trial_index(df: DataFrame, by: list[str], order: list[str], n_per_block: int = 25,
-                      hot_rows: int | None = None) -> DataFrame:
+                      ranges: int | None = None) -> DataFrame:
     """Position in the session as (block, trial within block), both from 0."""
-    placed = row_index(df, by, order, "_place", hot_rows)
+    placed = row_index(df, by, order, "_place", ranges)
     place = F.col("_place") - 1
     return placed.withColumns({"blocks_idx": F.floor(place / n_per_block).cast("int"),
                                "trialblocks": (place % n_per_block).cast("int")}).drop("_place")
@@ -81,14 +81,14 @@ def _bin_of(value: Column, edges: list[Column]) -> Column:
 
 
 def quantile_bins(df: DataFrame, value: str, n: int, by: list[str] | None = None, out: str = "bin",
-                  hot_rows: int | None = None) -> DataFrame:
+                  ranges: int | None = None) -> DataFrame:
     """Bins between interpolated quantiles; edges are right-closed, the lowest is included.
 
     Where ties make neighbouring edges equal, the bins between them stay empty.
     """
     by = by or []
     inner = [i / n for i in range(1, n)]
-    edges = exact_quantiles(df, by, value, inner, "_edges", hot_rows)
+    edges = exact_quantiles(df, by, value, inner, "_edges", ranges)
     if by:
         joined = attach(df, edges, by)
         places = [F.try_element_at("_edges", F.lit(i + 1)) for i in range(len(inner))]
@@ -97,9 +97,9 @@ def quantile_bins(df: DataFrame, value: str, n: int, by: list[str] | None = None
     return df.withColumn(out, _bin_of(col(value), [F.lit(e) for e in (row["_edges"] or [])]))
 
 
-def bin_table(df: DataFrame, value: str, n: int, hot_rows: int | None = None) -> DataFrame:
+def bin_table(df: DataFrame, value: str, n: int, ranges: int | None = None) -> DataFrame:
     """Edges and row count of every quantile bin."""
-    all_edges = exact_quantiles(df, [], value, [i / n for i in range(n + 1)], "_edges", hot_rows).first()["_edges"]
+    all_edges = exact_quantiles(df, [], value, [i / n for i in range(n + 1)], "_edges", ranges).first()["_edges"]
     binned = df.withColumn("bin", _bin_of(col(value), [F.lit(e) for e in all_edges[1:-1]]))
     counts = binned.filter(F.col("bin").isNotNull()).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     edge = F.array(*[F.lit(e) for e in all_edges])
@@ -108,14 +108,16 @@ def bin_table(df: DataFrame, value: str, n: int, hot_rows: int | None = None) ->
 
 
 def timing_error(gaps: DataFrame, durations: DataFrame, by: list[str], gap: str, gap_order: list[str],
-                 duration: str, duration_order: list[str], hot_rows: int | None = None) -> DataFrame:
+                 duration: str, duration_order: list[str], ranges: int | None = None) -> DataFrame:
     """Event gap minus logged duration, matched by rank within ``by``.
 
     Both sides carry an explicit order. Rows without a partner give a null error.
     """
-    left = row_index(gaps, by, gap_order, "n", hot_rows).select(*map(col, by), "n", col(gap).alias("_gap"))
-    right = row_index(durations, by, duration_order, "n", hot_rows).select(
-        *map(col, by), "n", col(duration).alias("_duration"))
+    def ranked(side: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+        narrow = side.select(*map(col, by), *[col(o).alias(f"_o{i}") for i, o in enumerate(order)], col(value).alias(name))
+        return row_index(narrow, by, [f"_o{i}" for i in range(len(order))], "n", ranges).select(*map(col, by), "n", name)
+
+    left, right = ranked(gaps, gap_order, gap, "_gap"), ranked(durations, duration_order, duration, "_duration")
     both = left.join(right, [*by, "n"], "full_outer")
     return both.select(*map(col, by), "n", (F.col("_gap") - F.col("_duration")).alias("error"))
 

@@ -300,7 +300,7 @@ def design_matrix(spark, sf):
 
 COARSE = {"v": [-4.0, -2.0, 0.0, 2.0, 4.0], "a": [0.6, 1.0, 1.6, 2.4], "t": [0.05, 0.2, 0.35], "z": [0.25, 0.5, 0.75]}
 FINE = {"v": 5, "a": 4, "t": 4, "z": 4}
-ROUNDS = 4
+ROUNDS = 3
 TERMS = 7
 
 

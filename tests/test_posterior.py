@@ -42,9 +42,9 @@ def test_gelman_rubin(draws, chains, spark):
     assert by_param(post.gelman_rubin(same, ["param"]))["p"]["r_hat"] < 1
 
 
-@pytest.mark.parametrize("hot", [200, None])
-def test_posterior_summary(draws, chains, hot):
-    got = by_param(post.posterior_summary(draws, ["param"], 50, hot_rows=hot))
+@pytest.mark.parametrize("ranges", [17, None])
+def test_posterior_summary(draws, chains, ranges):
+    got = by_param(post.posterior_summary(draws, ["param"], 50, ranges=ranges))
     for name, x in chains.items():
         flat = x.ravel()
         assert got[name]["mean"] == pytest.approx(flat.mean()) and got[name]["std"] == pytest.approx(flat.std())
@@ -54,9 +54,9 @@ def test_posterior_summary(draws, chains, hot):
         assert got[name]["mc_err"] == pytest.approx(batches.std() / np.sqrt(50))
 
 
-@pytest.mark.parametrize("hot", [200, None])
-def test_hdi(draws, chains, hot):
-    got = by_param(post.hdi(draws, ["param"], hot_rows=hot))
+@pytest.mark.parametrize("ranges", [17, None])
+def test_hdi(draws, chains, ranges):
+    got = by_param(post.hdi(draws, ["param"], ranges=ranges))
     for name, x in chains.items():
         s = np.sort(x.ravel())
         k = int(np.floor(0.94 * len(s)))

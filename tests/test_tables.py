@@ -23,17 +23,17 @@ def df(spark, frame):
     return spark.createDataFrame(frame).repartition(5)
 
 
-@pytest.mark.parametrize("hot", [100, None])
-def test_describe(df, frame, hot):
-    got = ag.describe(df, "x", ["participant"], hot).toPandas().set_index("participant").sort_index()
+@pytest.mark.parametrize("ranges", [17, None])
+def test_describe(df, frame, ranges):
+    got = ag.describe(df, "x", ["participant"], ranges).toPandas().set_index("participant").sort_index()
     want = frame.groupby("participant")["x"].describe()
     np.testing.assert_allclose(got[["count", "mean", "std", "min", "q25", "q50", "q75", "max"]].astype(float), want)
 
 
-@pytest.mark.parametrize("hot", [100, None])
+@pytest.mark.parametrize("ranges", [17, None])
 @pytest.mark.parametrize("by", [[], ["participant"]])
-def test_quantile_bins_equal_qcut(df, frame, hot, by):
-    got = windows.quantile_bins(df, "y", 4, by, hot_rows=hot).toPandas().set_index("k")["bin"].sort_index()
+def test_quantile_bins_equal_qcut(df, frame, ranges, by):
+    got = windows.quantile_bins(df, "y", 4, by, ranges=ranges).toPandas().set_index("k")["bin"].sort_index()
     cut = lambda s: pd.qcut(s, 4, labels=False)
     want = frame.set_index("k").groupby("participant")["y"].transform(cut) if by else cut(frame.set_index("k")["y"])
     assert (got == want.sort_index()).all()
@@ -143,9 +143,9 @@ def test_contribution(spark):
     assert rows[2, 3.0] == (3.0, None) and rows[9, 1.0] == (None, None)
 
 
-@pytest.mark.parametrize("hot", [100, None])
-def test_event_gaps_and_cooldown(spark, df, frame, hot):
-    got = windows.event_gaps(df, ["participant"], "k", hot_rows=hot).toPandas().set_index("k")["diff"].sort_index()
+@pytest.mark.parametrize("ranges", [17, None])
+def test_event_gaps_and_cooldown(spark, df, frame, ranges):
+    got = windows.event_gaps(df, ["participant"], "k", ranges=ranges).toPandas().set_index("k")["diff"].sort_index()
     want = frame.sort_values("k").groupby("participant")["k"].diff().fillna(0)
     want.index = frame.sort_values("k")["k"]
     assert (got == want).all()
@@ -175,9 +175,9 @@ def test_small_aggregates(spark):
     assert {r["m"]: r["rank"] for r in ranked.collect()} == {"b": 0, "a": 1}
 
 
-@pytest.mark.parametrize("hot", [100, None])
-def test_block_trial_index(df, frame, hot):
-    got = windows.block_trial_index(df, ["participant"], ["k"], 25, hot).toPandas().set_index("k").sort_index()
+@pytest.mark.parametrize("ranges", [17, None])
+def test_block_trial_index(df, frame, ranges):
+    got = windows.block_trial_index(df, ["participant"], ["k"], 25, ranges).toPandas().set_index("k").sort_index()
     place = frame.sort_values("k").groupby("participant").cumcount().to_numpy()
     assert (got["blocks_idx"].to_numpy() == place // 25).all() and (got["trialblocks"].to_numpy() == place % 25).all()
 
