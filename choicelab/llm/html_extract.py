@@ -1,11 +1,12 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser streams its events; block tags end a line, and a
-line keeps how much text and how many tags it has. Lines inside an element whose
-name, class or role says it is not content have the ratio zero. The ratios are
-smoothed with a Gaussian along the page, and a threshold from their spread makes
-clusters of consecutive lines. A cluster selects the regions it lies in: the
-article around it or else its innermost container, with their short lines.
+line keeps how much text and how many tags it has. Text inside an element whose
+name, class or role says it is not content takes no part; where a line has no other
+text its ratio is zero. The ratios are smoothed with a Gaussian along the page, and a
+threshold from their spread makes clusters of consecutive lines. A cluster selects the
+articles it lies in, with their short lines; on a page without one, the smallest
+container of all clusters.
 """
 
 from __future__ import annotations
@@ -40,18 +41,29 @@ CLASSES = frozenset("ad ads advert adverts advertisement advertising adsense ban
                     "login search pagination pager skip toolbar tagcloud".split())
 CONTENT = frozenset(("article", "main"))
 REGIONS = frozenset("article main body div section td th".split())
+# Words of class names that mean the same wherever they stand, and names that an article's own parts carry.
+CLEAR = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored breadcrumb breadcrumbs navbar cookie cookies comments disqus newsletter pagination".split())
+ARTICLE_PARTS = frozenset("header side masthead search".split())
+#: Elements that some pages wrap around everything, or never close.
+WRAPPERS = frozenset("form nav header aside".split())
+WRAPPED_SHARE = 0.5
 _NAME = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
 
 
 def _unwanted(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
+    """Whether an element is no content. Inside an article only clear class names count, such as ``ad-box`` or ``share``, not ``post-header``."""
     if tag in SKIPPED:
         return not (tag == "header" and inside_article)
     for name, value in attrs:
         if not value and name != "hidden":
             continue
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if not CLASSES.isdisjoint(_NAME.findall(value.lower())):
+            words = _NAME.findall(value.lower())
+            if inside_article:
+                if not CLEAR.isdisjoint(words) or not (CLASSES - ARTICLE_PARTS).isdisjoint(value.lower().split()):
+                    return True
+            elif not CLASSES.isdisjoint(words):
                 return True
         elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -59,30 +71,39 @@ def _unwanted(tag: str, attrs: list[tuple[str, str | None]], inside_article: boo
 
 
 class LineParser(HTMLParser):
-    """Lines of a page as (text, tags, region, wanted); unclosed and stray tags are tolerated.
+    """Pieces of text of a page by line, with the unwanted elements they lie in; unclosed and stray tags are tolerated.
 
-    A region is the outermost open article or main element, else the innermost container.
+    A piece is judged where it stands, not where its line ends.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self._open: list[tuple[str, bool]] = []
+        self.pieces: list[list[tuple[str, tuple[int, ...]]]] = []  # per line
+        self.tags: list[int] = []
+        self.regions: list[int] = []
+        self.parents = {0: 0}
+        self.articles: set[int] = set()
+        self.wrappers: dict[int, bool] = {}  # unwanted element that may be a wrapper -> whether it holds an article or a heading
+        self._open: list[tuple[str, int]] = []
+        self._unwanted: list[int] = []
         self._regions = [0]
-        self._count = self._skipped = self._articles = self._tags = 0
-        self._text: list[str] = []
+        self._count = self._elements = self._in_articles = self._tags = 0
+        self._line: list[tuple[str, tuple[int, ...]]] = []
+        self._at = 0
 
     def _end_line(self) -> None:
-        text = _BLANK.sub(" ", "".join(self._text)).strip()
-        if text:
-            self.lines.append((text, self._tags, self._regions[-1], not self._skipped))
+        if any(text.strip() for text, _ in self._line):
+            self.pieces.append(self._line)
+            self.tags.append(self._tags)
+            self.regions.append(self._at)
             self._tags = 0
-        self._text = []
+        self._line = []
 
     def _pop(self) -> None:
-        tag, skipped = self._open.pop()
-        self._skipped -= skipped
-        self._articles -= tag in CONTENT
+        tag, element = self._open.pop()
+        if element:
+            self._unwanted.remove(element)
+        self._in_articles -= tag in CONTENT
         if tag in REGIONS:
             self._regions.pop()
 
@@ -93,15 +114,31 @@ class LineParser(HTMLParser):
         self._tags += 1
         if tag in VOID:
             if tag == "br":
-                self._text.append(" ")
+                self._line.append((" ", tuple(self._unwanted)))
             return
-        skipped = _unwanted(tag, attrs, self._articles > 0)
-        self._open.append((tag, skipped))
-        self._skipped += skipped
+        if tag in CONTENT or tag == "h1":
+            for element in self._unwanted:
+                if element in self.wrappers:
+                    self.wrappers[element] = True
+        element = 0
+        if _unwanted(tag, attrs, self._in_articles > 0):
+            self._elements += 1
+            element = self._elements
+            self._unwanted.append(element)
+            if tag in WRAPPERS:
+                self.wrappers[element] = False
+        self._open.append((tag, element))
         if tag in REGIONS:
             self._count += 1
-            self._regions.append(self._regions[-1] if self._articles else self._count)
-        self._articles += tag in CONTENT
+            inside = self._regions[-1]
+            if self._in_articles:  # an article is one region with all its parts
+                self._regions.append(inside)
+            else:
+                self.parents[self._count] = inside
+                self._regions.append(self._count)
+                if tag in CONTENT:
+                    self.articles.add(self._count)
+        self._in_articles += tag in CONTENT
 
     def _close_implied(self, tag: str) -> None:
         """A block ends an open paragraph, an item the item before it."""
@@ -130,12 +167,32 @@ class LineParser(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not (self._open and self._open[-1][0] in RAW):
-            self._text.append(data)
+            if not any(text.strip() for text, _ in self._line):
+                self._at = self._regions[-1]
+            self._line.append((data, tuple(self._unwanted)))
 
     def close(self) -> None:
         super().close()
         self._end_line()
 
+    def lines(self) -> list[tuple[str, int, int, bool]]:
+        """text, tags, region, wanted of every line. An element that holds an article or the heading and most of the page's text is a wrapper, not a part of it."""
+        inside: dict[int, int] = {}
+        total = 0
+        for line in self.pieces:
+            for text, elements in line:
+                size = len(text.strip())
+                total += size
+                for element in elements:
+                    inside[element] = inside.get(element, 0) + size
+        void = {e for e, holds in self.wrappers.items() if holds and inside.get(e, 0) > WRAPPED_SHARE * total}
+        out = []
+        for line, tags, region in zip(self.pieces, self.tags, self.regions):
+            kept = _BLANK.sub(" ", "".join(text for text, elements in line if void.issuperset(elements))).strip()
+            whole = kept or _BLANK.sub(" ", "".join(text for text, _ in line)).strip()
+            out.append((whole, tags, region, bool(kept)))
+        return out
+
 
 def smoothed(values: np.ndarray) -> np.ndarray:
     """Gaussian smoothing along the lines, renormalised at the ends."""
@@ -144,12 +201,34 @@ def smoothed(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, kernel)[reach:reach + len(values)] / np.convolve(np.ones(len(values)), kernel)[reach:reach + len(values)]
 
 
-def content_lines(lines: list[tuple[str, int, int, bool]]) -> list[str]:
-    """The wanted lines of the regions that hold a cluster of lines with a high smoothed ratio."""
+def _around(region: int, parents: dict[int, int]) -> list[int]:
+    """The region and the regions around it, outermost first."""
+    path = [region]
+    while region:
+        region = parents[region]
+        path.append(region)
+    return path[::-1]
+
+
+def content_lines(lines: list[tuple[str, int, int, bool]], parents: dict[int, int], articles: set[int]) -> list[str]:
+    """The wanted lines of the articles that hold a cluster of lines with a high smoothed ratio.
+
+    Without articles they are those of the smallest region around all clusters, so short
+    paragraphs between long ones stay.
+    """
     if not any(wanted for *_, wanted in lines):
         return []
     ratio = smoothed(np.array([wanted * len(text) / max(1, tags) for text, tags, _, wanted in lines]))
-    chosen = {region for (_, _, region, wanted), r in zip(lines, ratio) if wanted and r >= LEVEL * ratio.std()}
+    high = {region for (_, _, region, wanted), r in zip(lines, ratio) if wanted and r >= LEVEL * ratio.std()}
+    chosen = high & articles
+    if not chosen:
+        paths = [_around(region, parents) for region in high]
+        shared = 0
+        for step in zip(*paths):
+            if len(set(step)) > 1:
+                break
+            shared = step[0]
+        chosen = {region for _, _, region, _ in lines if shared in _around(region, parents)}
     return [text for text, _, region, wanted in lines if wanted and region in chosen]
 
 
@@ -157,7 +236,7 @@ def main_text(html: str) -> str:
     parser = LineParser()
     parser.feed(html)
     parser.close()
-    return "\n".join(content_lines(parser.lines))
+    return "\n".join(content_lines(parser.lines(), parser.parents, parser.articles))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from choicelab.llm.batches import bound_batches, starts_of, whole_groups
@@ -96,24 +96,29 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    """``k1``, ``k2``: 128 bits of a row's id and text, so that null and repeated ids tell their texts apart."""
+    return [F.xxhash64(F.col(text_col), F.col(id_col)).alias("k1"), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("k2")]
+
+
 def sketch_table(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the set, sketch (null for an empty set); staged."""
+    """doc_id, k1, k2, n_shingles, digest of the set, sketch (null for an empty set); staged."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, sketches = [], [], []
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(3)):
                 for own in shingles(part.lowered(), width):
                     sizes.append(len(own))
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     sketches.append(sketch(own).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "sketch"])
+                [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
+                names=["doc_id", "k1", "k2", "n_shingles", "digest", "sketch"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return stage(rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary"), "sketches")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_row_key(id_col, text_col), F.col(text_col).alias("text"))
+    return stage(rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n_shingles long, digest binary, sketch binary"), "sketches")
 
 
 def _chunked(rows: DataFrame, size: str) -> DataFrame:
@@ -221,7 +226,7 @@ def _intersections(rows: list[np.ndarray]) -> np.ndarray:
 def link_forest(members: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """u, v: spanning forests of the pairs within a component whose full sets reach the threshold.
 
-    ``members``: id, component, size (rows of the component).
+    ``members``: id, component, size (rows of the component), k1, k2 of the row whose text stands for the class.
     """
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,9 +249,10 @@ def link_forest(members: DataFrame, docs: DataFrame, width: int, percent: int, i
                 rights.append(j + s)
             yield _edges(ids, forest(len(ids), np.concatenate(lefts), np.concatenate(rights)))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("text"))
     keys = ["component", "a", "b"]
-    wanted = texts.join(stage(members, "members").hint("merge"), "id")
+    # rows that repeat id and text are one again: the join has sorted them together
+    wanted = texts.join(stage(members, "members").hint("merge"), ["k1", "k2"]).groupBy("k1", "k2", "id", "component", "size").agg(F.first("text").alias("text"))
     with_sets = _chunk_sets(wanted, sets)
     return with_sets.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(link, "u long, v long")
 
@@ -259,6 +265,30 @@ def _chunk_sets(wanted: DataFrame, sets) -> DataFrame:
     return _chunked(hashed, "size").drop("size")
 
 
+def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, k1, k2, n_shingles, component_id, stands: every row with its component and whether it stands for it."""
+    bound_batches(docs.sparkSession)
+    rows = sketch_table(docs, width, id_col, text_col)
+    # Classes of equal sets are numbered; ids, which may be null or repeat, come in at the end only.
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "k1", "k2")
+    classes = stage(rows.filter("n_shingles > 0").groupBy("digest")
+                    .agg(F.min(row).alias("row"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+                    .withColumn("id", F.monotonically_increasing_id()), "classes")
+    near = components(stage(candidate_forest(classes, percent / 100), "near"))
+    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    standing = classes.select("id", "row.k1", "row.k2")
+    members = near.withColumnRenamed("node", "id").join(stage(sizes, "sizes"), "component").join(standing, "id")
+    linked = components(stage(link_forest(members, docs, width, percent, id_col, text_col), "links"))
+    placed = classes.select("digest", "id", "row").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = stage(placed, "class-components")
+    least = placed.groupBy("component").agg(F.min("row").alias("least"))
+    of_class = placed.join(least, "component").select("digest", F.lit(True).alias("_known"), "least")
+    joined = rows.join(of_class, "digest", "left")
+    own = (F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2"))
+    return joined.select("doc_id", "k1", "k2", "n_shingles", F.when(F.col("_known"), F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                         F.when(F.col("_known"), own).otherwise(True).alias("stands"))
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -267,25 +297,22 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     links with nothing. Documents link at ``100 * intersection >= percent * union``;
     component_id is the smallest doc_id reachable. Copies of a set share its class.
     The chance to miss a link is that of sharing no band: 6e-11 at 0.85, 5e-8 at 0.8.
-    Rows that repeat an id share its component. Other columns are ignored.
+    A null id comes after all others: it names a component only where all its ids are
+    null, and then the row that stands for it is kept. Rows that repeat an id may be in
+    different components by their texts. An empty table gives an empty result. Texts of
+    any length are whole sets. Other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
-    rows = sketch_table(docs, width, id_col, text_col)
-    classes = stage(rows.filter("n_shingles > 0").groupBy("digest")
-                    .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    near = components(stage(candidate_forest(classes, percent / 100), "near"))
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = near.withColumnRenamed("node", "id").join(stage(sizes, "sizes"), "component")
-    linked = components(stage(link_forest(members, docs, width, percent, id_col, text_col), "links"))
-    of_class = stage(classes.select("digest", "id").join(linked.withColumnRenamed("node", "id"), "id", "left")
-                     .select("digest", F.coalesce("component", "id").alias("component_id")), "class-components")
-    return rows.join(of_class, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    rows = _grouped(docs, width, percent, id_col, text_col)
+    return rows.select("doc_id", "n_shingles", "component_id", F.when(F.col("component_id").isNull(), F.col("stands"))
+                       .otherwise(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
 
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group, with all their columns."""
-    kept = stage(near_groups(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct(), "near-stay")
-    whole = docs.select(F.struct("*").alias("_whole"), F.col("doc_id").alias("_doc"))
-    return whole.join(kept.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("_whole.*")
+    """The rows of ``docs`` that stand for their group, with all their columns.
+
+    The row with the smallest id stands for a group, of several texts with that id the one
+    with the smallest hash; rows that repeat id and text stay or go together.
+    """
+    stays = stage(_grouped(docs, width, percent, "doc_id", "text").filter("stands").select(F.col("k1").alias("_s1"), F.col("k2").alias("_s2")).distinct(), "near-stay")
+    whole = docs.select(F.struct("*").alias("_whole"), *_row_key("doc_id", "text"))
+    return whole.join(stays.hint("merge"), (F.col("k1") == F.col("_s1")) & (F.col("k2") == F.col("_s2")), "left_semi").select("_whole.*")

@@ -1,12 +1,12 @@
 """Personal data by base patterns and bootstrapped contextual extraction, in DataFrame functions only.
 
 Base entities (mail addresses, IP addresses, card and phone numbers) are found by
-regular expressions. They are the seeds: the word before one and the shape of the
-entity make a lexical pattern, and patterns and instances form a graph. In rounds a
-pattern is scored by the share of its instances that are trusted, and an instance
-by the patterns that extract it and whose kind it takes, so that instances found
-in one round make patterns of their own in the next. Confident patterns then mark
-identifiers of the same shape that the base patterns do not accept.
+regular expressions. They are the seeds: the word before one and the kind of slot it
+fills make a lexical pattern, such as a number of 8 to 15 digits after "call", and
+patterns and instances form a graph. In rounds a pattern is scored by the share of its
+instances that are trusted, and an instance by the patterns that extract it, so that
+instances found in one round make patterns of their own in the next. Confident patterns
+then mark identifiers that fill the same slot but that the base patterns do not accept.
 """
 
 from __future__ import annotations
@@ -32,19 +32,26 @@ class Kind:
     base: str
     java: str
     sign: str  # what a text with a match has
+    slot: str  # words that may be such an entity, whether or not the base pattern accepts them
 
 
+# A slot begins and ends with a word, punctuation around it aside.
+_BEGIN = r"(?<![^\x20\x09-\x0D(\[<\"'])"
+_END = r"(?=[)\]>\"'.,;:!?]*(?:[\x20\x09-\x0D]|$))"
 KINDS = (
     Kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-         r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
-    Kind("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]"),
-    Kind("card", r"[0-9]([\x20-]?[0-9])+", r"[0-9](?:[\x20-]?+[0-9])++", "[0-9]"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
+         r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@",
+         rf"{_BEGIN}[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]*[A-Za-z0-9]{_END}"),
+    Kind("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]",
+         rf"{_BEGIN}[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++{_END}"),
+    Kind("card", r"[0-9]([\x20-]?[0-9])+", r"[0-9](?:[\x20-]?+[0-9])++", "[0-9]",
+         rf"{_BEGIN}[0-9](?:[\x20-]?[0-9]){{15,18}}{_END}"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]",
+         rf"{_BEGIN}\+?(?:[(](?=[0-9]{{1,4}}[)]))?[0-9](?:[\x20().-]{{0,2}}[0-9]){{7,14}}{_END}"),
 )
 NAMES = [k.name for k in KINDS]
-#: Words with a digit or @, where an identifier may be.
-TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*?[0-9@])[^\x20\x09-\x0D]++"
-OPENING, CLOSING = r"^[(\[<\"']+", r"[)\]>\"'.,;:!?]+$"
+#: Context of a slot that no word comes before.
+START = "^"
 ROUNDS = 3
 #: A pattern is used when at least SUPPORT different instances back it and their mean trust is CONFIDENCE or more.
 SUPPORT = 20
@@ -108,36 +115,41 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.withColumn("spans", F.concat(*(_spans(k, F.col("text")) for k in KINDS)))
 
 
-def _shape(value: Column) -> Column:
-    """The value with its runs of letters as a, runs of digits as 9."""
-    return F.regexp_replace(F.regexp_replace(value, "[A-Za-z]+", "a"), "[0-9]+", "9")
+def _slots(text: Column, spans: Column, kind: int) -> Column:
+    """Words that fill the slot of a kind: start, end, value, context, shape (the slot's name), kind (null: no base entity there).
 
+    The context is the word before, in lower case with 9 for every digit, also where it fills a slot itself. Where
+    a base entity of another kind is, there is no slot.
+    """
+    empty = F.array().cast("array<struct<start:int,end:int,value:string,context:string,shape:string,kind:int>>")
+    last_word = r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[^\x20\x09-\x0D]*+$"
 
-def _candidates(text: Column, spans: Column) -> Column:
-    """Words that may be identifiers: start, end, value, context, shape, kind (null: no base entity there).
+    def step(done: Column, m: Column) -> Column:
+        before = F.regexp_extract(F.concat(done["last"], m["gap"]), last_word, 1)
+        context = F.when(before == "", START).otherwise(F.regexp_replace(F.lower(before), "[0-9]", "9"))
+        found = F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), context.alias("context"),
+                         F.lit(NAMES[kind]).alias("shape"), F.lit(None).cast("int").alias("kind"))
+        tail = F.regexp_extract(m["value"], r"[^\x20\x09-\x0D]++$", 0)
+        return F.struct(tail.alias("last"), F.concat(done["out"], F.array(found)).alias("out"))
 
-    The value has no punctuation at its ends; the context is the word before it, with 9 for digits.
-    """
-    def plain(m: Column) -> Column:
-        lead = F.length(m["value"]) - F.length(F.regexp_replace(m["value"], OPENING, ""))
-        value = F.regexp_replace(F.regexp_replace(m["value"], OPENING, ""), CLOSING, "")
-        start = m["start"] + lead
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"),
-                        F.regexp_extract(m["gap"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]+$", 1).alias("context"))
+    listed = F.aggregate(_places(text, KINDS[kind].slot), F.struct(F.lit("").alias("last"), empty.alias("out")), step, lambda done: done["out"])
 
     def known(c: Column) -> Column:
         over = F.filter(spans, lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"]))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"),
-                        F.regexp_replace(F.lower(c["context"]), "[0-9]", "9").alias("context"), _shape(c["value"]).alias("shape"),
-                        F.get(over, F.lit(0))["kind"].alias("kind"))
+        seed = F.when(F.exists(over, lambda s: s["kind"] == kind), kind).when(F.size(over) > 0, -1)
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["context"].alias("context"), c["shape"].alias("shape"), seed.alias("kind"))
 
-    words = F.when(text.rlike("[0-9@]"), F.transform(F.transform(_places(text, TOKEN), plain), known))
-    empty = "array<struct<start:int,end:int,value:string,context:string,shape:string,kind:int>>"
-    return F.coalesce(F.filter(words, lambda c: F.length(c["value"]) > 0), F.array().cast(empty))
+    some = F.when(text.rlike("[0-9]" if kind else "@"), F.filter(F.transform(listed, known), lambda c: F.coalesce(c["kind"], F.lit(0)) >= 0))
+    return F.coalesce(some, empty)
+
+
+def _candidates(text: Column, spans: Column) -> Column:
+    """Words of all slots."""
+    return F.concat(*(_slots(text, spans, k) for k in range(len(KINDS))))
 
 
-def confident_patterns(words: DataFrame) -> DataFrame:
-    """context, shape, kind, confidence of the patterns to use; staged.
+def confident_patterns(words: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """context, shape, kind, confidence of the patterns that ``support`` different values back with a mean trust of ``confidence``; staged.
 
     ``words`` has one row per candidate. Edges of the graph are the distinct (pattern, value);
     a value is trusted fully as a seed, else by the noisy-or of its patterns' confidence, with the kind
@@ -159,14 +171,15 @@ def confident_patterns(words: DataFrame) -> DataFrame:
                        .agg((1 - F.exp(doubt)).alias("by_pattern"), (-likely["minus"]).alias("by_kind")), "pii-values")
         trust = F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("by_pattern", F.lit(0.0)))
         patterns = scored(edges.join(values, "value", "left").select(*of_pattern, "value", trust.alias("trust"), F.coalesce("kind", "by_kind").alias("kind")))
-    return patterns.filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select(*of_pattern, "kind", "confidence")
+    return patterns.filter((F.col("support") >= support) & (F.col("confidence") >= confidence)).select(*of_pattern, "kind", "confidence")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """doc_id, base, added: arrays of (kind, start, end) for every row of ``docs``.
 
     Places are code points, the end exclusive; kinds are numbered as in KINDS. ``added``
-    are words that a confident pattern marks and no base entity touches. Null text is
+    are words that a confident pattern marks and no base entity touches; a small table,
+    whose patterns have fewer than ``support`` values, gets none. Null text is
     empty; an empty table gives an empty result; rows that repeat an id are separate.
     Other columns are ignored.
     """
@@ -175,7 +188,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = stage(found.select("doc_id", bare.alias("base"), _candidates(F.col("text"), F.col("spans")).alias("words"),
                               F.monotonically_increasing_id().alias("_row")), "pii-rows")
     words = rows.select("_row", F.explode("words").alias("w")).select("_row", "w.*")
-    patterns = confident_patterns(words)
+    patterns = confident_patterns(words, support, confidence)
     open_ = words.filter("kind is null").drop("kind").join(patterns, ["context", "shape"])
     added = open_.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")

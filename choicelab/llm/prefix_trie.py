@@ -113,10 +113,13 @@ def _chained(block: int, segment: int):
             rows = []
             for r in batch.to_pylist():
                 before, turns = r["start"], r["turns"]
+                whole = hashlib.sha256(b"".join(t["digest"] for t in turns)).digest()
                 for at in range(0, len(turns), block):
                     own = turns[at:at + block]
                     digests = [t["digest"] for t in own]
-                    name = _joined(before, b"".join(digests))
+                    # the last block of a full segment has the name that the next segment starts from
+                    full = at + len(own) == block * segment
+                    name = _joined(r["start"], whole) if full else _joined(before, b"".join(digests))
                     depth = r["segment"] * segment * block + at
                     rows.append((r["conv_id"], r["segment"], depth, before, name, digests, [t["words"] for t in own], depth + len(own) == r["length"]))
                     before = name

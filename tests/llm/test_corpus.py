@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from choicelab.llm import (
@@ -252,9 +253,25 @@ def test_pii(spark, docs, empty):
 
 
 def test_pii_finds_new_identifiers(spark):
-    rows = [(k, f"please call +1 (555) 555-{1000 + k} now") for k in range(60)] + [(900, "please call +1 (555) 555-4242 20240101 now"), (901, "x 555-4242")]
+    """A number without + after the word that seeds follow is found whole; years, counts, prices and dates are not."""
+    rows = [(k, f"please call +1 (555) 555-{1000 + k} now") for k in range(60)]
+    new = {900: ("please call 555 555-4242 now", "phone:12:24"), 901: ("Call (555) 555.4242, please", "phone:5:19"), 902: ("call +1 (555) 555-4242 20240101 now", "phone:5:22")}
+    plain = ["x 555-4242", "2024 was a good year", "in 1999 2024 we sold", "about 7 8 9 dogs", "paid 1,299.00 for 16 items", "call 911 now", "call 4111111111111112 now", "12345678 calls", "on 2024-01-01 10 came"]
+    rows += [(k, text) for k, (text, _) in new.items()] + [(1000 + k, text) for k, text in enumerate(plain)]
     got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert "phone" in got[900] and got[901] == ""
+    assert {k: got[k] for k in new} == {k: spans for k, (_, spans) in new.items()}
+    assert all(got[1000 + k] == "" for k in range(len(plain)))
+    small = pii.find(spark.createDataFrame(rows[:10] + rows[60:], "doc_id long, text string"), support=5).filter("doc_id = 900").first()
+    assert [(s.kind, s.start, s.end) for s in small.added] == [(pii.NAMES.index("phone"), 12, 24)]
+
+
+def test_pii_context_is_the_word_before(spark):
+    """Also where that word fills a slot itself, and at the start of a text."""
+    rows = [(1, "12345678 23456789 and a 34567890"), (2, "(12345678)")]
+    table = pii.base_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: [(w.value, w.context) for w in r.words if w["shape"] == "phone"] for r in table.select("doc_id", pii._candidates(table.text, table.spans).alias("words")).collect()}
+    assert got[1] == [("12345678", pii.START), ("23456789", "99999999"), ("34567890", "a")]
+    assert got[2] == [("12345678", pii.START)]
 
 
 def test_pii_in_later_rounds(spark):
@@ -438,6 +455,56 @@ def test_query(spark, name):
         assert df.count() > 0
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Ids are names only: texts that share one are told apart, and none is lost."""
+    base, other, third, fourth = (long_text(80, seed) for seed in (31, 32, 33, 34))
+    rows = [(1, base), (5, base + " x"), (5, other), (None, third), (None, third + " y"), (None, fourth), (7, other + " z"), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(1)).repartition(3)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(docs).collect()), key=repr)
+    assert sorted(got, key=repr) == sorted([(1, 1, True), (5, 1, False), (5, 5, True), (None, None, True), (None, None, False), (None, None, True), (7, 5, False), (8, 8, True), (8, 8, True)], key=repr)
+    stay = near_dedup.drop_near(docs)
+    assert stay.columns == docs.columns
+    texts = sorted(r.text or "" for r in stay.collect())
+    assert len(texts) == 6 and texts.count("") == 2 and base in texts and other in texts and fourth in texts and (third in texts) != (third + " y" in texts)
+
+
+HTML_CASES = [
+    ("<article><p>Text <span class='ad'>BUYNOW</span> more words here <button>SHARE</button> and an end.</p><noscript>No</noscript><textarea>T</textarea></article>", "Text more words here and an end."),
+    ("<article><p>long text of a paragraph<button>b<p></article>", "long text of a paragraph"),
+    ("<body><form id='aspnetForm'><div class='menu'>A B</div><article><h1>Title</h1><p>The text of the page, all in a form.</p></article></form></body>", "Title\nThe text of the page, all in a form."),
+    ("<body><nav><a>Home</a><div><h1>Title</h1><p>The text after a nav that never ends is long enough to count.</p></div></body>", None),
+    ("<article><div class='post-header'><h1>Head</h1></div><p>A first paragraph of some length.</p><div class='side-by-side'><p>Columns.</p></div><section id='social-impact'><p>Impact on people.</p></section>"
+     "<div class='share'>Share me</div><div class='ad-slot'>Buy</div></article>", "Head\nA first paragraph of some length.\nColumns.\nImpact on people."),
+    ("<body><div id=x><div><p>One rather long paragraph that opens the text of this page, with many words.</p></div><div><p>Short.</p></div><div><p>Well.</p></div><div><p>Yes.</p></div><div><p>No.</p></div>"
+     "<div><p>Another long paragraph that ends the text of the page, again with many words.</p></div></div><div class=footer>Site</div></body>",
+     "One rather long paragraph that opens the text of this page, with many words.\nShort.\nWell.\nYes.\nNo.\nAnother long paragraph that ends the text of the page, again with many words."),
+]
+
+
+@pytest.mark.parametrize("html,want", HTML_CASES)
+def test_html_pieces(html, want):
+    got = html_extract.main_text(html)
+    assert got == want if want else "The text after a nav that never ends" in got
+
+
+def test_html_against_a_plain_reading():
+    """Pages without articles, built from known blocks: all wanted ones, none of the others."""
+    rng = np.random.default_rng(17)
+    for _ in range(60):
+        wanted, body = [], []
+        for k in range(int(rng.integers(3, 12))):
+            text = f"Block {k} " + " ".join(f"word{i}" for i in range(int(rng.integers(1, 40))))
+            if k not in (0, 1) and rng.random() < 0.3:
+                body.append(rng.choice(["<div class='sidebar'>%s</div>", "<footer>%s</footer>", "<div id=comments><p>%s</p></div>", "<aside><p>%s</p></aside>"]) % text)
+            else:
+                wanted.append(text)
+                body.append(rng.choice(["<p>%s</p>", "<div><p>%s</p></div>", "<section><div>%s</div></section>"]) % text)
+        got = html_extract.main_text("<html><body><nav>A</nav><div>" + "".join(body) + "</div></body></html>").split("\n")
+        assert set(got) <= set(wanted)
+        long_ones = [i for i, t in enumerate(wanted) if t in got]
+        assert got == wanted[long_ones[0]:long_ones[-1] + 1]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     sizes, kept = [docs.count()], docs
