@@ -12,7 +12,7 @@ that has them first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -32,8 +32,6 @@ SPACING = 16
 #: Bytes around a run that are compared with other occurrences, and words after which fewer of them go on.
 CONTEXT = 512
 WORD_STEPS = (0, 1, 4, 16)
-#: Words that a run of whole chunks must have to be grown; far fewer than any reported passage holds.
-FEW_WORDS = 10
 #: Whole chunks with this share of ``most_words`` tell a part's source: a passage cuts some of its words off at its ends.
 WINDOW_SHARE = 0.6
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
@@ -65,8 +63,17 @@ def _spaced(ends: np.ndarray) -> np.ndarray:
     return np.array(kept)
 
 
+def _fringe(size: np.ndarray, words: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """How far a run may grow over a neighbour of ``size`` bytes, and in the upper half the words that begin there (255: or more).
+
+    A longer gain would hold the neighbouring chunk; in text that repeats itself ends are less certain.
+    """
+    reach = np.where(size < 2 * SPACING, CONTEXT, np.minimum(size + 2 * PAD, CONTEXT))
+    return reach + (np.minimum(words(reach), 255) << 16)
+
+
 def chunks(part: Slice) -> tuple[np.ndarray, ...]:
-    """text, number, start, end (bytes), words that begin inside, digest, continuation bytes before start and end, bytes of the chunks before and after, of each chunk of a slice."""
+    """text, number, start, end (bytes), words that begin inside, digest, continuation bytes before start and end, fringes before and after, of each chunk of a slice."""
     texts = part.texts()
     raw = np.frombuffer(b" " * PAD + (b" " * PAD).join(texts) + b" " * PAD, np.uint8)
     sizes = np.diff(part.offsets)
@@ -100,7 +107,10 @@ def chunks(part: Slice) -> tuple[np.ndarray, ...]:
     sizes_, inside = cut - start, number > 0
     earlier = np.where(inside, np.concatenate([[0], sizes_[:-1]])[:len(cut)], 0)
     later = np.where(np.append(inside[1:], False)[:len(cut)], np.append(sizes_[1:], 0)[:len(cut)], 0)
-    return text, number, start - begin[text], cut - begin[text], words, RangeHasher(raw)(start, cut), wide, wide_end, earlier, later
+    stop = (begin + sizes)[text]
+    before = _fringe(earlier, lambda reach: np.searchsorted(opening, start) - np.searchsorted(opening, np.maximum(begin[text], start - reach)))
+    after_ = _fringe(later, lambda reach: np.searchsorted(opening, np.minimum(stop, cut + reach)) - np.searchsorted(opening, cut))
+    return text, number, start - begin[text], cut - begin[text], words, RangeHasher(raw)(start, cut), wide, wide_end, before, after_
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
@@ -119,11 +129,11 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return stage(docs.mapInArrow(run, "doc_id long, text_key long, number int, start int, end int, words int, wide int, wide_end int, before int, after int, digest long"), "chunks")
 
 
-def _runs(marked: DataFrame, window: int) -> DataFrame:
+def _runs(marked: DataFrame, window: int, most_words: int) -> DataFrame:
     """Repeated chunks of every text with their run, and the windows of chunks that begin and end at each.
 
-    Consecutive repeated chunks are a run, named by its first chunk's number; runs below FEW_WORDS
-    words have none. A window is the shortest row of a run's chunks from its begin, or to its end, with
+    Consecutive repeated chunks are a run, named by its first chunk's number; runs that cannot have more than
+    ``most_words`` words, with all that begin in the reach of their ends, have none. A window is the shortest row of a run's chunks from its begin, or to its end, with
     ``window`` words, or the whole run if it has fewer: digest and number of chunks, null where there is none.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +152,8 @@ def _runs(marked: DataFrame, window: int) -> DataFrame:
             end = np.searchsorted(sums, sums[at] + window)  # first end with enough words
             whole = (at == first[of]) & (words[of] < window)
             end = np.where(whole, stop[of], end)
-            long_ = words[of] >= FEW_WORDS
+            left, right = (table[k].to_numpy() >> 16 for k in ("before", "after"))
+            long_ = (words + left[first] + right[stop - 1] > most_words)[of]
             begun = (end <= stop[of]) & long_
             begin = np.searchsorted(sums, sums[1:] - window, "right") - 1  # last begin with enough words
             ended = (begin >= first[of]) & long_
@@ -304,17 +315,13 @@ def repeated_passages(docs: DataFrame, most_words: int = 50) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").filter("doc_id is not null and text is not null")
     table = chunk_table(texts)
     repeated = stage(table.groupBy("digest").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).filter("_low < _high").select("digest"), "repeated")
-    chunks_ = _runs(table.join(repeated.hint("merge"), "digest"), max(FEW_WORDS, int(most_words * WINDOW_SHARE)))
+    chunks_ = _runs(table.join(repeated.hint("merge"), "digest"), max(1, int(most_words * WINDOW_SHARE)), most_words)
     runs = _sourced(chunks_)
 
-    def reach(neighbour: str) -> Column:
-        """A longer gain would hold the neighbouring chunk; in text that repeats itself ends are less certain."""
-        return F.when(F.col(neighbour) < 2 * SPACING, CONTEXT).otherwise(F.least(F.col(neighbour) + 2 * PAD, F.lit(CONTEXT))).cast("int")
-
     def places(flag: str, side: str, place: str, neighbour: str) -> DataFrame:
         wanted = stage(chunks_.filter(flag).select("digest").distinct(), "end-digests")
         return chunks_.join(wanted.hint("merge"), "digest").select(
-            "doc_id", "text_key", F.col(place).alias("place"), F.lit(side).alias("side"), "digest", F.col(flag).alias("asks"), reach(neighbour).alias("reach"))
+            "doc_id", "text_key", F.col(place).alias("place"), F.lit(side).alias("side"), "digest", F.col(flag).alias("asks"), F.col(neighbour).bitwiseAND(0xFFFF).alias("reach"))
 
     contexts = _contexts(places("head", "L", "start", "before").unionByName(places("tail", "R", "end", "after")), texts)
     keys = ["doc_id", "text_key", "place", "side"]
