@@ -235,3 +235,15 @@ def test_impossible_observation(spark):
         got = {r.obs: r.elpd for r in post.pointwise_elpd(table, ["model"], ["obs"], kind).collect()}
         assert got[1] == float("-inf") and np.isfinite(got[0])
     assert post.waic(table, ["model"], ["obs"]).first()["warning"]
+
+
+def test_autocovariance_of_thinned_draws(spark):
+    """Lags count draws: numbers with gaps change nothing, also where a chain is cut into segments."""
+    rng = np.random.default_rng(11)
+    x = np.cumsum(rng.normal(size=300)) * 0.3
+    frames = [pd.DataFrame({"param": "p", "chain": 0, "draw": np.arange(300) * step + first, "value": x}) for step, first in ((1, 0), (50, 7))]
+    plain, thinned = ({r["lag"]: r["autocov"] for r in post.autocovariance(spark.createDataFrame(f), ["param"], 20, segment=64).collect()} for f in frames)
+    c = x - x.mean()
+    for lag in range(21):
+        want = (c[:300 - lag] * c[lag:]).sum() / 300
+        assert plain[lag] == pytest.approx(want) and thinned[lag] == pytest.approx(want)

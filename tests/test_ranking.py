@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from choicelab.operators import ranking
 
@@ -58,3 +59,22 @@ def test_null_group_is_kept(spark):
     df = spark.createDataFrame(rows, "g string, k int")
     got = ranking.row_index(df, ["g"], ["k"], "n", ranges=5).toPandas()
     assert len(got) == 33 and (got["n"] == got["k"] + 1).all()
+
+
+def test_hot_group_of_equal_rows_is_spread(spark):
+    """Rows that tie in group and order are dealt to several ranges, and their numbers are still 1..n."""
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 'rare', 'hot') as g", "if(id % 3 = 0, id, 5) as k", "id").repartition(4)
+    numbered = ranking.row_index(df, ["g"], ["k"], "n", ranges=6)
+    got = numbered.toPandas()
+    assert sorted(got[got.g == "hot"].n) == list(range(1, 2001)) and sorted(got[got.g == "rare"].n) == list(range(1, 1001))
+    dealt = ranking.sorted_ranges(df, ["g"], ["k"], 6).groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert dealt.max() < 1000
+    assert ranking.row_index(df.limit(0), ["g"], ["k"], "n").count() == 0
+
+
+def test_previous_value_may_be_null(spark):
+    rows = [(g, k, None if k % 3 == 1 else float(k)) for g in (None, "a") for k in range(40)]
+    df = spark.createDataFrame(rows, "g string, k int, v double").repartition(3)
+    for ranges in (1, 9):
+        got = {(r.g, r.k): r.p for r in ranking.previous_value(df, ["g"], ["k"], "v", "p", ranges=ranges).collect()}
+        assert got == {(g, k): None if k == 0 or (k - 1) % 3 == 1 else float(k - 1) for g in (None, "a") for k in range(40)}
