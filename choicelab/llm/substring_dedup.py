@@ -68,7 +68,8 @@ def _fringe(size: np.ndarray, words: Callable[[np.ndarray], np.ndarray]) -> np.n
 
     A longer gain would hold the neighbouring chunk; in text that repeats itself ends are less certain.
     """
-    reach = np.where(size < 2 * SPACING, CONTEXT, np.minimum(size + 2 * PAD, CONTEXT))
+    # in steps of 16 bytes: few different values, which compress well in the largest table
+    reach = np.where(size < 2 * SPACING, CONTEXT, np.minimum((size + 2 * PAD + 15) // 16 * 16, CONTEXT))
     return reach + (np.minimum(words(reach), 255) << 16)
 
 
