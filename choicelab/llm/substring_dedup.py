@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from itertools import chain, count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,16 @@ WINDOW = 16
 REACH = 24
 PAD = 32
 SPACING = 16
-#: Bytes around a run that are compared with other occurrences, and words after which fewer of them go on.
-CONTEXT = 512
-WORD_STEPS = (0, 1, 4, 16)
+#: Bytes beside a run in text that repeats itself; elsewhere the neighbouring chunk tells how many are compared.
+AROUND = 512
+#: Reach is kept in units of so many bytes: few different values, which compress well in the largest table.
+UNIT = 16
+REACH_BITS = 24
+#: Words in reach from this number on are not told apart; the run counts as long enough.
+MANY = 127
+#: Words after which fewer occurrences go on; further rounds are each this many times as long.
+WORD_STEPS = (0, 1, 4, 16, 256)
+GROWTH = 16
 #: Whole chunks with this share of ``most_words`` tell a part's source: a passage cuts some of its words off at its ends.
 WINDOW_SHARE = 0.6
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
@@ -64,13 +72,12 @@ def _spaced(ends: np.ndarray) -> np.ndarray:
 
 
 def _fringe(size: np.ndarray, words: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """How far a run may grow over a neighbour of ``size`` bytes, and in the upper half the words that begin there (255: or more).
+    """How far a run may grow over a neighbour of ``size`` bytes, in units, and in the upper bits the words that begin there (MANY: or more).
 
-    A longer gain would hold the neighbouring chunk; in text that repeats itself ends are less certain.
+    A longer gain would hold the neighbouring chunk, of any length; in text that repeats itself ends are less certain.
     """
-    # in steps of 16 bytes: few different values, which compress well in the largest table
-    reach = np.where(size < 2 * SPACING, CONTEXT, np.minimum((size + 2 * PAD + 15) // 16 * 16, CONTEXT))
-    return reach + (np.minimum(words(reach), 255) << 16)
+    units = np.where(size < 2 * SPACING, AROUND // UNIT, -(-(size + 2 * PAD) // UNIT))
+    return units + (np.minimum(words(units * UNIT), MANY) << REACH_BITS)
 
 
 def chunks(part: Slice) -> tuple[np.ndarray, ...]:
@@ -153,8 +160,8 @@ def _runs(marked: DataFrame, window: int, most_words: int) -> DataFrame:
             end = np.searchsorted(sums, sums[at] + window)  # first end with enough words
             whole = (at == first[of]) & (words[of] < window)
             end = np.where(whole, stop[of], end)
-            left, right = (table[k].to_numpy() >> 16 for k in ("before", "after"))
-            long_ = (words + left[first] + right[stop - 1] > most_words)[of]
+            left, right = table["before"].to_numpy()[first] >> REACH_BITS, table["after"].to_numpy()[stop - 1] >> REACH_BITS
+            long_ = ((words + left + right > most_words) | (left == MANY) | (right == MANY))[of]
             begun = (end <= stop[of]) & long_
             begin = np.searchsorted(sums, sums[1:] - window, "right") - 1  # last begin with enough words
             ended = (begin >= first[of]) & long_
@@ -261,25 +268,32 @@ def _shared_steps(contexts: DataFrame) -> DataFrame:
             for batch in batches:
                 of, number, keys = [], [], []
                 for k, (side, around) in enumerate(zip(batch.column("side").to_pylist(), batch.column("bytes").to_pylist())):
-                    for n, length in enumerate(word_steps(side, around)[begin:end], begin + 1):
-                        part = around[len(around) - length:] if side == "L" else around[1:length + 1]
+                    away = around[::-1] if side == "L" else around[1:]
+                    lengths = word_steps(side, around)
+                    hashed, at_ = blake2b(digest_size=8), 0
+                    for n, length in enumerate(lengths[begin:end], begin + 1):
+                        hashed.update(away[at_:length])
+                        at_ = length
                         of.append(k)
                         number.append(n)
-                        keys.append(int.from_bytes(blake2b(part, digest_size=8).digest(), "little", signed=True))
+                        keys.append(int.from_bytes(hashed.copy().digest(), "little", signed=True))
                 at = pa.array(of, pa.int64())
                 names = ["fringe", "side", "digest", "lo", "hi", "asks"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array(number, pa.int32()), pa.array(keys, pa.int64())], names=[*names, "n", "key"])
         return run
 
     live, steps, keys = fringes, None, ["side", "digest", "key"]
-    for begin, end in zip(WORD_STEPS, [*WORD_STEPS[1:], CONTEXT]):
+    ends = chain(WORD_STEPS[1:], (WORD_STEPS[-1] * GROWTH**k for k in count(1)))
+    for begin, end in pairwise(chain(WORD_STEPS[:1], ends)):
+        if begin >= WORD_STEPS[-1] and live.isEmpty():
+            break
         rows = stage(live.mapInArrow(cut(begin, end), "fringe long, side string, digest long, lo long, hi long, asks boolean, n int, key long"), "prefixes")
         both = rows.groupBy(*keys).agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.max("asks").alias("wanted")).filter("wanted and least < most")
         found = stage(rows.join(stage(both.select(*keys, "least"), "shared-prefixes").hint("merge"), keys).select("fringe", "n", "least", "asks"), "found-prefixes")
         own = found.filter("asks").select("fringe", "n", "least")
         steps = own if steps is None else steps.unionByName(own)
         live = stage(live.join(found.filter(F.col("n") == end).select("fringe"), "fringe"), "live-fringes")
-    listed = steps.groupBy("fringe").agg(F.collect_list(F.struct("n", "least")).alias("steps"))  # bounded by CONTEXT
+    listed = steps.groupBy("fringe").agg(F.collect_list(F.struct("n", "least")).alias("steps"))  # bounded by the bytes of a context
     return stage(fringes.filter("asks").join(listed, "fringe").select("side", "digest", "bytes", "steps"), "steps")
 
 
@@ -322,7 +336,7 @@ def repeated_passages(docs: DataFrame, most_words: int = 50) -> DataFrame:
     def places(flag: str, side: str, place: str, neighbour: str) -> DataFrame:
         wanted = stage(chunks_.filter(flag).select("digest").distinct(), "end-digests")
         return chunks_.join(wanted.hint("merge"), "digest").select(
-            "doc_id", "text_key", F.col(place).alias("place"), F.lit(side).alias("side"), "digest", F.col(flag).alias("asks"), F.col(neighbour).bitwiseAND(0xFFFF).alias("reach"))
+            "doc_id", "text_key", F.col(place).alias("place"), F.lit(side).alias("side"), "digest", F.col(flag).alias("asks"), (F.col(neighbour).bitwiseAND((1 << REACH_BITS) - 1) * UNIT).alias("reach"))
 
     contexts = _contexts(places("head", "L", "start", "before").unionByName(places("tail", "R", "end", "after")), texts)
     keys = ["doc_id", "text_key", "place", "side"]

@@ -3,12 +3,13 @@
 import hashlib
 import itertools
 import math
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from choicelab.llm import filter_audit, prefix_trie, sharding
+from choicelab.llm import filter_audit, prefix_trie, sharding, substring_dedup
 
 
 # --- conversation prefix trie -----------------------------------------------
@@ -221,3 +222,45 @@ def test_with_shard(spark):
     df = spark.createDataFrame([(k, "x") for k in range(50)], "doc_id long, text string")
     named = {r.doc_id: r.shard for r in sharding.with_shard(df, 13).collect()}
     assert named == {r.doc_id: r.shard for r in sharding.assign(df, 13).collect()}
+
+
+# --- repeated passages ------------------------------------------------------
+
+def test_contexts_of_any_length(spark):
+    words = [f"{k % 7}{'x' * (k % 3)}" for k in range(3000)]
+    one, two = " ".join(words), " ".join([*words[:2500], "other", *words[2501:]])
+    rows = [(doc, 0, 0, side, 9, doc == 1, bytearray(f(text).encode()))
+            for doc, text in ((1, one), (2, two)) for side, f in (("R", lambda t: f". {t} "), ("L", lambda t: f" {t[::-1]} ."))]
+    contexts = spark.createDataFrame(rows, "doc_id long, text_key long, place int, side string, digest long, asks boolean, bytes binary")
+    got = {r.side: sorted(s.n for s in r.steps) for r in substring_dedup._shared_steps(contexts).collect()}
+    assert got == {"L": list(range(1, 2502)), "R": list(range(1, 2501))}  # to the left, the dot begins a word
+
+
+def test_fringes_of_any_size():
+    sizes = np.array([0, 49, 448, 10_000, 3_000_000])
+    packed = substring_dedup._fringe(sizes, lambda reach: reach // 6)
+    reach = (packed & ((1 << substring_dedup.REACH_BITS) - 1)) * substring_dedup.UNIT
+    assert reach[0] == substring_dedup.AROUND and (reach[1:] >= sizes[1:] + 64).all() and (reach[1:] < sizes[1:] + 64 + substring_dedup.UNIT).all()
+    assert (packed >> substring_dedup.REACH_BITS).tolist() == [85, 21, 85, 127, 127] and packed.max() < 2**31
+
+
+def test_passages_against_all_sequences(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    owners, where = {}, {}
+    for doc, text in texts.items():
+        where[doc] = [m.span() for m in re.finditer(r"[^\x20\x09-\x0d]+", text)]
+        for k in range(len(where[doc]) - 50):
+            owners.setdefault(" ".join(text[a:b] for a, b in where[doc][k:k + 51]), set()).add(doc)
+    want = {}
+    for doc, text in texts.items():
+        for k in range(len(where[doc]) - 50):
+            if len(owners[" ".join(text[a:b] for a, b in where[doc][k:k + 51])]) > 1:
+                want.setdefault(doc, set()).update(where[doc][k:k + 51])
+    got = {}
+    for r in substring_dedup.repeated_passages(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.passage_start, r.passage_end))
+    assert want
+    missed = {doc: [w for w in words if not any(a <= w[0] and w[1] <= b for a, b in got.get(doc, []))] for doc, words in want.items()}
+    assert not any(missed.values())
+    assert len(set(got) - set(want)) <= 1  # a passage chained over several documents counts too
