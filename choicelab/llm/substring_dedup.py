@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from choicelab.llm.batches import bound_batches, starts_of, whole_groups
 from choicelab.llm.text import RangeHasher, Slice, mix, slices
-from choicelab.staging import stage
+from choicelab.staging import drop_path, scratch_path, stage
 
 #: Bytes that the hash rolls over, and bytes on either side that an end is compared with.
 WINDOW = 16
@@ -47,6 +47,12 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+def _brief(df: DataFrame, label: str) -> tuple[DataFrame, Callable[[], None]]:
+    """A staged table and the call that deletes it, for when all that reads it is staged itself."""
+    path = scratch_path(df.sparkSession, label)
+    return stage(df, label, path), lambda: drop_path(df.sparkSession, path)
+
+
 def _least(values: np.ndarray, length: int) -> np.ndarray:
     """Minimum of the ``length`` values from each position on, the end counting as the largest value."""
     def ahead(x: np.ndarray, by: int) -> np.ndarray:
@@ -122,7 +128,7 @@ def chunks(part: Slice) -> tuple[np.ndarray, ...]:
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, number, start, end, words, wide, wide_end, before, after, digest of every chunk, see ``chunks``; staged."""
+    """doc_id, text_key, number, start, end, words, wide, wide_end, before, after, digest of every chunk, see ``chunks``."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +140,10 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                     [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in (number, start, end, words, *more)), pa.array(digest.view(np.int64))],
                     names=["doc_id", "text_key", "number", "start", "end", "words", "wide", "wide_end", "before", "after", "digest"])
 
-    return stage(docs.mapInArrow(run, "doc_id long, text_key long, number int, start int, end int, words int, wide int, wide_end int, before int, after int, digest long"), "chunks")
+    return docs.mapInArrow(run, "doc_id long, text_key long, number int, start int, end int, words int, wide int, wide_end int, before int, after int, digest long")
 
 
-def _runs(marked: DataFrame, window: int, most_words: int) -> DataFrame:
+def _runs(marked: DataFrame, window: int, most_words: int) -> tuple[DataFrame, Callable[[], None]]:
     """Repeated chunks of every text with their run, and the windows of chunks that begin and end at each.
 
     Consecutive repeated chunks are a run, named by its first chunk's number; runs that cannot have more than
@@ -178,7 +184,7 @@ def _runs(marked: DataFrame, window: int, most_words: int) -> DataFrame:
 
     keys = ["doc_id", "text_key", "number"]
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema), "run int, head boolean, tail boolean, ahead long, n_ahead int, behind long, n_behind int"])
-    return stage(marked.repartition("doc_id", "text_key").sortWithinPartitions(*keys).mapInArrow(run, schema), "runs")
+    return _brief(marked.repartition("doc_id", "text_key").sortWithinPartitions(*keys).mapInArrow(run, schema), "runs")
 
 
 def _sourced(chunks_: DataFrame) -> DataFrame:
@@ -213,10 +219,12 @@ def _sourced(chunks_: DataFrame) -> DataFrame:
 
     either = F.filter(F.array(windows(False, "ahead", "n_ahead"), windows(True, "behind", "n_behind")), lambda w: ~w["behind"] | w["window"].isNotNull())
     listed = chunks_.filter("run is not null").select(*keys, "number", "start", "end", "wide", "wide_end", "words", F.explode(either).alias("w")).select("*", "w.*").drop("w")
-    lows = stage(listed.filter("window is not null").groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("_high")).filter("low < _high").drop("_high"), "windows")
+    lows, drop_lows = _brief(listed.filter("window is not null").groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("_high")).filter("low < _high").drop("_high"), "windows")
     rows = listed.join(lows.hint("merge"), "window", "left").drop("window").withColumn("low", F.coalesce("low", "doc_id"))
     schema = "doc_id long, text_key long, run int, start int, end int, words long, stop long, sources array<long>, points array<long>"
-    return stage(rows.repartition("doc_id", "text_key").sortWithinPartitions(*keys, "number", "behind").mapInArrow(run, schema), "parts")
+    parts = stage(rows.repartition("doc_id", "text_key").sortWithinPartitions(*keys, "number", "behind").mapInArrow(run, schema), "parts")
+    drop_lows()
+    return parts
 
 
 def _contexts(places: DataFrame, docs: DataFrame) -> DataFrame:
@@ -241,9 +249,11 @@ def _contexts(places: DataFrame, docs: DataFrame) -> DataFrame:
                     names=["doc_id", "text_key", "place", "side", "digest", "asks", "bytes"])
 
     asked = F.collect_list(F.struct("place", "side", "digest", "asks", "reach"))
-    wanted = stage(places.groupBy("doc_id", "text_key").agg(asked.alias("places")), "places")  # bounded by the text's length
+    wanted, drop_wanted = _brief(places.groupBy("doc_id", "text_key").agg(asked.alias("places")), "places")  # bounded by the text's length
     schema = "doc_id long, text_key long, place int, side string, digest long, asks boolean, bytes binary"
-    return stage(wanted.join(docs, ["doc_id", "text_key"]).mapInArrow(run, schema), "contexts")
+    contexts = stage(wanted.join(docs, ["doc_id", "text_key"]).mapInArrow(run, schema), "contexts")
+    drop_wanted()
+    return contexts
 
 
 def word_steps(side: str, around: bytes) -> list[int]:
@@ -287,9 +297,12 @@ def _shared_steps(contexts: DataFrame) -> DataFrame:
     for begin, end in pairwise(chain(WORD_STEPS[:1], ends)):
         if begin >= WORD_STEPS[-1] and live.isEmpty():
             break
-        rows = stage(live.mapInArrow(cut(begin, end), "fringe long, side string, digest long, lo long, hi long, asks boolean, n int, key long"), "prefixes")
+        rows, drop_rows = _brief(live.mapInArrow(cut(begin, end), "fringe long, side string, digest long, lo long, hi long, asks boolean, n int, key long"), "prefixes")
         both = rows.groupBy(*keys).agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.max("asks").alias("wanted")).filter("wanted and least < most")
-        found = stage(rows.join(stage(both.select(*keys, "least"), "shared-prefixes").hint("merge"), keys).select("fringe", "n", "least", "asks"), "found-prefixes")
+        shared, drop_shared = _brief(both.select(*keys, "least"), "shared-prefixes")
+        found = stage(rows.join(shared.hint("merge"), keys).select("fringe", "n", "least", "asks"), "found-prefixes")
+        drop_rows()
+        drop_shared()
         own = found.filter("asks").select("fringe", "n", "least")
         steps = own if steps is None else steps.unionByName(own)
         live = stage(live.join(found.filter(F.col("n") == end).select("fringe"), "fringe"), "live-fringes")
@@ -328,9 +341,11 @@ def repeated_passages(docs: DataFrame, most_words: int = 50) -> DataFrame:
     ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").filter("doc_id is not null and text is not null")
-    table = chunk_table(texts)
-    repeated = stage(table.groupBy("digest").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).filter("_low < _high").select("digest"), "repeated")
-    chunks_ = _runs(table.join(repeated.hint("merge"), "digest"), max(1, int(most_words * WINDOW_SHARE)), most_words)
+    table, drop_table = _brief(chunk_table(texts), "chunks")
+    repeated, drop_repeated = _brief(table.groupBy("digest").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).filter("_low < _high").select("digest"), "repeated")
+    chunks_, drop_chunks = _runs(table.join(repeated.hint("merge"), "digest"), max(1, int(most_words * WINDOW_SHARE)), most_words)
+    drop_table()
+    drop_repeated()
     runs = _sourced(chunks_)
 
     def places(flag: str, side: str, place: str, neighbour: str) -> DataFrame:
@@ -339,6 +354,7 @@ def repeated_passages(docs: DataFrame, most_words: int = 50) -> DataFrame:
             "doc_id", "text_key", F.col(place).alias("place"), F.lit(side).alias("side"), "digest", F.col(flag).alias("asks"), (F.col(neighbour).bitwiseAND((1 << REACH_BITS) - 1) * UNIT).alias("reach"))
 
     contexts = _contexts(places("head", "L", "start", "before").unionByName(places("tail", "R", "end", "after")), texts)
+    drop_chunks()
     keys = ["doc_id", "text_key", "place", "side"]
     gains = contexts.filter("asks").join(_shared_steps(contexts).hint("merge"), ["side", "digest", "bytes"]).select(*keys, "bytes", "steps").dropDuplicates(keys)
     ends = runs.select("doc_id", "text_key", "run", F.explode(F.array(*(F.struct(F.col(c).alias("place"), F.lit(s).alias("side")) for c, s in (("start", "L"), ("end", "R"))))).alias("p"))
