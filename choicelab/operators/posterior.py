@@ -7,10 +7,12 @@ identical observations per row of ``obs``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,10 @@ from choicelab.operators.ranking import col, exact_quantiles, row_index
 from choicelab.staging import stage
 
 
+#: Draws times grid points that are in memory at once.
+_KERNEL_CELLS = 1 << 20
+
+
 def combine_chains(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)
 
@@ -219,18 +225,46 @@ def interval_summary(draws: DataFrame, param: list[str], mass: float = 0.94,
 
 def posterior_density(draws: DataFrame, param: list[str], grid: int = 100, cut: float = 3.0,
                       value: str = "value") -> DataFrame:
-    """Gaussian kernel density on an even grid, Scott's bandwidth, ``cut`` bandwidths beyond the ends."""
+    """Gaussian kernel density on an even grid, Scott's bandwidth, ``cut`` bandwidths beyond the ends.
+
+    Every draw counts at every point of the grid, but the kernels are summed inside
+    the task: a batch of draws gives one row of ``grid`` sums per parameter in it.
+    """
     stats = draws.groupBy(*map(col, param)).agg(
         (F.stddev_samp(col(value)) * F.pow(F.count(col(value)), F.lit(-0.2))).alias("_bw"),
         F.min(col(value)).alias("_lo"), F.max(col(value)).alias("_hi")).filter(F.col("_bw") > 0)
-    sized = attach(draws, stats, param, "inner")
-    points = sized.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-    low, high = F.col("_lo") - cut * F.col("_bw"), F.col("_hi") + cut * F.col("_bw")
-    x = low + (high - low) * F.col("point") / (grid - 1)
-    z = (F.col("x") - col(value)) / F.col("_bw")
-    kernel = F.exp(-z * z / 2) / (F.col("_bw") * 2.5066282746310002)
-    return (points.withColumn("x", x).groupBy(*map(col, param), "point")
-            .agg(F.first("x").alias("x"), F.avg(kernel).alias("density")))
+    sized = attach(draws, stats, param, "inner").filter(col(value).isNotNull()).select(
+        *map(col, param), "_bw", *(F.col(c).cast("double").alias(c) for c in ("_lo", "_hi")), col(value).cast("double").alias("_v"))
+
+    def kernel_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = max(1, _KERNEL_CELLS // grid)
+        for batch in batches:
+            names = batch.schema.names[:len(param)]
+            code = batch.select(names).to_pandas().groupby(names, dropna=False, sort=False).ngroup().to_numpy()
+            bw, lo, hi, v = (batch.column(c).to_numpy() for c in ("_bw", "_lo", "_hi", "_v"))
+            _, first, n = np.unique(code, return_index=True, return_counts=True)
+            low, high = lo[first] - cut * bw[first], hi[first] + cut * bw[first]
+            x = low[:, None] + (high - low)[:, None] * np.arange(grid) / (grid - 1)
+            sums = np.zeros(x.shape)
+            order = np.argsort(code, kind="stable")
+            for at in range(0, len(order), rows):
+                block = order[at:at + rows]
+                of = code[block]
+                starts = np.flatnonzero(np.diff(of, prepend=-1))
+                z = (x[of] - v[block, None]) / bw[block, None]
+                sums[of[starts]] += np.add.reduceat(np.exp(-z * z / 2), starts, axis=0)
+            offsets = np.arange(len(first) + 1, dtype=np.int32) * grid
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(pa.array(first)) for c in names), pa.array(bw[first]), pa.array(n),
+                 *(pa.ListArray.from_arrays(offsets, pa.array(m.ravel())) for m in (x, sums))],
+                names=[*names, "_bw", "_n", "_x", "_sums"])
+
+    schema = T.StructType([sized.schema[c] for c in param])
+    for name, kind in (("_bw", T.DoubleType()), ("_n", T.LongType()), ("_x", T.ArrayType(T.DoubleType())), ("_sums", T.ArrayType(T.DoubleType()))):
+        schema = schema.add(name, kind)
+    points = sized.mapInArrow(kernel_sums, schema).select(*map(col, param), "_bw", "_n", F.posexplode(F.arrays_zip("_x", "_sums")).alias("point", "_p"))
+    density = F.sum("_p._sums") / F.sum("_n") / (F.first("_bw") * 2.5066282746310002)
+    return points.groupBy(*map(col, param), "point").agg(F.first("_p._x").alias("x"), density.alias("density"))
 
 
 # --- model comparison -------------------------------------------------------

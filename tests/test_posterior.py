@@ -102,6 +102,26 @@ def test_density_integrates_to_one(draws, chains):
         assert point["density"] == pytest.approx(want)
 
 
+def test_density_of_nulls_and_mixed_parameters(spark, monkeypatch):
+    monkeypatch.setattr(post, "_KERNEL_CELLS", 64)  # blocks of two draws
+    rng = np.random.default_rng(5)
+    rows = [(None if k == 2 else f"p{k}", s, None if i == 3 else float(v)) for s in (1, 2) for k in range(4) for i, v in enumerate(rng.normal(k, s, 25))]
+    rows += [("flat", 1, 2.0)] * 3 + [("single", 1, 1.0), ("none", 1, None)]
+    got = {}
+    for r in post.posterior_density(spark.createDataFrame(rows, "param string, subject int, value double").repartition(3), ["param", "subject"], 32).collect():
+        got.setdefault((r["param"], r["subject"]), {})[r["point"]] = (r["x"], r["density"])
+    assert set(got) == {(None if k == 2 else f"p{k}", s) for k in range(4) for s in (1, 2)}
+    for key, points in got.items():
+        v = np.array([v for p, s, v in rows if (p, s) == key and v is not None])
+        bw = v.std(ddof=1) * len(v) ** -0.2
+        grid = np.linspace(v.min() - 3 * bw, v.max() + 3 * bw, 32)
+        want = np.exp(-(((grid[:, None] - v) / bw) ** 2) / 2).mean(axis=1) / (bw * np.sqrt(2 * np.pi))
+        assert sorted(points) == list(range(32))
+        assert np.allclose([points[i] for i in range(32)], np.column_stack([grid, want]))
+    empty = spark.createDataFrame([], "param string, value double")
+    assert post.posterior_density(empty, ["param"]).count() == 0
+
+
 def test_sign_transform_mean_and_matrix(draws, chains, spark):
     got = by_param(post.sign_probability(draws, ["param"]))
     x = chains["shift"]
