@@ -17,7 +17,7 @@ from choicelab.functions.design import Term
 from choicelab.operators.joins import attach
 from choicelab.operators.ranking import col
 from choicelab.operators.regression import Model, cell_regressions, pooled_regressions
-from choicelab.operators.surface import collapse_trials, loglik_points, surface, with_weights
+from choicelab.operators.surface import collapse_trials, loglik_points, weighted_surface
 from choicelab.staging import spread
 
 
@@ -201,7 +201,7 @@ def wiener_grid(trials: DataFrame, by: list[str], v_grid, a_grid, t_grid, z_grid
     """Summed diffusion log-likelihood per group and grid point, with its posterior
     weight under a flat prior on the grid."""
     axes = {"v": v_grid, "a": a_grid, "t": t_grid, "z": z_grid}
-    return with_weights(surface(collapse_trials(trials, by, response, rt), by, axes, terms), by)
+    return weighted_surface(collapse_trials(trials, by, response, rt), by, axes, terms)
 
 
 def wiener_params(grid: DataFrame, by: list[str]) -> DataFrame:

@@ -1,9 +1,11 @@
 """The diffusion likelihood over grids, one grid per group.
 
-Trials are collapsed to counts and dealt out by ranges of (group, reaction time), so a
-group of any size is spread and most groups lie in one task. A task sums the tensor of
-its trials and the grid and sends one tensor per group, never a row per trial and grid
-point. A coarse grid that all groups share is refined around each group's own mass.
+Trials are collapsed to counts, dealt out by ranges of (group, reaction time) and sorted
+within them, so a group of any size is spread, most groups lie in one task and an Arrow
+batch holds few of them. A task sums the tensor of its trials and the grid and sends one
+tensor per group, never a row per trial and grid point; sums and weights are taken from
+the tensors before they become rows. A coarse grid that all groups share is refined
+around each group's own mass.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,6 +28,8 @@ from choicelab.staging import shuffle_tasks, stage
 
 AXES = ("v", "a", "t", "z")
 HELD = 256
+PACK = 1024  # trials in a list
+FEW = 64  # trials per row below which rows are taken together
 
 # Where a refined axis may reach: boundaries and times are not negative, starting points are shares.
 LIMITS = {"v": (-50.0, 50.0), "a": (0.05, 50.0), "t": (0.0, 50.0), "z": (0.02, 0.98)}
@@ -32,74 +37,138 @@ SPREAD = 2.5
 
 
 def collapse_trials(trials: DataFrame, by: list[str], response: str = "accepted", rt: str = "rt") -> DataFrame:
-    """by, ``_upper``, ``_rt``, ``_count``: answered trials as counts, near each other by group; staged."""
+    """by, ``_upper``, ``_rt``, ``_count``: answered trials as counts, those of a group next to each other; staged."""
     rows = trials.filter(col(response).isNotNull() & col(rt).isNotNull()).select(
         *map(col, by), (col(response) == 1).alias("_upper"), col(rt).cast("double").alias("_rt"))
     # ranges of the grouping columns are a grouping, so counting needs no further shuffle
     near = rows.repartitionByRange(shuffle_tasks(rows.sparkSession), *map(col, by), "_rt")
-    return stage(near.groupBy(*map(col, by), "_upper", "_rt").agg(F.count(F.lit(1)).alias("_count")), "collapsed")
+    counted = near.groupBy(*map(col, by), "_upper", "_rt").agg(F.count(F.lit(1)).alias("_count"))
+    return stage(counted.sortWithinPartitions(*map(col, by), "_rt"), "collapsed")
+
+
+def _packed(n_keys: int, schema: pa.Schema) -> Callable:
+    """Task: the trials of a group and batch as lists of at most PACK."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pieces = [at[i:i + PACK] for at in group_rows(batch.columns[:n_keys], batch.num_rows).values() for i in range(0, len(at), PACK)]
+            first, order = pa.array([piece[0] for piece in pieces]), pa.array(np.concatenate(pieces))
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(piece) for piece in pieces])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, batch.column(n_keys + j).take(order)) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([*(c.take(first) for c in batch.columns[:n_keys]), *lists], schema=schema)
+    return run
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column as its values and the place where each row's begin, and the end."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _row_sums(columns: list[pa.Array], terms: int) -> Iterator[np.ndarray]:
+    """Tensor of every row: lists of trials and four axes. Few trials per row are taken for many rows at once."""
+    (upper, ends), (rt, _), (count, _) = map(_numbers, columns[:3])
+    axes, cuts = zip(*map(_numbers, columns[3:]))
+    count = count.astype(float)
+    rows = len(ends) - 1
+    if len(rt) < FEW * rows and all((np.diff(c) == c[1]).all() for c in cuts):
+        yield from diffusion.grid_logliks(rt, upper, count, np.diff(ends), *[x.reshape(rows, -1) for x in axes], terms)
+        return
+    for i in range(rows):
+        own = slice(ends[i], ends[i + 1])
+        yield diffusion.grid_loglik(rt[own], upper[own], count[own], *[x[c[i]:c[i + 1]] for x, c in zip(axes, cuts)], terms)
 
 
 def _tensors(n_keys: int, schema: pa.Schema, terms: int) -> Callable:
     """Task: one tensor of sums per group it meets, on the axes that the group's rows carry."""
-    def flush(held: dict) -> pa.RecordBatch:
-        rows = [(*group, *axes, total.ravel()) for group, (axes, total) in held.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple] = {}
+
+        def flush() -> pa.RecordBatch:
+            rows = [(*group, *axes, total.ravel()) for group, (axes, total) in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            upper, rt, count = (batch.column(n_keys + j).to_numpy(zero_copy_only=False) for j in range(3))
-            for group, at in group_rows(batch.columns[:n_keys], batch.num_rows).items():
-                axes = [np.array(batch.column(n_keys + 3 + j)[int(at[0])].as_py(), dtype=float) for j in range(4)]
-                total = diffusion.grid_loglik(rt[at], upper[at], count[at].astype(float), *axes, terms)
-                held[group] = (axes, total + held[group][1]) if group in held else (axes, total)
-            if len(held) > HELD:
-                yield flush(held)
-                held = {}
+            for start in range(0, batch.num_rows, HELD):
+                part = batch.slice(start, HELD)
+                totals = list(_row_sums(part.columns[n_keys:], terms))
+                for group, at in group_rows(part.columns[:n_keys], part.num_rows).items():
+                    total = sum(totals[i] for i in at)
+                    if group in held:
+                        held[group] = (held[group][0], total + held[group][1])
+                    else:
+                        held[group] = ([part.column(n_keys + 3 + j)[int(at[0])].values.to_numpy() for j in range(4)], total)
+                if len(held) > HELD:
+                    yield flush()
         if held:
-            yield flush(held)
+            yield flush()
     return run
 
 
 def _tensor_rows(collapsed: DataFrame, by: list[str], axes: DataFrame | dict[str, list[float]], terms: int) -> DataFrame:
-    """by, ``_v``, ``_a``, ``_t``, ``_z``, ``_sums``: a tensor per group and task that holds trials of it."""
+    """by, ``_v``, ``_a``, ``_t``, ``_z``, ``_sums``: a row per group, with the tensors of the tasks that hold trials of it.
+
+    Axes are joined to lists of trials, not to trials.
+    """
+    kinds = [collapsed.schema[k] for k in by]
+    numbers = T.ArrayType(T.DoubleType())
+    lists = T.StructType([*kinds, T.StructField("_upper", T.ArrayType(T.BooleanType())), T.StructField("_rt", numbers), T.StructField("_count", T.ArrayType(T.LongType()))])
+    packed = collapsed.select(*map(col, by), "_upper", "_rt", "_count").mapInArrow(_packed(len(by), to_arrow_schema(lists)), lists)
     if isinstance(axes, dict):
-        lists = {name: F.array(*[F.lit(float(x)) for x in axes[name]]) for name in AXES}
-        rows = collapsed.select(*map(col, by), "_upper", "_rt", "_count", *[lists[name].alias(f"_{name}") for name in AXES])
+        rows = packed.withColumns({f"_{name}": F.array(*[F.lit(float(x)) for x in axes[name]]) for name in AXES})
     else:
         named = axes.select(*map(col, by), *[col(name).alias(f"_{name}") for name in AXES])
-        joined = attach(collapsed, named, by, "inner") if by else collapsed.join(named)  # one row
-        rows = joined.select(*map(col, by), "_upper", "_rt", "_count", *[f"_{name}" for name in AXES])
-    kinds = T.StructType([collapsed.schema[k] for k in by])
-    numbers = T.ArrayType(T.DoubleType())
+        rows = attach(packed, named, by, "inner") if by else packed.join(named)  # one row
     out = T.StructType([*kinds, *[T.StructField(f"_{name}", numbers) for name in AXES], T.StructField("_sums", numbers)])
-    return rows.mapInArrow(_tensors(len(by), to_arrow_schema(out), terms), out)
+    placed = rows.select(*map(col, by), "_upper", "_rt", "_count", *[f"_{name}" for name in AXES])
+    tensors = placed.mapInArrow(_tensors(len(by), to_arrow_schema(out), terms), out)
+    grouped = tensors.groupBy(*map(col, by)).agg(*[F.first(f"_{name}").alias(f"_{name}") for name in AXES], F.collect_list("_sums").alias("_sums"))
+    return grouped.filter(F.size("_sums") > 0)
 
 
-def surface(collapsed: DataFrame, by: list[str], axes: DataFrame | dict[str, list[float]], terms: int = 7) -> DataFrame:
-    """by, v, a, t, z, loglik: summed log-likelihood of every group at every point of its grid.
+def _weighed(n_keys: int, schema: pa.Schema) -> Callable:
+    """Task: the tensors of a group to their sum and the weight of every point."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            totals, weights = [], []
+            for sums in batch.column(n_keys + 4):
+                total = np.sum([x.values.to_numpy() for x in sums], axis=0)
+                weight = np.exp(total - total.max())
+                totals.append(total)
+                weights.append(weight / weight.sum())
+            lists = [pa.array(x, pa.list_(pa.float64())) for x in (totals, weights)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keys + 4], *lists], schema=schema)
+    return run
 
-    ``axes`` are four lists for all groups, or a table with a row per group and the
-    four lists as arrays.
-    """
+
+def _weighed_rows(collapsed: DataFrame, by: list[str], axes: DataFrame | dict[str, list[float]], terms: int) -> DataFrame:
+    """by, ``_v``, ``_a``, ``_t``, ``_z``, ``_total``, ``_weight``: a row per group with the arrays of its grid."""
     tensors = _tensor_rows(collapsed, by, axes, terms)
-    points = tensors.select(*map(col, by), *[f"_{name}" for name in AXES], F.posexplode("_sums").alias("_at", "loglik"))
+    numbers = T.ArrayType(T.DoubleType())
+    out = T.StructType([*[collapsed.schema[k] for k in by], *[T.StructField(name, numbers) for name in (*[f"_{x}" for x in AXES], "_total", "_weight")]])
+    return tensors.mapInArrow(_weighed(len(by), to_arrow_schema(out)), out)
+
+
+def weighted_surface(collapsed: DataFrame, by: list[str], axes: DataFrame | dict[str, list[float]], terms: int = 7) -> DataFrame:
+    """``surface`` with the posterior ``weight`` under a flat prior on the group's grid."""
+    grids = _weighed_rows(collapsed, by, axes, terms)
+    points = grids.select(*map(col, by), *[F.col(f"_{name}") for name in AXES], F.posexplode(F.arrays_zip("_total", "_weight")).alias("_at", "_p"))
     place, at = {}, F.col("_at")
     for name in reversed(AXES):
         place[name] = F.element_at(f"_{name}", (at % F.size(f"_{name}") + 1).cast("int")).alias(name)
         at = F.floor(at / F.size(f"_{name}"))
-    return (points.select(*map(col, by), "_at", "loglik", *[place[name] for name in AXES])
-            .groupBy(*map(col, by), "_at", *AXES).agg(F.sum("loglik").alias("loglik")).drop("_at"))
+    return points.select(*map(col, by), *[place[name] for name in AXES], F.col("_p._total").alias("loglik"), F.col("_p._weight").alias("weight"))
 
 
-def with_weights(grid: DataFrame, by: list[str]) -> DataFrame:
-    """Add the posterior weight under a flat prior on the group's grid."""
-    one = Window.partitionBy(*map(col, by))  # the points of one grid
-    shifted = grid.withColumn("_e", F.exp(F.col("loglik") - F.max("loglik").over(one)))
-    return shifted.withColumn("weight", F.col("_e") / F.sum("_e").over(one)).drop("_e")
+def surface(collapsed: DataFrame, by: list[str], axes: DataFrame | dict[str, list[float]], terms: int = 7) -> DataFrame:
+    """by, v, a, t, z, loglik: summed log-likelihood of every group at every point of its grid.
+
+    ``axes`` are four lists for all groups, or a table with a row per group and the
+    four lists as arrays.
+    """
+    return weighted_surface(collapsed, by, axes, terms).drop("weight")
 
 
 def finer_axis(points: np.ndarray, weight: np.ndarray, size: int, limits: tuple[float, float]) -> np.ndarray:
@@ -121,9 +190,9 @@ def _refined(n_keys: int, schema: pa.Schema, sizes: dict[str, int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for *lists, sums in zip(*(batch.column(n_keys + j).to_pylist() for j in range(5))):
-                axes = [np.array(x, dtype=float) for x in lists]
-                total = np.sum(np.array(sums, dtype=float), axis=0).reshape([len(x) for x in axes])
+            for *lists, sums in zip(*batch.columns[n_keys:n_keys + 5]):
+                axes = [x.values.to_numpy() for x in lists]
+                total = np.sum([x.values.to_numpy() for x in sums], axis=0).reshape([len(x) for x in axes])
                 weight = np.exp(total - total.max())
                 weight /= weight.sum()
                 rows.append([finer_axis(x, weight.sum(axis=tuple(k for k in range(4) if k != j)), sizes[name], LIMITS[name])
@@ -142,9 +211,9 @@ def refined_surface(collapsed: DataFrame, by: list[str], coarse: dict[str, list[
     axes: DataFrame | dict[str, list[float]] = coarse
     out = T.StructType([*[collapsed.schema[k] for k in by], *[T.StructField(name, T.ArrayType(T.DoubleType())) for name in AXES]])
     for _ in range(rounds):
-        tensors = _tensor_rows(collapsed, by, axes, terms).groupBy(*map(col, by)).agg(*[F.first(f"_{name}").alias(f"_{name}") for name in AXES], F.collect_list("_sums").alias("_sums"))
-        axes = stage(tensors.filter(F.size("_sums") > 0).mapInArrow(_refined(len(by), to_arrow_schema(out), sizes), out), "axes")
-    return stage(with_weights(surface(collapsed, by, axes, terms), by), "surface")
+        tensors = _tensor_rows(collapsed, by, axes, terms)
+        axes = stage(tensors.mapInArrow(_refined(len(by), to_arrow_schema(out), sizes), out), "axes")
+    return stage(weighted_surface(collapsed, by, axes, terms), "surface")
 
 
 def starting_points(trials: DataFrame, cells: DataFrame, by: list[str], z_grid: list[float], response: str = "accepted",
@@ -155,8 +224,9 @@ def starting_points(trials: DataFrame, cells: DataFrame, by: list[str], z_grid:
     """
     known = cells.filter(F.col("v").isNotNull() & F.col("a").isNotNull() & F.col("t").isNotNull())
     axes = known.select(*map(col, by), *[F.array(name).alias(name) for name in "vat"], F.array(*[F.lit(float(z)) for z in z_grid]).alias("z"))
-    grid = with_weights(surface(collapse_trials(trials, by, response, rt), by, axes, terms), by)
-    return attach(cells, grid.groupBy(*map(col, by)).agg(F.sum(F.col("weight") * F.col("z")).alias("z")), by)
+    grids = _weighed_rows(collapse_trials(trials, by, response, rt), by, axes, terms)  # z is the one axis with several points
+    mean = F.aggregate(F.zip_with("_weight", "_z", lambda weight, z: weight * z), F.lit(0.0), lambda total, x: total + x)
+    return attach(cells, grids.select(*map(col, by), mean.alias("z")), by)
 
 
 def loglik_points(collapsed: DataFrame, params: DataFrame, by: list[str], terms: int = 7) -> DataFrame:

@@ -194,3 +194,42 @@ def test_surface_collapses_and_splits(spark):
     grid = surfaces.surface(collapsed, ["s"], {"v": [0.0, 1.0], "a": [1.0], "t": [0.1], "z": [0.5]})
     assert grid.count() == 6
     assert "explode(sequence" not in grid._jdf.queryExecution().toString()
+
+
+def test_grid_logliks():
+    """Many small groups at once are each group alone."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 9, 40)
+    n = sizes.sum()
+    rt, upper, count = rng.uniform(0.05, 3, n), rng.random(n) < 0.5, rng.integers(1, 4, n).astype(float)
+    axes = [rng.uniform(low, high, (40, k)) for low, high, k in ((-2, 2, 3), (0.6, 2, 2), (0.05, 0.4, 2), (0.2, 0.8, 4))]
+    got = diffusion.grid_logliks(rt, upper, count, sizes, *axes)
+    ends = np.cumsum(sizes)
+    for i, (low, high) in enumerate(zip(ends - sizes, ends)):
+        alone = diffusion.grid_loglik(rt[low:high], upper[low:high], count[low:high], *[x[i] for x in axes])
+        assert np.allclose(got[i], alone, rtol=1e-9)
+
+
+def test_trials_of_a_group_lie_together(spark):
+    """An Arrow batch holds few groups, however many groups a task has."""
+    trials = spark.range(60_000).selectExpr("id % 600 as s", "cast(id % 2 as int) as accepted", "0.4 + id / 60000.0 as rt")
+    calls = spark.sparkContext.accumulator(0)
+    seen = surfaces.group_rows
+
+    def counting(batches):
+        for batch in batches:
+            calls.add(len(seen(batch.columns[:1], batch.num_rows)))
+        yield from ()
+
+    surfaces.collapse_trials(trials, ["s"]).mapInArrow(counting, "s long").collect()
+    assert calls.value < 1_200
+
+
+def test_grid_makes_no_shuffle_of_points(spark):
+    """Sums and weights come from tensors: after them no point is exchanged."""
+    trials = spark.range(2_000).selectExpr("id % 7 as s", "cast(id % 2 as int) as accepted", "0.4 + id / 2000.0 as rt")
+    grid = models.wiener_grid(trials, ["s"], [0.0, 1.0], [1.0], [0.1, 0.2], [0.5])
+    plan = grid._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Window" not in plan
+    assert "Exchange" not in plan.split("MapInArrow")[0]
+    assert grid.groupBy("s").agg(F.sum("weight").alias("w")).filter("abs(w - 1) < 1e-9").count() == 7
