@@ -95,8 +95,8 @@ def value_pointwise(trials: DataFrame, posterior: DataFrame, forms: list[str], s
 
 def score_value_model(trials: DataFrame, params: DataFrame, forms: list[str], subject: str = "participant",
                       money: str = "moneylevel", pain: str = "painlevel") -> DataFrame:
-    """Write the fitted values to the trials: per form the pain value, net value,
-    k, beta, bias (a copy of beta) and acceptance probability."""
+    """Write the fitted values to the trials, or to the offers they are counted by: per form the
+    pain value, net value, k, beta, bias (a copy of beta) and acceptance probability."""
     cells = []
     for f in forms:
         cells += [F.max(F.when(F.col("form") == f, F.col("k"))).alias(f"k_pain_{f}"),

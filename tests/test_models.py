@@ -210,3 +210,24 @@ def test_no_possible_grid_point(spark):
     fit = models.fit_value_model(trials, ["hyper"], [0.5], [1.0])
     assert {r.weight for r in fit.collect()} == {0.0}
     assert models.value_pointwise(trials, fit, ["hyper"]).count() == 0
+
+
+def test_scores_are_written_to_counted_offers(spark, tmp_path, monkeypatch):
+    """The wide scores meet a row per subject and offer, whatever the number of trials."""
+    from choicelab.plans import model_queries
+
+    spark.range(3_000).selectExpr(
+        "nullif(id % 4, 3) as l_suppkey", "cast(id % 5 as double) as l_quantity", "cast(id % 2 as int) as l_linenumber",
+        "id % 7 / 100.0D as l_discount", "id as l_orderkey", "id as l_partkey", "1000.0D + id as l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, score = [], models.score_value_model
+
+    def counting(trials, *args):
+        seen.append(trials.count())
+        return score(trials, *args)
+
+    monkeypatch.setattr(models, "score_value_model", counting)
+    got = model_queries.score_value_model(spark, str(tmp_path)).collect()
+    assert seen == [len(got)]
+    assert sum(r["n"] for r in got) == 3_000
+    none = [r for r in got if r["participant"] is None]
+    assert none and all(r["p_accept_para"] is not None for r in none)
