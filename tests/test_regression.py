@@ -233,3 +233,16 @@ def test_grid_makes_no_shuffle_of_points(spark):
     assert "Window" not in plan
     assert "Exchange" not in plan.split("MapInArrow")[0]
     assert grid.groupBy("s").agg(F.sum("weight").alias("w")).filter("abs(w - 1) < 1e-9").count() == 7
+
+
+def test_starting_points_take_cells_together(spark, monkeypatch):
+    """Cells of a few trials share a kernel call, and neither points nor windows are shuffled."""
+    rng = np.random.default_rng(2)
+    axes = [pa.array([[x]] * 50) for x in (0.5, 1.0, 0.2)] + [pa.array([[0.3, 0.5, 0.7]] * 50)]
+    trials = [pa.array([[True, False]] * 50), pa.array(rng.uniform(0.4, 1, (50, 2)).tolist()), pa.array([[1, 2]] * 50)]
+    monkeypatch.setattr(diffusion, "grid_loglik", None)  # one call per cell
+    assert [x.shape for x in surfaces._row_sums([*trials, *axes], 7)] == [(1, 1, 1, 3)] * 50
+    rows = spark.range(400).selectExpr("id % 40 as s", "cast(id % 3 > 0 as int) as accepted", "0.4 + id / 400.0 as rt")
+    cells = spark.range(40).selectExpr("id as s", "0.5D as v", "1.0D as a", "0.2D as t")
+    placed = surfaces.starting_points(rows, cells, ["s"], [0.3, 0.5, 0.7])
+    assert "Window" not in placed._jdf.queryExecution().toString()
