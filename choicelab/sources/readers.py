@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import csv
+from contextlib import AbstractContextManager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicelab.operators.ranking import col
-from choicelab.staging import stage
+from choicelab.staging import settings, shuffle_tasks, stage
 
 
 def read_delimited(spark: SparkSession, path, schema: str | None = None, sep: str = ",") -> DataFrame:
@@ -18,9 +19,17 @@ def read_delimited(spark: SparkSession, path, schema: str | None = None, sep: st
     return reader.schema(schema).csv(path) if schema else reader.csv(path)
 
 
+def _few_listing_tasks(spark: SparkSession) -> AbstractContextManager[None]:
+    """Files are listed by as many tasks as a shuffle has, not by one task per path."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    return settings(spark, {name: min(int(spark.conf.get(name)), shuffle_tasks(spark))})
+
+
 def _headers(spark: SparkSession, pattern: str) -> DataFrame:
     """First line of every file as (file, header)."""
-    lines = spark.read.text(pattern).select(
+    with _few_listing_tasks(spark):
+        text = spark.read.text(pattern)
+    lines = text.select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"))
     numbered = lines.filter(F.col("_at") == 0).withColumn("_line", F.monotonically_increasing_id())
     return numbered.groupBy("file").agg(F.min_by("value", "_line").alias("header"))
@@ -51,7 +60,8 @@ def read_subject_tables(spark: SparkSession, pattern: str, cols: list[str], sep:
     for header in distinct:
         names = next(csv.reader([header], delimiter=sep))
         files = pattern if len(distinct) == 1 else [r["file"] for r in heads.filter(F.col("header") == header).collect()]
-        table = reader.schema(", ".join(f"`{n}` string" for n in names)).csv(files)
+        with _few_listing_tasks(spark):
+            table = reader.schema(", ".join(f"`{n}` string" for n in names)).csv(files)
         wanted = [col(c) if c in names else F.lit(None).cast("string").alias(c) for c in cols]
         if subject_in_path:
             wanted.append(subject_from_path(subject_in_path).alias(subject))
@@ -66,7 +76,8 @@ def subject_from_path(pattern: str) -> Column:
 def events_for_subject(spark: SparkSession, pattern: str, subject_in_path: str, schema: str,
                        sep: str = "\t", subject: str = "participant") -> DataFrame:
     """Event lists of all subjects with the subject id taken from the path."""
-    table = spark.read.option("header", True).option("sep", sep).schema(schema).csv(pattern)
+    with _few_listing_tasks(spark):
+        table = spark.read.option("header", True).option("sep", sep).schema(schema).csv(pattern)
     return table.select("*", subject_from_path(subject_in_path).alias(subject))
 
 

@@ -2,7 +2,8 @@
 
 Output that is split by a column is rebalanced on it first: small groups share
 tasks and get one file, a group far above the advisory partition size is split
-over several tasks and files.
+over several tasks and files. The time to create a file does not depend on its
+bytes, so tasks are not merged by their bytes.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from choicelab.operators.ranking import col
+from choicelab.staging import settings
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ",",
@@ -21,10 +23,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ",",
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    if fmt == "csv":
-        writer.option("header", True).option("sep", sep).csv(path)
-    else:
-        writer.format(fmt).save(path)
+    with settings(df.sparkSession, {"spark.sql.adaptive.coalescePartitions.enabled": "false"} if partition_by else {}):
+        if fmt == "csv":
+            writer.option("header", True).option("sep", sep).csv(path)
+        else:
+            writer.format(fmt).save(path)
 
 
 def write_kv_text(df: DataFrame, path: str, key: str, value: str, partition_by: list[str] | None = None) -> None:

@@ -101,3 +101,30 @@ def test_quoted_header_and_several_headers(spark, tmp_path):
         (tmp_path / f"sub-{name}.csv").write_text(text)
     got = readers.read_subject_tables(spark, str(tmp_path / "sub-*.csv"), ["a", "b,x", "c"], sep=",")
     assert sorted(map(tuple, got.collect())) == [("1", "2", "3"), ("4", None, "6"), ("7", "8", "9")]
+
+
+def test_many_small_groups_are_written_by_several_tasks(spark, tmp_path):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    df = spark.range(0, 640, numPartitions=4).withColumn("p", F.col("id") % 64)
+    writers.write_table(df, f"{tmp_path}/t", "csv", partition_by=["p"])
+    files = list(pathlib.Path(f"{tmp_path}/t").glob("p=*/*.csv"))
+    assert len(files) == 64
+    assert len({f.name.split("-")[1] for f in files}) > 4
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == before
+
+
+def test_files_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"s{i}").mkdir()
+        (tmp_path / f"s{i}" / "t.csv").write_text(f"n\n{i}\n")
+    context, name = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    context.setJobGroup("listing", "listing")
+    try:
+        lists = readers.events_for_subject(spark, f"{tmp_path}/s*/t.csv", r"/s(\d+)/", "n bigint")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(job).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 8
+    assert lists.filter("n = participant").count() == 60 and spark.conf.get(name) == before
