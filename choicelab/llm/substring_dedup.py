@@ -13,11 +13,11 @@ that has them first.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from hashlib import blake2b
 from itertools import chain, count, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +45,7 @@ WINDOW_SHARE = 0.6
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+_CONTINUED = bytes(range(0x80, 0xC0))
 
 
 def _brief(df: DataFrame, label: str) -> tuple[DataFrame, Callable[[], None]]:
@@ -235,17 +236,18 @@ def _contexts(places: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text")):
-                rows = []
-                for k, (text, wanted) in enumerate(zip(part.texts(), batch.column("places").slice(part.first, len(part)).to_pylist()), part.first):
-                    text = b" " + text + b" "
-                    for w in wanted:
-                        p = w["place"] + 1
-                        around = text[max(0, p - w["reach"]):p] if w["side"] == "L" else text[p - 1:p + w["reach"]]
-                        rows.append((k, w["place"], w["side"], w["digest"], w["asks"], around))
-                of, place, side, digest, asks, around = zip(*rows) if rows else [()] * 6
-                at = pa.array(of, pa.int64())
+                lists = batch.column("places").slice(part.first, len(part))
+                of = np.repeat(np.arange(len(part)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                place, side, digest, asks, reach = lists.flatten().flatten()
+                raw = b" " + b"  ".join(part.texts()) + b" "
+                first, size = (part.offsets[:-1] + 2 * np.arange(len(part)))[of], (np.diff(part.offsets) + 2)[of]
+                p, far, left = place.to_numpy().astype(np.int64) + 1, reach.to_numpy().astype(np.int64), pc.equal(side, "L").to_numpy(zero_copy_only=False)
+                begin = first + np.where(left, np.maximum(p - far, 0), p - 1)
+                end = first + np.where(left, p, np.minimum(p + far, size))
+                around = pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary())
+                at = pa.array(of + part.first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(place, pa.int32()), pa.array(side, pa.string()), pa.array(digest, pa.int64()), pa.array(asks, pa.bool_()), pa.array(around, pa.binary())],
+                    [batch.column("doc_id").take(at), batch.column("text_key").take(at), place, side, digest, asks, around],
                     names=["doc_id", "text_key", "place", "side", "digest", "asks", "bytes"])
 
     asked = F.collect_list(F.struct("place", "side", "digest", "asks", "reach"))
@@ -264,6 +266,20 @@ def word_steps(side: str, around: bytes) -> list[int]:
     return (np.flatnonzero(solid[1:-1] & ~solid[2:]) + 1).tolist()
 
 
+def word_ranges(part: Slice, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Context, number from 1, and range of bytes of every step of ``word_steps``, for a slice of contexts of either side."""
+    solid = ~_BLANK[part.data]
+    edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    of = np.repeat(np.arange(len(part)), np.diff(np.searchsorted(edge, part.offsets)))
+    first, stop = part.offsets[of], part.offsets[of + 1]
+    opens = solid[edge]
+    kept = np.where(left[of], opens, ~opens & (edge > first + 1)) & (edge > first)
+    of, edge, first, stop = of[kept], edge[kept], first[kept], stop[kept]
+    at, to_left, bound = np.arange(len(of)), left[of], np.searchsorted(of, np.arange(len(part) + 1))
+    number = np.where(to_left, bound[of + 1] - at, at - bound[of] + 1)
+    return of, number, np.where(to_left, edge, first + 1), np.where(to_left, stop, edge)
+
+
 def _shared_steps(contexts: DataFrame) -> DataFrame:
     """side, digest, bytes, steps: per context of a run's end and number of words, the smallest id that shares them.
 
@@ -276,20 +292,14 @@ def _shared_steps(contexts: DataFrame) -> DataFrame:
     def cut(begin: int, end: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                of, number, keys = [], [], []
-                for k, (side, around) in enumerate(zip(batch.column("side").to_pylist(), batch.column("bytes").to_pylist())):
-                    away = around[::-1] if side == "L" else around[1:]
-                    lengths = word_steps(side, around)
-                    hashed, at_ = blake2b(digest_size=8), 0
-                    for n, length in enumerate(lengths[begin:end], begin + 1):
-                        hashed.update(away[at_:length])
-                        at_ = length
-                        of.append(k)
-                        number.append(n)
-                        keys.append(int.from_bytes(hashed.copy().digest(), "little", signed=True))
-                at = pa.array(of, pa.int64())
-                names = ["fringe", "side", "digest", "lo", "hi", "asks"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array(number, pa.int32()), pa.array(keys, pa.int64())], names=[*names, "n", "key"])
+                left = pc.equal(batch.column("side"), "L").to_numpy(zero_copy_only=False)
+                for part in slices(batch.column("bytes")):
+                    of, number, start, stop = word_ranges(part, left[part.first:part.first + len(part)])
+                    now = (number > begin) & (number <= end)
+                    keys = RangeHasher(part.data)(start[now], stop[now]).view(np.int64)
+                    at = pa.array(of[now] + part.first)
+                    names = ["fringe", "side", "digest", "lo", "hi", "asks"]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array(number[now].astype(np.int32)), pa.array(keys)], names=[*names, "n", "key"])
         return run
 
     live, steps, keys = fringes, None, ["side", "digest", "key"]
@@ -322,7 +332,7 @@ def _grown(own: int, source: int, side: str, around: bytes, steps: list[dict]) -
 
     def points(n: int) -> int:
         part = around[len(around) - lengths[n - 1]:] if side == "L" else around[1:lengths[n - 1] + 1]
-        return sum(b & 0xC0 != 0x80 for b in part)
+        return len(part.translate(None, _CONTINUED))
 
     inside = side == "R" and len(around) > 1 and not _BLANK[around[0]] and not _BLANK[around[1]]  # its last word is counted
     return max(0, most - inside), points(most) if most else 0, points(along) if along else 0

@@ -7,9 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from choicelab.llm import filter_audit, prefix_trie, sharding, substring_dedup
+from choicelab.llm.text import slices
 
 
 # --- conversation prefix trie -----------------------------------------------
@@ -264,3 +266,15 @@ def test_passages_against_all_sequences(spark):
     missed = {doc: [w for w in words if not any(a <= w[0] and w[1] <= b for a, b in got.get(doc, []))] for doc, words in want.items()}
     assert not any(missed.values())
     assert len(set(got) - set(want)) <= 1  # a passage chained over several documents counts too
+
+
+def test_steps_of_many_contexts_at_once():
+    """Contexts cut together give the steps that each gives alone, whatever bytes are beside them."""
+    around = [b"", b" ", b"a", b" ab cd ", "x é\tyz  w".encode(), b"ab", b"  a", b"a b", b"\xa9 q\nr "]
+    contexts = [(side, x) for x in around for side in "LR"]
+    (part,) = slices(pa.array([x for _, x in contexts], pa.binary()))
+    of, number, start, stop = substring_dedup.word_ranges(part, np.array([side == "L" for side, _ in contexts]))
+    got = {(k, n): part.data[a:b].tobytes() for k, n, a, b in zip(of.tolist(), number.tolist(), start.tolist(), stop.tolist())}
+    want = {(k, n): x[len(x) - step:] if side == "L" else x[1:1 + step]
+            for k, (side, x) in enumerate(contexts) if x for n, step in enumerate(substring_dedup.word_steps(side, x), 1)}
+    assert got == want and len(got) == len(of)
