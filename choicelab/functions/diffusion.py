@@ -197,3 +197,20 @@ def grid_logliks(rt: np.ndarray, upper: np.ndarray, count: np.ndarray, sizes: np
         out[..., low:high] = np.add.reduceat(count[some] * np.log(density), ends[low:high] - ends[low], axis=-1)
         low = high
     return np.moveaxis(out, -1, 0)
+
+
+def start_logliks(rt: np.ndarray, upper: np.ndarray, v: np.ndarray, a: np.ndarray, t: np.ndarray, z: np.ndarray, terms: int = 7) -> np.ndarray:
+    """Contaminated log-likelihood of every trial, with its own v, a and t, at every z: (len(z), len(rt))."""
+    out = np.empty((len(z), len(rt)))
+    for side in (True, False):
+        own = np.flatnonzero(upper == side)
+        start, drift = (1 - z, -v) if side else (z, v)
+        for at in range(0, len(own), CHUNK_POINTS // len(z) + 1):
+            some = own[at:at + CHUNK_POINTS // len(z) + 1]
+            wide, pull, time = a[some] * a[some], drift[some], rt[some] - t[some]
+            shape = _series(time / wide, start[:, None], terms)
+            shape *= (1 - P_OUTLIER) / wide
+            shape *= np.exp(-(pull * a[some]) * start[:, None] - pull * pull * np.maximum(time, 0.0) / 2)
+            shape += P_OUTLIER * OUTLIER_DENSITY
+            out[:, some] = np.log(np.minimum(shape, LARGEST, out=shape), out=shape)
+    return out

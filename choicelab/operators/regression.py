@@ -11,23 +11,25 @@ the others are those of the model without it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from choicelab.functions.design import Term, design_columns
+from choicelab.functions.design import Term, design_cells, design_columns
 from choicelab.operators.grouped import group_rows
 from choicelab.operators.ranking import col
 
 ALIASED = 1e-9
 HELD = 512
 FAN = 64
+STACK = 8192  # rows of small groups that are orthogonalised together
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,9 @@ class Model:
     def columns(self) -> dict[str, Column]:
         return design_columns(list(self.terms), self.intercept)
 
+    def names(self) -> list[str]:
+        return list(design_cells(list(self.terms), self.intercept))
+
 
 def factor(rows: np.ndarray) -> np.ndarray:
     """Square triangular factor of a stack of rows or factors."""
@@ -79,28 +84,52 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def _rows(df: DataFrame, keys: list[str], models: list[Model]) -> tuple[DataFrame, list[list[int]], list[int]]:
     """``df`` as keys, ``_x`` with the distinct design columns and ``_y`` with the responses, and each model's places in them."""
+    designs = [m.names() for m in models]
     columns: dict[str, Column] = {}
-    designs = [m.columns() for m in models]
-    for d in designs:
-        columns.update(d)
+    for m, d in zip(models, designs):
+        if not columns.keys() >= set(d):  # expressions are slow to build, and many models share their design
+            columns.update(m.columns())
     names, responses = list(columns), list(dict.fromkeys(m.response for m in models))
     number = lambda c: c.cast("double")
     rows = df.select(*map(col, keys), F.array(*map(number, columns.values())).alias("_x"), F.array(*[number(col(r)) for r in responses]).alias("_y"))
     return rows, [[names.index(n) for n in d] for d in designs], [responses.index(m.response) for m in models]
 
 
-def _known(rows: np.ndarray) -> np.ndarray:
-    return rows[~np.isnan(rows).any(axis=1)]
+def _shared(places: list[list[int]]) -> dict[tuple, list[int]]:
+    """Design -> the models that use it."""
+    shared: dict[tuple, list[int]] = {}
+    for m, p in enumerate(places):
+        shared.setdefault(tuple(p), []).append(m)
+    return shared
 
 
 def _factors(n_keys: int, keys: pa.Schema, places: list[list[int]], targets: list[int], widths: tuple[int, int]) -> Callable:
     """Task: one factor per group and model of the rows it reads."""
     schema = pa.schema([*keys, pa.field("_model", pa.int32()), pa.field("_n", pa.int64()), pa.field("_r", pa.list_(pa.float64()))])
 
+    shared = _shared(places)
+
     def flush(held: dict) -> pa.RecordBatch:
         rows = [(*group, m, n, r.ravel()) for group, per in held.items() for m, (n, r) in enumerate(per)]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+    def add(per: list, x: np.ndarray, y: np.ndarray) -> None:
+        """Rows of a group to the factors of all models; responses known in the same rows of a design are reduced together."""
+        missing = np.isnan(y)
+        for design, members in shared.items():
+            own = x[:, list(design)]
+            complete = ~np.isnan(own).any(axis=1)
+            by_rows: dict[bytes, list[int]] = {}
+            for m in members:
+                by_rows.setdefault((complete & ~missing[:, targets[m]]).tobytes(), []).append(m)
+            for mask, same in by_rows.items():
+                use = np.frombuffer(mask, bool)
+                n, p = int(use.sum()), len(design)
+                if n:
+                    r = factor(np.column_stack([own[use], y[use][:, [targets[m] for m in same]]]))
+                    for k, m in enumerate(same):
+                        per[m] = (per[m][0] + n, factor(np.vstack([per[m][1], r[:, [*range(p), p + k]]])))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
         for batch in batches:
@@ -108,11 +137,7 @@ def _factors(n_keys: int, keys: pa.Schema, places: list[list[int]], targets: lis
                 continue
             x, y = _matrix(batch.column(n_keys), widths[0]), _matrix(batch.column(n_keys + 1), widths[1])
             for group, at in group_rows(batch.columns[:n_keys], batch.num_rows).items():
-                per = held.setdefault(group, [(0, np.zeros((len(p) + 1, len(p) + 1))) for p in places])
-                for m, (p, target) in enumerate(zip(places, targets)):
-                    own = _known(np.column_stack([x[at][:, p], y[at][:, target]]))
-                    if len(own):
-                        per[m] = (per[m][0] + len(own), factor(np.vstack([per[m][1], own])))
+                add(held.setdefault(group, [(0, np.zeros((len(p) + 1, len(p) + 1))) for p in places]), x[at], y[at])
             if len(held) > HELD:
                 yield flush(held)
                 held = {}
@@ -185,17 +210,81 @@ def pooled_regressions(df: DataFrame, keys: list[str], models: list[Model], name
     """
     kinds = _key_schema(df, keys)
     schema = _result_schema(kinds, name_fields)
-    names = [list(m.columns()) for m in models]
+    names = [m.names() for m in models]
     fit = _solved(len(keys), names, [m.name for m in models], to_arrow_schema(schema), aliased)
     return merged_factors(df, keys, models).filter("_n > 0").mapInArrow(fit, schema)
 
 
-def _shared(models: list[Model], places: list[list[int]]) -> dict[tuple, list[int]]:
-    """Design -> the models that use it."""
-    shared: dict[tuple, list[int]] = {}
-    for m, p in enumerate(places):
-        shared.setdefault(tuple(p), []).append(m)
-    return shared
+def _flat_matrix(column: pa.Array, width: int) -> np.ndarray:
+    """List entries of all rows, ``width`` to a row of the matrix, null entries being NaN."""
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(-1, width)
+
+
+def _stacks(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups of similar size, at most STACK rows together or one group: their numbers, and each one's rows, padded with -1."""
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    low = 0
+    while low < len(order):
+        longest = int(sizes[order[low]])
+        some = order[low:low + max(1, STACK // max(longest, 1))]
+        place = np.arange(longest)
+        yield some, np.where(place < sizes[some][:, None], starts[some][:, None] + place, -1)
+        low += len(some)
+
+
+def stacked_solutions(columns: np.ndarray, n: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """``solution`` of many groups at once: coefficients and standard errors as (responses, p, groups).
+
+    ``columns`` is [X | responses] as (p + responses, rows, groups), with 0 in rows that a group does
+    not have; it is overwritten. Columns are orthogonalised one after the other, which
+    leaves the residuals of an aliased column out of all later ones.
+    """
+    width, _, groups = columns.shape
+    size = np.sqrt((columns[:p] ** 2).sum(axis=1))
+    r = np.zeros((p, width, groups))
+    weak = np.zeros((p, groups), bool)
+    for j in range(p):
+        length = np.sqrt((columns[j] ** 2).sum(axis=0))
+        weak[j] = length <= ALIASED * size[j]
+        q = columns[j] * np.where(weak[j], 0.0, 1 / np.where(weak[j], 1.0, length))
+        r[j, j + 1:] = (columns[j + 1:] * q).sum(axis=1)
+        columns[j + 1:] -= r[j, j + 1:, None] * q
+        r[j, j] = np.where(weak[j], 1.0, length)
+        r[:j, j][:, weak[j]] = 0.0
+    inverse = np.linalg.inv(r[:, :p].transpose(2, 0, 1))
+    beta = (inverse @ r[:, p:].transpose(2, 0, 1)).transpose(2, 1, 0)
+    free = n - (p - weak.sum(axis=0))
+    rest = (columns[p:] ** 2).sum(axis=1) / np.where(free > 0, free, np.nan)
+    error = np.sqrt(rest[:, None] * (inverse ** 2).sum(axis=2).T)
+    return np.where(weak, np.nan, beta), np.where(weak, np.nan, error)
+
+
+def _stack_fits(x: np.ndarray, y: np.ndarray, at: np.ndarray, shared: dict[tuple, list[int]], targets: list[int]) -> Iterator[tuple]:
+    """Every model of a stack of groups: model, the groups with rows for it, beta and se as (groups, terms), rows."""
+    there = (at >= 0).T
+    x, y = (np.ascontiguousarray(table[at].transpose(2, 1, 0)) for table in (x, y))  # column, row, group
+    x_known, y_known = ~np.isnan(x) & there, ~np.isnan(y) & there
+    for design, members in shared.items():
+        own, p = list(design), len(design)
+        complete = x_known[own].all(axis=0) & there
+        wanted = list(dict.fromkeys(targets[m] for m in members))
+        rows = np.stack([complete & y_known[k] for k in wanted])
+        # responses known in the same rows of a group are fitted together
+        first = np.stack([(rows == row).all(axis=1).argmax(axis=0) for row in rows])
+        kinds, kind = np.unique(first, axis=1, return_inverse=True)
+        for c, alike in enumerate(kinds.T):
+            for k in np.unique(alike):
+                who = np.flatnonzero((kind.ravel() == c) & rows[k].any(axis=0))
+                if not len(who):
+                    continue
+                together = [wanted[i] for i in np.flatnonzero(alike == k)]
+                use = rows[k][:, who]
+                beta, error = stacked_solutions(np.concatenate([np.where(use, table[part][:, :, who], 0.0) for table, part in ((x, own), (y, together))]), use.sum(axis=0), p)
+                for m in members:
+                    if targets[m] in together:
+                        i = together.index(targets[m])
+                        yield m, who, beta[i].T, error[i].T, use.sum(axis=0)
 
 
 def cell_regressions(cells: DataFrame, key: str, models: list[Model], name_fields: str = "") -> DataFrame:
@@ -203,38 +292,34 @@ def cell_regressions(cells: DataFrame, key: str, models: list[Model], name_field
 
     ``cells`` is an aggregated table whose rows per group are bounded, such as a row per
     subject and offer: a group is one row of arrays here, and only coefficients leave
-    the task. Models with the same design and the same rows share one factor.
+    the task. Groups are fitted in stacks, and models with the same design and the same
+    rows share its orthogonalised columns.
     """
     rows, places, targets = _rows(cells, [key], models)
     widths = (len({i for p in places for i in p}), max(targets) + 1)
     grouped = rows.groupBy(col(key)).agg(F.flatten(F.collect_list("_x")).alias("_x"), F.flatten(F.collect_list("_y")).alias("_y"))
-    shared = _shared(models, places)
-    names = [list(m.columns()) for m in models]
+    shared = _shared(places)
+    names = [m.names() for m in models]
     schema = _result_schema(_key_schema(cells, [key]), name_fields)
     arrow = to_arrow_schema(schema)
 
-    def fits(x: np.ndarray, y: np.ndarray) -> Iterable[tuple]:
-        for design, members in shared.items():
-            own = x[:, list(design)]
-            complete = ~np.isnan(own).any(axis=1)
-            by_rows: dict[bytes, list[int]] = {}
-            for m in members:
-                by_rows.setdefault((complete & ~np.isnan(y[:, targets[m]])).tobytes(), []).append(m)
-            for mask, same in by_rows.items():
-                use = np.frombuffer(mask, bool)
-                n = int(use.sum())
-                if n:
-                    beta, error = solution(factor(np.column_stack([own[use], y[use][:, [targets[m] for m in same]]])), n, len(design))
-                    for k, m in enumerate(same):
-                        yield from ((*models[m].name, t, b, e, n) for t, b, e in zip(names[m], beta[k], error[k]))
+    params = list(arrow)[1:-4]  # of the models' names
+    terms = [pa.array(own, pa.string()) for own in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                x, y = (np.array(batch.column(j)[i].as_py(), dtype=float).reshape(-1, widths[j - 1]) for j in (1, 2))
-                out = list(fits(x, y))
+            x, y = (_flat_matrix(batch.column(j), widths[j - 1]) for j in (1, 2))
+            sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False) // widths[1]
+            for some, at in _stacks(sizes):
+                out = []
+                for m, who, beta, error, n in _stack_fits(x, y, at, shared, targets):
+                    count = beta.shape[1]
+                    label = [pa.array([value], f.type).take(pa.array(np.zeros(len(who) * count, np.int64))) for value, f in zip(models[m].name, params)]
+                    term = terms[m].take(pa.array(np.tile(np.arange(count), len(who))))
+                    numbers = [pa.array(c.ravel(), pa.float64(), from_pandas=True) for c in (beta, error)]
+                    group = batch.column(0).take(pa.array(np.repeat(some[who], count)))
+                    out.append(pa.RecordBatch.from_arrays([group, *label, term, *numbers, pa.array(np.repeat(n, count), pa.int64())], schema=arrow))
                 if out:
-                    group = batch.column(0).slice(i, 1).take(pa.array([0] * len(out)))
-                    yield pa.RecordBatch.from_arrays([group, *(pa.array(c, f.type, from_pandas=True) for c, f in zip(zip(*out), list(arrow)[1:]))], schema=arrow)
+                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     return grouped.mapInArrow(run, schema)

@@ -21,10 +21,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from choicelab.functions import diffusion
-from choicelab.operators.grouped import group_rows
+from choicelab.operators.grouped import group_codes, group_rows
 from choicelab.operators.joins import attach
 from choicelab.operators.ranking import col
-from choicelab.staging import shuffle_tasks, stage
+from choicelab.staging import settings, shuffle_tasks, stage
 
 AXES = ("v", "a", "t", "z")
 HELD = 256
@@ -216,17 +216,47 @@ def refined_surface(collapsed: DataFrame, by: list[str], coarse: dict[str, list[
     return stage(weighted_surface(collapsed, by, axes, terms), "surface")
 
 
+def _start_sums(n_keys: int, z: np.ndarray, schema: pa.Schema, terms: int) -> Callable:
+    """Task: per group of a batch of trials that carry v, a and t, the summed log-likelihood at every z."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first, inverse = group_codes(batch.columns[:n_keys], batch.num_rows)
+            order = np.argsort(inverse, kind="stable")
+            upper, *numbers = (c.to_numpy(zero_copy_only=False)[order] for c in batch.columns[n_keys:])
+            logliks = diffusion.start_logliks(numbers[0], upper, *numbers[1:], z, terms)
+            sums = np.add.reduceat(logliks, np.searchsorted(inverse[order], np.arange(len(first))), axis=1)
+            keys = [c.take(pa.array(first)) for c in batch.columns[:n_keys]]
+            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, sums)], schema=schema)
+    return run
+
+
 def starting_points(trials: DataFrame, cells: DataFrame, by: list[str], z_grid: list[float], response: str = "accepted",
                     rt: str = "rt", terms: int = 7) -> DataFrame:
     """``cells`` with ``z``: posterior mean of the starting point given the cell's own v, a and t, flat prior on ``z_grid``.
 
-    Cells without v, a or t have none.
+    Cells without v, a or t have none. A trial takes its cell's parameters along, a batch of
+    trials is one kernel call whatever the number of cells in it, and a row of sums per
+    cell and batch leaves the task. The starting points are staged.
     """
     known = cells.filter(F.col("v").isNotNull() & F.col("a").isNotNull() & F.col("t").isNotNull())
-    axes = known.select(*map(col, by), *[F.array(name).alias(name) for name in "vat"], F.array(*[F.lit(float(z)) for z in z_grid]).alias("z"))
-    grids = _weighed_rows(collapse_trials(trials, by, response, rt), by, axes, terms)  # z is the one axis with several points
-    mean = F.aggregate(F.zip_with("_weight", "_z", lambda weight, z: weight * z), F.lit(0.0), lambda total, x: total + x)
-    return attach(cells, grids.select(*map(col, by), mean.alias("z")), by)
+    answered = trials.filter(col(response).isNotNull() & col(rt).isNotNull()).select(
+        *map(col, by), (col(response) == 1).alias("_upper"), col(rt).cast("double").alias("_rt"))
+    numbers = ["_upper", "_rt", "_v", "_a", "_t"]
+    placed = attach(answered, known.select(*map(col, by), *[col(x).cast("double").alias(f"_{x}") for x in "vat"]), by, "inner")
+    sums = [f"_{i}" for i in range(len(z_grid))]
+    out = T.StructType([*[answered.schema[k] for k in by], *[T.StructField(name, T.DoubleType()) for name in sums]])
+    partial = placed.select(*map(col, by), *numbers).mapInArrow(_start_sums(len(by), np.array(z_grid, dtype=float), to_arrow_schema(out), terms), out)
+    totals = partial.groupBy(*map(col, by)).agg(*[F.sum(name).alias(name) for name in sums])
+    top = F.greatest(*sums) if len(sums) > 1 else F.col(sums[0])
+    weighed = totals.select(*map(col, by), F.array(*[F.exp(F.col(name) - top) for name in sums]).alias("_weight"))
+    mean = [sum((F.col("_weight")[i] * each for i, each in enumerate(values)), F.lit(0.0)) for values in (map(float, z_grid), [1.0] * len(z_grid))]
+    starts = weighed.select(*map(col, by), (mean[0] / mean[1]).alias("z"))
+    # rows of a few numbers cannot fill a batch, but measuring it after each of them costs as much as the join
+    with settings(trials.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": 2 ** 31 - 1}):
+        starts = stage(starts, "starts")
+    return attach(cells, starts, by)
 
 
 def loglik_points(collapsed: DataFrame, params: DataFrame, by: list[str], terms: int = 7) -> DataFrame:

@@ -13,6 +13,7 @@ from choicelab.operators import models, regression
 from choicelab.operators import surface as surfaces
 from choicelab.operators.grouped import group_rows
 from choicelab.operators.regression import Model
+from choicelab.plans import views
 from tests.test_models import density
 
 LEVELS = {"f": ("c", "a", "b"), "pair": ("I", "M", "P")}
@@ -247,3 +248,62 @@ def test_starting_points_take_cells_together(spark, monkeypatch):
     cells = spark.range(40).selectExpr("id as s", "0.5D as v", "1.0D as a", "0.2D as t")
     placed = surfaces.starting_points(rows, cells, ["s"], [0.3, 0.5, 0.7])
     assert "Window" not in placed._jdf.queryExecution().toString()
+
+
+def test_small_groups_are_fitted_in_stacks(spark, monkeypatch):
+    """One call per design for all groups of a stack, with each group's own rows, aliased terms and unknown responses."""
+    rng = np.random.default_rng(11)
+    sizes = np.array([9, 4, 12, 1, 7, 0, 12])
+    x = np.column_stack([np.ones(sizes.sum()), rng.normal(size=(sizes.sum(), 3))])
+    x[:, 3] = x[:, 1] - 2 * x[:, 2]
+    x[:9, 2] = 0
+    x[rng.random(len(x)) < 0.1, 1] = np.nan
+    y = rng.normal(size=(len(x), 2))
+    y[rng.random(len(x)) < 0.2, 1] = np.nan
+    design, targets = (0, 1, 2, 3), [0, 1, 0]
+    got, calls, solve = {}, [], regression.stacked_solutions
+    monkeypatch.setattr(regression, "stacked_solutions", lambda *args: calls.append(1) or solve(*args))
+    stacks = list(regression._stacks(sizes))
+    for some, at in stacks:
+        for m, who, beta, error, n in regression._stack_fits(x, y, at, {design: [0, 1, 2]}, targets):
+            got.update({(some[g], m): (b, e, k) for g, b, e, k in zip(who, beta, error, n)})
+    assert len(stacks) == 1 and len(calls) <= 3
+    ends = np.cumsum(sizes)
+    for g, (low, high) in enumerate(zip(ends - sizes, ends)):
+        for m, target in enumerate(targets):
+            rows = np.column_stack([x[low:high], y[low:high, target]])
+            rows = rows[~np.isnan(rows).any(axis=1)]
+            if not len(rows):
+                assert (g, m) not in got
+                continue
+            beta, error = regression.solution(regression.factor(rows), len(rows), 4)
+            np.testing.assert_allclose(got[g, m][0], beta[0], rtol=1e-8, atol=1e-12)
+            np.testing.assert_allclose(got[g, m][1], error[0], rtol=1e-6, atol=1e-12)
+            assert got[g, m][2] == len(rows)
+
+
+def test_trials_of_many_cells_share_a_kernel_call(spark, monkeypatch):
+    """Sums of starting points: a call per batch, however many cells it has, and null is a cell's key like any other."""
+    rng = np.random.default_rng(12)
+    n, z = 600, np.array([0.2, 0.5, 0.9])
+    key = rng.integers(0, 200, n)
+    cell = rng.uniform([0.3, 0.6, 0.05], [2.0, 2.0, 0.4], (200, 3))[key]
+    rt, upper = rng.uniform(0.1, 3, n), rng.random(n) < 0.5
+    batch = pa.RecordBatch.from_arrays([pa.array([None if k == 7 else int(k) for k in key]), pa.array(upper), pa.array(rt), *map(pa.array, cell.T)], list("kurvat"))
+    schema = pa.schema([("k", pa.int64()), *[(f"s{i}", pa.float64()) for i in range(3)]])
+    calls, kernel = [], diffusion.start_logliks
+    monkeypatch.setattr(diffusion, "start_logliks", lambda *args: calls.append(1) or kernel(*args))
+    got = pa.Table.from_batches(surfaces._start_sums(1, z, schema, 7)([batch])).to_pandas().set_index("k")
+    assert len(calls) == 1 and len(got) == len(set(key))
+    for k in set(key) - {7}:
+        own = key == k
+        alone = diffusion.grid_loglik(rt[own], upper[own], np.ones(own.sum()), *[c[own][:1] for c in cell.T], z)
+        np.testing.assert_allclose(got.loc[k].to_numpy(), alone.ravel(), rtol=1e-9)
+
+
+def test_whole_numbers_are_those_of_round(spark):
+    """Halves, their neighbours and large numbers."""
+    values = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 0.5000000000000001, 4503599627370497.5, 1e300, -0.0, 7.000000000000001, 28.999999999999996, None]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    rows = df.select(F.round("x").alias("a"), views._whole(F.col("x")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
